@@ -129,14 +129,18 @@ def first_match_table(
     steps = -(-(ordered.agg(F.max("no")).first()[0] or 0) // rules_per_step)
     value_type = rules.schema["value"].dataType
 
-    def step(i: int) -> Column:
+    def listed(i: int) -> Column:
         part = ordered.where((F.col("no") > i * rules_per_step) & (F.col("no") <= (i + 1) * rules_per_step))
-        listed = part.agg(F.array_sort(F.collect_list(F.struct("no", "keyword", "value"))).alias("rules")).scalar()
+        return part.agg(F.array_sort(F.collect_list(F.struct("no", "keyword", "value")))).scalar()
+
+    def step(i: int) -> Column:
         return F.aggregate(
-            listed,
+            f"_rules{i}",
             F.lit(None).cast(value_type),
             lambda found, r: F.coalesce(found, F.when(F.contains(F.col("_low"), r["keyword"]), r["value"])),
         )
 
-    matched = df.withColumn("_low", F.lower(text))
-    return matched.withColumn(name, F.coalesce(*[step(i) for i in range(steps)], F.lit(default))).drop("_low")
+    held = {f"_rules{i}": listed(i) for i in range(steps)}
+    matched = df.withColumns({"_low": F.lower(text), **held})
+    chosen = F.coalesce(*[step(i) for i in range(steps)], F.lit(default))
+    return matched.withColumn(name, chosen).drop("_low", *held)
