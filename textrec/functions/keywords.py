@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -14,21 +15,51 @@ Rule = tuple[Sequence[str], object]
 Step = tuple[Column, object]
 
 
+# Above this many keywords one pattern beats one search per keyword (measured).
+LONG_LIST = 50
+
+
+def _prefixed(terms: Sequence[str]) -> str:
+    """Pattern for any of the terms, common beginnings written once."""
+    if "" in terms:
+        return ""
+    ends: dict[str, list[str]] = {}
+    for term in terms:
+        ends.setdefault(term[0], []).append(term[1:])
+    parts = [re.escape(first) + _prefixed(rest) for first, rest in ends.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def contains_any(low: Column | str, keywords: Iterable[str]) -> Column:
     """True where the already lower-cased text contains any keyword."""
     text = as_column(low)
     terms = list(dict.fromkeys(k.lower() for k in keywords))
     if not terms:
         return F.lit(False)
-    hits = [F.contains(text, F.lit(t)) for t in terms]
-    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+    if len(terms) > LONG_LIST and "" not in terms:
+        starts = "".join(sorted({re.escape(t[0]) for t in terms}))
+        hit = text.rlike(f"(?=[{starts}]){_prefixed(terms)}")
+    else:
+        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    return F.coalesce(hit, F.lit(False))
 
 
 def any_keyword(col: Column | str, keywords: Iterable[str]) -> Column:
-    """True where the text contains any keyword, in any case, also inside words."""
+    """True where the text contains any keyword, in any case, also inside words.
+
+    Meant for projections, where Spark lower-cases the text once for all keywords.
+    """
     return contains_any(F.lower(as_column(col)), keywords)
 
 
+def keyword_filter(col: Column | str, keywords: Iterable[str]) -> Column:
+    """``any_keyword`` for ``where``: a filter would lower-case the text once per keyword.
+
+    Here the lower-cased text is bound to a name that all keywords read.
+    """
+    return F.exists(F.array(F.lower(as_column(col))), lambda low: contains_any(low, keywords))
+
+
 def first_match(low: Column | str, rules: Sequence[Rule], default) -> Column:
     """Value of the first rule of which a keyword occurs in the lower-cased text."""
     chain = None

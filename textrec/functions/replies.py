@@ -16,7 +16,7 @@ CLUSTERS = (
 )
 
 
-def _one_document(text: Column, element: str) -> Column:
+def one_document(text: Column, element: str) -> Column:
     """Parse a text that must be exactly one JSON value; null otherwise.
 
     The parser stops after the first value, so the text is read as the content
@@ -25,11 +25,13 @@ def _one_document(text: Column, element: str) -> Column:
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     parsed = F.from_json(wrapped, f"array<{element}>", STRICT_JSON)
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+    # Bound to a name, so that a text is parsed once and not once per use.
+    single = F.transform(F.array(parsed), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
+    return F.get(single, F.lit(0))
 
 
 def is_json(col: Column | str) -> Column:
-    return F.coalesce(_one_document(as_column(col), "string").isNotNull(), F.lit(False))
+    return F.coalesce(one_document(as_column(col), "string").isNotNull(), F.lit(False))
 
 
 def json_span(col: Column | str) -> Column:
@@ -45,5 +47,5 @@ def json_span(col: Column | str) -> Column:
 
 def reply_json(col: Column | str, field: str, schema: str) -> Column:
     """The array ``field`` of the JSON object in a reply; empty when there is none."""
-    document = _one_document(json_span(col), f"struct<{field}:{schema}>")
+    document = one_document(json_span(col), f"struct<{field}:{schema}>")
     return F.coalesce(document[field], F.from_json(F.lit("[]"), schema))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textrec.functions.columns import clean_name, lead_sentence, strip
 from textrec.functions.keywords import Rule, contains_any, first_match, refine
-from textrec.operators.batching import number_rows
+from textrec.operators.batching import assign_batches
 
 # Rules held in one literal; a longer rule table is tested in further steps.
 RULES_PER_STEP = 1000
@@ -123,24 +123,26 @@ def first_match_table(
     the next one only if nothing matched so far. The table is neither joined to
     the rows nor shuffled with them.
     """
-    ordered = number_rows(
-        rules.select("priority", F.lower("keyword").alias("keyword"), "value"), ["priority", "keyword"], name="no"
-    )
-    steps = -(-(ordered.agg(F.max("no")).first()[0] or 0) // rules_per_step)
+    rules = rules.select("priority", F.lower("keyword").alias("keyword"), "value")
+    steps = [rules]
+    if rules.limit(rules_per_step + 1).count() > rules_per_step:
+        ordered = assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step")
+        count = ordered.agg(F.max("step")).first()[0] + 1
+        steps = [ordered.where(F.col("step") == i) for i in range(count)]
     value_type = rules.schema["value"].dataType
 
-    def listed(i: int) -> Column:
-        part = ordered.where((F.col("no") > i * rules_per_step) & (F.col("no") <= (i + 1) * rules_per_step))
-        return part.agg(F.array_sort(F.collect_list(F.struct("no", "keyword", "value")))).scalar()
+    def listed(part: DataFrame) -> Column:
+        return part.agg(F.array_sort(F.collect_list(F.struct("priority", "keyword", "value")))).scalar()
 
-    def step(i: int) -> Column:
+    def first(step: str, low: Column) -> Column:
         return F.aggregate(
-            f"_rules{i}",
+            step,
             F.lit(None).cast(value_type),
-            lambda found, r: F.coalesce(found, F.when(F.contains(F.col("_low"), r["keyword"]), r["value"])),
+            lambda found, r: F.coalesce(found, F.when(F.contains(low, r["keyword"]), r["value"])),
         )
 
-    held = {f"_rules{i}": listed(i) for i in range(steps)}
-    matched = df.withColumns({"_low": F.lower(text), **held})
-    chosen = F.coalesce(*[step(i) for i in range(steps)], F.lit(default))
-    return matched.withColumn(name, chosen).drop("_low", *held)
+    held = {f"_rules{i}": listed(part) for i, part in enumerate(steps)}
+    # The lower-cased text is bound to a name that all rules read.
+    found = F.transform(F.array(F.lower(text)), lambda low: F.coalesce(*[first(step, low) for step in held]))
+    chosen = F.coalesce(F.get(found, F.lit(0)), F.lit(default))
+    return df.withColumns(held).withColumn(name, chosen).drop(*held)

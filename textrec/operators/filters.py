@@ -40,9 +40,8 @@ def excerpt(df: DataFrame, cols: Sequence[str], n: int, order: Sequence[str | Co
 
 def docs_with_any(pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """``(doc, matched)``: does any page that could be read contain any keyword."""
-    return pages.groupBy("doc").agg(
-        F.coalesce(F.bool_or(any_keyword("text", keywords)), F.lit(False)).alias("matched")
-    )
+    hits = pages.select("doc", any_keyword("text", keywords).alias("hit"))
+    return hits.groupBy("doc").agg(F.bool_or("hit").alias("matched"))
 
 
 def docs_with_all(pages: DataFrame, terms: Sequence[str]) -> DataFrame:

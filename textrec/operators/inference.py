@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textrec.functions.columns import ensure_columns
 from textrec.session import stored
@@ -21,6 +22,7 @@ MAX_TOKENS = 100
 TEMPERATURE = 1.0
 
 TOKENS = {"prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint"}
+REPLY_COLUMNS = {"reply": "string", **TOKENS, "error": "string"}
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,8 @@ def build_messages(turns: Column | str, system: str | None = None, inline: bool
     return F.concat(F.array(first), spoken)
 
 
-def _caller(backend: Backend, key: str, system: str, max_tokens: int, temperature: float, batch_size: int | None):
+def _caller(backend: Backend, prompt_col: str, system: str, max_tokens: int, temperature: float, batch_size: int | None):
+    """Function that adds reply, token counts and error to Arrow batches."""
     inline = [{"role": "system", "content": system}] if backend.inline_system else []
     apart = None if backend.inline_system else system
 
@@ -75,28 +78,29 @@ def _caller(backend: Backend, key: str, system: str, max_tokens: int, temperatur
             # One bad prompt fails its whole call: ask again one by one.
             return [ask([p])[0] for p in prompts]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            step = batch_size or max(len(frame), 1)
-            for start in range(0, len(frame), step):
-                part = frame.iloc[start : start + step]
-                answers = ask(part["prompt"].tolist())
-                used = [usage or {} for (_, usage), _ in answers]
-                yield pd.DataFrame(
-                    {
-                        key: part[key].to_numpy(),
-                        "reply": [reply if usage else None for (reply, usage), _ in answers],
-                        **{t: pd.array([u.get(t) for u in used], dtype="Int64") for t in TOKENS},
-                        "error": [error for _, error in answers],
-                    }
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prompts = batch.column(batch.schema.get_field_index(prompt_col)).to_pylist()
+            answers: list[tuple[Reply, str | None]] = [((None, None), None)] * len(prompts)
+            asked = [i for i, prompt in enumerate(prompts) if prompt is not None]
+            step = batch_size or max(len(asked), 1)
+            for start in range(0, len(asked), step):
+                part = asked[start : start + step]
+                for i, answer in zip(part, ask([prompts[i] for i in part])):
+                    answers[i] = answer
+            used = [usage or {} for (_, usage), _ in answers]
+            added = {
+                "_reply": pa.array([reply for (reply, _), _ in answers], pa.string()),
+                **{f"_{t}": pa.array([u.get(t) for u in used], pa.int64()) for t in TOKENS},
+                "_error": pa.array([error for _, error in answers], pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
 
     return run
 
 
-def ask_model(
+def answered(
     df: DataFrame,
-    key: str,
     backend: Backend,
     prompt_col: str = "prompt",
     system: str = SYSTEM,
@@ -105,39 +109,50 @@ def ask_model(
     batch_size: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``(key, reply, 3 token counts, error)`` for every prompt that is not null.
+    """The rows with ``_reply``, three ``_…_tokens`` and ``_error``, null where the prompt is null.
 
-    Only key and prompt cross to Python. Replies are written once under their
-    key, so a later failure does not call the model again. ``partitions``
-    spreads few long prompts over more parallel callers.
+    Other columns pass through Python as Arrow arrays and are not converted, so
+    replies need no join to get back to their rows. ``partitions`` spreads few
+    long prompts over more parallel callers. Lazy: every use asks again.
     """
-    asked = df.where(F.col(prompt_col).isNotNull()).select(key, F.col(prompt_col).alias("prompt"))
     if partitions is not None:
-        asked = asked.repartition(partitions, key)
-    columns = [f"{key} {df.schema[key].dataType.simpleString()}", "reply string"]
-    columns += [f"{name} {kind}" for name, kind in TOKENS.items()] + ["error string"]
-    run = _caller(backend, key, system, max_tokens, temperature, batch_size)
-    return stored(asked.mapInPandas(run, ", ".join(columns)), "replies")
+        df = df.repartition(partitions)
+    added = T.StructType.fromDDL(", ".join(f"_{name} {kind}" for name, kind in REPLY_COLUMNS.items()))
+    run = _caller(backend, prompt_col, system, max_tokens, temperature, batch_size)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
-def write_back(
-    df: DataFrame, replies: DataFrame, key: str, result_col: str = "response", error_col: str | None = None
-) -> DataFrame:
-    """Set reply and token counts on rows with both a non-empty reply and usage; others keep theirs."""
-    got = replies.select(key, *[F.col(c).alias(f"_{c}") for c in ["reply", *TOKENS, "error"]])
+def ask_model(df: DataFrame, key: str, backend: Backend, prompt_col: str = "prompt", **options) -> DataFrame:
+    """``(key, reply, 3 token counts, error)`` for every prompt.
+
+    Replies are written once under their key, so a later failure does not call
+    the model again.
+    """
+    asked = answered(df.select(key, prompt_col), backend, prompt_col, **options)
+    return stored(asked.select(key, *[F.col(f"_{c}").alias(c) for c in REPLY_COLUMNS]), "replies")
+
+
+def _filled(df: DataFrame, columns: list[str], result_col: str, error_col: str | None) -> DataFrame:
+    """Reply and token counts on rows with both a non-empty reply and usage; others keep theirs."""
     has_usage = F.coalesce(*[f"_{t}" for t in TOKENS]).isNotNull()
     done = F.coalesce((F.col("_reply") != "") & has_usage, F.lit(False))
-    joined = df.join(got, key, "left")
     filled = {result_col: F.when(done, F.col("_reply")).otherwise(F.col(result_col))}
     filled |= {t: F.when(done, F.col(f"_{t}")).otherwise(F.col(t)) for t in TOKENS}
     if error_col is not None:
         filled[error_col] = F.col("_error")
-    return joined.withColumns(filled).select(*df.columns, *([error_col] if error_col else []))
+    return df.withColumns(filled).select(*columns, *([error_col] if error_col else []))
+
+
+def write_back(
+    df: DataFrame, replies: DataFrame, key: str, result_col: str = "response", error_col: str | None = None
+) -> DataFrame:
+    """Replies of an earlier ``ask_model`` put on the rows with their key, which must be unique."""
+    got = replies.select(key, *[F.col(c).alias(f"_{c}") for c in REPLY_COLUMNS])
+    return _filled(df.join(got, key, "left"), df.columns, result_col, error_col)
 
 
 def complete_prompts(
     df: DataFrame,
-    key: str,
     backend: str,
     backends: Mapping[str, Backend],
     prompt_col: str = "prompt",
@@ -145,17 +160,18 @@ def complete_prompts(
     error_col: str | None = None,
     **options,
 ) -> DataFrame:
-    """Reply and token counts for every row; ``key`` must be unique.
+    """Reply and token counts for every row.
 
     A row with a null prompt, an empty reply or a failed call keeps its earlier
     result and null counts. An unknown backend name gives the table with the
-    columns added and nothing filled in. ``options`` are those of ``ask_model``.
+    columns added and nothing filled in. ``options`` are those of ``answered``.
+    The result is written once, so that no use of it calls the model again.
     """
     ready = ensure_columns(df, keep={result_col: "string"}, reset=TOKENS)
     if backend not in backends:
         return ensure_columns(ready, {}, {error_col: "string"}) if error_col else ready
-    replies = ask_model(df, key, backends[backend], prompt_col, **options)
-    return write_back(ready, replies, key, result_col, error_col)
+    rows = answered(ready, backends[backend], prompt_col, **options)
+    return stored(_filled(rows, ready.columns, result_col, error_col), "completed")
 
 
 def usage_totals(df: DataFrame, by: list[str] | None = None) -> DataFrame:

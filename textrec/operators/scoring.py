@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrec.functions.columns import strip
-from textrec.operators.inference import Backend, ask_model
+from textrec.operators.inference import Backend, answered
 from textrec.operators.texts import rendered
+from textrec.session import stored
 
 
 def exact_score(
@@ -35,7 +36,6 @@ def accuracy(df: DataFrame, by: Sequence[str] = (), correct: str = "correct") ->
 
 def graded_score(
     df: DataFrame,
-    key: str,
     grader: Backend,
     template: str,
     pattern: str,
@@ -49,7 +49,6 @@ def graded_score(
     grade as its first group. No match, or no reply, gives null.
     """
     prompts = df.withColumn("_prompt", rendered(template, **{n: F.col(c) for n, c in values.items()}))
-    replies = ask_model(prompts, key, grader, "_prompt", **options)
-    found = F.regexp_extract("reply", pattern, 1)
-    grades = replies.select(key, F.when(found != "", found).alias(name))
-    return df.join(grades, key, "left")
+    replies = answered(prompts, grader, "_prompt", **options)
+    found = F.regexp_extract("_reply", pattern, 1)
+    return stored(replies.select(*df.columns, F.when(found != "", found).alias(name)), "graded")

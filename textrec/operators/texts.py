@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textrec.functions.columns import cap_chars, strip
-from textrec.functions.keywords import any_keyword
+from textrec.functions.keywords import keyword_filter
 
 # A paragraph must be longer than this after stripping.
 MIN_PARAGRAPH_CHARS = 50
@@ -27,39 +27,42 @@ def _joined(order: str, text: str, end: str = "") -> Column:
 def full_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """``(doc, text)``: the page texts in page order, each followed by a line break.
 
-    Pages are joined in blocks of ``PAGE_BLOCK`` first, so a document with very
-    many pages is spread over many groups. With ``cap``, block lengths tell
-    which blocks reach into the first ``cap`` characters, and only the text of
-    those blocks is moved.
+    If no page number reaches ``PAGE_BLOCK``, a group is a document. Otherwise
+    pages are joined block by block first, so a document with very many pages
+    is spread over many groups; and with ``cap`` the block lengths tell which
+    blocks reach into the first ``cap`` characters, and only those are moved.
     """
-    read = pages.where(F.col("text").isNotNull()).select(
-        "doc", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), "text"
-    )
+    read = pages.where(F.col("text").isNotNull()).select("doc", "page", "text")
     if cap is not None:
         # A single page never adds more than its first `cap` characters.
         read = read.withColumn("text", cap_chars("text", cap))
-        sizes = read.groupBy("doc", "block").agg(F.sum(F.length("text") + 1).alias("size"))
-        before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        reached = (
-            sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-            .where(F.col("start") < cap)
-            .select("doc", "block")
-        )
-        read = read.join(reached, ["doc", "block"], "left_semi")
-    blocks = read.groupBy("doc", "block").agg(_joined("page", "text", "\n").alias("text"))
-    if cap is not None:
-        blocks = blocks.withColumn("text", cap_chars("text", cap))
-    whole = blocks.groupBy("doc").agg(_joined("block", "text").alias("text"))
+    if pages.where(F.col("page") >= PAGE_BLOCK).isEmpty():
+        whole = read.groupBy("doc").agg(_joined("page", "text", "\n").alias("text"))
+    else:
+        blocked = read.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+        if cap is not None:
+            blocked = blocked.join(_reached(blocked, cap), ["doc", "block"], "left_semi")
+        blocks = blocked.groupBy("doc", "block").agg(_joined("page", "text", "\n").alias("text"))
+        whole = blocks.groupBy("doc").agg(_joined("block", "text").alias("text"))
     return whole if cap is None else whole.withColumn("text", cap_chars("text", cap))
 
 
+def _reached(blocked: DataFrame, cap: int) -> DataFrame:
+    """``(doc, block)`` of the blocks that start within the first ``cap`` characters."""
+    sizes = blocked.groupBy("doc", "block").agg(F.sum(F.length("text") + 1).alias("size"))
+    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return starts.where(F.col("start") < cap).select("doc", "block")
+
+
 def paragraphs(pages: DataFrame, sep: str = "\n\n", min_len: int = MIN_PARAGRAPH_CHARS) -> DataFrame:
     """``(source, page, para, text)``: stripped pieces of a page longer than ``min_len``.
 
     ``para`` is the position of the piece on its page. Narrow: no shuffle.
     """
+    # The outer form keeps Spark from splitting each text a second time to look for empty lists.
     pieces = pages.select(
-        F.col("doc").alias("source"), "page", F.posexplode(F.split("text", _literal(sep))).alias("para", "text")
+        F.col("doc").alias("source"), "page", F.posexplode_outer(F.split("text", _literal(sep))).alias("para", "text")
     )
     return pieces.withColumn("text", strip("text")).where(F.length("text") > min_len)
 
@@ -86,7 +89,7 @@ def relevant_paragraphs(
     The paragraph filters are narrow and cut the rows before they are joined to
     the passing documents.
     """
-    found = paragraphs(pages, sep, min_len).where(any_keyword("text", keywords))
+    found = paragraphs(pages, sep, min_len).where(keyword_filter("text", keywords))
     return keep_passing(found, flags)
 
 
@@ -126,12 +129,14 @@ def render_prompt(df: DataFrame, template: str, name: str = "prompt", **values:
 
 def explode_findings(df: DataFrame, findings: str = "findings") -> DataFrame:
     """``(batch, pos, …)``: one row per finding of a batch."""
-    return df.select("batch", F.posexplode(findings).alias("pos", "finding")).select("batch", "pos", "finding.*")
+    # The outer form keeps Spark from parsing each reply a second time to look for empty lists.
+    each = df.select("batch", F.posexplode_outer(findings).alias("pos", "finding")).where(F.col("pos").isNotNull())
+    return each.select("batch", "pos", "finding.*")
 
 
 def explode_results(df: DataFrame, n: int | None = 3) -> DataFrame:
     """First ``n`` results of each log, numbered from 1."""
     results = F.col("results") if n is None else F.slice("results", 1, n)
-    return df.select("*", F.posexplode(results).alias("pos", "result")).select(
-        *[c for c in df.columns if c != "results"], (F.col("pos") + 1).alias("result_no"), "result"
-    )
+    others = [c for c in df.columns if c != "results"]
+    each = df.select(*others, F.posexplode_outer(results).alias("pos", "result")).where(F.col("pos").isNotNull())
+    return each.select(*others, (F.col("pos") + 1).alias("result_no"), "result")

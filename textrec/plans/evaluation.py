@@ -11,11 +11,10 @@ from textrec.operators.inference import Backend, complete_prompts
 
 def evaluate(
     samples: DataFrame,
-    key: str,
     backend: str,
     backends: Mapping[str, Backend],
     scorer: Callable[[DataFrame], DataFrame],
     **options,
 ) -> DataFrame:
     """Ask for a reply to every sample's input and score it."""
-    return scorer(complete_prompts(samples, key, backend, backends, prompt_col="input", **options))
+    return scorer(complete_prompts(samples, backend, backends, prompt_col="input", **options))

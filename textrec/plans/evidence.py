@@ -24,7 +24,8 @@ def evidence_table(pages: DataFrame, cap: int = MAX_TEXT_CHARS) -> DataFrame:
     holds white space only, is dropped.
     """
     failed = pages.where(F.col("error").isNotNull()).select("doc").distinct()
-    texts = full_text(pages.where(F.col("text") != "").join(failed, "doc", "left_anti"), cap)
+    # Joined after the texts are grouped by document, so that they move only once.
+    texts = full_text(pages.where(F.col("text") != ""), cap).join(failed, "doc", "left_anti")
     return non_blank(texts, "text").select(
         F.col("doc").alias("pdf_filename"), title_from_path("doc").alias("pdf_title"), F.col("text").alias("full_text")
     )
@@ -42,7 +43,6 @@ def summarise_documents(
     """Evidence table with a summary and token counts per document."""
     return complete_prompts(
         evidence_table(pages, cap),
-        "pdf_filename",
         backend,
         backends,
         prompt_col="full_text",

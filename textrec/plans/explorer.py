@@ -26,24 +26,20 @@ def function_plot(
 ) -> DataFrame:
     """Rows of one sector by agent type and kind, or of all sectors by agent type and sector.
 
-    A sector without rows shows all of them. Rows come in category order, with
-    ``key`` last so that even one category can be sorted in several tasks.
+    A sector without rows shows all of them. The ranks carry the order of the
+    categories, so no row is moved. Narrow, but for one look for the sector.
     """
     shown = filter_or_all(df, "Sector", sector, ALL_SECTORS)
     one_sector = F.lit(False) if sector == ALL_SECTORS else (F.col("Sector") == sector)
-    return (
-        shown.withColumns(
-            {
-                "x": F.col("Agent_Type_Text"),
-                "y": F.when(one_sector, F.col("Kind_of_Agent")).otherwise(F.col("Sector")),
-                "y_label": F.when(one_sector, "Kind of Agent").otherwise("Sector"),
-                "colour": lookup("Kind_of_Agent", colours),
-                "x_rank": category_rank("Agent_Type_Text", agent_types),
-                "kind_rank": category_rank("Kind_of_Agent", kinds),
-            }
-        )
-        .select(key, "x", "y", "y_label", "colour", "x_rank", "kind_rank", *DETAILS)
-        .orderBy("x_rank", "y", "kind_rank", key)
+    return shown.select(
+        key,
+        F.col("Agent_Type_Text").alias("x"),
+        F.when(one_sector, F.col("Kind_of_Agent")).otherwise(F.col("Sector")).alias("y"),
+        F.when(one_sector, "Kind of Agent").otherwise("Sector").alias("y_label"),
+        lookup("Kind_of_Agent", colours).alias("colour"),
+        category_rank("Agent_Type_Text", agent_types).alias("x_rank"),
+        category_rank("Kind_of_Agent", kinds).alias("kind_rank"),
+        *DETAILS,
     )
 
 

@@ -13,6 +13,7 @@ from textrec.operators.batching import assign_batches
 from textrec.operators.findings import FINDING_FIELDS, FINDINGS_PER_PART
 from textrec.operators.inference import Backend, ask_model
 from textrec.operators.texts import context_blocks, explode_findings, render_prompt
+from textrec.session import stored
 
 # Paragraphs per prompt and reply lengths.
 PARAGRAPHS_PER_PROMPT = 10
@@ -38,6 +39,16 @@ def question_json(questions: Mapping[int, str]) -> str:
     return json.dumps(dict(sorted(questions.items())), indent=2, ensure_ascii=False)
 
 
+def context_table(paras: DataFrame, n: int = PARAGRAPHS_PER_PROMPT) -> DataFrame:
+    """``(batch, paragraphs, context)`` of consecutive batches of ``n`` paragraphs.
+
+    The paragraphs are few compared with the pages they were found in, so they
+    are written before they are sorted: sorting reads its input twice.
+    """
+    found = stored(paras, "paragraphs")
+    return context_blocks(assign_batches(found, ["source", "page", "para"], n))
+
+
 def analyse_batches(
     paras: DataFrame,
     questions: Mapping[int, str],
@@ -47,8 +58,7 @@ def analyse_batches(
     **options,
 ) -> DataFrame:
     """``(batch, pos, question_num, quote, source, page, summary)`` found in batches of paragraphs."""
-    contexts = context_blocks(assign_batches(paras, ["source", "page", "para"], n))
-    prompts = render_prompt(contexts, template, questions=question_json(questions), context=F.col("context"))
+    prompts = render_prompt(context_table(paras, n), template, questions=question_json(questions), context=F.col("context"))
     settings = {"max_tokens": ANALYSIS_TOKENS, "temperature": 0.0, **options}
     replies = ask_model(prompts, "batch", backend, **settings)
     return explode_findings(replies.select("batch", reply_json("reply", "findings", FINDINGS).alias("findings")))

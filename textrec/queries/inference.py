@@ -44,33 +44,33 @@ def filled_sql(good: str, reply: str = "md5(prompt)") -> str:
 
 @query(f"WITH {PROMPTS_SQL} SELECT row_id, prompt, {filled_sql('prompt IS NOT NULL')} FROM prompts")
 def completed_prompts(spark, folder):
-    return complete_prompts(prompts(spark, folder), "row_id", "digest", BACKENDS)
+    return complete_prompts(prompts(spark, folder), "digest", BACKENDS)
 
 
 @query(f"""WITH {PROMPTS_SQL}
 SELECT row_id, prompt, {filled_sql('prompt IS NOT NULL', f"md5('{SYSTEM}|50|0.5|' || prompt)")} FROM prompts""")
 def completed_with_system(spark, folder):
     return complete_prompts(
-        prompts(spark, folder), "row_id", "instructed", BACKENDS, system=SYSTEM, max_tokens=50, temperature=0.5, batch_size=7
+        prompts(spark, folder), "instructed", BACKENDS, system=SYSTEM, max_tokens=50, temperature=0.5, batch_size=7
     )
 
 
 @query(f"""WITH {PROMPTS_SQL}
 SELECT row_id, prompt, {filled_sql('prompt IS NOT NULL', f"md5('{SYSTEM}|100|1.0|' || prompt)")} FROM prompts""")
 def completed_with_inline_system(spark, folder):
-    return complete_prompts(prompts(spark, folder), "row_id", "instructed_inline", BACKENDS, system=SYSTEM)
+    return complete_prompts(prompts(spark, folder), "instructed_inline", BACKENDS, system=SYSTEM)
 
 
 @query(f"""WITH {PROMPTS_SQL}
 SELECT row_id, prompt, {filled_sql("prompt IS NOT NULL AND length(prompt) % 4 = 2")},
     CASE WHEN length(prompt) % 2 = 1 THEN 'RuntimeError: odd' END AS error FROM prompts""")
 def failed_calls(spark, folder):
-    return complete_prompts(prompts(spark, folder), "row_id", "moody", BACKENDS, error_col="error", batch_size=5)
+    return complete_prompts(prompts(spark, folder), "moody", BACKENDS, error_col="error", batch_size=5)
 
 
 @query(f"WITH {PROMPTS_SQL} SELECT row_id, prompt, {filled_sql('false')} FROM prompts")
 def unknown_backend(spark, folder):
-    return complete_prompts(prompts(spark, folder), "row_id", "no such model", BACKENDS)
+    return complete_prompts(prompts(spark, folder), "no such model", BACKENDS)
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'good' ELSE lang END AS response,
@@ -92,7 +92,7 @@ SELECT turn, count(prompt) AS answered, sum(length(prompt))::BIGINT AS prompt_to
     (32 * nullif(count(prompt), 0))::BIGINT AS completion_tokens, sum(length(prompt) + 32)::BIGINT AS total_tokens
 FROM done GROUP BY turn""")
 def token_usage(spark, folder):
-    done = complete_prompts(prompts(spark, folder), "row_id", "digest", BACKENDS)
+    done = complete_prompts(prompts(spark, folder), "digest", BACKENDS)
     return usage_totals(done.withColumn("turn", F.element_at(F.split("row_id", "/"), 2)), ["turn"])
 
 

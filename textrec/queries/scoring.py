@@ -48,7 +48,7 @@ FROM samples WHERE target IS NOT NULL""")
 def graded_answers(spark, folder):
     held = samples(spark, folder).where(F.col("target").isNotNull())
     graded = graded_score(
-        held, "sample_id", BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, {"answer": "input", "fact": "target"}
+        held, BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, {"answer": "input", "fact": "target"}
     )
     return graded.select("sample_id", "target", "grade")
 
@@ -58,7 +58,7 @@ SELECT doc_id, target, md5(input) AS response, length(input) + 32 AS total_token
 def evaluation_run(spark, folder):
     target = F.when(F.col("lang") == "en", F.md5("text")).otherwise(F.col("lang"))
     rows = read(spark, folder, "documents").select("doc_id", F.col("text").alias("input"), target.alias("target"))
-    run = evaluate(rows, "doc_id", "digest", BACKENDS, exact_score)
+    run = evaluate(rows, "digest", BACKENDS, exact_score)
     return run.select("doc_id", "target", "response", "total_tokens", "correct")
 
 
@@ -68,4 +68,4 @@ SELECT source, count(*) AS rows, sum(CAST(target = md5(input) AS BIGINT))::BIGIN
 def evaluation_accuracy(spark, folder):
     target = F.when(F.col("lang") == "en", F.md5("text")).otherwise(F.col("lang"))
     rows = read(spark, folder, "documents").select("doc_id", "source", F.col("text").alias("input"), target.alias("target"))
-    return accuracy(evaluate(rows, "doc_id", "digest", BACKENDS, exact_score), ["source"])
+    return accuracy(evaluate(rows, "digest", BACKENDS, exact_score), ["source"])

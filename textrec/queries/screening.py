@@ -17,13 +17,13 @@ from textrec.operators.filters import (
 )
 from textrec.operators.tables import first_n
 from textrec.operators.texts import (
-    context_blocks,
     full_text,
     keep_passing,
     paragraphs,
     relevant_paragraphs,
     render_prompt,
 )
+from textrec.plans.screening import context_table
 from textrec.queries.inputs import (
     MESSAGES_SQL,
     PAGES_SQL,
@@ -165,13 +165,13 @@ def relevant_paragraph_rows(spark, folder):
 
 @query(f"WITH {BATCHES_SQL} SELECT batch, paragraphs, context FROM contexts")
 def context_block_rows(spark, folder):
-    return context_blocks(assign_batches(relevant(spark, folder), ["source", "page", "para"], 10))
+    return context_table(relevant(spark, folder))
 
 
 @query(f"""WITH {BATCHES_SQL}
 SELECT batch, 'Batch ' || batch || ' of {{two}}:' || chr(10) || context || chr(10) || 'End.' AS prompt FROM contexts""")
 def rendered_prompts(spark, folder):
-    contexts = context_blocks(assign_batches(relevant(spark, folder), ["source", "page", "para"], 10))
+    contexts = context_table(relevant(spark, folder))
     prompts = render_prompt(
         contexts, "Batch {b} of {{two}}:\n{context}\nEnd.", b=F.col("batch"), context=F.col("context")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textrec.functions.columns import nested_or
-from textrec.functions.replies import STRICT_JSON
+from textrec.functions.replies import one_document
 from textrec.operators.tables import first_nonempty
 from textrec.operators.texts import explode_results
 
@@ -42,11 +42,9 @@ def scan_result_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse_result_logs(decoded: DataFrame) -> DataFrame:
-    """``(file_path, results)`` from texts decoded by ``decode_text``."""
-    document = F.from_json("text", f"results {RESULTS}", STRICT_JSON)
-    return decoded.where(F.col("encoding").isNotNull()).select(
-        F.col("path").alias("file_path"), document["results"].alias("results")
-    )
+    """``(file_path, results)`` from texts decoded by ``decode_text``; no results if not JSON."""
+    document = one_document(F.col("text"), f"struct<results:{RESULTS}>")
+    return decoded.select(F.col("path").alias("file_path"), document["results"].alias("results"))
 
 
 def direct_results(logs: DataFrame, n: int = 3) -> DataFrame:
