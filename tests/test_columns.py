@@ -1,0 +1,150 @@
+from pyspark.sql import functions as F
+
+from textrec.functions import columns as c
+from textrec.functions.keywords import (
+    LONG_LIST,
+    any_keyword,
+    contains_any,
+    decision_tree,
+    first_match,
+    keyword_filter,
+    refine,
+)
+from textrec.functions.replies import CLUSTERS, FINDINGS, is_json, reply_json
+
+
+def column(spark, values, name="x", kind="string"):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, {name} {kind}")
+
+
+def values(df, expression):
+    return [r[0] for r in df.orderBy("id").select(expression).collect()]
+
+
+def test_strip_like_python(spark):
+    texts = ["", " a ", "\t\n a b\x0b\x0c\r", "\x1c\x1da\x1e\x1f", "\x85a\xa0", "  a　", "​a"]
+    df = column(spark, texts)
+    assert values(df, c.strip("x")) == [t.strip() for t in texts]
+
+
+def test_default_only_for_absent_column(spark):
+    df = column(spark, [None, "a"])
+    assert values(df, c.col_or(df, "x", "none")) == [None, "a"]
+    assert values(df, c.col_or(df, "y", "none")) == ["none", "none"]
+
+
+def test_nested_default(spark):
+    df = column(spark, [("in", None), None], "r", "struct<a:string,b:string>")
+    assert values(df, c.nested_or(df, "r.a", "N/A")) == ["in", "N/A"]
+    assert values(df, c.nested_or(df, "r.b", "N/A")) == ["N/A", "N/A"]
+    assert values(df, c.nested_or(df, "r.c.d", "N/A")) == ["N/A", "N/A"]
+
+
+def test_ensure_columns(spark):
+    df = spark.createDataFrame([(1, "old", 5)], "id int, response string, total_tokens bigint")
+    out = c.ensure_columns(df, {"response": "string", "note": "string"}, {"total_tokens": "bigint"})
+    assert out.collect()[0].asDict() == {"id": 1, "response": "old", "total_tokens": None, "note": None}
+    assert c.ensure_columns(df, {"response": "string"}, {}).columns == df.columns
+
+
+def test_title_and_name(spark):
+    df = column(spark, ["a/b/_The_.pdf_Report_.pdf", "x.txt", "/in/_.pdf"])
+    assert values(df, c.title_from_path("x")) == ["The  Report", "x.txt", ""]
+    df = column(spark, ["** Org* ", "*", None])
+    assert values(df, c.clean_name("x")) == ["Org", "", None]
+
+
+def test_cap_counts_characters(spark):
+    df = column(spark, ["😀é" * 5, "ab", None])
+    assert values(df, c.cap_chars("x", 3)) == ["😀é😀", "ab", None]
+    below, at, above = "a" * 749_999, "a" * 750_000, "a" * 750_001
+    df = column(spark, [below, at, above])
+    assert values(df, F.length(c.cap_chars("x"))) == [749_999, 750_000, 750_000]
+
+
+def test_lead_sentence(spark):
+    long = "word " * 40
+    texts = ["One. Two.", "...Lead! x", "Cost 3.5 units. End", "no end", long, "x" * 150, "x" * 151, "", "!?", "a\nb. c"]
+    expected = ["One.", "Lead!", "Cost 3.", "no end", long[:150] + "...", "x" * 150, "x" * 150 + "...", "", "!?", "a\nb."]
+    assert values(column(spark, texts), c.lead_sentence("x")) == expected
+
+
+def test_lead_sentence_of_a_long_text_without_end(spark):
+    df = column(spark, ["y" * 2_000_000])
+    assert values(df, F.length(c.lead_sentence("x"))) == [153]
+
+
+def test_category_and_lookup(spark):
+    df = column(spark, ["b", "a", "z", None])
+    assert values(df, c.category_rank("x", ["a", "b"])) == [2, 1, None, None]
+    assert values(df, c.lookup("x", {"a": "red", "b": "blue"})) == ["blue", "red", None, None]
+
+
+def test_keywords(spark):
+    texts = ["An AGENT here", "reagents", "none", "", None, "a.b|c", "Ünder"]
+    df = column(spark, texts)
+    few = ["agent", "A.B|C", "ünder"]
+    expected = [t is not None and any(k.lower() in t.lower() for k in few) for t in texts]
+    assert values(df, any_keyword("x", few)) == expected
+    assert values(df, keyword_filter("x", few)) == expected
+    assert values(df, any_keyword("x", [])) == [False] * len(texts)
+
+
+def test_long_keyword_lists(spark):
+    words = [a + b for a in ["ag", "a.", "[x", "\\e", "é-", "z z", "q\n"] for b in ["ent", "en", "ü(", "?", "*", "$^", "\\Q", "\n"]]
+    assert len(words) > LONG_LIST
+    texts = [f"..{w.upper()}--" for w in words] + ["ag", "agen", "agent", "A.", "zz ent", "", None]
+    expected = [t is not None and any(w.lower() in t.lower() for w in words) for t in texts]
+    df = column(spark, texts)
+    assert values(df, any_keyword("x", words)) == expected
+    assert values(df.withColumn("x", F.lower("x")), contains_any("x", words)) == expected
+
+
+def test_first_match_order(spark):
+    rules = [(["robot"], 1), (["robotic", "chat"], 2), (["bot"], 3)]
+    df = column(spark, ["robotic", "chatbot", "bot", "else"])
+    assert values(df, first_match("x", rules, 9)) == [1, 2, 3, 9]
+    assert values(df, first_match("x", [], 9)) == [9] * 4
+
+
+def test_refine_nested_and_independent(spark):
+    has = lambda w: F.contains("x", F.lit(w))
+    df = column(spark, ["", "p", "q", "pq"])
+    assert values(df, refine(1, (has("p"), 2), (has("q"), 3))) == [1, 2, 3, 3]
+    assert values(df, refine(1, (has("p"), refine(2, (has("q"), 3))))) == [1, 2, 1, 3]
+    assert values(df, decision_tree([(has("q"), 5), (has("p"), refine(6, (has("p"), 7)))], 0)) == [0, 7, 5, 5]
+    assert values(df, decision_tree([], 0)) == [0] * 4
+
+
+def test_replies(spark):
+    one = '{"findings": [{"question_num": 1, "quote": "a {b}", "source": "s", "page": 2, "summary": "m"}]}'
+    replies = [
+        one,
+        f"Sure:\n{one}\nBye.",
+        f"{one} and {one}",
+        f"{one}, {one}",
+        "no brace",
+        "} {",
+        "{broken",
+        '{"findings": [{"question_num": 1}',
+        '{"other": 1}',
+        '{"findings": []}',
+        '{"findings": null}',
+        "{'findings': []}",
+        "",
+        None,
+    ]
+    got = values(column(spark, replies), reply_json("x", "findings", FINDINGS))
+    full = [(1, "a {b}", "s", 2, "m")]
+    assert [[tuple(f) for f in fs] for fs in got] == [full, full] + [[]] * 12
+
+
+def test_reply_without_some_fields(spark):
+    df = column(spark, ['{"clusters": [{"theme": "t", "key_quotes": ["q \\"x\\""]}]}'])
+    got = values(df, reply_json("x", "clusters", CLUSTERS))[0][0]
+    assert got.asDict() == {"theme": "t", "summary": None, "finding_indices": None, "key_quotes": ['q "x"']}
+
+
+def test_is_json(spark):
+    texts = ['{"a": 1}', "[1, 2]", '"s"', "1", "{", "", "a", '{"a": 1} x', "{'a': 1}", None]
+    assert values(column(spark, texts), is_json("x")) == [True] * 4 + [False] * 6

@@ -52,4 +52,4 @@ def assign_batches(
     if n is None:
         return df.withColumn(name, F.lit(0).cast("long"))
     numbered = number_rows(df, order, by, "_no")
-    return numbered.withColumn(name, F.floor((F.col("_no") - 1) / n).cast("long")).drop("_no")
+    return numbered.withColumn(name, F.expr(f"(_no - 1) div {int(n)}")).drop("_no")

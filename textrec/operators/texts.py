@@ -39,7 +39,7 @@ def full_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
     if pages.where(F.col("page") >= PAGE_BLOCK).isEmpty():
         whole = read.groupBy("doc").agg(_joined("page", "text", "\n").alias("text"))
     else:
-        blocked = read.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+        blocked = read.withColumn("block", F.expr(f"page div {PAGE_BLOCK}"))
         if cap is not None:
             blocked = blocked.join(_reached(blocked, cap), ["doc", "block"], "left_semi")
         blocks = blocked.groupBy("doc", "block").agg(_joined("page", "text", "\n").alias("text"))
@@ -61,10 +61,9 @@ def paragraphs(pages: DataFrame, sep: str = "\n\n", min_len: int = MIN_PARAGRAPH
     ``para`` is the position of the piece on its page. Narrow: no shuffle.
     """
     # The outer form keeps Spark from splitting each text a second time to look for empty lists.
-    pieces = pages.select(
-        F.col("doc").alias("source"), "page", F.posexplode_outer(F.split("text", _literal(sep))).alias("para", "text")
-    )
-    return pieces.withColumn("text", strip("text")).where(F.length("text") > min_len)
+    pieces = F.transform(F.split("text", _literal(sep)), strip)
+    placed = pages.select(F.col("doc").alias("source"), "page", F.posexplode_outer(pieces).alias("para", "text"))
+    return placed.where(F.length("text") > min_len)
 
 
 def _literal(sep: str) -> str:

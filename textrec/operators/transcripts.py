@@ -24,7 +24,7 @@ def group_messages(msgs: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataF
     A sample of ordinary length is one row. A longer one is cut by turn number
     into segments, so that no list and no group grows without bound.
     """
-    segment = F.floor(F.col("turn") / segment_turns)
+    segment = F.expr(f"turn div {int(segment_turns)}")
     return msgs.groupBy("sample_id", segment.alias("segment")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
     )

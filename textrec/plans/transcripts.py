@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textrec.operators.filters import require
+from textrec.operators.tables import join_small
 from textrec.operators.transcripts import transcript_rows
+from textrec.session import stored
 
 # Samples shown in a report.
 SHOWN = 3
@@ -16,10 +18,10 @@ SHOWN = 3
 def transcript_report(samples: DataFrame, msgs: DataFrame, n: int = SHOWN, score: str = "score") -> DataFrame:
     """The first ``n`` samples that have an input, numbered from 1.
 
-    The samples are chosen before any message is read, so only the messages of
-    ``n`` samples are aggregated; the broadcast side holds ``n`` rows.
+    The samples are chosen, and written, before any message is read, so only
+    the messages of ``n`` samples are aggregated.
     """
-    first = require(samples, "input").orderBy("sample_id").limit(n)
-    theirs = msgs.join(F.broadcast(first.select("sample_id")), "sample_id", "left_semi")
+    first = stored(require(samples, "input").orderBy("sample_id").limit(n), "shown")
+    theirs = join_small(msgs, first.select("sample_id"), "sample_id", "left_semi")
     rows = transcript_rows(first, theirs, score)
     return rows.withColumn("sample_no", F.row_number().over(Window.orderBy("sample_id")))
