@@ -89,7 +89,7 @@ def transcript_rows(samples: DataFrame, msgs: DataFrame, score: str = "score") -
     shown = valid.join(first_turns(msgs), "sample_id", "left")
     return shown.select(
         "sample_id",
-        F.when(F.col("has_user"), F.col("first_user")).otherwise(F.col("input")).alias("question"),
+        F.when(F.col("has_user"), F.col("first_user")).otherwise(col_or(samples, "input", NO_QUESTION)).alias("question"),
         col_or(samples, "target", NO_TARGET).alias("target"),
         F.coalesce("reply", F.lit(NO_RESPONSE)).alias("response"),
         col_or(samples, score, NO_SCORE).alias("score"),
