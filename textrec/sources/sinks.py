@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, UTF-8, texts with line breaks and quotes kept."""
-    df.write.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path)
+    """Header, UTF-8; line breaks, quotes and outer white space of texts are kept."""
+    df.write.options(
+        header=True,
+        encoding="UTF-8",
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_split(tagged: DataFrame, path: str) -> None:
