@@ -15,6 +15,10 @@ from textrec.functions.keywords import keyword_filter
 # A paragraph must be longer than this after stripping.
 MIN_PARAGRAPH_CHARS = 50
 
+# How a paragraph and its source are shown to a model, and what lies between two.
+CONTEXT_FORMAT = "[Source: %s, Page %d]\n%s"
+CONTEXT_GAP = "\n\n"
+
 # Pages joined in one step; bounds every group whatever the document's length.
 PAGE_BLOCK = 256
 
@@ -98,14 +102,11 @@ def context_blocks(paras: DataFrame) -> DataFrame:
     A group is one batch, so its size is the batch size.
     """
     rows = F.array_sort(F.collect_list(F.struct("source", "page", "para", "text")))
-    block = F.transform(
-        F.col("rows"),
-        lambda r: F.format_string("[Source: %s, Page %d]\n%s", r["source"], r["page"], r["text"]),
-    )
+    block = F.transform("rows", lambda r: F.format_string(CONTEXT_FORMAT, r["source"], r["page"], r["text"]))
     return (
         paras.groupBy("batch")
         .agg(rows.alias("rows"))
-        .select("batch", F.size("rows").alias("paragraphs"), F.array_join(block, "\n\n").alias("context"))
+        .select("batch", F.size("rows").alias("paragraphs"), F.array_join(block, CONTEXT_GAP).alias("context"))
     )
 
 

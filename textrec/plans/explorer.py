@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from textrec.functions.columns import category_rank, lookup
 from textrec.operators.filters import filter_or_all
 
-# The label that selects every sector.
+# The label that selects every sector, axis labels and columns shown.
 ALL_SECTORS = "All Sectors"
-
+SECTOR_AXIS = "Sector"
+KIND_AXIS = "Kind of Agent"
 DETAILS = ["Organization", "Sector", "Agent_Type_Text", "Kind_of_Agent", "Description", "Full_Description_Tooltip"]
 
 
@@ -35,7 +36,7 @@ def function_plot(
         key,
         F.col("Agent_Type_Text").alias("x"),
         F.when(one_sector, F.col("Kind_of_Agent")).otherwise(F.col("Sector")).alias("y"),
-        F.when(one_sector, "Kind of Agent").otherwise("Sector").alias("y_label"),
+        F.when(one_sector, KIND_AXIS).otherwise(SECTOR_AXIS).alias("y_label"),
         lookup("Kind_of_Agent", colours).alias("colour"),
         category_rank("Agent_Type_Text", agent_types).alias("x_rank"),
         category_rank("Kind_of_Agent", kinds).alias("kind_rank"),

@@ -9,6 +9,26 @@ from textrec.operators.findings import FINDING_FIELDS, with_titles
 from textrec.operators.tables import concat_tables, join_small
 from textrec.operators.texts import rendered
 
+# The lines of a Markdown report.
+HEADING = "# {heading}"
+DATE_LINE = "Generated: {x}"
+TOTAL_LINE = "Total Documents: {x}"
+RELEVANT_LINE = "Documents Analyzed ({criteria}): {x}"
+FINDINGS_LINE = "Total Relevant Findings: {x}"
+SUMMARY_HEADING = "## Executive Summary"
+QUESTION_HEADING = "## Question {number}: {title}"
+THEME_HEADING = "### {x}"
+QUOTES_HEADING = "**Key Quotes:**"
+QUOTE_LINE = '- "{x}"'
+
+# The keys of a JSON report.
+DATE_KEY = "analysis_date"
+COUNT_KEYS = ["total_documents", "relevant_documents", "total_findings"]
+CRITERIA_KEY = "filter_criteria"
+QUESTIONS_KEY = "questions"
+CLUSTERS_KEY = "clusters"
+RAW_KEY = "raw_findings"
+
 # Columns that put report lines in order.
 ORDER = ["section", "question_num", "block", "part", "item", "step", "line_no"]
 
@@ -50,27 +70,27 @@ def markdown_report(
     ``totals`` has one row with ``analysis_date`` and the three counts.
     """
     top = [
-        f"# {heading}",
-        _text("Generated: {x}", x="analysis_date"),
-        _text("Total Documents: {x}", x="total_documents"),
-        rendered("Documents Analyzed ({c}): {x}", c=criteria, x=F.col("relevant_documents")),
-        _text("Total Relevant Findings: {x}", x="total_findings"),
-        *["", "## Executive Summary", ""],
+        rendered(HEADING, heading=heading),
+        _text(DATE_LINE, x="analysis_date"),
+        _text(TOTAL_LINE, x="total_documents"),
+        rendered(RELEVANT_LINE, criteria=criteria, x=F.col("relevant_documents")),
+        _text(FINDINGS_LINE, x="total_findings"),
+        *["", SUMMARY_HEADING, ""],
         *summary.split("\n"),
         "",
     ]
     titled = with_titles(clusters.select("question_num").distinct(), titles)
-    heads = ["", _text("## Question {q}: {t}", q="question_num", t="title"), ""]
+    heads = ["", _text(QUESTION_HEADING, number="question_num", title="title"), ""]
     each = _each_cluster(clusters)
     place = {"question_num": "question_num", "part": "part", "item": "item"}
-    theme = [_text("### {x}", x="c.theme"), "", _text("{x}", x="c.summary"), "", "**Key Quotes:**"]
+    theme = [_text(THEME_HEADING, x="c.theme"), "", _text("{x}", x="c.summary"), "", QUOTES_HEADING]
     quotes = each.select("*", F.posexplode("c.key_quotes").alias("step", "quote"))
     last = each.withColumn("step", F.lit(2**31 - 1))
     return concat_tables(
         _lines(totals, top, 0),
         _lines(titled, heads, 1, question_num="question_num"),
         _lines(each, theme, 1, 1, **place),
-        _lines(quotes, [_text('- "{x}"', x="quote")], 1, 1, step="step", **place),
+        _lines(quotes, [_text(QUOTE_LINE, x="quote")], 1, 1, step="step", **place),
         _lines(last, [""], 1, 1, step="step", **place),
     )
 
@@ -86,14 +106,16 @@ def json_report(totals: DataFrame, clusters: DataFrame, parts: DataFrame, criter
         listed = F.to_json(F.array(value))
         return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
+    def entry(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{key}": '), value, F.lit(","))
+
+    counts = [entry(key, F.col(key).cast("string")) for key in COUNT_KEYS]
     head = [
         "{",
-        F.concat(F.lit('"analysis_date": '), quoted(F.col("analysis_date")), F.lit(",")),
-        _text('"total_documents": {x},', x="total_documents"),
-        _text('"relevant_documents": {x},', x="relevant_documents"),
-        _text('"total_findings": {x},', x="total_findings"),
-        F.concat(F.lit('"filter_criteria": '), quoted(F.lit(criteria)), F.lit(",")),
-        '"questions": {',
+        entry(DATE_KEY, quoted(F.col("analysis_date"))),
+        *counts,
+        entry(CRITERIA_KEY, quoted(F.lit(criteria))),
+        f'"{QUESTIONS_KEY}": {{',
     ]
 
     def after(is_first: Column, line: Column) -> Column:
@@ -104,7 +126,7 @@ def json_report(totals: DataFrame, clusters: DataFrame, parts: DataFrame, criter
     number = F.coalesce(F.col("question_num"), F.lit(-1))
     first_asked = number == asked.agg(F.min(number)).scalar()
     name = F.coalesce(F.col("question_num").cast("string"), F.lit("null"))
-    opening = F.concat(F.lit('"'), name, F.lit('": {"clusters": {"clusters": ['))
+    opening = F.concat(F.lit('"'), name, F.lit(f'": {{"{CLUSTERS_KEY}": {{"{CLUSTERS_KEY}": ['))
 
     each = _each_cluster(clusters)
     lead = each.groupBy(F.col("question_num").alias("_q")).agg(F.min(F.struct("part", "item")).alias("_lead"))
@@ -123,7 +145,7 @@ def json_report(totals: DataFrame, clusters: DataFrame, parts: DataFrame, criter
         _lines(totals, head, 0),
         _lines(asked, [after(first_asked, opening)], 1, 0, **by_question),
         _lines(marked, [after(first_cluster, F.to_json("c", KEEP_NULLS))], 1, 1, **by_item),
-        _lines(asked, [']}, "raw_findings": ['], 1, 2, **by_question),
+        _lines(asked, [f']}}, "{RAW_KEY}": ['], 1, 2, **by_question),
         _lines(found, [after(first_finding, finding)], 1, 3, **by_item),
         _lines(asked, ["]}"], 1, 4, **by_question),
         _lines(totals, ["}", "}"], 2),

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrec.functions.replies import CLUSTERS, FINDINGS, reply_json
 from textrec.operators.batching import assign_batches
-from textrec.operators.findings import FINDING_FIELDS, FINDINGS_PER_PART
+from textrec.operators.filters import docs_with_all, tag_matches
+from textrec.operators.findings import FINDING_FIELDS, FINDINGS_PER_PART, findings_by_question, report_totals
 from textrec.operators.inference import Backend, ask_model
-from textrec.operators.texts import context_blocks, explode_findings, render_prompt
+from textrec.operators.texts import context_blocks, explode_findings, relevant_paragraphs, render_prompt
 from textrec.session import stored
 
 # Paragraphs per prompt and reply lengths.
@@ -100,3 +102,39 @@ def cluster_findings(
         .withColumns({"question_num": key["question_num"], "part": key["part"]})
         .select("question_num", "part", shifted.alias("clusters"))
     )
+
+
+@dataclass(frozen=True)
+class Screening:
+    """Tables of one run: tagged documents, findings, their parts by question, themes, totals."""
+
+    documents: DataFrame
+    findings: DataFrame
+    parts: DataFrame
+    clusters: DataFrame
+    totals: DataFrame
+
+
+def screen_documents(
+    docs: DataFrame,
+    pages: DataFrame,
+    terms: Sequence[str],
+    keywords: Sequence[str],
+    questions: Mapping[int, str],
+    finder: Backend,
+    clusterer: Backend,
+    sep: str = "\n\n",
+    findings_per_part: int = FINDINGS_PER_PART,
+) -> Screening:
+    """Documents that hold all ``terms``, what their paragraphs say on the questions, and its themes.
+
+    ``pages`` is read twice. Pages extracted from files should be written to a
+    table first, as extraction would be repeated.
+    """
+    flags = docs_with_all(pages, terms)
+    documents = tag_matches(docs, flags)
+    paras = relevant_paragraphs(pages, flags, keywords, sep)
+    findings = analyse_batches(paras, questions, finder)
+    parts = findings_by_question(findings, findings_per_part)
+    clusters = cluster_findings(parts, clusterer, findings_per_part)
+    return Screening(documents, findings, parts, clusters, report_totals(documents, findings))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textrec.operators.filters import require
-from textrec.operators.tables import join_small
+from textrec.operators.tables import join_small, with_fallback
 from textrec.operators.transcripts import transcript_rows
 from textrec.session import stored
+from textrec.sources.logs import direct_results
 
 # Samples shown in a report.
 SHOWN = 3
@@ -25,3 +26,11 @@ def transcript_report(samples: DataFrame, msgs: DataFrame, n: int = SHOWN, score
     theirs = join_small(msgs, first.select("sample_id"), "sample_id", "left_semi")
     rows = transcript_rows(first, theirs, score)
     return rows.withColumn("sample_no", F.row_number().over(Window.orderBy("sample_id")))
+
+
+def transcript_or_logs(samples: DataFrame, msgs: DataFrame, logs: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The transcript report, or the first results of the raw logs when it shows no sample."""
+    shown = ["question", "target", "response", "score"]
+    report = transcript_report(samples, msgs, n).select("sample_no", *shown)
+    raw = direct_results(logs, n).select(F.col("result_no").alias("sample_no"), *shown)
+    return with_fallback(report, raw)

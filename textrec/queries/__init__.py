@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textrec.queries.registry import QUERIES
 
-for _name in ["columns", "screening", "classify", "transcripts", "tables", "logs", "inference", "findings", "scoring"]:
+for _name in ["columns", "screening", "classify", "logs", "transcripts", "tables", "inference", "findings", "scoring"]:
     import_module(f"textrec.queries.{_name}")
 
 __all__ = ["QUERIES"]

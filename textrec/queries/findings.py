@@ -9,10 +9,10 @@ from textrec.operators.filters import docs_with_all, tag_matches
 from textrec.operators.findings import findings_by_question, question_set, report_totals, sections, with_titles
 from textrec.operators.texts import explode_findings
 from textrec.plans.reports import json_report, markdown_report
-from textrec.plans.screening import analyse_batches, cluster_findings
+from textrec.plans.screening import analyse_batches, screen_documents
 from textrec.queries.inputs import document_names, pages, read
 from textrec.queries.registry import query
-from textrec.queries.screening import BATCHES_SQL, TERMS, relevant
+from textrec.queries.screening import BATCHES_SQL, TERMS, WORDS, relevant
 from textrec.queries.standins import BACKENDS
 
 PER_PART = 50
@@ -54,17 +54,22 @@ def findings(spark, folder):
     return analyse_batches(relevant(spark, folder), asked, BACKENDS["find"])
 
 
-def clusters(spark, folder):
-    return cluster_findings(parts(spark, folder), BACKENDS["cluster"], PER_PART)
-
+def screening(spark, folder):
+    return screen_documents(
+        document_names(spark, folder),
+        pages(spark, folder),
+        TERMS,
+        WORDS,
+        question_set(questions(spark, folder)),
+        BACKENDS["find"],
+        BACKENDS["cluster"],
+        sep="\n",
+        findings_per_part=PER_PART,
+    )
 
-def parts(spark, folder):
-    return findings_by_question(findings(spark, folder), PER_PART)
 
-
-def totals(spark, folder, found):
-    docs = tag_matches(document_names(spark, folder), docs_with_all(pages(spark, folder), TERMS))
-    return report_totals(docs, found)
+def dated(run):
+    return run.totals.withColumn("analysis_date", F.lit(DATE))
 
 
 @query("""SELECT doc_id, 0 AS pos, CAST(n_chars % 7 AS INTEGER) AS question_num, text AS quote, source,
@@ -119,7 +124,7 @@ SELECT question_num, part, count(*) AS n, md5(string_agg(quote || '|' || source
 FROM parted GROUP BY question_num, part""")
 def findings_per_question(spark, folder):
     line = lambda f: F.concat_ws("|", f["quote"], f["source"], f["page"].cast("string"))
-    return parts(spark, folder).select(
+    return findings_by_question(findings(spark, folder), PER_PART).select(
         "question_num",
         "part",
         F.size("findings").cast("bigint").alias("n"),
@@ -129,12 +134,14 @@ def findings_per_question(spark, folder):
 
 @query(f"WITH {FINDINGS_SQL}, {TOTALS_SQL} SELECT * FROM totals")
 def totals_of_report(spark, folder):
-    return totals(spark, folder, findings(spark, folder))
+    docs = tag_matches(document_names(spark, folder), docs_with_all(pages(spark, folder), TERMS))
+    return report_totals(docs, findings(spark, folder))
 
 
 @query(f"WITH {CLUSTERS_SQL} SELECT * FROM clusters")
 def theme_clusters(spark, folder):
-    each = clusters(spark, folder).select("question_num", "part", F.posexplode("clusters").alias("item", "c"))
+    clusters = screening(spark, folder).clusters
+    each = clusters.select("question_num", "part", F.posexplode("clusters").alias("item", "c"))
     return each.select(
         "question_num",
         "part",
@@ -172,12 +179,9 @@ SELECT * FROM lines"""
 
 @query(MARKDOWN_SQL)
 def markdown_lines(spark, folder):
-    found = findings(spark, folder)
-    grouped = findings_by_question(found, PER_PART)
-    themes = cluster_findings(grouped, BACKENDS["cluster"], PER_PART)
-    dated = totals(spark, folder, found).withColumn("analysis_date", F.lit(DATE))
+    run = screening(spark, folder)
     titles = questions(spark, folder)
-    return markdown_report(dated, themes, titles, "Risks", "all terms", "First line.\nSecond line.")
+    return markdown_report(dated(run), run.clusters, titles, "Risks", "all terms", "First line.\nSecond line.")
 
 
 @query(f"""WITH {CLUSTERS_SQL}, {TOTALS_SQL},
@@ -188,12 +192,8 @@ SELECT total_documents, relevant_documents, total_findings, question_num, themes
 FROM totals, quoted JOIN themes USING (question_num)""")
 def json_report_contents(spark, folder):
     """The report's lines read as one document; its contents by question."""
-    found = findings(spark, folder)
-    grouped = findings_by_question(found, PER_PART)
-    themes = cluster_findings(grouped, BACKENDS["cluster"], PER_PART)
-    dated = totals(spark, folder, found).withColumn("analysis_date", F.lit(DATE))
-    lines = json_report(dated, themes, grouped, "all terms")
-    return report_contents(lines)
+    run = screening(spark, folder)
+    return report_contents(json_report(dated(run), run.clusters, run.parts, "all terms"))
 
 
 def report_contents(lines):

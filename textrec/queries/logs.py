@@ -29,6 +29,10 @@ def result_log():
     return F.to_json(F.struct(F.transform(F.split("text", "\n"), result).alias("results")))
 
 
+def line_logs(spark, folder):
+    return parse_result_logs(decode_text(encoded(spark, folder, result_log())))
+
+
 LATIN_SQL = "lang = 'fr' AND regexp_matches(text, '[^\\x00-\\x7F]')"
 
 
@@ -69,8 +73,7 @@ RESULTS_SQL = """results AS (
 SELECT file_path, CAST(result_no AS INTEGER) AS result_no, input, lang AS target, reverse(input) AS response,
     CAST(length(input) AS VARCHAR) AS score FROM results WHERE result_no <= 3""")
 def first_results(spark, folder):
-    logs = parse_result_logs(decode_text(encoded(spark, folder, result_log())))
-    return explode_results(logs, 3).select(
+    return explode_results(line_logs(spark, folder), 3).select(
         "file_path", "result_no", "result.sample.input", "result.sample.target", "result.response", "result.score"
     )
 
@@ -80,11 +83,10 @@ SELECT file_path, CAST(result_no AS INTEGER) AS result_no, input AS question, la
     reverse(input) AS response, CAST(length(input) AS VARCHAR) AS score
 FROM results WHERE file_path = (SELECT min(file_path) FROM results) AND result_no <= 3""")
 def results_of_first_log(spark, folder):
-    return direct_results(parse_result_logs(decode_text(encoded(spark, folder, result_log()))))
+    return direct_results(line_logs(spark, folder))
 
 
 @query(f"""WITH {RESULTS_SQL}
 SELECT file_path, count(*) AS n FROM results WHERE file_path = (SELECT min(file_path) FROM results) GROUP BY file_path""")
 def first_log_with_results(spark, folder):
-    logs = parse_result_logs(decode_text(encoded(spark, folder, result_log())))
-    return first_nonempty(logs).select("file_path", F.size("results").cast("bigint").alias("n"))
+    return first_nonempty(line_logs(spark, folder)).select("file_path", F.size("results").cast("bigint").alias("n"))

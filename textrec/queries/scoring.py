@@ -69,3 +69,15 @@ def evaluation_accuracy(spark, folder):
     target = F.when(F.col("lang") == "en", F.md5("text")).otherwise(F.col("lang"))
     rows = read(spark, folder, "documents").select("doc_id", "source", F.col("text").alias("input"), target.alias("target"))
     return accuracy(evaluate(rows, "digest", BACKENDS, exact_score), ["source"])
+
+
+@query(f"""WITH {SAMPLES_SQL}
+SELECT sample_id, target, md5(input) AS response, CASE WHEN contains(md5(input), left(target, 1)) THEN 'C' ELSE 'I' END AS grade
+FROM samples WHERE target IS NOT NULL""")
+def graded_evaluation(spark, folder):
+    """Digests as replies, graded by whether they hold the target's first letter."""
+    held = samples(spark, folder).where(F.col("target").isNotNull())
+    letter = held.withColumn("letter", F.left("target", F.lit(1)))
+    values = {"answer": "response", "fact": "letter"}
+    scorer = lambda df: graded_score(df, BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, values)
+    return evaluate(letter, "digest", BACKENDS, scorer).select("sample_id", "target", "response", "grade")

@@ -20,14 +20,17 @@ from textrec.operators.tables import (
 from textrec.queries.inputs import (
     MESSAGES_SQL,
     PAGES_SQL,
+    SAMPLES_SQL,
     document_names,
     messages,
     pages,
     read,
+    samples,
 )
 from textrec.queries.registry import query
 from textrec.session import shared_folder
-from textrec.sources.logs import load_samples
+from textrec.sources.files import list_files
+from textrec.sources.logs import LOG_TABLES, load_samples, load_tables
 from textrec.sources.sinks import write_csv, write_split
 
 
@@ -118,3 +121,36 @@ def split_documents(spark, folder):
     path = new_folder(spark, "split")
     write_split(tag_matches(document_names(spark, folder), docs_with_any(pages(spark, folder), ["orantion"])), path)
     return spark.read.parquet(path).select("doc", F.col("matched").cast("string").alias("matched"))
+
+
+@query(f"""WITH {SAMPLES_SQL}
+SELECT 'evals' AS "table", count(*) AS rows, sum(length(r_name))::BIGINT AS chars FROM region
+UNION ALL SELECT 'samples', count(*), sum(length(input))::BIGINT FROM samples
+UNION ALL SELECT 'messages', count(*), sum(length(text))::BIGINT FROM conversations""")
+def loaded_log_tables(spark, folder):
+    """The three tables of a log folder, written as JSON and loaded with their schemas."""
+    path = new_folder(spark, "logs")
+    made = {
+        "evals": read(spark, folder, "region").select(F.col("r_name").alias("task")),
+        "samples": samples(spark, folder),
+        "messages": messages(spark, folder),
+    }
+    for name, df in made.items():
+        df.write.json(f"{path}/{name}")
+    texts = {"evals": "task", "samples": "input", "messages": "content"}
+    loaded = load_tables(spark, path)
+    counts = [
+        loaded[name].agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.sum(F.length(texts[name])).alias("chars"))
+        for name in LOG_TABLES
+    ]
+    return concat_tables(*counts)
+
+
+@query("""SELECT 0 AS glob_no, 'lang=' || lang AS folder FROM documents GROUP BY lang
+UNION ALL SELECT 1, 'lang=' || lang FROM documents WHERE lang LIKE 'e%' GROUP BY lang""")
+def listed_folders(spark, folder):
+    """Folders that hold files, of documents written to a folder per language."""
+    path = new_folder(spark, "listed")
+    read(spark, folder, "documents").select("doc_id", "text", "lang").write.partitionBy("lang").json(path)
+    listed = list_files(spark, path, "lang=*/*.json", "lang=e?/part-*.json", "*.txt")
+    return listed.select("glob_no", F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()

@@ -12,8 +12,9 @@ from textrec.operators.transcripts import (
     system_prompt,
     transcript_rows,
 )
-from textrec.plans.transcripts import transcript_report
+from textrec.plans.transcripts import transcript_or_logs, transcript_report
 from textrec.queries.inputs import MESSAGES_SQL, SAMPLES_SQL, messages, samples
+from textrec.queries.logs import RESULTS_SQL, line_logs
 from textrec.queries.registry import query
 
 FIRSTS_SQL = f"""{MESSAGES_SQL}, {SAMPLES_SQL},
@@ -79,3 +80,20 @@ def transcript_report_first(spark, folder):
 @query(f"WITH {FIRSTS_SQL} SELECT * FROM report")
 def transcript_report_all(spark, folder):
     return transcript_rows(samples(spark, folder), messages(spark, folder))
+
+
+@query(f"""WITH {FIRSTS_SQL}
+SELECT CAST(row_number() OVER (ORDER BY sample_id) AS INTEGER) AS sample_no, question, target, response, score
+FROM report ORDER BY sample_id LIMIT 3""")
+def report_before_logs(spark, folder):
+    return transcript_or_logs(samples(spark, folder), messages(spark, folder), line_logs(spark, folder))
+
+
+@query(f"""WITH {RESULTS_SQL}
+SELECT CAST(result_no AS INTEGER) AS sample_no, input AS question, lang AS target, reverse(input) AS response,
+    CAST(length(input) AS VARCHAR) AS score
+FROM results WHERE file_path = (SELECT min(file_path) FROM results) AND result_no <= 3""")
+def logs_after_empty_report(spark, folder):
+    """No sample has an input, so the raw logs are shown."""
+    bare = samples(spark, folder).drop("input")
+    return transcript_or_logs(bare, messages(spark, folder), line_logs(spark, folder))
