@@ -21,7 +21,7 @@ def folder(tmp_path):
 
 
 def test_list_files(spark, folder):
-    for name in ["b.pdf", "a.PDF", "a.pdf", "x.txt", "sub/c.pdf", "a.pdf.bak"]:
+    for name in ["b.pdf", "a.PDF", "a.pdf", "x.txt", "sub/c.pdf", "a.pdf.bak", "k=1/d.pdf"]:
         folder(name, "12345")
     got = files.list_files(spark, folder.root, "*.pdf").orderBy("path").collect()
     assert [(r["name"], r["length"]) for r in got] == [("a.pdf", 5), ("b.pdf", 5)]

@@ -85,7 +85,7 @@ def lead_sentence(col: Column | str, n: int = LEAD_CHARS) -> Column:
     text = as_column(col)
     first = F.regexp_extract(text, r"^[.!?]*+([^.!?]++[.!?])", 1)
     short = F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
-    return F.when(first != "", first).otherwise(short)
+    return F.coalesce(F.nullif(first, F.lit("")), short)
 
 
 def category_rank(col: Column | str, categories: Sequence[str]) -> Column:

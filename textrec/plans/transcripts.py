@@ -25,6 +25,7 @@ def transcript_report(samples: DataFrame, msgs: DataFrame, n: int = SHOWN, score
     first = stored(require(samples, "input").orderBy("sample_id").limit(n), "shown")
     theirs = join_small(msgs, first.select("sample_id"), "sample_id", "left_semi")
     rows = transcript_rows(first, theirs, score)
+    # A window without partitions, over n rows.
     return rows.withColumn("sample_no", F.row_number().over(Window.orderBy("sample_id")))
 
 

@@ -38,6 +38,7 @@ from textrec.queries.inputs import (
     strip_sql,
 )
 from textrec.queries.registry import query
+from textrec.session import stored
 
 TERMS = ["tion", "The"]
 WORDS = ["data", "orantion", "ingen", "eauxi", "ladel", "schen"]
@@ -182,7 +183,8 @@ def rendered_prompts(spark, folder):
 SELECT source, page, para, (row_number() OVER (ORDER BY source, page, para) - 1) // 10 AS batch FROM paras""")
 def fixed_size_batches(spark, folder):
     paras = paragraphs(pages(spark, folder), sep="\n").select("source", "page", "para")
-    return assign_batches(paras, ["source", "page", "para"], 10)
+    # Written first: sorting reads its input twice.
+    return assign_batches(stored(paras, "paragraphs"), ["source", "page", "para"], 10)
 
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS row_no

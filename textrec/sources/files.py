@@ -31,20 +31,18 @@ def _glob_pattern(glob: str) -> str:
 def binary_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """Files below ``folder`` whose relative path matches ``glob``; none if the folder is missing.
 
-    ``*`` stays within one folder level, so ``*.pdf`` does not descend.
+    ``*`` stays within one folder level, so ``*.pdf`` gives no files of sub-folders.
+    They are looked through all the same: a plain load would take a folder named
+    ``a=b`` for a partition and fail if there are others beside it.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob.rsplit("/", 1)[-1])
-    nested = "/" in glob
-    if nested:
-        reader = reader.option("recursiveFileLookup", "true")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", glob.rsplit("/", 1)[-1])
     try:
         files = reader.load(folder)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    if not nested:
-        return files
     tail = re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/" + _glob_pattern(glob)
     return files.where(F.col("path").rlike(f"/{tail}$"))
 
