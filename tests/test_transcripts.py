@@ -84,6 +84,7 @@ def test_report(samples, msgs):
         ("b", "in b", None, "No response found", None, 2),
         ("d", "in d", "td", "No response found", "1", 3),
     ]
+    assert [tuple(r) for r in transcript_report(samples, msgs, 1000).orderBy("sample_no").collect()][:3] == got
     bare = transcript_report(samples.select("sample_id", "input"), msgs, 1).first()
     assert (bare["target"], bare["score"]) == ("No target found", "No score found")
     assert transcript_report(samples.drop("input"), msgs).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textrec.functions.columns import clean_name, lead_sentence, strip
 from textrec.functions.keywords import Rule, contains_any, first_match, refine
 from textrec.operators.batching import assign_batches
+from textrec.session import stored
 
 # Rules held in one literal; a longer rule table is tested in further steps.
 RULES_PER_STEP = 1000
@@ -126,7 +127,7 @@ def first_match_table(
     rules = rules.select("priority", F.lower("keyword").alias("keyword"), "value")
     steps = [rules]
     if rules.limit(rules_per_step + 1).count() > rules_per_step:
-        ordered = assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step")
+        ordered = stored(assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step"), "rules")
         count = ordered.agg(F.max("step")).first()[0] + 1
         steps = [ordered.where(F.col("step") == i) for i in range(count)]
     value_type = rules.schema["value"].dataType

@@ -102,6 +102,10 @@ def first_n(df: DataFrame, predicate: Column, n: int, order: list[str | Column])
 
 
 def first_nonempty(df: DataFrame, path: str = "file_path", results: str = "results") -> DataFrame:
-    """Rows of the first file whose results are not empty."""
-    filled = df.where(F.size(results) > 0)
-    return filled.where(F.col(path) == filled.agg(F.min(path)).scalar())
+    """The row of the first file whose results are not empty; files have one row each.
+
+    One pass: every task keeps its first such row.
+    """
+    filled = F.when(F.size(results) > 0, F.col(path))
+    first = df.agg(F.min_by(F.struct(*df.columns), filled).alias("first"))
+    return first.where(F.col("first").isNotNull()).select("first.*")
