@@ -2,10 +2,13 @@
 
 import random
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from textrec.functions import keywords
+from textrec.operators import classify as c
 from textrec.operators.classify import classify_entries, first_match_table
 from textrec.plans.explorer import consequence_plot, function_plot
 from textrec.queries import classify as q
@@ -88,7 +91,9 @@ def entries(spark):
     return spark.createDataFrame(list(made_entries(1500)), "id int, name string, description string, sector string, agent_type string")
 
 
-def test_classified_like_loops(entries):
+@pytest.mark.parametrize("one_pass_from", [1, 10_000])
+def test_classified_like_loops(entries, monkeypatch, one_pass_from):
+    monkeypatch.setattr(c, "ONE_PASS", one_pass_from)
     got = {r["id"]: tuple(r)[1:] for r in classify_entries(entries, q.RULES, ["id"]).select("id", *COLUMNS).collect()}
     expected = {i: loop_entry(n, d, s, a) for i, n, d, s, a in made_entries(1500)}
     assert got == expected
@@ -97,10 +102,30 @@ def test_classified_like_loops(entries):
     assert {e[5] for e in expected.values()} == {1, 2, 3, 4, 5} == {e[6] for e in expected.values()}
 
 
-def test_no_shuffle(entries):
+@pytest.mark.parametrize("one_pass_from", [1, 10_000])
+def test_no_shuffle(entries, monkeypatch, one_pass_from):
+    monkeypatch.setattr(c, "ONE_PASS", one_pass_from)
     plan = classify_entries(entries, q.RULES, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("lower(Full_Description_Tooltip") == 1
+    assert plan.count("ArrowEvalPython") == (one_pass_from == 1)
+
+
+@pytest.mark.parametrize("with_library", [True, False])
+def test_searches(monkeypatch, with_library):
+    if not with_library:
+        monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    groups = [["ab", "bc"], ["bcd", "é"], [], ["", "zz"], ["ab"], ["d"]]
+    search = keywords._searcher(groups)
+    for text in ["", "abcd", "xbcx", "É é", "d"]:
+        assert search(text) == [any(w in text for w in words) for words in groups]
+    assert keywords._searcher([[], [""]])("x") == [False, True]
+
+
+def test_hits_of_null_texts(spark):
+    df = spark.createDataFrame([(1, "an agent"), (2, None)], "id int, x string")
+    got = df.select("id", keywords.keyword_hits("x", [["AGENT"], ["other"]]).alias("h")).orderBy("id").collect()
+    assert [r["h"] for r in got] == [[True, False], [False, False]]
 
 
 @pytest.mark.parametrize("per_step", [1, 2, 1000])

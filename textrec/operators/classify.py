@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrec.functions.columns import clean_name, lead_sentence, strip
-from textrec.functions.keywords import Rule, contains_any, first_match, refine
+from textrec.functions.keywords import ONE_PASS, KeywordTests, Rule, Test, first_match, refine
 from textrec.operators.batching import assign_batches
 from textrec.session import stored
 
@@ -38,29 +38,30 @@ class Override:
 class EntryRules:
     """All rules of one classifier.
 
-    ``proximity`` builds the score tree from the lower-cased description, name,
-    sector and agent type.
+    ``proximity`` builds the score tree from a function that tests the
+    description for keywords and the lower-cased name, sector and agent type.
     """
 
     kind: Sequence[Rule]
     kind_default: str
     value: Sequence[Rule]
     value_default: int
-    proximity: Callable[[Column, Column, Column, Column], Column]
+    proximity: Callable[[Test, Column, Column, Column], Column]
     override: Override | None = field(default=None)
 
 
-def override(df: DataFrame, rule: Override, label: str, score: str, low: str) -> DataFrame:
-    """Apply ``rule``; every condition reads the label and score from before it."""
-    turned = (F.col(label) != rule.label) & contains_any(low, rule.words)
-    lifted = turned & (F.col(score) < rule.lift_to) & contains_any(low, rule.lift_words)
-    forced = contains_any(low, rule.force_words)
-    return df.withColumns(
-        {
-            label: F.when(turned, rule.label).otherwise(F.col(label)),
-            score: refine(F.col(score), (lifted, rule.lift_to), (forced, rule.force_to)),
-        }
-    )
+def override(rule: Override, label: str, score: str, has: Test) -> dict[str, Column]:
+    """The corrected label and score; every condition reads both from before the correction.
+
+    ``has`` tests the description for keywords.
+    """
+    turned = (F.col(label) != rule.label) & has(rule.words)
+    lifted = turned & (F.col(score) < rule.lift_to) & has(rule.lift_words)
+    forced = has(rule.force_words)
+    return {
+        label: F.when(turned, rule.label).otherwise(F.col(label)),
+        score: refine(F.col(score), (lifted, rule.lift_to), (forced, rule.force_to)),
+    }
 
 
 def classify_entries(
@@ -75,8 +76,17 @@ def classify_entries(
     """Eight output columns per entry, after the ``keep`` columns. Narrow: no shuffle.
 
     Each text is cleaned and lower-cased once, in its own projection; Catalyst
-    keeps it apart from the rules that read it many times.
+    keeps it apart from the rules that read it many times. With many keywords
+    all tests of a description are made in one pass over it.
     """
+    count = sum(len(words) for words, _ in [*rules.kind, *rules.value])
+    has = KeywordTests("_low", "_hits", at_once=count >= ONE_PASS)
+    scores = {
+        "Description": lead_sentence("Full_Description_Tooltip"),
+        "Kind_of_Agent": first_match(has, rules.kind, rules.kind_default),
+        "Economic_Value": first_match(has, rules.value, rules.value_default),
+        "Proximity_NCF": rules.proximity(has, F.col("_name"), F.col("_sector"), F.col("_agent")),
+    }
     cleaned = df.select(
         *keep,
         clean_name(name).alias("Organization"),
@@ -91,16 +101,11 @@ def classify_entries(
         F.lower("Sector").alias("_sector"),
         F.lower("Agent_Type_Text").alias("_agent"),
     )
-    scored = lowered.withColumns(
-        {
-            "Description": lead_sentence("Full_Description_Tooltip"),
-            "Kind_of_Agent": first_match("_low", rules.kind, rules.kind_default),
-            "Economic_Value": first_match("_low", rules.value, rules.value_default),
-            "Proximity_NCF": rules.proximity(F.col("_low"), F.col("_name"), F.col("_sector"), F.col("_agent")),
-        }
-    )
-    if rules.override is not None:
-        scored = override(scored, rules.override, "Kind_of_Agent", "Proximity_NCF", "_low")
+    corrections = override(rules.override, "Kind_of_Agent", "Proximity_NCF", has) if rules.override else {}
+    # After all tests are made: only now is it known what to look for.
+    tested = lowered.withColumn("_hits", has.column()) if has.at_once else lowered
+    scored = tested.withColumns(scores)
+    scored = scored.withColumns(corrections) if corrections else scored
     return scored.select(
         *keep,
         "Organization",

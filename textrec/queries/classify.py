@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textrec.functions.keywords import contains_any, decision_tree, first_match, refine
+from textrec.functions.keywords import contains_any, decision_tree, first_match, keyword_hits, refine
 from textrec.operators.classify import EntryRules, Override, classify_entries, first_match_table, override
 from textrec.operators.tables import distinct_sorted
 from textrec.plans.explorer import consequence_plot, function_plot
@@ -46,7 +46,7 @@ OVERRIDE = Override(
 )
 
 
-def proximity(low, name, sector, agent):
+def proximity(has, name, sector, agent):
     """A tree with independent, nested and single refinements."""
     guard = F.contains(agent, F.lit("src1"))
     listed = contains_any(name, ["src2 ", "src3 "])
@@ -54,15 +54,12 @@ def proximity(low, name, sector, agent):
         [
             (guard, decision_tree([(contains_any(sector, ["en", "fr"]), 5), (contains_any(sector, ["de"]), 4)], 3)),
             (listed, 5),
-            (F.contains(sector, F.lit("en")), refine(4, (contains_any(low, CRITICAL), 5))),
+            (F.contains(sector, F.lit("en")), refine(4, (has(CRITICAL), 5))),
             (
                 contains_any(sector, ["fr", "it"]),
-                refine(3, (contains_any(low, ["eau"]), refine(4, (contains_any(low, ["quevi", "ouan"]), 5)))),
-            ),
-            (
-                F.contains(sector, F.lit("de")),
-                refine(2, (contains_any(low, ["ung"]), 4), (contains_any(low, ["keit", "schich"]), 5)),
+                refine(3, (has(["eau"]), refine(4, (has(["quevi", "ouan"]), 5)))),
             ),
+            (F.contains(sector, F.lit("de")), refine(2, (has(["ung"]), 4), (has(["keit", "schich"]), 5))),
         ],
         1,
     )
@@ -148,8 +145,8 @@ def first_match_score(spark, folder):
 @query(f"WITH {ENTRIES_SQL} SELECT doc_id, {TREE_SQL} AS near FROM entries")
 def decision_tree_score(spark, folder):
     low = entries(spark, folder).select("doc_id", *[F.lower(c).alias(c) for c in ["description", "name", "sector", "agent_type"]])
-    parts = [F.col(c) for c in ["description", "name", "sector", "agent_type"]]
-    return low.select("doc_id", proximity(*parts).alias("near"))
+    has = lambda words: contains_any("description", words)
+    return low.select("doc_id", proximity(has, *[F.col(c) for c in ["name", "sector", "agent_type"]]).alias("near"))
 
 
 @query(f"""WITH {ENTRIES_SQL},
@@ -166,7 +163,17 @@ def override_rules(spark, folder):
         first_match("low", KIND_RULES, KIND_DEFAULT).alias("label"),
         first_match("low", VALUE_RULES, VALUE_DEFAULT).alias("score"),
     )
-    return override(labelled, OVERRIDE, "label", "score", "low").drop("low")
+    has = lambda words: contains_any("low", words)
+    return labelled.withColumns(override(OVERRIDE, "label", "score", has)).drop("low")
+
+
+@query(f"""WITH {ENTRIES_SQL}
+SELECT doc_id, {any_sql('low', KIND_RULES[0][0])} AS first, {any_sql('low', KIND_RULES[3][0])} AS second,
+    {any_sql('low', ['the', 'data'])} AS third FROM entries""")
+def keywords_in_one_pass(spark, folder):
+    groups = [KIND_RULES[0][0], KIND_RULES[3][0], ["The", "DATA"]]
+    hits = entries(spark, folder).select("doc_id", keyword_hits(F.lower("description"), groups).alias("h"))
+    return hits.select("doc_id", *[F.get("h", F.lit(i)).alias(n) for i, n in enumerate(["first", "second", "third"])])
 
 
 @query(f"WITH {SCORED_SQL} SELECT * FROM classified")
