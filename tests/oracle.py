@@ -66,7 +66,7 @@ if __name__ == "__main__":
     oracle = entry.oracle_sql()
     bad = 0
     for name, run in entry.queries().items():
-        if wanted and name not in wanted:
+        if name not in wanted if wanted else name not in oracle:
             continue
         try:
             problem, rows, took = compare(spark, con, folder, run, oracle[name])

@@ -16,7 +16,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_same_as_sql(spark, con, name):
     problem, _, _ = compare(spark, con, FOLDER, QUERIES[name], SQL[name])
     assert problem is None, problem
