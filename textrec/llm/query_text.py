@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textrec.llm.common import read
 from textrec.llm.packing import pack_pieces, token_pieces
+from textrec.llm.quality import GRADES, fit_graded, grade_documents, rated_grades
 from textrec.llm.registry import query
 
 
@@ -15,3 +16,13 @@ def op4_packing(spark, folder):
     pieces = token_pieces(read(spark, folder, "documents"))
     checked = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack_pieces(checked)
+
+
+@query()
+def op8_quality(spark, folder):
+    """Expected grade of every document, its chance to be no worse than low or good, and the decision."""
+    docs = read(spark, folder, "documents")
+    model = fit_graded(docs, rated_grades(read(spark, folder, "labels")), GRADES)
+    graded = grade_documents(docs, model)
+    low, good = F.col("tails")[0], F.col("tails")[1]
+    return graded.select("doc_id", "score", "expected_grade", low.alias("p_not_toxic"), good.alias("p_good"), (good >= 0.5).alias("kept"))
