@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,4 +36,27 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["ASCII_UPPER", "ascii_lower", "parts", "read", "scratch", "stored"]
+def ship_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
+    """Sends arrays to every executor, as files that its workers map into memory; returns their name.
+
+    The driver's folder only holds them for Spark's own file distribution, which
+    also serves executors that join later.
+    """
+    name, folder = f"arrays-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="textrec-arrays-")
+    for part, values in arrays.items():
+        path = os.path.join(folder, f"{name}-{part}.npy")
+        np.save(path, values)
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def load_array(name: str, part: str) -> np.ndarray:
+    """One of the arrays on an executor, mapped and not read; an empty array cannot be mapped."""
+    path = SparkFiles.get(f"{name}-{part}.npy")
+    try:
+        return np.load(path, mmap_mode="r")
+    except ValueError:
+        return np.load(path)
+
+
+__all__ = ["ASCII_UPPER", "ascii_lower", "load_array", "parts", "read", "scratch", "ship_arrays", "stored"]

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textrec.llm.common import load_array, ship_arrays
+
 ALLOW, BLOCK = "allow", "block"
 
 # Rules in one array. More rules make more arrays, which are probed one after the other.
@@ -62,32 +60,6 @@ def digest_arrays(rules: Sequence[tuple[str, str, str]]) -> dict[str, np.ndarray
     }
 
 
-def ship_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
-    """Sends the arrays to every executor, as files that its workers map into memory; returns their name.
-
-    The driver's folder only holds them for Spark's own file distribution, which
-    also serves executors that join later.
-    """
-    name, folder = f"digests-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="textrec-digests-")
-    for part in FILES:
-        path = os.path.join(folder, f"{name}-{part}.npy")
-        np.save(path, arrays[part])
-        spark.sparkContext.addFile(path)
-    return name
-
-
-def load_arrays(name: str) -> dict[str, np.ndarray]:
-    """The arrays on an executor, mapped and not read; an empty array cannot be mapped."""
-    out = {}
-    for part in FILES:
-        path = SparkFiles.get(f"{name}-{part}.npy")
-        try:
-            out[part] = np.load(path, mmap_mode="r")
-        except ValueError:
-            out[part] = np.load(path)
-    return out
-
-
 def _probe(wanted: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each digest where it is in the sorted array: ``(from, to)``."""
     return np.searchsorted(wanted, digests, "left"), np.searchsorted(wanted, digests, "right")
@@ -161,7 +133,7 @@ def judge_urls(
 
     def passed(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            arrays = load_arrays(name)
+            arrays = {part: load_array(name, part) for part in FILES}
             for batch in batches:
                 had = batch.to_pydict()
                 for i, found in best_rules(arrays, had["host"], had["path"]).items():
