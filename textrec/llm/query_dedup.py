@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textrec.llm.common import read
 from textrec.llm.decontaminate import contamination
 from textrec.llm.registry import query
+from textrec.llm.repeats import remove_repeats
 from textrec.llm.simhash import near_duplicates
 
 
@@ -48,3 +49,17 @@ def op2_decontamination(spark, folder):
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op3_suffixes(spark, folder):
+    """What is left of every document without 100-byte strings that start earlier."""
+    found = remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    lengths = F.zip_with("ends", "starts", lambda b, a: b - a)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
