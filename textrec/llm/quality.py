@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 18
 
 # Rated documents that a model is fitted on, at most; all documents are scored.
-MAX_RATED = 12_000
+MAX_RATED = 8_000
 
 STEPS = 150
 RATE = 0.1
@@ -97,9 +97,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
     """
     if not len(grades):
         return Ordinal(np.zeros(DIMENSIONS), np.arange(n_grades - 1, dtype=float))
-    index = np.concatenate([f[0] for f in features])
-    value = np.concatenate([f[1] for f in features])
-    row = np.repeat(np.arange(len(features)), [len(f[0]) for f in features])
+    index = np.concatenate([f[0] for f in features]).astype(np.int32)
+    value = np.concatenate([f[1] for f in features]).astype(np.float32)
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f[0]) for f in features])
     common = np.bincount(index, minlength=DIMENSIONS) >= min(LEAST_DOCUMENTS, len(grades))
     row, value, index = row[common[index]], value[common[index]], index[common[index]]
     used, index = np.unique(index, return_inverse=True)
@@ -149,7 +149,7 @@ def fit_graded(
     """A model of the grades 0 to ``n_grades - 1`` of rated documents.
 
     At most ``max_rated`` rated ids take part, chosen by a hash of the id, so the
-    ids that are broadcast and the features that reach the driver are bounded.
+    ids that are broadcast and the one task that fits the model are bounded.
     Null ids and null grades take no part; an id with several ratings counts by
     the lowest. Null texts have no features. Without ratings all weights are 0.
     """
@@ -165,12 +165,24 @@ def fit_graded(
             columns = [batch.column("grade"), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["grade", "at", "value"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, grades = [], []
+        for batch in batches:
+            at, value = batch.column("at"), batch.column("value")
+            ends, indexes, values = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+            features += [(indexes[a:b].astype(np.int64), values[a:b]) for a, b in zip(ends, ends[1:])]
+            grades += batch.column("grade").to_pylist()
+        # Rows in one order, whatever order tasks ended in.
+        order = sorted(range(len(features)), key=lambda i: (features[i][0].tobytes(), grades[i]))
+        model = fit([features[i] for i in order], np.array([grades[i] for i in order], np.int64), n_grades)
+        columns = [pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "thresholds"])
+
     joined = named.join(F.broadcast(chosen), "id").select("grade", "text")
-    rows = joined.mapInArrow(run, "grade long, at array<int>, value array<float>").toArrow()
-    features = [(np.array(a, np.int64), np.array(v)) for a, v in zip(rows.column("at").to_pylist(), rows.column("value").to_pylist())]
-    order = sorted(range(len(features)), key=lambda i: features[i][0].tobytes())  # whatever order tasks ended in
-    grades = rows.column("grade").to_numpy()
-    return fit([features[i] for i in order], grades[order], n_grades)
+    rows = joined.mapInArrow(run, "grade long, at array<int>, value array<float>")
+    # The rated rows, of which there are few, meet in one task; the driver gets the weights.
+    row = rows.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
+    return Ordinal(np.frombuffer(row["weights"], "<f4").astype(np.float64), np.array(row["thresholds"]))
 
 
 def grade_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
