@@ -32,7 +32,7 @@ WORDS_HELD = 300_000
 FREQUENT_WORDS = 200_000
 
 # A table with a place for every context and symbol is used up to this size, a hash table beyond.
-DENSE_CELLS = 1 << 24
+DENSE_CELLS = 1 << 21
 
 NAMES = ["logs", "total", "left_out", "escape", "chain", "starts", "symbols"]
 
@@ -126,7 +126,7 @@ class Trie:
     """
 
     @staticmethod
-    def build(codes: np.ndarray, counts: np.ndarray, singles: np.ndarray, order: int) -> dict[str, np.ndarray]:
+    def build(codes: np.ndarray, counts: np.ndarray, singles: np.ndarray, order: int, whole: bool = True) -> dict[str, np.ndarray]:
         """Arrays of the trie of these grams; ``singles`` counts each symbol in the whole corpus."""
         out: dict[str, np.ndarray] = {}
         symbols = np.flatnonzero(singles)
@@ -171,13 +171,14 @@ class Trie:
                 table[place] = np.arange(len(own))
                 out[f"children{level}"] = table
             else:
-                out[f"keys{level}"], out[f"children{level}"] = Trie._hashed(place)
+                out[f"keys{level}"], out[f"children{level}"] = place, Trie._hashed(place)
             if level < order:
                 deeper = parents[level + 1]
                 at = np.minimum(np.searchsorted(deeper, own), max(0, len(deeper) - 1))
                 known = deeper[at] == own if len(deeper) else np.zeros(len(own), bool)
                 out[f"context{level}"] = np.where(known, at, -1).astype(np.int32)
-            out[f"parents{level}"] = parents[level]
+            if not whole:
+                out[f"parents{level}"] = parents[level]
         pads = [sum(END[0] << (8 * j) for j in range(level)) for level in range(order + 1)]
         starts = [int(np.searchsorted(p, c)) if c in p else -1 for p, c in zip(parents, pads)]
         out["starts"] = np.array(starts, np.int64)
@@ -192,20 +193,18 @@ class Trie:
         return out
 
     @staticmethod
-    def _hashed(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Open addressing in a table at most half full: ``(keys, values)``."""
-        bits = max(4, int(2 * len(places)).bit_length())
-        keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        left = np.arange(len(places))
+    def _hashed(places: np.ndarray) -> np.ndarray:
+        """Open addressing in a table at most two thirds full: the number of the entry in each slot, or -1."""
+        bits = max(4, (3 * len(places) // 2).bit_length())
+        table = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(places), dtype=np.int32)
         slot = Trie._slots(places, bits)
         while len(left):
-            free = left[keys[slot[left]] < 0]
-            keys[slot[free]] = places[free]  # of several for one slot the last stays
-            done = keys[slot[left]] == places[left]
-            values[slot[left[done]]] = left[done]
-            left = left[~done]
+            free = left[table[slot[left]] < 0]
+            table[slot[free]] = free  # of several for one slot the last stays
+            left = left[table[slot[left]] != left]
             slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
-        return keys, values
+        return table
 
     @staticmethod
     def _slots(places: np.ndarray, bits: int) -> np.ndarray:
@@ -213,7 +212,7 @@ class Trie:
 
     def __init__(self, arrays: dict[str, np.ndarray], order: int, whole: bool = True):
         """``whole``: no other part has contexts, so each is found from the one before it; else by its bytes."""
-        self.whole, self.parents = whole, [arrays[f"parents{level}"] for level in range(order + 1)]
+        self.whole, self.parents = whole, [arrays.get(f"parents{level}") for level in range(order + 1)]
         self.__dict__.update({k: arrays[k] for k in NAMES})
         self.order, self.width = order, int(arrays["symbols"][256])
         self.keys = [arrays.get(f"keys{level}") for level in range(order + 1)]
@@ -226,14 +225,14 @@ class Trie:
         keys, children = self.keys[level], self.children[level]
         if keys is None:
             return children[place]
-        bits = len(keys).bit_length() - 1
+        bits = len(children).bit_length() - 1
         slot = self._slots(place, bits)
         found = np.full(len(place), -1, np.int32)
         left = np.arange(len(place))
         while len(left):
-            there = keys[slot[left]]
-            hit = there == place[left]
-            found[left[hit]] = children[slot[left[hit]]]
+            there = children[slot[left]]
+            hit = (keys[there] == place[left]) & (there >= 0)
+            found[left[hit]] = there[hit]
             left = left[~hit & (there >= 0)]
             slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
         return found
@@ -349,17 +348,17 @@ def _parts(spark: SparkSession, counts: DataFrame, order: int, part_grams: int)
             wanted = np.isin(np.arange(256), group)
             if number == 0:  # bytes that the corpus never had as a context
                 wanted |= ~np.isin(np.arange(256), [b for g in groups for b in g])
-        yield ship_arrays(spark, Trie.build(codes, n, singles, order)), wanted
+        yield ship_arrays(spark, Trie.build(codes, n, singles, order, wanted is None)), wanted
 
 
 def load_trie(name: str, order: int, whole: bool) -> Trie:
     """A part of the trie on an executor, mapped into memory."""
     levels = range(order + 1)
-    arrays = {k: load_array(name, k) for k in [*NAMES, "entry_base", "context_base", *[f"{x}{i}" for i in levels for x in ("children", "parents")], *[f"context{i}" for i in range(order)]]}
-    for level in levels:
+    arrays = {k: load_array(name, k) for k in [*NAMES, "entry_base", "context_base", *[f"children{i}" for i in levels], *[f"context{i}" for i in range(order)]]}
+    for part in [f"{x}{level}" for level in levels for x in ("keys", "parents")]:
         try:
-            arrays[f"keys{level}"] = load_array(name, f"keys{level}")
-        except FileNotFoundError:
+            arrays[part] = load_array(name, part)
+        except FileNotFoundError:  # dense levels have no keys, and a whole trie needs no parents
             pass
     return Trie(arrays, order, whole)
 
