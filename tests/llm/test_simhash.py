@@ -60,7 +60,7 @@ def test_crowded_anchors_lose_no_link(spark):
     df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "print long")
     label = slow_components(prints)
     for members in (20_000, 2):
-        links = simhash.stars(simhash.fingerprint_links(df, 3, members)).collect()
+        links = simhash.stars(simhash.fingerprint_links(df, (3,), 2, members)).collect()
         root = {p: p for p in prints} | {r.u & (2**64 - 1): r.v & (2**64 - 1) for r in links}
         groups = lambda names: sorted(sorted(p for p, n in names.items() if n == x) for x in set(names.values()))
         assert groups(root) == groups(dict(zip(prints, label)))
@@ -72,3 +72,41 @@ def test_empty_null_ids_and_repeats(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "other words here now")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, schema)).orderBy(F.col("doc_id")).collect()
     assert sorted([r.component_id for r in got], key=str) == [7, 7, 7, None]
+
+
+def test_two_prints_in_four_blocks(spark):
+    """All links within 7 bits of the first fingerprint, if the second agrees."""
+    rng = np.random.default_rng(7)
+    rows = set()
+    for _ in range(15):
+        a, b = (int(x) for x in rng.integers(0, 2**62, 2))
+        for _ in range(8):
+            flips = lambda n: sum(1 << int(i) for i in set(rng.integers(0, 62, n).tolist()))
+            rows.add((a ^ flips(rng.integers(0, 5)), b ^ flips(rng.integers(0, 9))))
+    rows = sorted(rows)
+    label = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j in range(i):
+            if (x[0] ^ rows[j][0]).bit_count() <= 7 and (x[1] ^ rows[j][1]).bit_count() <= 6:
+                label = [min(label[i], label[j]) if n in (label[i], label[j]) else n for n in label]
+    df = spark.createDataFrame(rows, "print long, print1 long")
+    links = simhash.fingerprint_links(df, (7, 6), 4)
+    own = simhash.stars(links.selectExpr("struct(u a, u1 b) u", "struct(v a, v1 b) v")).collect()
+    root = {r: r for r in rows} | {tuple(r.u): tuple(r.v) for r in own}
+    groups = lambda names: sorted(sorted(p for p, n in names.items() if n == x) for x in set(names.values()))
+    assert groups(root) == groups(dict(zip(rows, label)))
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = " ".join(base[:100] + ["other"] + base[101:])
+    rows = [(5, " ".join(base)), (3, near), (9, near), (1, "alone here in text"), (1, "alone here in text"), (2, None), (4, ""), (None, near), (None, "no id at all here"), (None, "no id at all here"), (7, "seven one two"), (7, "seven other words now")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, print string, n long")
+    options = {"shingle_words": simhash.SIMILAR_WORDS, "thresholds": simhash.SIMILAR_BITS, "blocks": simhash.SIMILAR_BLOCKS}
+    kept = simhash.one_of_each_group(docs, **options)
+    assert kept.columns == docs.columns
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    assert got == sorted([(3, near), (1, "alone here in text"), (2, None), (None, "no id at all here"), (7, "seven one two"), (7, "seven other words now")], key=str)
+    unique = docs.where("doc_id in (3, 5, 9, 2)")
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(unique, **options).collect()) == [2, 3]
+    assert simhash.one_of_each_group(docs.limit(0)).count() == 0

@@ -9,13 +9,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textrec.llm.common import parts
 from textrec.llm.components import stars
 from textrec.session import stored
 
 BITS = 64
-MAX_THRESHOLD = 3
 
 # Shingles counted at a time, so that a very long text needs little memory.
 SHINGLES_AT_ONCE = 1 << 15
@@ -23,8 +23,12 @@ SHINGLES_AT_ONCE = 1 << 15
 # Members of an anchor compared in one go; larger anchors are divided further, by bytes.
 ANCHOR_MEMBERS = 20_000
 
-# Parity masks of the [31, 26] Hamming code: bit i of a word has the number i + 1.
-MASKS = [sum(1 << i for i in range(31) if (i + 1) >> j & 1) for j in range(5)]
+# Differing bits at which fingerprints link, and blocks of the fingerprint that have anchors. With 2 blocks two
+# fingerprints within 3 bits always meet at an anchor, with 4 blocks two within 7.
+THRESHOLD, BLOCKS = 3, 2
+
+# For texts of a similarity of 0.8 or more by five-word shingles: bits in the fingerprints of three and of five words.
+SIMILAR_WORDS, SIMILAR_BITS, SIMILAR_BLOCKS = (3, 5), (11, 12), 4
 
 
 def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
@@ -43,47 +47,61 @@ def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``(id_col, print)``: the fingerprint of each whole text as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: tuple[int, ...] = (3,)) -> DataFrame:
+    """``(id_col, print, print1, ...)``: a fingerprint of each whole text for each length of shingles, as signed longs.
+
+    A null text has no words.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    names = print_names(len(shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            made = [fingerprint(x.as_py() or b"", shingle_words) for x in texts]
-            prints = pa.array(np.array(made, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), prints], ["id", "print"])
+            texts = [x.as_py() or b"" for x in batch.column("text")]
+            made = [np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64) for n in shingle_words]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, made)], ["id", *names])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, print long").withColumnRenamed("id", id_col)
+    fields = ", ".join(f"{n} long" for n in names)
+    return rows.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+
 
+def print_names(n: int) -> list[str]:
+    return ["print", *[f"print{i}" for i in range(1, n)]]
 
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def anchors(prints: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """For every fingerprint the anchors it is copied to: ``(index, anchor)``.
 
-    The 64 bits are two halves of 32. Of two fingerprints that differ in three
-    bits or fewer, one half differs in one bit or none. The anchors of a half are
-    the words of the [31, 26] Hamming code with either value of the last bit: a
-    covering code of radius 1. A fingerprint goes to all anchors within 2, that
-    is the radius plus the one differing bit, so both meet at the anchor nearest
-    to either. That makes 17 anchors a half, or 2 if it is a code word.
+    The 64 bits are cut into ``blocks`` of 32 or 16. The anchors of a block are
+    the words of the Hamming code of 31 or 15 bits with either value of the last
+    bit: a covering code of radius 1. A fingerprint goes to all anchors within 2,
+    that is the radius plus one differing bit. Two fingerprints that differ in
+    one bit of a block or none so meet at the anchor nearest to either; some
+    block is like that if all 64 bits differ in less than two a block. In a
+    block of 32 bits that makes 17 anchors, in one of 16 nine, or 2 for a code word.
     """
+    size = BITS // blocks
+    if size not in (16, 32):
+        raise ValueError("blocks must be 2 or 4")
+    free = np.uint64(1 << (size - 1))
+    masks = [sum(1 << i for i in range(size - 1) if (i + 1) >> j & 1) for j in range((size - 1).bit_length())]
     all_at, all_keys = [], []
     index = np.arange(len(prints))
-    for half in (0, 1):
-        word = (prints >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        body, last = word & np.uint64(0x7FFFFFFF), word & np.uint64(0x80000000)
+    for block in range(blocks):
+        word = (prints >> np.uint64(size * block)) & np.uint64((1 << size) - 1)
+        body, last = word & ~free, word & free
         syndrome = np.zeros(len(prints), np.int64)
-        for j, mask in enumerate(MASKS):
+        for j, mask in enumerate(masks):
             syndrome |= (np.bitwise_count(body & np.uint64(mask)).astype(np.int64) & 1) << j
         off = syndrome > 0
         flip = np.where(off, np.uint64(1) << np.maximum(syndrome - 1, 0).astype(np.uint64), np.uint64(0))
-        top = np.uint64(half << 32)
+        top = np.uint64(block << 32)
         near = body ^ flip
-        for keys in (near | last, near | (last ^ np.uint64(0x80000000))):
+        for keys in (near | last, near | (last ^ free)):
             all_at.append(index)
             all_keys.append(keys | top)
-        for i in range(1, 32):  # two bits i < j away: their numbers add up, bit by bit, to the syndrome
+        for i in range(1, size):  # two bits i < j away: their numbers add up, bit by bit, to the syndrome
             j = syndrome ^ i
             some = off & (j > i)
             bits = (np.uint64(1) << np.uint64(i - 1)) | (np.uint64(1) << np.maximum(j - 1, 0).astype(np.uint64))
@@ -92,20 +110,32 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_at), np.concatenate(all_keys)
 
 
-def near_roots(prints: np.ndarray, threshold: int) -> np.ndarray:
-    """For each of the distinct fingerprints the smallest index it is linked to within this array.
+def _near(prints: np.ndarray, others: np.ndarray, thresholds: tuple[int, ...]) -> np.ndarray:
+    """Which pairs are within the thresholds; the last axis holds the fingerprints of one text."""
+    out = np.bitwise_count(prints[..., 0] ^ others[..., 0]) <= thresholds[0]
+    for k in range(1, len(thresholds)):
+        out &= np.bitwise_count(prints[..., k] ^ others[..., k]) <= thresholds[k]
+    return out
+
+
+def near_roots(prints: np.ndarray, thresholds: tuple[int, ...]) -> np.ndarray:
+    """For each row of fingerprints the first row it is linked to, over any rows between.
 
-    Every fingerprint is compared with those not yet reached, once.
+    Rows are compared with those not yet reached, once.
     """
-    root = np.full(len(prints), -1, np.int64)
-    for start in range(len(prints)):
-        if root[start] >= 0:
-            continue
-        root[start] = start
-        left = np.flatnonzero(root < 0)
+    n = len(prints)
+    root = np.arange(n)
+    linked = np.zeros(n, bool)
+    step = max(1, (1 << 20) // max(n, 1))
+    for a in range(0, n, step):  # most rows have no link at all
+        near = _near(prints[a : a + step, None], prints[None], thresholds)
+        linked[a : a + step] = near.sum(axis=1) > 1
+    left = np.flatnonzero(linked)
+    while len(left):
+        start, left = left[0], left[1:]
         queue = [start]
         while queue and len(left):
-            near = np.bitwise_count(prints[left] ^ prints[queue.pop()]) <= threshold
+            near = _near(prints[left], prints[queue.pop()], thresholds)
             found = left[near]
             root[found] = start
             queue.extend(found.tolist())
@@ -113,8 +143,8 @@ def near_roots(prints: np.ndarray, threshold: int) -> np.ndarray:
     return root
 
 
-def _links_of(keys: np.ndarray, prints: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within whole groups of equal, sorted keys: each linked fingerprint with the first one reached from it."""
+def _links_of(keys: np.ndarray, prints: np.ndarray, thresholds: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within whole groups of equal, sorted keys: each linked row with the first one reached from it."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     linked = sizes > 16
@@ -122,100 +152,151 @@ def _links_of(keys: np.ndarray, prints: np.ndarray, threshold: int) -> Iterator[
     for k in range(1, 16):  # which of the smaller groups hold any link
         if k >= len(keys):
             break
-        near = (keys[k:] == keys[:-k]) & (np.bitwise_count(prints[k:] ^ prints[:-k]) <= threshold)
+        near = (keys[k:] == keys[:-k]) & _near(prints[k:], prints[:-k], thresholds)
         linked[group[:-k][near]] = True
     for g in np.flatnonzero(linked):
         own = prints[starts[g] : starts[g] + sizes[g]]
-        root = near_roots(own, threshold)
+        root = near_roots(own, thresholds)
         other = root != np.arange(len(own))
         if other.any():
             yield own[other], own[root[other]]
 
 
-def _anchor_links(copies: DataFrame, threshold: int) -> DataFrame:
-    """``(u, v)`` links among the fingerprints ``print`` that share a ``key``. Holds one key's members at a time."""
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+
+
+def _anchor_links(copies: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
+    """``(u..., v...)`` links among the fingerprints that share a ``key``. Holds one key's members at a time."""
+    names = print_names(len(thresholds))
+    sides = [side + n[5:] for side in ("u", "v") for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, prints = np.zeros(0, np.int64), np.zeros((0, len(names)), np.uint64)
 
         def links(upto: int) -> Iterator[pa.RecordBatch]:
-            found = list(_links_of(keys[:upto], prints[:upto], threshold)) if upto > 1 else []
+            found = list(_links_of(keys[:upto], prints[:upto], thresholds)) if upto > 1 else []
             if found:
-                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
+                both = np.concatenate([np.concatenate(x) for x in zip(*found)], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in both.T.copy()], sides)
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            prints = np.concatenate([prints, batch.column("print").to_numpy().view(np.uint64)])
+            prints = np.concatenate([prints, _columns(batch, names)])
             border = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             yield from links(border)
             keys, prints = keys[border:], prints[border:]
         yield from links(len(keys))
 
     dealt = copies.repartition(parts(copies.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in sides))
 
 
-def fingerprint_links(prints: DataFrame, threshold: int = MAX_THRESHOLD, members: int = ANCHOR_MEMBERS) -> DataFrame:
-    """``(u, v)`` links that connect all fingerprints (column ``print``, distinct) within ``threshold`` bits.
+def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOLD,), blocks: int = BLOCKS, members: int = ANCHOR_MEMBERS) -> DataFrame:
+    """``(u..., v...)`` links that connect all rows of fingerprints (distinct) within as many bits as ``thresholds`` says.
 
-    Not every pair is given: the links within one anchor are stars, which
-    connect the same fingerprints. An anchor with more than ``members`` of them
-    is divided by the four bytes of its other half: two that differ in three bits
-    or fewer agree in one of the bytes, so no link is lost.
+    Rows meet by their first fingerprint. Not every pair is given: the links
+    within one anchor are stars, which connect the same fingerprints. An anchor
+    with more than ``members`` rows is divided by the bytes of the
+    blocks that are not its own, four or six: of two that differ in fewer bits
+    than there are such bytes, one byte is equal, so no link within three bits
+    (2 blocks) or five (4 blocks) is lost by that.
     """
-    if not 0 <= threshold <= MAX_THRESHOLD:
-        raise ValueError(f"threshold must be from 0 to {MAX_THRESHOLD}")
+    names = print_names(len(thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("print").to_numpy()
+            own = _columns(batch, names)
             for at in range(0, len(own), 4096):
                 some = own[at : at + 4096]
-                index, keys = anchors(some.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(some[index])], ["key", "print"])
+                index, keys = anchors(some[:, 0], blocks)
+                columns = [pa.array(c) for c in some[index].view(np.int64).T.copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], ["key", *names])
 
-    copies = stored(prints.select("print").mapInArrow(run, "key long, print long"), "anchors")
+    schema = ", ".join(f"{n} long" for n in ["key", *names])
+    copies = stored(prints.select(*names).mapInArrow(run, schema), "anchors")
     crowded = stored(copies.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members).select("key"), "crowded")
     if crowded.isEmpty():
-        return _anchor_links(copies, threshold)
+        return _anchor_links(copies, thresholds)
     usual = copies.join(crowded, "key", "left_anti")
-    half = F.shiftright("key", 32)
-    other = F.when(half == 0, F.shiftrightunsigned("print", 32)).otherwise(F.col("print"))
-    byte = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct(j.alias("j"), F.col("other").alias("x"))))
+    own = F.shiftright("key", 32)
+    size = BITS // blocks // 8
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(j.alias("j"), F.expr("print").alias("x")))
     divided = (
         copies.join(crowded, "key", "left_semi")
-        .withColumn("other", other)
-        .select("key", "print", byte.alias("b"))
+        .withColumn("b", F.explode(bytes_))
+        .where(F.floor(F.col("b.j") / size) != own)
         .withColumn("byte", F.expr("shiftright(b.x, 8 * b.j)").bitwiseAND(F.lit(255)))
-        .select(F.xxhash64("key", "b.j", "byte").alias("key"), "print")
+        .withColumn("key", F.xxhash64("key", "b.j", "byte"))
+        .select("key", *names)
     )
-    return _anchor_links(usual, threshold).union(_anchor_links(divided, threshold))
+    return _anchor_links(usual, thresholds).union(_anchor_links(divided, thresholds))
 
 
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle_words: int = 3,
-    threshold: int = MAX_THRESHOLD,
+    shingle_words: tuple[int, ...] = (3,),
+    thresholds: tuple[int, ...] = (THRESHOLD,),
+    blocks: int = BLOCKS,
     members: int = ANCHOR_MEMBERS,
 ) -> DataFrame:
-    """``(id_col, print, component_id)`` of every row of ``docs``.
+    """``(id_col, print..., component_id, root)`` of every row of ``docs``; ``root`` is one fingerprint of the component.
 
-    ``component_id`` is the smallest id among all documents reachable over links
-    of at most ``threshold`` differing bits. Equal fingerprints (copies, and all
+    ``component_id`` is the smallest id among all documents reachable over links:
+    pairs of which the fingerprint for each length of shingles differs in at most
+    the bits in ``thresholds``. Equal fingerprints (copies, and all
     texts without words, which have fingerprint 0) are made one before any
     comparison. Null and empty texts count as texts without words; rows with a
     null id belong to their component but cannot name it, so a component of such
     rows only has a null id; repeated rows are all returned. Other columns of
     ``docs`` are not looked at. An empty table gives an empty table.
+
+    All links within 3 bits of the first fingerprint are found with 2 blocks, all
+    within 7 with 4; of links at more bits those whose fingerprints meet.
     """
+    names = print_names(len(shingle_words))
     made = stored(fingerprints(docs, id_col, text_col, shingle_words), "prints")
-    distinct = stored(made.groupBy("print").agg(F.min(id_col).alias("least")), "distinct")
-    roots = stars(fingerprint_links(distinct, threshold, members)).select(F.col("u").alias("print"), F.col("v").alias("root"))
-    rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    distinct = stored(made.groupBy(*names).agg(F.min(id_col).alias("least")), "distinct")
+    node = (lambda side: F.col(side)) if len(names) == 1 else (lambda side: F.struct(*[F.col(side + n[5:]).alias(n) for n in names]))
+    links = fingerprint_links(distinct, thresholds, blocks, members).select(node("u").alias("u"), node("v").alias("v"))
+    roots = stars(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named_node = F.col("print") if len(names) == 1 else F.struct(*names)
+    rooted = distinct.withColumn("node", named_node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # The root is one of its component's fingerprints, so a component's rows meet by aggregation.
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("print", "component_id")
-    return made.join(by_print, "print").select(id_col, "print", "component_id")
+    by_print = rooted.join(named, "root").select(*names, "component_id", "root")
+    return made.join(by_print, names).select(id_col, *names, "component_id", "root")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays, unchanged.
+
+    ``options`` are those of ``near_duplicates``. Of several rows with that id
+    one stays, the first by text. A row without an id goes if its component has
+    rows with one; of a component without ids one row stays. Texts without words are one group.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, **options), "groups")
+    ids = F.col(id_col)
+    repeated = stored(docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | ids.isNull()).select(ids.alias("_id")), "repeated")
+    dropped = stored(found.where(ids != F.col("component_id")).select(id_col).distinct(), "dropped")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    usual = docs.join(repeated, same, "left_anti").join(dropped, id_col, "left_anti")
+    if repeated.isEmpty():
+        return usual
+    words = options.get("shingle_words", (3,))[0]
+
+    @F.pandas_udf("long")
+    def print_of(texts):
+        import pandas as pd
+
+        return pd.Series(np.array([fingerprint(t or b"", words) for t in texts], np.uint64).view(np.int64))
+
+    rare = docs.join(repeated, same, "left_semi").withColumn("_print", print_of(F.col(text_col).cast("binary")))
+    groups = found.groupBy(ids.alias("_id"), F.col("print").alias("_own")).agg(F.min("component_id").alias("_component"), F.min("root").alias("_root"))
+    known = rare.join(groups, ids.eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_own")))
+    firsts = known.where(ids.eqNullSafe(F.col("_component")))
+    one = Window.partitionBy("_root").orderBy(text_col)
+    kept = firsts.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
+    return usual.union(kept)
