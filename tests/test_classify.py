@@ -1,14 +1,12 @@
-"""Classifiers against short loops written from their description."""
+"""Classifiers against entries judged by hand."""
 
 import random
-import re
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from textrec.functions import keywords
-from textrec.operators import classify as c
 from textrec.operators.classify import classify_entries, first_match_table
 from textrec.plans.explorer import consequence_plot, function_plot
 from textrec.queries import classify as q
@@ -33,57 +31,45 @@ def loop_first(low, rules, default):
     return default
 
 
-def loop_near(low, name, sector, agent):
-    if "src1" in agent:
-        return 5 if "en" in sector or "fr" in sector else 4 if "de" in sector else 3
-    if "src2 " in name or "src3 " in name:
-        return 5
-    if "en" in sector:
-        return 5 if any(w in low for w in q.CRITICAL) else 4
-    if "fr" in sector or "it" in sector:
-        near = 3
-        if "eau" in low:
-            near = 4
-            if "quevi" in low or "ouan" in low:
-                near = 5
-        return near
-    if "de" in sector:
-        near = 2
-        if "ung" in low:
-            near = 4
-        if "keit" in low or "schich" in low:
-            near = 5
-        return near
-    return 1
-
-
-def loop_entry(name, description, sector, agent):
-    full, name = description.strip(), name.replace("*", "").strip()
-    low = full.lower()
-    match = re.search(r"([^.!?]+[.!?])", full)
-    lead = match.group(1) if match else full[:150] + "..." if len(full) > 150 else full
-    kind = loop_first(low, q.KIND_RULES, q.KIND_DEFAULT)
-    worth = loop_first(low, q.VALUE_RULES, q.VALUE_DEFAULT)
-    near = loop_near(low, name.lower(), sector.lower(), agent.lower())
-    if kind != "Robot" and any(w in low for w in q.OVERRIDE.words):
-        kind = "Robot"
-        if near < 3 and any(w in low for w in q.OVERRIDE.lift_words):
-            near = 3
-    if any(w in low for w in q.OVERRIDE.force_words):
-        near = 5
-    return name, sector, agent, lead, kind, worth, near, full
+# Entries made by hand: name, description, sector and agent type; kind, value and nearness they should get.
+CASES = [
+    (("A", "nothing of note", "fr", "src4"), ("Clerk", 25, 10)),
+    (("A", "nothing of note", "de", "src4"), ("Clerk", 25, 11)),
+    (("A", "a tionre and mente", "fr", "src4"), ("Scout", 25, 10)),
+    (("A", "mente before tionre", "fr", "src4"), ("Scout", 25, 10)),
+    (("A", "OSDE NDEN", "fr", "src4"), ("Archive", 10, 10)),
+    (("A", "nden shth", "fr", "src4"), ("Clerk", 40, 10)),
+    (("A", "zu", "fr", "src4"), ("Clerk", 25, 30)),
+    (("A", "zu", "de", "SRC7"), ("Clerk", 25, 31)),
+    (("* src1 *", "quela", "de", "SRC7"), ("Scout", 25, 33)),
+    (("src1", "ntat zu", "de", "SRC1"), ("Clerk", 25, 50)),
+    (("src1", "ntat zu", "de", "xsrc1"), ("Clerk", 25, 33)),
+    (("A", "osde ertion", "fr", "src4"), ("Courier", 25, 10)),
+    (("A", "osde ertion lere", "fr", "src4"), ("Courier", 25, 30)),
+    (("A", "osde ertion lere ntat", "fr", "src1"), ("Courier", 25, 50)),
+    (("A", "mente ertion lere", "fr", "src4"), ("Courier", 25, 10)),
+    (("A", "lesles ertion lere", "fr", "src4"), ("Courier", 25, 90)),
+    (("A", "thethe", "fr", "src4"), ("Clerk", 25, 90)),
+    (("A", "", "es", ""), ("Clerk", 25, 10)),
+]
+
+# Descriptions and the lead that is shown of each.
+LEADS = [
+    (" One. Two. ", "One."),
+    ("No end", "No end"),
+    ("Costs 3.5 in all", "Costs 3."),
+    ("x" * 151, "x" * 150 + "..."),
+    ("? after", "? after"),
+]
 
 
 def made_entries(count):
     pick = random.Random(7)
-    words = [w for rules in (q.KIND_RULES, q.VALUE_RULES) for ws, _ in rules for w in ws]
-    words += [*q.CRITICAL, "eau", "quevi", "ouan", "ung", "keit", "schich", "plain", "3.5", "X" * 160]
-    words += [*q.OVERRIDE.words, *q.OVERRIDE.lift_words, *q.OVERRIDE.force_words]
+    words = [w for rules in (q.KIND_RULES, q.VALUE_RULES) for ws, _ in rules for w in ws] + ["plain", "3.5", "X" * 160]
     for i in range(count):
         text = " ".join(pick.choice(words) if pick.random() < 0.5 else "zzz" for _ in range(pick.randint(0, 6)))
-        text = pick.choice(["", " ", "\n"]) + pick.choice([text, text.upper(), text + ". End", "? " + text])
-        name = pick.choice(["* src2 org", "src3 *", "Other", "**"])
-        yield i, name, text, pick.choice(["EN", "fr", "it", "De", "es"]), pick.choice(["src0", "SRC1", "src4"])
+        text = pick.choice([text, text.upper(), text + ". End"])
+        yield i, "Other", text, pick.choice(["EN", "fr", "it", "De", "es"]), pick.choice(["src0", "SRC1", "src4"])
 
 
 @pytest.fixture(scope="module")
@@ -91,30 +77,30 @@ def entries(spark):
     return spark.createDataFrame(list(made_entries(1500)), "id int, name string, description string, sector string, agent_type string")
 
 
-@pytest.mark.parametrize("one_pass_from", [1, 10_000])
-def test_classified_like_loops(entries, monkeypatch, one_pass_from):
-    monkeypatch.setattr(c, "ONE_PASS", one_pass_from)
-    got = {r["id"]: tuple(r)[1:] for r in classify_entries(entries, q.RULES, ["id"]).select("id", *COLUMNS).collect()}
-    expected = {i: loop_entry(n, d, s, a) for i, n, d, s, a in made_entries(1500)}
-    assert got == expected
-    # Every branch is there to be compared.
-    assert {e[4] for e in expected.values()} == {"Robot", "Chat", "Worker", "Finder"}
-    assert {e[5] for e in expected.values()} == {1, 2, 3, 4, 5} == {e[6] for e in expected.values()}
+@pytest.mark.parametrize("one_pass", [False, True])
+def test_classified_by_hand(spark, one_pass):
+    rows = [(i, *given) for i, (given, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "id int, name string, description string, sector string, agent_type string")
+    got = classify_entries(df, q.RULES, ["id"], one_pass=one_pass).orderBy("id").collect()
+    assert [(r["Kind_of_Agent"], r["Economic_Value"], r["Proximity_NCF"]) for r in got] == [expected for _, expected in CASES]
+    assert got[8]["Organization"] == "src1" and got[0].asDict().keys() == {"id", *COLUMNS}
+
+
+def test_leads(spark):
+    df = spark.createDataFrame([(i, "A", d, "fr", "x") for i, (d, _) in enumerate(LEADS)], "id int, name string, description string, sector string, agent_type string")
+    got = classify_entries(df, q.RULES, ["id"]).orderBy("id").collect()
+    assert [r["Description"].strip() for r in got] == [lead.strip() for _, lead in LEADS]
 
 
-@pytest.mark.parametrize("one_pass_from", [1, 10_000])
-def test_no_shuffle(entries, monkeypatch, one_pass_from):
-    monkeypatch.setattr(c, "ONE_PASS", one_pass_from)
-    plan = classify_entries(entries, q.RULES, ["id"])._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("one_pass", [False, True])
+def test_no_shuffle(entries, one_pass):
+    plan = classify_entries(entries, q.RULES, ["id"], one_pass=one_pass)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("lower(Full_Description_Tooltip") == 1
-    assert plan.count("ArrowEvalPython") == (one_pass_from == 1)
+    assert plan.count("ArrowEvalPython") == one_pass
 
 
-@pytest.mark.parametrize("with_library", [True, False])
-def test_searches(monkeypatch, with_library):
-    if not with_library:
-        monkeypatch.setitem(sys.modules, "ahocorasick", None)
+def test_searches():
     groups = [["ab", "bc"], ["bcd", "é"], [], ["", "zz"], ["ab"], ["d"]]
     search = keywords._searcher(groups)
     for text in ["", "abcd", "xbcx", "É é", "d"]:
@@ -122,6 +108,20 @@ def test_searches(monkeypatch, with_library):
     assert keywords._searcher([[], [""]])("x") == [False, True]
 
 
+def test_one_pass_needs_its_library(monkeypatch):
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    with pytest.raises(ImportError):
+        keywords._searcher([["a"]])
+
+
+def test_rule_without_a_value_still_wins(spark):
+    rules = spark.createDataFrame([(1, "one", None), (2, "two", "second")], "priority int, keyword string, value string")
+    df = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "else"), (4, None)], "id int, x string")
+    for per_step in (1, 1000):
+        got = {r["id"]: r["label"] for r in first_match_table(df, rules, "x", "label", "default", per_step).collect()}
+        assert got == {1: None, 2: "second", 3: "default", 4: "default"}
+
+
 def test_hits_of_null_texts(spark):
     df = spark.createDataFrame([(1, "an agent"), (2, None)], "id int, x string")
     got = df.select("id", keywords.keyword_hits("x", [["AGENT"], ["other"]]).alias("h")).orderBy("id").collect()

@@ -1,8 +1,9 @@
+import json
+
 from pyspark.sql import functions as F
 
 from textrec.functions import columns as c
 from textrec.functions.keywords import (
-    LONG_LIST,
     any_keyword,
     contains_any,
     decision_tree,
@@ -10,7 +11,7 @@ from textrec.functions.keywords import (
     keyword_filter,
     refine,
 )
-from textrec.functions.replies import CLUSTERS, FINDINGS, is_json, reply_json
+from textrec.functions.replies import is_json, reply_clusters, reply_findings, reply_items
 
 
 def column(spark, values, name="x", kind="string"):
@@ -92,8 +93,8 @@ def test_keywords(spark):
 
 def test_long_keyword_lists(spark):
     words = [a + b for a in ["ag", "a.", "[x", "\\e", "é-", "z z", "q\n"] for b in ["ent", "en", "ü(", "?", "*", "$^", "\\Q", "\n"]]
-    assert len(words) > LONG_LIST
-    texts = [f"..{w.upper()}--" for w in words] + ["ag", "agen", "agent", "A.", "zz ent", "", None]
+    words += [f"{w}{i}" for w in words for i in range(20)] + ["x" * 5000]
+    texts = [f"..{w.upper()}--" for w in words[:60]] + ["x" * 4999, "X" * 5000, "ag", "agen", "agent", "A.", "zz ent", "", None]
     expected = [t is not None and any(w.lower() in t.lower() for w in words) for t in texts]
     df = column(spark, texts)
     assert values(df, any_keyword("x", words)) == expected
@@ -134,15 +135,26 @@ def test_replies(spark):
         "",
         None,
     ]
-    got = values(column(spark, replies), reply_json("x", "findings", FINDINGS))
+    got = values(column(spark, replies), reply_findings("x"))
     full = [(1, "a {b}", "s", 2, "m")]
-    assert [[tuple(f) for f in fs] for fs in got] == [full, full] + [[]] * 12
+    held = [None if fs is None else [tuple(x["f"]) for x in fs] for fs in got]
+    assert held == [full, full, None, None, None, None, None, None, [], [], [], None, None, None]
+    assert json.loads(got[0][0]["raw"]) == json.loads(one)["findings"][0]
+
+
+def test_uneven_findings(spark):
+    items = ['{"page": "3"}', '{"page": 3.0}', '{"page": "3.5", "question_num": " 2 "}', '{"page": "many", "more": {"a": [1]}}', '"text"', "null", '{"page": 3e9}']
+    df = column(spark, ['{"findings": [' + ", ".join(items) + "]}"])
+    got = values(df, reply_findings("x"))[0]
+    assert [x["f"]["page"] for x in got] == [3, 3, None, None, None, None, None]
+    assert got[2]["f"]["question_num"] == 2 and '"more"' in got[3]["raw"] and values(df, F.size(reply_items("x", "findings"))) == [7]
 
 
 def test_reply_without_some_fields(spark):
-    df = column(spark, ['{"clusters": [{"theme": "t", "key_quotes": ["q \\"x\\""]}]}'])
-    got = values(df, reply_json("x", "clusters", CLUSTERS))[0][0]
-    assert got.asDict() == {"theme": "t", "summary": None, "finding_indices": None, "key_quotes": ['q "x"']}
+    df = column(spark, ['{"clusters": [{"theme": "t", "key_quotes": ["q \\"x\\""]}]}', "none", "{}", '{"clusters": [{"finding_indices": [1, "2", 3.0, "x"]}]}'])
+    one, none, empty, uneven = values(df, reply_clusters("x"))
+    assert one[0].asDict() == {"theme": "t", "summary": None, "finding_indices": None, "key_quotes": ['q "x"']}
+    assert none is None and empty == [] and uneven[0]["finding_indices"] == [1, 2, 3]
 
 
 def test_is_json(spark):

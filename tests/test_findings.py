@@ -9,12 +9,12 @@ from textrec.plans import reports as r
 from textrec.plans import screening as s
 from textrec.queries.standins import BACKENDS, answers
 
-FINDINGS = "batch bigint, pos int, question_num int, quote string, source string, page int, summary string"
+FINDINGS = "batch bigint, pos int, question_num int, quote string, source string, page int, summary string, raw string"
 
 
 @pytest.fixture
 def found(spark):
-    rows = [(b, p, [1, 2, None, 7][(b + p) % 4], f"quote {b}.{p}", f"doc{b}", b + 1, None) for b in range(6) for p in range(5)]
+    rows = [(b, p, [1, 2, None, 7][(b + p) % 4], f"quote {b}.{p}", f"doc{b}", b + 1, None, json.dumps({"quote": f"quote {b}.{p}", "page": b + 1, "mood": "calm"})) for b in range(6) for p in range(5)]
     return spark.createDataFrame(rows, FINDINGS)
 
 
@@ -25,7 +25,7 @@ def titles(spark):
 
 @pytest.fixture
 def totals(spark):
-    counts = spark.createDataFrame([(14, 2, 30)], "total_documents bigint, relevant_documents bigint, total_findings bigint")
+    counts = spark.createDataFrame([(19, 5, 30)], "total_documents bigint, relevant_documents bigint, total_findings bigint")
     return counts.withColumn("analysis_date", F.lit("2025-01-31T00:00:00"))
 
 
@@ -36,12 +36,8 @@ def expected_groups(found):
     return groups
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 200])
-def test_parts_hold_all_findings(found, n):
-    got = {}
-    for row in f.findings_by_question(found, n).orderBy("part").collect():
-        assert 0 < len(row["findings"]) <= n
-        got.setdefault(row["question_num"], []).extend(x["quote"] for x in row["findings"])
+def test_all_findings_of_a_question_in_order(found):
+    got = {row["question_num"]: [x["quote"] for x in row["findings"]] for row in f.findings_by_question(found).collect()}
     assert got == expected_groups(found)
 
 
@@ -51,11 +47,12 @@ def test_titles(found, titles):
     assert {(x["question_num"], x["title"]) for x in got.collect()} == {(1, "First"), (2, "Second"), (7, "Unknown"), (None, "Unknown")}
 
 
-def test_question_set(titles, monkeypatch):
-    assert f.question_set(titles) == {1: "What?", 2: "Who?"}
-    monkeypatch.setattr(f, "MAX_QUESTIONS", 1)
-    with pytest.raises(ValueError):
-        f.question_set(titles)
+def test_questions_for_a_prompt(spark, titles):
+    expected = '{\n  "1": "What?",\n  "2": "Who?"\n}'
+    assert f.question_list(titles).first()["questions"] == expected
+    assert f.question_list(titles.limit(0)).first()["questions"] == "{}"
+    for questions in (titles, {2: "Who?", 1: "What?"}):
+        assert spark.range(1).select(s.question_json(questions).alias("q")).first()["q"] == expected
 
 
 def test_totals(spark, found):
@@ -91,23 +88,42 @@ def test_analysis_without_findings(spark, reply):
     assert s.analyse_batches(paras, {1: "A?"}, Backend(answers(lambda p: reply))).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 200])
-def test_cluster_indices_point_into_all_findings(found, n):
+def test_one_set_of_themes_with_indices_into_all_findings(found):
     groups = expected_groups(found)
-    clusters = s.cluster_findings(f.findings_by_question(found, n), BACKENDS["cluster"], n).collect()
-    seen = {}
+    clusters = s.cluster_findings(f.findings_by_question(found), BACKENDS["cluster"]).collect()
+    assert len(clusters) == len(groups)
     for row in clusters:
         for c in row["clusters"]:
-            seen.setdefault(row["question_num"], []).extend(c["finding_indices"])
             assert c["key_quotes"][0] == groups[row["question_num"]][c["finding_indices"][0]]
-    assert {q: sorted(i) for q, i in seen.items()} == {q: list(range(len(g))) for q, g in groups.items()}
+        seen = [i for c in row["clusters"] for i in c["finding_indices"]]
+        assert sorted(seen) == list(range(len(groups[row["question_num"]])))
 
 
 def test_failed_clusters_are_left_out(found):
+    for reply in ("no json", "{broken", ""):
+        assert s.cluster_findings(f.findings_by_question(found), Backend(answers(lambda p: reply))).count() == 0
     failing = Backend(lambda talks, *_: 1 / 0)
     assert s.cluster_findings(f.findings_by_question(found), failing).count() == 0
 
 
+def test_settings_and_errors_of_a_run(spark):
+    filler = "z" * 60
+    pages = spark.createDataFrame([(f"d{i}", 1, f"agent {i} {filler}", None) for i in range(30)], "doc string, page int, text string, error string")
+    docs = pages.select("doc")
+
+    def find(talks, system, max_tokens, temperature):
+        if any("agent 7 " in t[-1]["content"] for t in talks):
+            raise ValueError("no")
+        return [(json.dumps({"findings": [{"question_num": 1, "quote": f"{system} {max_tokens} {temperature}"}]}), None)] * len(talks)
+
+    options = {"n": 1, "system": "Be exact.", "max_tokens": 9, "partitions": 3, "batch_size": 4}
+    run = s.screen_documents(docs, pages, ["agent"], ["agent"], {1: "Q"}, Backend(find), Backend(lambda talks, *_: 1 / 0), finder_options=options)
+    assert {x["quote"] for x in run.findings.collect()} == {"Be exact. 9 0.0"} and run.findings.count() == 29
+    errors = sorted(tuple(r) for r in run.errors.collect())
+    assert [(a, c) for a, _, c in errors] == [("findings", "ValueError: no"), ("themes", "ZeroDivisionError: division by zero")]
+    assert errors[1][1] == "1" and run.clusters.count() == 0
+
+
 def text_of(lines):
     return "\n".join(x["line"] for x in lines.orderBy(*r.ORDER).collect())
 
@@ -115,12 +131,12 @@ def text_of(lines):
 def test_markdown(spark, totals, titles):
     quotes = 'array<struct<theme:string,summary:string,finding_indices:array<int>,key_quotes:array<string>>>'
     clusters = spark.createDataFrame(
-        [(7, 0, [("T3", "S3", [0], [])]), (1, 1, [("T2", "S2", [2], ["z"])]), (1, 0, [("T1", "S1", [0, 1], ['say "x"', "y"])]), (2, 0, [])],
-        f"question_num int, part bigint, clusters {quotes}",
+        [(7, [("T3", "S3", [0], [])]), (1, [("T1", "S1", [0, 1], ['say "x"', "y"]), ("T2", "S2", [2], ["z"])]), (2, [])],
+        f"question_num int, clusters {quotes}",
     )
     got = text_of(r.markdown_report(totals, clusters, titles, "Risks", "both terms", "Line one.\nLine two."))
     assert got == (
-        "# Risks\nGenerated: 2025-01-31T00:00:00\nTotal Documents: 14\nDocuments Analyzed (both terms): 2\n"
+        "# Risks\nGenerated: 2025-01-31T00:00:00\nTotal Documents: 19\nDocuments Analyzed (both terms): 5\n"
         "Total Relevant Findings: 30\n\n## Executive Summary\n\nLine one.\nLine two.\n\n"
         '\n## Question 1: First\n\n### T1\n\nS1\n\n**Key Quotes:**\n- "say "x""\n- "y"\n\n'
         '### T2\n\nS2\n\n**Key Quotes:**\n- "z"\n\n'
@@ -129,22 +145,21 @@ def test_markdown(spark, totals, titles):
     )
 
 
-@pytest.mark.parametrize("n", [2, 200])
-def test_json_report(found, totals, n):
-    parts = f.findings_by_question(found, n)
-    clusters = s.cluster_findings(parts, BACKENDS["cluster"], n)
+def test_json_report(found, totals):
+    parts = f.findings_by_question(found)
+    clusters = s.cluster_findings(parts, BACKENDS["cluster"])
     report = json.loads(text_of(r.json_report(totals, clusters, parts, "terms 'a' AND \"b\"")))
     questions = report.pop("questions")
     assert report == {
         "analysis_date": "2025-01-31T00:00:00",
-        "total_documents": 14,
-        "relevant_documents": 2,
+        "total_documents": 19,
+        "relevant_documents": 5,
         "total_findings": 30,
         "filter_criteria": "terms 'a' AND \"b\"",
     }
     raw = {q: [x["quote"] for x in entry["raw_findings"]] for q, entry in questions.items()}
     assert raw == {str(q) if q is not None else "null": g for q, g in expected_groups(found).items()}
-    assert questions["1"]["raw_findings"][0].keys() == {"question_num", "quote", "source", "page", "summary"}
+    assert questions["1"]["raw_findings"][0].keys() == {"quote", "page", "mood"}
     assert questions["1"]["clusters"]["clusters"][0].keys() == {"theme", "summary", "finding_indices", "key_quotes"}
 
 
@@ -156,8 +171,8 @@ def test_json_report_without_findings(found, totals):
 
 
 def test_question_without_clusters_in_json(spark, found, totals):
-    parts = f.findings_by_question(found, 3)
+    parts = f.findings_by_question(found)
     empty = Backend(answers(lambda p: '{"clusters": []}'))
-    report = json.loads(text_of(r.json_report(totals, s.cluster_findings(parts, empty, 3), parts, "x")))
+    report = json.loads(text_of(r.json_report(totals, s.cluster_findings(parts, empty), parts, "x")))
     assert report["questions"]["2"]["clusters"] == {"clusters": []}
     assert len(report["questions"]["2"]["raw_findings"]) == len(expected_groups(found)[2])

@@ -58,7 +58,7 @@ def test_nothing_to_write_back(prompts, name):
     }
 
 
-@pytest.mark.parametrize("batch_size", [None, 1, 2])
+@pytest.mark.parametrize("batch_size", [64, 1, 2])
 def test_one_bad_prompt_fails_alone(prompts, batch_size):
     one = prompts.coalesce(1)
     out = by_id(i.complete_prompts(one, "bad", ALL, error_col="error", batch_size=batch_size))
@@ -69,12 +69,28 @@ def test_one_bad_prompt_fails_alone(prompts, batch_size):
 
 def test_calls_hold_at_most_batch_size(spark):
     df = spark.range(0, 25, 1, 1).select(F.col("id").alias("row_id"), F.lit("p").alias("prompt"))
-    sizes = lambda n: sorted(r["response"] for r in i.complete_prompts(df, "count", ALL, batch_size=n).collect())
+    sizes = lambda n: sorted(r["response"] for r in i.complete_prompts(df, "count", ALL, batch_size=n, partitions=1).collect())
     assert sizes(10) == ["10"] * 20 + ["5"] * 5
-    assert sizes(None) == ["25"] * 25
+    assert sizes(64) == ["25"] * 25
     assert i.complete_prompts(df, "count", ALL, partitions=4, batch_size=1).count() == 25
 
 
+def test_a_failed_call_is_halved(spark, tmp_path):
+    """One bad prompt among 64 costs a call for each halving and two for the last."""
+
+    def call(talks, *_):
+        with open(f"{tmp_path}/calls", "a") as out:
+            out.write(f"{len(talks)}\n")
+        if any("bad" in t[-1]["content"] for t in talks):
+            raise ValueError("bad prompt")
+        return [("ok", {"total_tokens": 1})] * len(talks)
+
+    df = spark.range(0, 64, 1, 1).select(F.col("id").alias("row_id"), F.when(F.col("id") == 40, "bad").otherwise("p").alias("prompt"))
+    out = i.complete_prompts(df, "own", {"own": i.Backend(call)}, error_col="error", partitions=1)
+    assert [r["row_id"] for r in out.where("error is not null").collect()] == [40]
+    assert len(open(f"{tmp_path}/calls").read().split()) == 13
+
+
 def test_other_columns_pass_unchanged(spark):
     df = spark.sql(
         "select 1 as row_id, 'ab' as prompt, array(struct(1 as a, 'x' as b)) as list, map('k', 1.5D) as m, "

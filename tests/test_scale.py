@@ -47,8 +47,8 @@ def test_hot_sample(spark, partitions):
     random.Random(partitions).shuffle(data)
     msgs = spark.createDataFrame(data, "sample_id string, turn bigint, role string, content string").repartition(partitions)
     samples = spark.createDataFrame([("hot", "in"), ("s0001", "in"), ("absent", "in")], "sample_id string, input string")
-    joined = join_messages(samples, group_messages(msgs, 100)).orderBy("sample_id", "segment").collect()
-    assert max(len(r["messages"]) for r in joined) == 100
+    joined = join_messages(samples, group_messages(msgs)).collect()
+    assert len(joined) == 3
     hot = [m["content"] for r in joined if r["sample_id"] == "hot" for m in r["messages"]]
     assert hot == [f"m{i}" for i in range(2500)]
     firsts = {r["sample_id"]: (r["first_user"], r["reply"]) for r in first_turns(msgs).collect()}
@@ -57,37 +57,40 @@ def test_hot_sample(spark, partitions):
 
 @pytest.mark.parametrize("partitions", [1, 4, 64])
 def test_hot_question(spark, partitions):
-    data = [(i // 10, i % 10, 1 if i % 3 else i % 50, f"q{i}", "s", 1, "m") for i in range(3000)]
-    schema = "batch bigint, pos int, question_num int, quote string, source string, page int, summary string"
+    data = [(i // 10, i % 10, 1 if i % 3 else i % 50, f"q{i}", "s", 1, "m", "{}") for i in range(3000)]
+    schema = "batch bigint, pos int, question_num int, quote string, source string, page int, summary string, raw string"
     found = spark.createDataFrame(data, schema).repartition(partitions)
-    got = {}
-    for row in findings_by_question(found, 100).orderBy("question_num", "part").collect():
-        assert len(row["findings"]) <= 100
-        got.setdefault(row["question_num"], []).extend(x["quote"] for x in row["findings"])
+    got = {row["question_num"]: [x["quote"] for x in row["findings"]] for row in findings_by_question(found).collect()}
     expected = {}
     for row in data:
         expected.setdefault(row[2], []).append(row[3])
     assert got == expected
 
 
-@pytest.mark.parametrize("rows", [1, 0])
-def test_short_and_long_way_of_a_join(spark, monkeypatch, rows):
-    """Above the row limit nothing is broadcast by hand; the results are the same."""
-    monkeypatch.setattr(tab, "SMALL_ROWS", rows)
-    df = spark.range(100).select(F.expr("if(id % 3 = 0, 0, id)").alias("k"), "id")
-    small = spark.range(1).select(F.col("id").alias("k"))
-    joined = tab.join_small(df, small, "k")
-    assert joined.count() == 34
-    hinted = "ResolvedHint (strategy=broadcast)" in joined._jdf.queryExecution().analyzed().toString()
-    assert hinted == (rows == 1)
-    numbered = number_rows(df, ["id"], by=["k"])
-    assert {r["id"]: r["row_no"] for r in numbered.where("k = 0").collect()} == {i: i // 3 + 1 for i in range(0, 100, 3)}
+@pytest.mark.parametrize("groups", [2, 15_000])
+def test_numbers_in_a_hot_group_and_in_many_groups(spark, groups):
+    df = spark.range(30_000).select(F.expr(f"if(id % 3 = 0, 0, id % {groups})").alias("k"), "id").repartition(7)
+    got = {r["id"]: (r["k"], r["row_no"]) for r in number_rows(df, ["id"], by=["k"]).collect()}
+    seen = {}
+    for i in range(30_000):
+        k = 0 if i % 3 == 0 else i % groups
+        seen[k] = seen.get(k, 0) + 1
+        assert got[i] == (k, seen[k])
+
+
+def test_calls_are_spread_by_rows(spark):
+    """Few small prompts go to as many callers as there are cores."""
+    from textrec.operators.inference import Backend, ask_model
+
+    df = spark.range(200).select("id", F.lit("p").alias("prompt")).groupBy("id").agg(F.first("prompt").alias("prompt"))
+    replies = ask_model(df, "id", Backend(lambda talks, *_: [("r", None)] * len(talks)))
+    assert replies.select(F.input_file_name()).distinct().count() == spark.sparkContext.defaultParallelism
 
 
 def test_one_shuffle_for_grouping_by_document(spark):
     pages = spark.createDataFrame([("a", 1, "x", None)], PAGES)
-    plan = plan_of(t.full_text(pages, 100))
-    assert plan.count("Exchange") == 1
+    for cap in (None, 100):
+        assert plan_of(t.full_text(pages, cap)).count("Exchange hashpartitioning") == 1
 
 
 def test_paragraphs_do_not_shuffle(spark):

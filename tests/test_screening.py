@@ -65,15 +65,13 @@ def test_full_text(pages, rows):
     }
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 256])
 @pytest.mark.parametrize("cap", [None, 1, 7, 8, 30, 1000])
-def test_full_text_blocks_and_caps(spark, rows, monkeypatch, block, cap):
-    monkeypatch.setattr(t, "PAGE_BLOCK", block)
+def test_full_text_caps(spark, rows, cap):
     texts = ["abc", "", "defgh", "i", "jklmnopqrstu", "", "vw"]
-    pages = spark.createDataFrame(
-        [(d, i + 1, x * n, None) for d, n in [("a", 1), ("b", 3)] for i, x in reversed(list(enumerate(texts)))], PAGES
-    )
-    whole = {d: "".join(x * n + "\n" for x in texts) for d, n in [("a", 1), ("b", 3)]}
+    data = [(d, i + 1, x * n, None) for d, n in [("a", 1), ("b", 3)] for i, x in reversed(list(enumerate(texts)))]
+    data += [("n", None, "no page", None), ("n", 300, "far", None)]
+    whole = {d: "".join(x * n + "\n" for x in texts) for d, n in [("a", 1), ("b", 3)]} | {"n": "no page\nfar\n"}
+    pages = spark.createDataFrame(data, PAGES)
     assert dict(rows(t.full_text(pages, cap))) == {d: x if cap is None else x[:cap] for d, x in whole.items()}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +11,9 @@ from textrec.functions.columns import as_column
 
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
-FINDINGS = "array<struct<question_num:int,quote:string,source:string,page:int,summary:string>>"
-CLUSTERS = (
-    "array<struct<theme:string,summary:string,"
-    "finding_indices:array<int>,key_quotes:array<string>>>"
-)
+# The fields of a finding and of a theme in a reply.
+FINDING = {"question_num": "int", "quote": "string", "source": "string", "page": "int", "summary": "string"}
+CLUSTER = {"theme": "string", "summary": "string", "finding_indices": "array<int>", "key_quotes": "array<string>"}
 
 
 def one_document(text: Column, element: str) -> Column:
@@ -45,7 +45,41 @@ def json_span(col: Column | str) -> Column:
     )
 
 
-def reply_json(col: Column | str, field: str, schema: str) -> Column:
-    """The array ``field`` of the JSON object in a reply; empty when there is none."""
-    document = one_document(json_span(col), f"struct<{field}:{schema}>")
-    return F.coalesce(document[field], F.from_json(F.lit("[]"), schema))
+def reply_items(col: Column | str, field: str) -> Column:
+    """The elements of the array ``field`` of the JSON object in a reply, each as JSON.
+
+    Empty when the object has no such array; null when the reply holds no JSON object.
+    """
+    document = one_document(json_span(col), f"struct<{field}:array<string>>")
+    none = F.array().cast("array<string>")
+    items = F.transform(F.array(document), lambda d: F.when(d.isNotNull(), F.coalesce(d[field], none)))
+    return F.get(items, F.lit(0))
+
+
+def whole_number(text: Column) -> Column:
+    """A number written as such, as text or with decimals that are zero; null otherwise."""
+    value = text.try_cast("double")
+    return F.when(value == F.floor(value), value.try_cast("int"))
+
+
+def item_fields(item: Column, fields: Mapping[str, str]) -> Column:
+    """The ``fields`` (name: type) of one JSON element as a struct, null where they are absent or of another kind."""
+    loose = {"int": "string", "array<int>": "array<string>"}
+    read = F.from_json(item, ", ".join(f"{n} {loose.get(t, t)}" for n, t in fields.items()), STRICT_JSON)
+    made = {
+        "int": whole_number,
+        "array<int>": lambda value: F.filter(F.transform(value, whole_number), lambda n: n.isNotNull()),
+    }
+    return F.struct(*[made.get(t, lambda value: value)(read[n]).alias(n) for n, t in fields.items()])
+
+
+def reply_findings(col: Column | str) -> Column:
+    """The findings in a reply: their fields, and ``raw``, the JSON as the model gave it."""
+    return F.transform(
+        reply_items(col, "findings"), lambda item: F.struct(item.alias("raw"), item_fields(item, FINDING).alias("f"))
+    )
+
+
+def reply_clusters(col: Column | str) -> Column:
+    """The themes in a reply; null when it holds no JSON object."""
+    return F.transform(reply_items(col, "clusters"), lambda item: item_fields(item, CLUSTER))

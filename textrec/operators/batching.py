@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrec.operators.tables import join_small
 from textrec.session import stored
 
 # `monotonically_increasing_id` keeps the partition above and the row below this bit.
@@ -36,13 +35,21 @@ def number_rows(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), nam
     numbered = rows.join(F.broadcast(starts), "_slot").withColumn(
         name, F.col("_start") + F.col("_at") - F.shiftleft("_slot", SLOT_BITS) + 1
     )
-    numbered = numbered.drop("_slot", "_at", "_start")
     if not by:
-        return numbered
-    firsts = numbered.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(name).alias("_first"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    within = join_small(numbered, firsts, same).withColumn(name, F.col(name) - F.col("_first") + 1)
-    return within.drop("_first", *[f"_by_{c}" for c in by])
+        return numbered.drop("_slot", "_at", "_start")
+    # A group begins where its first row in a partition is, less its rows in earlier partitions.
+    groups = rows.groupBy("_slot", *by).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select(
+        F.col("_slot").alias("_in"),
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        (F.col("_first") - F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).alias("_from"),
+    )
+    same = F.col("_slot") == F.col("_in")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    within = rows.join(offsets, same).withColumn(name, F.col("_at") - F.col("_from") + 1)
+    return within.drop("_slot", "_at", "_in", "_from", *[f"_by_{c}" for c in by])
 
 
 def assign_batches(

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textrec.functions.columns import clean_name, lead_sentence, strip
-from textrec.functions.keywords import ONE_PASS, KeywordTests, Rule, Test, first_match, refine
+from textrec.functions.keywords import KeywordTests, Rule, Test, first_match, refine
 from textrec.operators.batching import assign_batches
 from textrec.session import stored
 
@@ -72,15 +73,15 @@ def classify_entries(
     description: str = "description",
     sector: str = "sector",
     agent_type: str = "agent_type",
+    one_pass: bool = False,
 ) -> DataFrame:
     """Eight output columns per entry, after the ``keep`` columns. Narrow: no shuffle.
 
     Each text is cleaned and lower-cased once, in its own projection; Catalyst
-    keeps it apart from the rules that read it many times. With many keywords
-    all tests of a description are made in one pass over it.
+    keeps it apart from the rules that read it many times. With ``one_pass`` all
+    tests of a description are made by ``keyword_hits``, which pays for many keywords.
     """
-    count = sum(len(words) for words, _ in [*rules.kind, *rules.value])
-    has = KeywordTests("_low", "_hits", at_once=count >= ONE_PASS)
+    has = KeywordTests("_low", "_hits", at_once=one_pass)
     scores = {
         "Description": lead_sentence("Full_Description_Tooltip"),
         "Kind_of_Agent": first_match(has, rules.kind, rules.kind_default),
@@ -124,18 +125,16 @@ def first_match_table(
 ) -> DataFrame:
     """``first_match`` with the rules in a table ``(priority, keyword, value)``.
 
-    The rules reach the rows as one array of at most ``rules_per_step`` rules,
-    in priority order. A longer table is cut into several arrays; a row reads
-    the next one only if nothing matched so far. The table is neither joined to
-    the rows nor shuffled with them.
+    The rules reach the rows as arrays of at most ``rules_per_step`` rules, in
+    priority order; a row reads the next one only if nothing matched so far. The
+    first rule that matches counts, be its value null. The table is neither
+    joined to the rows nor shuffled with them.
     """
     rules = rules.select("priority", F.lower("keyword").alias("keyword"), "value")
-    steps = [rules]
-    if rules.limit(rules_per_step + 1).count() > rules_per_step:
-        ordered = stored(assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step"), "rules")
-        count = ordered.agg(F.max("step")).first()[0] + 1
-        steps = [ordered.where(F.col("step") == i) for i in range(count)]
-    value_type = rules.schema["value"].dataType
+    ordered = stored(assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step"), "rules")
+    last = ordered.agg(F.max("step")).first()[0]
+    steps = [ordered.where(F.col("step") == i) for i in range(0 if last is None else last + 1)]
+    hit_type = T.StructType([T.StructField("value", rules.schema["value"].dataType)])
 
     def listed(part: DataFrame) -> Column:
         return part.agg(F.array_sort(F.collect_list(F.struct("priority", "keyword", "value")))).scalar()
@@ -143,12 +142,14 @@ def first_match_table(
     def first(step: str, low: Column) -> Column:
         return F.aggregate(
             step,
-            F.lit(None).cast(value_type),
-            lambda found, r: F.coalesce(found, F.when(F.contains(low, r["keyword"]), r["value"])),
+            F.lit(None).cast(hit_type),
+            lambda found, r: F.coalesce(found, F.when(F.contains(low, r["keyword"]), F.struct(r["value"].alias("value")))),
         )
 
     held = {f"_rules{i}": listed(part) for i, part in enumerate(steps)}
     # The lower-cased text is bound to a name that all rules read.
-    found = F.transform(F.array(F.lower(text)), lambda low: F.coalesce(*[first(step, low) for step in held]))
-    chosen = F.coalesce(F.get(found, F.lit(0)), F.lit(default))
+    none = F.lit(None).cast(hit_type)
+    found = F.transform(F.array(F.lower(text)), lambda low: F.coalesce(*[first(step, low) for step in held], none))
+    hit = F.get(found, F.lit(0))
+    chosen = F.when(hit.isNull(), F.lit(default)).otherwise(hit["value"])
     return df.withColumns(held).withColumn(name, chosen).drop(*held)

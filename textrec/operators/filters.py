@@ -26,11 +26,13 @@ def non_blank(df: DataFrame, col: str) -> DataFrame:
 
 
 def filter_or_all(df: DataFrame, col: str, value: str, all_label: str = "All") -> DataFrame:
-    """Rows with the value, or the whole table when the value is ``all_label`` or occurs nowhere."""
-    if value == all_label:
-        return df
-    hit = F.col(col) == value
-    return df.where(hit | ~df.where(hit).select(F.lit(1)).exists())
+    """Rows with the value, or the whole table when the value is ``all_label`` or occurs nowhere.
+
+    Whether it occurs is looked up at once, by a query that stops at the first
+    row; the result then is the table or a plain filter, which reaches the scan.
+    """
+    hit = df.where(F.col(col) == value)
+    return df if value == all_label or hit.isEmpty() else hit
 
 
 def excerpt(df: DataFrame, cols: Sequence[str], n: int, order: Sequence[str | Column]) -> DataFrame:

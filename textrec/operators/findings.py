@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrec.operators.batching import assign_batches
-
 # Fixed values.
 NO_TITLE = "Unknown"
 FINDING_FIELDS = ["question_num", "quote", "source", "page", "summary"]
 
-# Findings in one list; a question with more continues in a further part.
-FINDINGS_PER_PART = 200
 
-# Questions that fit one prompt; they are repeated in every prompt.
-MAX_QUESTIONS = 1000
+def question_list(questions: DataFrame) -> DataFrame:
+    """One row with the column ``questions``: the question texts by number, as indented JSON for a prompt."""
+    line = F.concat(F.lit('  "'), F.col("question_num").cast("string"), F.lit('": '), _quoted(F.col("question")))
+    lines = questions.agg(F.array_sort(F.collect_list(F.struct("question_num", line.alias("line")))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda r: r["line"]), ",\n")
+    return lines.select(F.when(F.size("lines") == 0, "{}").otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}"))).alias("questions"))
 
 
-def question_set(questions: DataFrame) -> dict[int, str]:
-    """Question texts by number. They go into every prompt, so there must be few."""
-    rows = questions.select("question_num", "question").orderBy("question_num").limit(MAX_QUESTIONS + 1).collect()
-    if len(rows) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions")
-    return {r["question_num"]: r["question"] for r in rows}
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def with_titles(df: DataFrame, titles: DataFrame, key: str = "question_num", title: str = "title") -> DataFrame:
@@ -37,15 +34,14 @@ def with_titles(df: DataFrame, titles: DataFrame, key: str = "question_num", tit
     return df.join(titles.select(key, title), key, "left").withColumn(title, F.coalesce(title, F.lit(NO_TITLE)))
 
 
-def findings_by_question(findings: DataFrame, n: int = FINDINGS_PER_PART) -> DataFrame:
-    """``(question_num, part, findings)``: the findings of a question in order.
+def findings_by_question(findings: DataFrame) -> DataFrame:
+    """``(question_num, findings)``: the findings of a question in order, a row for each question.
 
-    A question with at most ``n`` findings is one row, a larger one several
-    parts. A null question number is a group of its own.
+    A null question number is a group of its own. The list is what a prompt on
+    the question holds, so its size is bounded by the model's input.
     """
-    parts = assign_batches(findings, ["batch", "pos"], n, by=["question_num"], name="part")
-    fields = F.struct("batch", "pos", *FINDING_FIELDS)
-    return parts.groupBy("question_num", "part").agg(F.array_sort(F.collect_list(fields)).alias("findings"))
+    fields = F.struct("batch", "pos", *FINDING_FIELDS, "raw")
+    return findings.groupBy("question_num").agg(F.array_sort(F.collect_list(fields)).alias("findings"))
 
 
 def report_totals(docs: DataFrame, findings: DataFrame) -> DataFrame:

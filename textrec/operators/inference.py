@@ -21,6 +21,9 @@ SYSTEM = "You are a helpful AI assistant."
 MAX_TOKENS = 100
 TEMPERATURE = 1.0
 
+# Prompts in one call.
+BATCH_SIZE = 64
+
 TOKENS = {"prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint"}
 REPLY_COLUMNS = {"reply": "string", **TOKENS, "error": "string"}
 
@@ -60,7 +63,7 @@ def build_messages(turns: Column | str, system: str | None = None, inline: bool
     return F.concat(F.array(first), spoken)
 
 
-def _caller(backend: Backend, prompt_col: str, system: str, max_tokens: int, temperature: float, batch_size: int | None):
+def _caller(backend: Backend, prompt_col: str, system: str, max_tokens: int, temperature: float, batch_size: int):
     """Function that adds reply, token counts and error to Arrow batches."""
     inline = [{"role": "system", "content": system}] if backend.inline_system else []
     apart = None if backend.inline_system else system
@@ -75,17 +78,17 @@ def _caller(backend: Backend, prompt_col: str, system: str, max_tokens: int, tem
         except Exception as error:
             if len(prompts) == 1:
                 return [((None, None), f"{type(error).__name__}: {error}")]
-            # One bad prompt fails its whole call: ask again one by one.
-            return [ask([p])[0] for p in prompts]
+            # One bad prompt fails its whole call: halves are asked until it is alone.
+            half = len(prompts) // 2
+            return ask(prompts[:half]) + ask(prompts[half:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prompts = batch.column(batch.schema.get_field_index(prompt_col)).to_pylist()
             answers: list[tuple[Reply, str | None]] = [((None, None), None)] * len(prompts)
             asked = [i for i, prompt in enumerate(prompts) if prompt is not None]
-            step = batch_size or max(len(asked), 1)
-            for start in range(0, len(asked), step):
-                part = asked[start : start + step]
+            for start in range(0, len(asked), batch_size):
+                part = asked[start : start + batch_size]
                 for i, answer in zip(part, ask([prompts[i] for i in part])):
                     answers[i] = answer
             used = [usage or {} for (_, usage), _ in answers]
@@ -106,17 +109,18 @@ def answered(
     system: str = SYSTEM,
     max_tokens: int = MAX_TOKENS,
     temperature: float = TEMPERATURE,
-    batch_size: int | None = None,
+    batch_size: int = BATCH_SIZE,
     partitions: int | None = None,
 ) -> DataFrame:
     """The rows with ``_reply``, three ``_…_tokens`` and ``_error``, null where the prompt is null.
 
     Other columns pass through Python as Arrow arrays and are not converted, so
-    replies need no join to get back to their rows. ``partitions`` spreads few
-    long prompts over more parallel callers. Lazy: every use asks again.
+    replies need no join to get back to their rows. Calls take longer than rows
+    are large, so rows are spread by number over ``partitions`` parallel callers,
+    by default as many as the cluster has cores. A call holds ``batch_size``
+    prompts at most. Lazy: every use asks again.
     """
-    if partitions is not None:
-        df = df.repartition(partitions)
+    df = df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
     added = T.StructType.fromDDL(", ".join(f"_{name} {kind}" for name, kind in REPLY_COLUMNS.items()))
     run = _caller(backend, prompt_col, system, max_tokens, temperature, batch_size)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))

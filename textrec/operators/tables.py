@@ -17,20 +17,6 @@ def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return primary.unionByName(fallback.where(~primary.select(F.lit(1)).exists()))
 
 
-# Rows a table may have to be sent to every task.
-SMALL_ROWS = 10_000
-
-
-def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a usually short table: broadcast after counting it, by key when it is longer.
-
-    The short way keeps ``df`` where it is, which matters when few keys hold
-    most of its rows. On the long way keys are many and AQE splits a hot one.
-    """
-    short = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return df.join(F.broadcast(small) if short else small, on, how)
-
-
 def concat_tables(*dfs: DataFrame) -> DataFrame:
     """All rows of all tables, duplicates kept."""
     return reduce(lambda a, b: a.unionByName(b), dfs)

@@ -19,10 +19,6 @@ MIN_PARAGRAPH_CHARS = 50
 CONTEXT_FORMAT = "[Source: %s, Page %d]\n%s"
 CONTEXT_GAP = "\n\n"
 
-# Pages joined in one step; bounds every group whatever the document's length.
-PAGE_BLOCK = 256
-
-
 def _joined(order: str, text: str, end: str = "") -> Column:
     rows = F.array_sort(F.collect_list(F.struct(order, text)))
     return F.array_join(F.transform(rows, lambda r: F.concat(r[text], F.lit(end))), "")
@@ -31,34 +27,19 @@ def _joined(order: str, text: str, end: str = "") -> Column:
 def full_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """``(doc, text)``: the page texts in page order, each followed by a line break.
 
-    If no page number reaches ``PAGE_BLOCK``, a group is a document. Otherwise
-    pages are joined block by block first, so a document with very many pages
-    is spread over many groups; and with ``cap`` the block lengths tell which
-    blocks reach into the first ``cap`` characters, and only those are moved.
+    A null page number comes first. With ``cap`` only the pages that begin within
+    the first ``cap`` characters are put together. A group is a document, whose
+    text is one row.
     """
     read = pages.where(F.col("text").isNotNull()).select("doc", "page", "text")
     if cap is not None:
-        # A single page never adds more than its first `cap` characters.
-        read = read.withColumn("text", cap_chars("text", cap))
-    if pages.where(F.col("page") >= PAGE_BLOCK).isEmpty():
-        whole = read.groupBy("doc").agg(_joined("page", "text", "\n").alias("text"))
-    else:
-        blocked = read.withColumn("block", F.expr(f"page div {PAGE_BLOCK}"))
-        if cap is not None:
-            blocked = blocked.join(_reached(blocked, cap), ["doc", "block"], "left_semi")
-        blocks = blocked.groupBy("doc", "block").agg(_joined("page", "text", "\n").alias("text"))
-        whole = blocks.groupBy("doc").agg(_joined("block", "text").alias("text"))
+        order = Window.partitionBy("doc").orderBy("page", "text").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0))
+        read = read.withColumn("start", start).where(F.col("start") < cap)
+    whole = read.groupBy("doc").agg(_joined("page", "text", "\n").alias("text"))
     return whole if cap is None else whole.withColumn("text", cap_chars("text", cap))
 
 
-def _reached(blocked: DataFrame, cap: int) -> DataFrame:
-    """``(doc, block)`` of the blocks that start within the first ``cap`` characters."""
-    sizes = blocked.groupBy("doc", "block").agg(F.sum(F.length("text") + 1).alias("size"))
-    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    return starts.where(F.col("start") < cap).select("doc", "block")
-
-
 def paragraphs(pages: DataFrame, sep: str = "\n\n", min_len: int = MIN_PARAGRAPH_CHARS) -> DataFrame:
     """``(source, page, para, text)``: stripped pieces of a page longer than ``min_len``.
 
@@ -129,10 +110,10 @@ def render_prompt(df: DataFrame, template: str, name: str = "prompt", **values:
 
 
 def explode_findings(df: DataFrame, findings: str = "findings") -> DataFrame:
-    """``(batch, pos, …)``: one row per finding of a batch."""
+    """``(batch, pos, …, raw)``: one row per finding of a batch, with the JSON it was read from."""
     # The outer form keeps Spark from parsing each reply a second time to look for empty lists.
     each = df.select("batch", F.posexplode_outer(findings).alias("pos", "finding")).where(F.col("pos").isNotNull())
-    return each.select("batch", "pos", "finding.*")
+    return each.select("batch", "pos", "finding.f.*", "finding.raw")
 
 
 def explode_results(df: DataFrame, n: int | None = 3) -> DataFrame:

@@ -14,36 +14,20 @@ NO_RESPONSE = "No response found"
 NO_TARGET = "No target found"
 NO_SCORE = "No score found"
 
-# Turns held in one list; a longer sample continues in a further segment.
-SEGMENT_TURNS = 1000
 
+def group_messages(msgs: DataFrame) -> DataFrame:
+    """``(sample_id, messages)``: the messages of a sample in turn order, one row for each sample.
 
-def group_messages(msgs: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """``(sample_id, segment, messages)``: the messages of a sample in turn order.
-
-    A sample of ordinary length is one row. A longer one is cut by turn number
-    into segments, so that no list and no group grows without bound.
+    The messages themselves are the long form, for samples too long for a row.
     """
-    segment = F.expr(f"turn div {int(segment_turns)}")
-    return msgs.groupBy("sample_id", segment.alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
-    )
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    return msgs.groupBy("sample_id").agg(listed.alias("messages"))
 
 
 def join_messages(samples: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Samples with their messages; an empty list for a sample without any.
-
-    The segment numbers alone are joined first. The message lists then join on
-    sample and segment, which spreads a very long sample over many keys.
-    """
-    segments = grouped.select("sample_id", "segment")
-    listed = samples.join(segments, "sample_id", "left").join(grouped, ["sample_id", "segment"], "left")
-    return listed.withColumns(
-        {
-            "segment": F.coalesce("segment", F.lit(0)),
-            "messages": F.coalesce("messages", F.array().cast(grouped.schema["messages"].dataType)),
-        }
-    )
+    """Samples with their messages; an empty list for a sample without any."""
+    none = F.array().cast(grouped.schema["messages"].dataType)
+    return samples.join(grouped, "sample_id", "left").withColumn("messages", F.coalesce("messages", none))
 
 
 def first_turns(msgs: DataFrame) -> DataFrame:

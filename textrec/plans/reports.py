@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrec.operators.findings import FINDING_FIELDS, with_titles
-from textrec.operators.tables import concat_tables, join_small
+from textrec.operators.findings import with_titles
+from textrec.operators.tables import concat_tables
 from textrec.operators.texts import rendered
 
 # The lines of a Markdown report.
@@ -30,7 +30,7 @@ CLUSTERS_KEY = "clusters"
 RAW_KEY = "raw_findings"
 
 # Columns that put report lines in order.
-ORDER = ["section", "question_num", "block", "part", "item", "step", "line_no"]
+ORDER = ["section", "question_num", "block", "item", "step", "line_no"]
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -47,7 +47,6 @@ def _lines(rows: DataFrame, lines: list[Column | str], section: int, block: int
         F.lit(section).alias("section"),
         at("question_num", "int"),
         F.lit(block).alias("block"),
-        at("part", "bigint"),
         at("item", "int"),
         at("step", "int"),
         F.posexplode(listed).alias("line_no", "line"),
@@ -55,7 +54,7 @@ def _lines(rows: DataFrame, lines: list[Column | str], section: int, block: int
 
 
 def _each_cluster(clusters: DataFrame) -> DataFrame:
-    return clusters.select("question_num", "part", F.posexplode("clusters").alias("item", "c"))
+    return clusters.select("question_num", F.posexplode("clusters").alias("item", "c"))
 
 
 def _text(template: str, **values: str) -> Column:
@@ -82,7 +81,7 @@ def markdown_report(
     titled = with_titles(clusters.select("question_num").distinct(), titles)
     heads = ["", _text(QUESTION_HEADING, number="question_num", title="title"), ""]
     each = _each_cluster(clusters)
-    place = {"question_num": "question_num", "part": "part", "item": "item"}
+    place = {"question_num": "question_num", "item": "item"}
     theme = [_text(THEME_HEADING, x="c.theme"), "", _text("{x}", x="c.summary"), "", QUOTES_HEADING]
     quotes = each.select("*", F.posexplode("c.key_quotes").alias("step", "quote"))
     last = each.withColumn("step", F.lit(2**31 - 1))
@@ -95,11 +94,11 @@ def markdown_report(
     )
 
 
-def json_report(totals: DataFrame, clusters: DataFrame, parts: DataFrame, criteria: str) -> DataFrame:
+def json_report(totals: DataFrame, clusters: DataFrame, by_question: DataFrame, criteria: str) -> DataFrame:
     """One nested JSON document: totals, then by clustered question its clusters and raw findings.
 
-    Each cluster and finding is a line of its own, so no row holds a whole
-    question. ``parts`` is the output of ``findings_by_question``.
+    Each cluster and finding is a line of its own; a finding is as its reply gave
+    it. ``by_question`` is the output of ``findings_by_question``.
     """
 
     def quoted(value: Column) -> Column:
@@ -129,24 +128,19 @@ def json_report(totals: DataFrame, clusters: DataFrame, parts: DataFrame, criter
     opening = F.concat(F.lit('"'), name, F.lit(f'": {{"{CLUSTERS_KEY}": {{"{CLUSTERS_KEY}": ['))
 
     each = _each_cluster(clusters)
-    lead = each.groupBy(F.col("question_num").alias("_q")).agg(F.min(F.struct("part", "item")).alias("_lead"))
-    marked = join_small(each, lead, F.col("question_num").eqNullSafe(F.col("_q")))
-    first_cluster = F.struct("part", "item") == F.col("_lead")
-
     wanted = asked.select(F.col("question_num").alias("_q"))
-    kept = join_small(parts, wanted, F.col("question_num").eqNullSafe(F.col("_q")), "left_semi")
-    found = kept.select("question_num", "part", F.posexplode("findings").alias("item", "f"))
-    finding = F.to_json(F.struct(*[F.col(f"f.{c}").alias(c) for c in FINDING_FIELDS]), KEEP_NULLS)
-    first_finding = (F.col("part") == 0) & (F.col("item") == 0)
+    kept = by_question.join(wanted, F.col("question_num").eqNullSafe(F.col("_q")), "left_semi")
+    found = kept.select("question_num", F.posexplode("findings").alias("item", "f"))
+    first = F.col("item") == 0
 
-    by_question = {"question_num": "question_num"}
-    by_item = {**by_question, "part": "part", "item": "item"}
+    at_question = {"question_num": "question_num"}
+    at_item = {**at_question, "item": "item"}
     return concat_tables(
         _lines(totals, head, 0),
-        _lines(asked, [after(first_asked, opening)], 1, 0, **by_question),
-        _lines(marked, [after(first_cluster, F.to_json("c", KEEP_NULLS))], 1, 1, **by_item),
-        _lines(asked, [f']}}, "{RAW_KEY}": ['], 1, 2, **by_question),
-        _lines(found, [after(first_finding, finding)], 1, 3, **by_item),
-        _lines(asked, ["]}"], 1, 4, **by_question),
+        _lines(asked, [after(first_asked, opening)], 1, 0, **at_question),
+        _lines(each, [after(first, F.to_json("c", KEEP_NULLS))], 1, 1, **at_item),
+        _lines(asked, [f']}}, "{RAW_KEY}": ['], 1, 2, **at_question),
+        _lines(found, [after(first, F.col("f.raw"))], 1, 3, **at_item),
+        _lines(asked, ["]}"], 1, 4, **at_question),
         _lines(totals, ["}", "}"], 2),
     )

@@ -6,15 +6,21 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrec.functions.replies import CLUSTERS, FINDINGS, reply_json
+from textrec.functions.replies import reply_clusters, reply_findings
 from textrec.operators.batching import assign_batches
 from textrec.operators.filters import docs_with_all, tag_matches
-from textrec.operators.findings import FINDING_FIELDS, FINDINGS_PER_PART, findings_by_question, report_totals
+from textrec.operators.findings import findings_by_question, question_list, report_totals
 from textrec.operators.inference import Backend, ask_model
-from textrec.operators.texts import context_blocks, explode_findings, relevant_paragraphs, render_prompt
+from textrec.operators.texts import (
+    MIN_PARAGRAPH_CHARS,
+    context_blocks,
+    explode_findings,
+    relevant_paragraphs,
+    render_prompt,
+)
 from textrec.session import stored
 
 # Paragraphs per prompt and reply lengths.
@@ -37,8 +43,11 @@ CLUSTER_TEMPLATE = (
 )
 
 
-def question_json(questions: Mapping[int, str]) -> str:
-    return json.dumps(dict(sorted(questions.items())), indent=2, ensure_ascii=False)
+def question_json(questions: Mapping[int, str] | DataFrame) -> Column:
+    """The questions as JSON for a prompt, from a mapping or a table ``(question_num, question)``."""
+    if isinstance(questions, DataFrame):
+        return question_list(questions).scalar()
+    return F.lit(json.dumps(dict(sorted(questions.items())), indent=2, ensure_ascii=False))
 
 
 def context_table(paras: DataFrame, n: int = PARAGRAPHS_PER_PROMPT) -> DataFrame:
@@ -51,68 +60,70 @@ def context_table(paras: DataFrame, n: int = PARAGRAPHS_PER_PROMPT) -> DataFrame
     return context_blocks(assign_batches(found, ["source", "page", "para"], n))
 
 
-def analyse_batches(
+def ask_batches(
     paras: DataFrame,
-    questions: Mapping[int, str],
+    questions: Mapping[int, str] | DataFrame,
     backend: Backend,
     n: int = PARAGRAPHS_PER_PROMPT,
     template: str = ANALYSIS_TEMPLATE,
     **options,
 ) -> DataFrame:
-    """``(batch, pos, question_num, quote, source, page, summary)`` found in batches of paragraphs."""
+    """``(batch, reply, token counts, error)``: the model's reply to each batch of paragraphs, asked once."""
     prompts = render_prompt(context_table(paras, n), template, questions=question_json(questions), context=F.col("context"))
-    settings = {"max_tokens": ANALYSIS_TOKENS, "temperature": 0.0, **options}
-    replies = ask_model(prompts, "batch", backend, **settings)
-    return explode_findings(replies.select("batch", reply_json("reply", "findings", FINDINGS).alias("findings")))
+    return ask_model(prompts, "batch", backend, **{"max_tokens": ANALYSIS_TOKENS, "temperature": 0.0, **options})
 
 
-def cluster_findings(
-    parts: DataFrame,
-    backend: Backend,
-    n: int = FINDINGS_PER_PART,
-    template: str = CLUSTER_TEMPLATE,
-    **options,
-) -> DataFrame:
-    """``(question_num, part, clusters)``: themes of the findings of each question.
+def reply_rows(replies: DataFrame) -> DataFrame:
+    """``(batch, pos, question_num, quote, source, page, summary, raw)`` from the replies to batches."""
+    return explode_findings(replies.select("batch", reply_findings("reply").alias("findings")))
+
+
+def analyse_batches(paras: DataFrame, questions: Mapping[int, str] | DataFrame, backend: Backend, **options) -> DataFrame:
+    """``(batch, pos, question_num, quote, source, page, summary, raw)`` found in batches of paragraphs."""
+    return reply_rows(ask_batches(paras, questions, backend, **options))
+
+
+def ask_themes(by_question: DataFrame, backend: Backend, template: str = CLUSTER_TEMPLATE, **options) -> DataFrame:
+    """``(question_num, reply, token counts, error)``: the model's themes for all findings of each question.
 
-    ``parts`` is ``findings_by_question(findings, n)``: one prompt per part of
-    at most ``n`` findings, so no prompt grows with the data.
-    ``finding_indices`` count from the question's first finding over all parts.
+    ``by_question`` is ``findings_by_question(findings)``. The prompt holds the
+    findings as their replies gave them.
     """
-    listed = F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in FINDING_FIELDS]))
-    keyed = parts.select(
-        F.to_json(F.struct("question_num", "part"), {"ignoreNullFields": "false"}).alias("part_key"),
+    keyed = by_question.select(
+        F.to_json(F.struct("question_num"), {"ignoreNullFields": "false"}).alias("key"),
         "question_num",
-        "part",
-        F.to_json(listed, {"ignoreNullFields": "false"}).alias("listed"),
+        F.concat(F.lit("["), F.array_join("findings.raw", ", "), F.lit("]")).alias("listed"),
     )
     prompts = render_prompt(keyed, template, question=F.col("question_num"), findings=F.col("listed"))
-    settings = {"max_tokens": CLUSTER_TOKENS, "temperature": 0.0, **options}
-    replies = ask_model(prompts, "part_key", backend, **settings)
-    key = F.from_json("part_key", "question_num int, part bigint")
-    shifted = F.transform(
-        reply_json("reply", "clusters", CLUSTERS),
-        lambda c: c.withField(
-            "finding_indices",
-            F.transform(c["finding_indices"], lambda i: (i + F.col("part") * n).cast("int")),
-        ),
-    )
-    return (
-        replies.where(F.col("reply") != "")
-        .withColumns({"question_num": key["question_num"], "part": key["part"]})
-        .select("question_num", "part", shifted.alias("clusters"))
-    )
+    replies = ask_model(prompts, "key", backend, **{"max_tokens": CLUSTER_TOKENS, "temperature": 0.0, **options})
+    number = F.from_json("key", "question_num int")["question_num"]
+    return replies.withColumn("question_num", number).drop("key")
+
+
+def theme_rows(replies: DataFrame) -> DataFrame:
+    """``(question_num, clusters)``; a question whose reply holds no JSON object is left out."""
+    read = replies.select("question_num", reply_clusters("reply").alias("clusters"))
+    return read.where(F.col("clusters").isNotNull())
+
+
+def cluster_findings(by_question: DataFrame, backend: Backend, **options) -> DataFrame:
+    """``(question_num, clusters)``: one set of themes for each question.
+
+    ``finding_indices`` count from the question's first finding.
+    """
+    return theme_rows(ask_themes(by_question, backend, **options))
 
 
 @dataclass(frozen=True)
 class Screening:
-    """Tables of one run: tagged documents, findings, their parts by question, themes, totals."""
+    """Tables of one run: tagged documents, findings, those by question, themes, totals, failed calls."""
 
     documents: DataFrame
     findings: DataFrame
-    parts: DataFrame
+    by_question: DataFrame
     clusters: DataFrame
     totals: DataFrame
+    errors: DataFrame
 
 
 def screen_documents(
@@ -120,21 +131,33 @@ def screen_documents(
     pages: DataFrame,
     terms: Sequence[str],
     keywords: Sequence[str],
-    questions: Mapping[int, str],
+    questions: Mapping[int, str] | DataFrame,
     finder: Backend,
     clusterer: Backend,
     sep: str = "\n\n",
-    findings_per_part: int = FINDINGS_PER_PART,
+    min_len: int = MIN_PARAGRAPH_CHARS,
+    finder_options: Mapping | None = None,
+    clusterer_options: Mapping | None = None,
 ) -> Screening:
     """Documents that hold all ``terms``, what their paragraphs say on the questions, and its themes.
 
-    ``pages`` is read twice. Pages extracted from files should be written to a
-    table first, as extraction would be repeated.
+    ``finder_options`` are those of ``ask_batches``, ``clusterer_options`` those
+    of ``ask_themes``: system prompt, templates, call sizes, partitions and so
+    on. ``errors`` has ``(step, key, error)`` of every failed call. ``pages`` is
+    read twice. Pages extracted from files should be written to a table first,
+    as extraction would be repeated.
     """
     flags = docs_with_all(pages, terms)
     documents = tag_matches(docs, flags)
-    paras = relevant_paragraphs(pages, flags, keywords, sep)
-    findings = analyse_batches(paras, questions, finder)
-    parts = findings_by_question(findings, findings_per_part)
-    clusters = cluster_findings(parts, clusterer, findings_per_part)
-    return Screening(documents, findings, parts, clusters, report_totals(documents, findings))
+    paras = relevant_paragraphs(pages, flags, keywords, sep, min_len)
+    found = ask_batches(paras, questions, finder, **(finder_options or {}))
+    findings = reply_rows(found)
+    by_question = findings_by_question(findings)
+    themed = ask_themes(by_question, clusterer, **(clusterer_options or {}))
+
+    def failed(replies: DataFrame, step: str, key: str) -> DataFrame:
+        rows = replies.where(F.col("error").isNotNull())
+        return rows.select(F.lit(step).alias("step"), F.col(key).cast("string").alias("key"), "error")
+
+    errors = failed(found, "findings", "batch").union(failed(themed, "themes", "question_num"))
+    return Screening(documents, findings, by_question, theme_rows(themed), report_totals(documents, findings), errors)

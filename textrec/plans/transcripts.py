@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from textrec.operators.batching import number_rows
 from textrec.operators.filters import require
-from textrec.operators.tables import join_small
 from textrec.operators.transcripts import transcript_rows
 from textrec.session import stored
 from textrec.sources.logs import direct_results
@@ -15,26 +14,18 @@ from textrec.sources.logs import direct_results
 # Samples shown in a report.
 SHOWN = 3
 
-# Samples whose ids fit a filter.
-FILTERED = 100
-
 
 def transcript_report(samples: DataFrame, msgs: DataFrame, n: int = SHOWN, score: str = "score") -> DataFrame:
     """The first ``n`` samples that have an input, numbered from 1.
 
-    The samples are chosen, and written, before any message is read. A few
-    sample ids go into the filter of the messages, where the scan can skip by
-    them; more are joined. Only the messages of ``n`` samples are aggregated.
+    The samples are chosen, and written, before any message is read, so Spark
+    knows their size when it joins the messages. Only the messages of ``n``
+    samples are aggregated.
     """
     first = stored(require(samples, "input").orderBy("sample_id").limit(n), "shown")
-    if n <= FILTERED:
-        ids = [row["sample_id"] for row in first.select("sample_id").collect()]
-        theirs = msgs.where(F.col("sample_id").isin(ids))
-    else:
-        theirs = join_small(msgs, first.select("sample_id"), "sample_id", "left_semi")
-    rows = transcript_rows(first, theirs, score)
-    # A window without partitions, over n rows.
-    return rows.withColumn("sample_no", F.row_number().over(Window.orderBy("sample_id")))
+    theirs = msgs.join(first.select("sample_id"), "sample_id", "left_semi")
+    numbered = number_rows(transcript_rows(first, theirs, score), ["sample_id"], name="sample_no")
+    return numbered.withColumn("sample_no", F.col("sample_no").cast("int"))
 
 
 def transcript_or_logs(samples: DataFrame, msgs: DataFrame, logs: DataFrame, n: int = SHOWN) -> DataFrame:

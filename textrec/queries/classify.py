@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textrec.functions.columns import strip
 from textrec.functions.keywords import contains_any, decision_tree, first_match, keyword_hits, refine
 from textrec.operators.classify import EntryRules, Override, classify_entries, first_match_table, override
 from textrec.operators.tables import distinct_sorted
@@ -12,57 +13,29 @@ from textrec.queries.inputs import any_sql, read, strip_sql
 from textrec.queries.registry import query
 
 KIND_RULES = [
-    (["orantion", "eauxi", "quevi ", "schench", "ladelos"], "Robot"),
-    (["data", "ingen", "ouère", "tiondo", "ungli"], "Chat"),
-    (["heren", "cionel", "blenth"], "Worker"),
-    (
-        [
-            "atedth", "eringth", "ichau", "mentlave", "eauouqu", "losado", "erandre", "unglich", "keitve", "ciónes",
-            "ouianle", "eraneri", "whandth", "stedly", "thereth", "ndereth", "ingwhat", "ouhaer", "ereshon", "derunt",
-            "schaun", "ionest",
-        ],
-        "Worker",
-    ),
-    (["the", "und", "les"], "Finder"),
+    (["tionre", "quela"], "Scout"),
+    (["ungen", "mente", "thered", "ciónes", "eauxle"], "Courier"),
+    (["andth", "osde", "heitei", "ereon", "tioner", "aldis", "oiqu"], "Archive"),
 ]
-KIND_DEFAULT = "Finder"
+KIND_DEFAULT = "Clerk"
 
-VALUE_RULES = [
-    (["orantion", "enthand", "eauique"], 5),
-    (["thion", "ouviq", "schun", "ciónlo"], 4),
-    (["ingth", "eaule", "ungde", "dolos"], 3),
-    (["tion", "ich", "ent"], 2),
-]
-VALUE_DEFAULT = 1
+VALUE_RULES = [(["ouère", "berich", "shth"], 40), (["nden"], 10)]
+VALUE_DEFAULT = 25
 
-CRITICAL = ["thand", "eauou", "unge"]
 OVERRIDE = Override(
-    label="Robot",
-    words=["ertion", "auxque", "ichsch"],
-    lift_words=["shing", "lere", "ver"],
-    lift_to=3,
+    label="Courier",
+    words=["ertion", "ichsch", "arla"],
+    lift_words=["shing", "lere"],
+    lift_to=30,
     force_words=["thethe", "lesles"],
-    force_to=5,
+    force_to=90,
 )
 
 
 def proximity(has, name, sector, agent):
-    """A tree with independent, nested and single refinements."""
-    guard = F.contains(agent, F.lit("src1"))
-    listed = contains_any(name, ["src2 ", "src3 "])
-    return decision_tree(
-        [
-            (guard, decision_tree([(contains_any(sector, ["en", "fr"]), 5), (contains_any(sector, ["de"]), 4)], 3)),
-            (listed, 5),
-            (F.contains(sector, F.lit("en")), refine(4, (has(CRITICAL), 5))),
-            (
-                contains_any(sector, ["fr", "it"]),
-                refine(3, (has(["eau"]), refine(4, (has(["quevi", "ouan"]), 5)))),
-            ),
-            (F.contains(sector, F.lit("de")), refine(2, (has(["ung"]), 4), (has(["keit", "schich"]), 5))),
-        ],
-        1,
-    )
+    """One early branch; the rest starts low and is refined twice, the second time in steps."""
+    last = refine(30, (F.endswith(agent, F.lit("7")), 31), (F.contains(name, F.lit("src1")), 33))
+    return decision_tree([(has(["ntat"]) & F.startswith(agent, F.lit("src1")), 50)], refine(10, (sector < "es", 11), (has(["zu", "quel"]), last)))
 
 
 RULES = EntryRules(KIND_RULES, KIND_DEFAULT, VALUE_RULES, VALUE_DEFAULT, proximity, OVERRIDE)
@@ -78,42 +51,33 @@ ENTRIES_SQL = f"""entries AS (
     SELECT doc_id, trim(replace('* ' || source || ' org*', '*', '')) AS name, lang AS sector, source AS agent_type,
         {strip_sql('text')} AS description, lower({strip_sql('text')}) AS low FROM documents)"""
 
-TREE_SQL = f"""CASE
-    WHEN contains(lower(agent_type), 'src1') THEN
-        CASE WHEN contains(lower(sector), 'en') OR contains(lower(sector), 'fr') THEN 5
-             WHEN contains(lower(sector), 'de') THEN 4 ELSE 3 END
-    WHEN contains(lower(name), 'src2 ') OR contains(lower(name), 'src3 ') THEN 5
-    WHEN contains(lower(sector), 'en') THEN CASE WHEN {any_sql('low', CRITICAL)} THEN 5 ELSE 4 END
-    WHEN contains(lower(sector), 'fr') OR contains(lower(sector), 'it') THEN
-        CASE WHEN contains(low, 'eau') THEN
-            CASE WHEN {any_sql('low', ['quevi', 'ouan'])} THEN 5 ELSE 4 END
-        ELSE 3 END
-    WHEN contains(lower(sector), 'de') THEN
-        CASE WHEN {any_sql('low', ['keit', 'schich'])} THEN 5 WHEN contains(low, 'ung') THEN 4 ELSE 2 END
-    ELSE 1 END"""
+TREE_SQL = f"""CASE WHEN contains(low, 'ntat') AND starts_with(lower(agent_type), 'src1') THEN 50
+    WHEN {any_sql('low', ['zu', 'quel'])} THEN
+        CASE WHEN contains(lower(name), 'src1') THEN 33 WHEN ends_with(lower(agent_type), '7') THEN 31 ELSE 30 END
+    WHEN lower(sector) < 'es' THEN 11 ELSE 10 END"""
 
 SCORED_SQL = f"""{ENTRIES_SQL},
 scored AS (
     SELECT *, {case_sql(KIND_RULES, KIND_DEFAULT)} AS kind, {case_sql(VALUE_RULES, VALUE_DEFAULT)} AS worth,
         {TREE_SQL} AS near FROM entries),
 turned AS (
-    SELECT *, kind <> 'Robot' AND {any_sql('low', OVERRIDE.words)} AS turn FROM scored),
+    SELECT *, kind <> '{OVERRIDE.label}' AND {any_sql('low', OVERRIDE.words)} AS turn FROM scored),
 classified AS (
     SELECT doc_id, name AS Organization, sector AS Sector, agent_type AS Agent_Type_Text,
         CASE WHEN regexp_extract(description, '([^.!?]+[.!?])', 1) <> ''
              THEN regexp_extract(description, '([^.!?]+[.!?])', 1)
              WHEN length(description) > 150 THEN left(description, 150) || '...' ELSE description END AS Description,
-        CASE WHEN turn THEN 'Robot' ELSE kind END AS Kind_of_Agent,
+        CASE WHEN turn THEN '{OVERRIDE.label}' ELSE kind END AS Kind_of_Agent,
         worth AS Economic_Value,
-        CASE WHEN {any_sql('low', OVERRIDE.force_words)} THEN 5
-             WHEN turn AND near < 3 AND {any_sql('low', OVERRIDE.lift_words)} THEN 3 ELSE near END AS Proximity_NCF,
+        CASE WHEN {any_sql('low', OVERRIDE.force_words)} THEN {OVERRIDE.force_to}
+             WHEN turn AND near < {OVERRIDE.lift_to} AND {any_sql('low', OVERRIDE.lift_words)} THEN {OVERRIDE.lift_to} ELSE near END AS Proximity_NCF,
         description AS Full_Description_Tooltip
     FROM turned)"""
 
-KINDS = ["Chat", "Finder", "Worker", "Robot"]
+KINDS = ["Archive", "Clerk", "Courier", "Scout"]
 AGENT_TYPES = ["src0", "src1", "src2", "src3", "src4", "src5"]
-COLOURS = {"Chat": "blue", "Finder": "green", "Worker": "red", "Robot": "purple"}
-COLOUR_SQL = "CASE Kind_of_Agent WHEN 'Chat' THEN 'blue' WHEN 'Finder' THEN 'green' WHEN 'Worker' THEN 'red' ELSE 'purple' END"
+COLOURS = {"Archive": "grey", "Clerk": "teal", "Courier": "orange", "Scout": "black"}
+COLOUR_SQL = f"CASE Kind_of_Agent {' '.join(f"WHEN '{kind}' THEN '{colour}'" for kind, colour in COLOURS.items())} END"
 
 
 def entries(spark, folder):
@@ -126,8 +90,8 @@ def entries(spark, folder):
     )
 
 
-def classified(spark, folder):
-    return classify_entries(entries(spark, folder), RULES, keep=["doc_id"])
+def classified(spark, folder, one_pass=False):
+    return classify_entries(entries(spark, folder), RULES, keep=["doc_id"], one_pass=one_pass)
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT doc_id, {case_sql(KIND_RULES, KIND_DEFAULT)} AS label FROM entries")
@@ -149,12 +113,22 @@ def decision_tree_score(spark, folder):
     return low.select("doc_id", proximity(has, *[F.col(c) for c in ["name", "sector", "agent_type"]]).alias("near"))
 
 
+@query(f"""WITH {ENTRIES_SQL}
+SELECT doc_id, CASE WHEN contains(low, 'shing') THEN CASE WHEN length(low) > 900 THEN 3 ELSE 2 END
+    WHEN contains(low, 'que') THEN 1 ELSE 0 END AS score FROM entries""")
+def refined_score(spark, folder):
+    """A base value, refined by one step and then by another that has steps of its own."""
+    low = entries(spark, folder).select("doc_id", F.lower(strip("description")).alias("low"))
+    steps = [(contains_any("low", ["que"]), 1), (contains_any("low", ["shing"]), refine(2, (F.length("low") > 900, 3)))]
+    return low.select("doc_id", refine(0, *steps).alias("score"))
+
+
 @query(f"""WITH {ENTRIES_SQL},
 s AS (SELECT doc_id, low, {case_sql(KIND_RULES, KIND_DEFAULT)} AS label, {case_sql(VALUE_RULES, VALUE_DEFAULT)} AS score FROM entries),
-t AS (SELECT *, label <> 'Robot' AND {any_sql('low', OVERRIDE.words)} AS turn FROM s)
-SELECT doc_id, CASE WHEN turn THEN 'Robot' ELSE label END AS label,
-    CASE WHEN {any_sql('low', OVERRIDE.force_words)} THEN 5
-         WHEN turn AND score < 3 AND {any_sql('low', OVERRIDE.lift_words)} THEN 3 ELSE score END AS score FROM t""")
+t AS (SELECT *, label <> '{OVERRIDE.label}' AND {any_sql('low', OVERRIDE.words)} AS turn FROM s)
+SELECT doc_id, CASE WHEN turn THEN '{OVERRIDE.label}' ELSE label END AS label,
+    CASE WHEN {any_sql('low', OVERRIDE.force_words)} THEN {OVERRIDE.force_to}
+         WHEN turn AND score < {OVERRIDE.lift_to} AND {any_sql('low', OVERRIDE.lift_words)} THEN {OVERRIDE.lift_to} ELSE score END AS score FROM t""")
 def override_rules(spark, folder):
     low = entries(spark, folder).select("doc_id", F.lower("description").alias("low"))
     labelled = low.select(
@@ -168,10 +142,10 @@ def override_rules(spark, folder):
 
 
 @query(f"""WITH {ENTRIES_SQL}
-SELECT doc_id, {any_sql('low', KIND_RULES[0][0])} AS first, {any_sql('low', KIND_RULES[3][0])} AS second,
+SELECT doc_id, {any_sql('low', KIND_RULES[0][0])} AS first, {any_sql('low', KIND_RULES[2][0])} AS second,
     {any_sql('low', ['the', 'data'])} AS third FROM entries""")
 def keywords_in_one_pass(spark, folder):
-    groups = [KIND_RULES[0][0], KIND_RULES[3][0], ["The", "DATA"]]
+    groups = [KIND_RULES[0][0], KIND_RULES[2][0], ["The", "DATA"]]
     hits = entries(spark, folder).select("doc_id", keyword_hits(F.lower("description"), groups).alias("h"))
     return hits.select("doc_id", *[F.get("h", F.lit(i)).alias(n) for i, n in enumerate(["first", "second", "third"])])
 
@@ -181,30 +155,37 @@ def classified_entries(spark, folder):
     return classified(spark, folder)
 
 
-RULE_TABLE_SQL = """WITH rules AS (SELECT n_nationkey AS priority, lower(left(n_name, 3)) AS keyword, n_name AS value FROM nation),
-hits AS (SELECT d.doc_id, arg_min(r.value, r.priority) AS label
+@query(f"WITH {SCORED_SQL} SELECT * FROM classified")
+def classified_entries_in_one_pass(spark, folder):
+    return classified(spark, folder, one_pass=True)
+
+
+RULE_TABLE_SQL = """WITH rules AS (
+    SELECT item_id AS priority, lower(split_part(text, ' ', 1)) AS keyword,
+        CASE WHEN item_id % 7 > 0 THEN 'item ' || item_id END AS value FROM benchmark),
+hits AS (SELECT d.doc_id, min(r.priority) AS priority
     FROM documents d JOIN rules r ON contains(lower(d.text), r.keyword) GROUP BY d.doc_id)
-SELECT d.doc_id, coalesce(h.label, 'none') AS label FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id"""
+SELECT d.doc_id, CASE WHEN h.doc_id IS NULL THEN 'none' ELSE r.value END AS label
+FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN rules r ON r.priority = h.priority"""
 
 
-def nation_rules(spark, folder):
-    """Rules that come as a table: the first letters of a name, in key order."""
-    nations = read(spark, folder, "nation")
-    return nations.select(
-        F.col("n_nationkey").alias("priority"), F.left("n_name", F.lit(3)).alias("keyword"), F.col("n_name").alias("value")
-    )
+def word_rules(spark, folder):
+    """Rules that come as a table: first words of the benchmark's texts, some without a value."""
+    value = F.when(F.col("item_id") % 7 > 0, F.concat(F.lit("item "), F.col("item_id").cast("string")))
+    items = read(spark, folder, "benchmark")
+    return items.select(F.col("item_id").alias("priority"), F.split("text", " ")[0].alias("keyword"), value.alias("value"))
 
 
 @query(RULE_TABLE_SQL)
 def rules_as_table(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return first_match_table(docs, nation_rules(spark, folder), "text", "label", "none").drop("text")
+    return first_match_table(docs, word_rules(spark, folder), "text", "label", "none").drop("text")
 
 
 @query(RULE_TABLE_SQL)
 def rules_as_long_table(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    rules = nation_rules(spark, folder)
+    rules = word_rules(spark, folder)
     return first_match_table(docs, rules, "text", "label", "none", rules_per_step=10).drop("text")
 
 

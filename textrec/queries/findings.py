@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textrec.functions.replies import FINDINGS, reply_json
+from textrec.functions.replies import reply_clusters, reply_findings, reply_items
 from textrec.operators.filters import docs_with_all, tag_matches
-from textrec.operators.findings import findings_by_question, question_set, report_totals, sections, with_titles
+from textrec.operators.findings import findings_by_question, report_totals, sections, with_titles
 from textrec.operators.texts import explode_findings
 from textrec.plans.reports import json_report, markdown_report
 from textrec.plans.screening import analyse_batches, screen_documents
@@ -15,7 +15,6 @@ from textrec.queries.registry import query
 from textrec.queries.screening import BATCHES_SQL, TERMS, WORDS, relevant
 from textrec.queries.standins import BACKENDS
 
-PER_PART = 50
 DATE = "2025-01-31T00:00:00"
 
 FINDINGS_SQL = f"""{BATCHES_SQL},
@@ -24,16 +23,15 @@ findings AS (
         CAST(length(text) % 5 AS INTEGER) AS question_num, text AS quote, source, page, md5(text) AS summary
     FROM batched)"""
 
-PARTS_SQL = f"""{FINDINGS_SQL},
-placed AS (SELECT *, row_number() OVER (PARTITION BY question_num ORDER BY batch, pos) - 1 AS idx FROM findings),
-parted AS (SELECT *, idx // {PER_PART} AS part FROM placed)"""
+PLACED_SQL = f"""{FINDINGS_SQL},
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_num ORDER BY batch, pos) - 1 AS idx FROM findings)"""
 
-CLUSTERS_SQL = f"""{PARTS_SQL},
+CLUSTERS_SQL = f"""{PLACED_SQL},
 themed AS (
-    SELECT question_num, part, page % 3 AS number, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices,
-        arg_min(quote, idx) AS key_quote FROM parted GROUP BY ALL),
+    SELECT question_num, page % 3 AS number, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices,
+        arg_min(quote, idx) AS key_quote FROM placed GROUP BY ALL),
 clusters AS (
-    SELECT question_num, part, CAST(row_number() OVER (PARTITION BY question_num, part ORDER BY number) - 1 AS INTEGER) AS item,
+    SELECT question_num, CAST(row_number() OVER (PARTITION BY question_num ORDER BY number) - 1 AS INTEGER) AS item,
         'theme ' || number AS theme, n || ' findings' AS summary, indices, key_quote FROM themed)"""
 
 TOTALS_SQL = """totals AS (
@@ -50,8 +48,7 @@ def questions(spark, folder):
 
 
 def findings(spark, folder):
-    asked = question_set(questions(spark, folder))
-    return analyse_batches(relevant(spark, folder), asked, BACKENDS["find"])
+    return analyse_batches(relevant(spark, folder), questions(spark, folder), BACKENDS["find"]).drop("raw")
 
 
 def screening(spark, folder):
@@ -60,11 +57,10 @@ def screening(spark, folder):
         pages(spark, folder),
         TERMS,
         WORDS,
-        question_set(questions(spark, folder)),
+        questions(spark, folder),
         BACKENDS["find"],
         BACKENDS["cluster"],
         sep="\n",
-        findings_per_part=PER_PART,
     )
 
 
@@ -93,15 +89,48 @@ def findings_read_from_replies(spark, folder):
     )
     reply = F.concat(F.lit("Found this: "), F.to_json(F.struct(F.array(first, second).alias("findings"))), F.lit(" Done."))
     replies = read(spark, folder, "documents").select(F.col("doc_id").alias("batch"), reply.alias("reply"))
-    found = replies.select("batch", reply_json("reply", "findings", FINDINGS).alias("findings"))
-    return explode_findings(found).withColumnRenamed("batch", "doc_id")
+    found = replies.select("batch", reply_findings("reply").alias("findings"))
+    return explode_findings(found).withColumnRenamed("batch", "doc_id").drop("raw")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS n,
+    CASE WHEN doc_id % 5 IN (2, 3) THEN CAST(n_chars AS INTEGER) END AS page,
+    CASE WHEN doc_id % 5 > 1 THEN lang END AS extra FROM documents""")
+def uneven_replies(spark, folder):
+    """Replies without JSON, with no findings, and with numbers as text, with decimals and as words, and a key of their own."""
+    page = F.expr("""CASE doc_id % 5 WHEN 2 THEN concat('"', n_chars, '"') WHEN 3 THEN concat(n_chars, '.0') ELSE '"many"' END""")
+    one = F.concat(F.lit('So: {"findings": [{"page": '), page, F.lit(', "extra": "'), F.col("lang"), F.lit('"}]} there.'))
+    kind = F.col("doc_id") % 5
+    reply = F.when(kind == 0, "nothing here").when(kind == 1, '{"findings": []}').otherwise(one)
+    found = read(spark, folder, "documents").select("doc_id", reply_findings(reply).alias("found"))
+    first = F.get("found", F.lit(0))
+    return found.select(
+        "doc_id",
+        F.when(F.col("found").isNotNull(), F.size("found")).alias("n"),
+        first["f"]["page"].alias("page"),
+        F.get_json_object(first["raw"], "$.extra").alias("extra"),
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'theme' END AS theme, CASE WHEN doc_id % 3 > 0 THEN n_chars::INTEGER END AS last
+FROM documents WHERE doc_id % 3 <> 2""")
+def uneven_themes(spark, folder):
+    """Replies with a theme, with none and without JSON; only the last are left out."""
+    kind = F.col("doc_id") % 3
+    themed = F.concat(F.lit('{"clusters": [{"theme": "theme", "finding_indices": [0, "x", "'), F.col("n_chars").cast("string"), F.lit('"]}]}'))
+    reply = F.when(kind == 0, "{}").when(kind == 1, themed).otherwise("{broken")
+    docs = read(spark, folder, "documents").select("doc_id", reply_clusters(reply).alias("clusters"))
+    first = F.get("clusters", F.lit(0))
+    return docs.where(F.col("clusters").isNotNull()).select(
+        "doc_id", first["theme"].alias("theme"), F.get(first["finding_indices"], F.lit(1)).alias("last")
+    )
 
 
 @query("SELECT doc_id, 0 AS n FROM documents")
 def replies_without_json(spark, folder):
     """The documents themselves hold no JSON: nothing is found."""
     docs = read(spark, folder, "documents")
-    return docs.select("doc_id", F.size(reply_json("text", "findings", FINDINGS)).alias("n"))
+    return docs.select("doc_id", F.size(F.coalesce(reply_items("text", "findings"), F.array().cast("array<string>"))).alias("n"))
 
 
 @query("""SELECT e.event_id, CAST(json_extract(e.props, '$.k') AS INTEGER) % 7 AS question_num,
@@ -119,14 +148,14 @@ def analysed_batches(spark, folder):
     return findings(spark, folder)
 
 
-@query(f"""WITH {PARTS_SQL}
-SELECT question_num, part, count(*) AS n, md5(string_agg(quote || '|' || source || '|' || page, chr(10) ORDER BY idx)) AS digest
-FROM parted GROUP BY question_num, part""")
+@query(f"""WITH {PLACED_SQL}
+SELECT question_num, count(*) AS n, md5(string_agg(quote || '|' || source || '|' || page, chr(10) ORDER BY idx)) AS digest
+FROM placed GROUP BY question_num""")
 def findings_per_question(spark, folder):
     line = lambda f: F.concat_ws("|", f["quote"], f["source"], f["page"].cast("string"))
-    return findings_by_question(findings(spark, folder), PER_PART).select(
+    found = analyse_batches(relevant(spark, folder), questions(spark, folder), BACKENDS["find"])
+    return findings_by_question(found).select(
         "question_num",
-        "part",
         F.size("findings").cast("bigint").alias("n"),
         F.md5(F.array_join(F.transform("findings", line), "\n")).alias("digest"),
     )
@@ -141,10 +170,9 @@ def totals_of_report(spark, folder):
 @query(f"WITH {CLUSTERS_SQL} SELECT * FROM clusters")
 def theme_clusters(spark, folder):
     clusters = screening(spark, folder).clusters
-    each = clusters.select("question_num", "part", F.posexplode("clusters").alias("item", "c"))
+    each = clusters.select("question_num", F.posexplode("clusters").alias("item", "c"))
     return each.select(
         "question_num",
-        "part",
         "item",
         "c.theme",
         "c.summary",
@@ -161,19 +189,19 @@ def report_sections(spark, folder):
 
 MARKDOWN_SQL = f"""WITH {CLUSTERS_SQL}, {TOTALS_SQL},
 lines AS (
-    SELECT 0 AS section, -1 AS question_num, 0 AS block, -1::BIGINT AS part, -1 AS item, -1 AS step,
+    SELECT 0 AS section, -1 AS question_num, 0 AS block, -1 AS item, -1 AS step,
         unnest(range(11))::INTEGER AS line_no, unnest(['# Risks', 'Generated: {DATE}', 'Total Documents: ' || total_documents,
         'Documents Analyzed (all terms): ' || relevant_documents, 'Total Relevant Findings: ' || total_findings,
         '', '## Executive Summary', '', 'First line.', 'Second line.', '']) AS line FROM totals
     UNION ALL
-    SELECT 1, question_num, 0, -1, -1, -1, unnest(range(3))::INTEGER,
+    SELECT 1, question_num, 0, -1, -1, unnest(range(3))::INTEGER,
         unnest(['', '## Question ' || question_num || ': ' || lower(r_name), ''])
     FROM (SELECT DISTINCT question_num FROM clusters) JOIN region ON r_regionkey = question_num
     UNION ALL
-    SELECT 1, question_num, 1, part, item, -1, unnest(range(5))::INTEGER,
+    SELECT 1, question_num, 1, item, -1, unnest(range(5))::INTEGER,
         unnest(['### ' || theme, '', summary, '', '**Key Quotes:**']) FROM clusters
-    UNION ALL SELECT 1, question_num, 1, part, item, 0, 0, '- "' || key_quote || '"' FROM clusters
-    UNION ALL SELECT 1, question_num, 1, part, item, 2147483647, 0, '' FROM clusters)
+    UNION ALL SELECT 1, question_num, 1, item, 0, 0, '- "' || key_quote || '"' FROM clusters
+    UNION ALL SELECT 1, question_num, 1, item, 2147483647, 0, '' FROM clusters)
 SELECT * FROM lines"""
 
 
@@ -186,14 +214,14 @@ def markdown_lines(spark, folder):
 
 @query(f"""WITH {CLUSTERS_SQL}, {TOTALS_SQL},
 quoted AS (SELECT question_num, md5(string_agg(quote, chr(10) ORDER BY idx)) AS quotes, count(*) AS raw_findings
-    FROM parted GROUP BY question_num),
-themes AS (SELECT question_num, string_agg(theme, ',' ORDER BY part, item) AS themes FROM clusters GROUP BY question_num)
+    FROM placed GROUP BY question_num),
+themes AS (SELECT question_num, string_agg(theme, ',' ORDER BY item) AS themes FROM clusters GROUP BY question_num)
 SELECT total_documents, relevant_documents, total_findings, question_num, themes, raw_findings, quotes
 FROM totals, quoted JOIN themes USING (question_num)""")
 def json_report_contents(spark, folder):
     """The report's lines read as one document; its contents by question."""
     run = screening(spark, folder)
-    return report_contents(json_report(dated(run), run.clusters, run.parts, "all terms"))
+    return report_contents(json_report(dated(run), run.clusters, run.by_question, "all terms"))
 
 
 def report_contents(lines):
@@ -203,8 +231,7 @@ def report_contents(lines):
     head = lambda name: F.max(F.when(F.startswith("line", F.lit(f'"{name}": ')), F.regexp_extract("line", r": (\d+),", 1)))
     counts = ["total_documents", "relevant_documents", "total_findings"]
     top = lines.where("section = 0").agg(*[head(c).cast("bigint").alias(c) for c in counts])
-    place = ["part", "item"]
-    ordered = lambda name: F.array_sort(F.collect_list(F.struct(*place, F.get_json_object("body", f"$.{name}").alias("v"))))
+    ordered = lambda name: F.array_sort(F.collect_list(F.struct("item", F.get_json_object("body", f"$.{name}").alias("v"))))
     joined = lambda name, sep: F.array_join(F.transform(ordered(name), lambda r: r["v"]), sep)
     themes = lines.where("block = 1").groupBy("question_num").agg(joined("theme", ",").alias("themes"))
     raw = lines.where("section = 1 AND block = 3").groupBy("question_num")

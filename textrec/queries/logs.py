@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textrec.operators.tables import first_nonempty
@@ -9,7 +11,8 @@ from textrec.operators.texts import explode_results
 from textrec.queries.inputs import LINES_PER_PAGE, PAGES_SQL, doc_name, read
 from textrec.queries.registry import query
 from textrec.sources.files import binary_profile, decode_text, extract_pages
-from textrec.sources.logs import direct_results, parse_result_logs
+from textrec.session import shared_folder
+from textrec.sources.logs import direct_results, parse_result_logs, scan_result_logs
 
 
 def encoded(spark, folder, text):
@@ -90,3 +93,23 @@ def results_of_first_log(spark, folder):
 SELECT file_path, count(*) AS n FROM results WHERE file_path = (SELECT min(file_path) FROM results) GROUP BY file_path""")
 def first_log_with_results(spark, folder):
     return first_nonempty(line_logs(spark, folder)).select("file_path", F.size("results").cast("bigint").alias("n"))
+
+
+@query("""SELECT item_id % 5 = 0 AS broken, count(*) AS files,
+    sum(CASE WHEN item_id % 5 > 0 THEN len(string_split(text, chr(10))) ELSE 0 END)::BIGINT AS results,
+    sum(CASE WHEN item_id % 5 > 0 THEN length(text) - len(string_split(text, chr(10))) + 1 ELSE 0 END)::BIGINT AS chars
+FROM benchmark GROUP BY 1""")
+def scanned_result_logs(spark, folder):
+    """A log for each benchmark item, written as a file of its own; every fifth is cut off. What each kind holds."""
+    path = f"{shared_folder(spark)}/textrec/result-logs-{uuid.uuid4().hex}"
+    items = read(spark, folder, "benchmark").withColumn("lang", F.lit("none"))
+    log = F.when(F.col("item_id") % 5 == 0, F.left(result_log(), F.lit(20))).otherwise(result_log())
+    items.select("item_id", log.alias("value")).write.partitionBy("item_id").text(path)
+    logs = scan_result_logs(spark, [f"{path}/*"])
+    inputs = F.aggregate("results", F.lit(0).cast("long"), lambda a, r: a + F.length(r["sample"]["input"]))
+    read_well = F.col("results").isNotNull()
+    return logs.groupBy(F.col("error").isNotNull().alias("broken")).agg(
+        F.count("*").alias("files"),
+        F.sum(F.when(read_well, F.size("results")).otherwise(0)).alias("results"),
+        F.sum(F.when(read_well, inputs).otherwise(0)).alias("chars"),
+    )

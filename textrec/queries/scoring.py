@@ -43,12 +43,10 @@ def accuracy_by_source(spark, folder):
 
 
 @query(f"""WITH {SAMPLES_SQL}
-SELECT sample_id, target, CASE WHEN contains(input, target) THEN 'C' ELSE 'I' END AS grade
-FROM samples WHERE target IS NOT NULL""")
+SELECT sample_id, target, CASE WHEN contains(input, coalesce(target, 'None')) THEN 'C' ELSE 'I' END AS grade FROM samples""")
 def graded_answers(spark, folder):
-    held = samples(spark, folder).where(F.col("target").isNotNull())
     graded = graded_score(
-        held, BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, {"answer": "input", "fact": "target"}
+        samples(spark, folder), BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, {"answer": "input", "fact": "target"}
     )
     return graded.select("sample_id", "target", "grade")
 
@@ -72,12 +70,12 @@ def evaluation_accuracy(spark, folder):
 
 
 @query(f"""WITH {SAMPLES_SQL}
-SELECT sample_id, target, md5(input) AS response, CASE WHEN contains(md5(input), left(target, 1)) THEN 'C' ELSE 'I' END AS grade
-FROM samples WHERE target IS NOT NULL""")
+SELECT sample_id, coalesce(target, left(md5(input), 9)) AS target, md5(input) AS response,
+    CASE WHEN contains(md5(input), coalesce(target, left(md5(input), 9))) THEN 'C' ELSE 'I' END AS grade FROM samples""")
 def graded_evaluation(spark, folder):
-    """Digests as replies, graded by whether they hold the target's first letter."""
-    held = samples(spark, folder).where(F.col("target").isNotNull())
-    letter = held.withColumn("letter", F.left("target", F.lit(1)))
-    values = {"answer": "response", "fact": "letter"}
+    """Digests as replies, graded by whether they hold the target; samples without one expect a digest's begin."""
+    begin = F.left(F.md5("input"), F.lit(9))
+    expected = samples(spark, folder).withColumn("target", F.coalesce("target", begin))
+    values = {"answer": "response", "fact": "target"}
     scorer = lambda df: graded_score(df, BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, values)
-    return evaluate(letter, "digest", BACKENDS, scorer).select("sample_id", "target", "response", "grade")
+    return evaluate(expected, "digest", BACKENDS, scorer).select("sample_id", "target", "response", "grade")

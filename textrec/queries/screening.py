@@ -15,7 +15,7 @@ from textrec.operators.filters import (
     require,
     tag_matches,
 )
-from textrec.operators.tables import first_n
+from textrec.operators.tables import first_n, table_counts
 from textrec.operators.texts import (
     full_text,
     keep_passing,
@@ -76,9 +76,11 @@ def require_column(spark, folder):
     return require(samples(spark, folder), "target").select("sample_id", "target")
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT sample_id FROM samples WHERE false")
+@query("""SELECT 'samples' AS "table", count(*) AS rows FROM documents UNION ALL SELECT 'with_grade', 0""")
 def require_absent_column(spark, folder):
-    return require(samples(spark, folder), "grade").select("sample_id")
+    """All samples, and those left when a column is required that they lack."""
+    every = samples(spark, folder)
+    return table_counts({"samples": every, "with_grade": require(every, "grade")})
 
 
 @query(f"""WITH {PAGES_SQL}

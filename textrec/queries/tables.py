@@ -151,6 +151,9 @@ UNION ALL SELECT 1, 'lang=' || lang FROM documents WHERE lang LIKE 'e%' GROUP BY
 def listed_folders(spark, folder):
     """Folders that hold files, of documents written to a folder per language."""
     path = new_folder(spark, "listed")
-    read(spark, folder, "documents").select("doc_id", "text", "lang").write.partitionBy("lang").json(path)
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs.write.partitionBy("lang").json(path)
+    # A folder of the same name below it, whose files no pattern names.
+    docs.where("lang = 'fr'").write.partitionBy("lang").json(f"{path}/deeper/{path.rsplit('/', 1)[-1]}")
     listed = list_files(spark, path, "lang=*/*.json", "lang=e?/part-*.json", "*.txt")
     return listed.select("glob_no", F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()

@@ -36,15 +36,15 @@ def flat(grouped):
 
 GROUPED_SQL = f"""{MESSAGES_SQL},
 grouped AS (
-    SELECT sample_id, turn // 1000 AS segment, count(*) AS n,
+    SELECT sample_id, count(*) AS n,
         md5(string_agg(turn || ' ' || role || ' ' || content, chr(10) ORDER BY turn)) AS digest
-    FROM messages GROUP BY ALL)"""
+    FROM messages GROUP BY sample_id)"""
 
 
-@query(f"WITH {GROUPED_SQL} SELECT sample_id, segment, n, digest FROM grouped")
+@query(f"WITH {GROUPED_SQL} SELECT sample_id, n, digest FROM grouped")
 def grouped_messages(spark, folder):
     grouped = group_messages(messages(spark, folder))
-    return grouped.select("sample_id", "segment", F.size("messages").cast("bigint").alias("n"), flat(grouped).alias("digest"))
+    return grouped.select("sample_id", F.size("messages").cast("bigint").alias("n"), flat(grouped).alias("digest"))
 
 
 @query(f"""WITH {GROUPED_SQL}, {SAMPLES_SQL}

@@ -31,20 +31,23 @@ def _glob_pattern(glob: str) -> str:
 def binary_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """Files below ``folder`` whose relative path matches ``glob``; none if the folder is missing.
 
-    ``*`` stays within one folder level, so ``*.pdf`` gives no files of sub-folders.
-    They are looked through all the same: a plain load would take a folder named
-    ``a=b`` for a partition and fail if there are others beside it.
+    ``*`` stays within one folder level, so ``*.pdf`` gives no files of
+    sub-folders and lists only ``folder`` itself. Folder names like ``a=b`` are not taken for partitions.
     """
+    root = folder.rstrip("/")
+    plain = "".join(f"\\{c}" if c in "[]{}" else c for c in glob)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", glob.rsplit("/", 1)[-1])
     try:
-        files = reader.load(folder)
+        files = reader.load(f"{root}/{plain}")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    tail = re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/" + _glob_pattern(glob)
-    return files.where(F.col("path").rlike(f"/{tail}$"))
+    # A folder that matches the pattern is listed too; its files lie deeper than the pattern says.
+    store = "([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?"
+    named = re.sub(f"^{store}", "", root)
+    start = f"^{store}" if named.startswith("/") else "/"
+    return files.where(F.col("path").rlike(f"{start}{re.escape(named)}/{_glob_pattern(glob)}$"))
 
 
 def list_files(spark: SparkSession, folder: str, *globs: str) -> DataFrame:
