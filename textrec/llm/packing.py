@@ -18,8 +18,8 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 
 # Lengths above this share of the capacity are grouped; the rest fill gaps.
-LARGE_SHARE = 1 / 8
-GROUPS = 64
+LARGE_SHARE = 0.4
+GROUPS = 128
 
 # Bytes of token ids handed back to Spark at a time.
 BATCH_BYTES = 4 << 20
