@@ -110,6 +110,24 @@ def test_replies_are_kept(prompts):
     assert by_id(i.write_back(i.ensure_columns(prompts, {}, i.TOKENS), replies, "row_id"))[1] == ("abc", "cba", 3, 3, 6)
 
 
+def test_a_named_run_asks_only_what_is_missing(spark, tmp_path):
+    def call(talks, *_):
+        with open(f"{tmp_path}/asked", "a") as out:
+            out.writelines(t[-1]["content"] + "\n" for t in talks)
+        if any("bad" in t[-1]["content"] for t in talks):
+            raise ValueError("bad prompt")
+        return [("ok", {"total_tokens": 1})] * len(talks)
+
+    name = tmp_path.name
+    some = spark.createDataFrame([(1, "one"), (2, "bad")], "row_id int, prompt string")
+    more = spark.createDataFrame([(1, "one"), (2, "now fine"), (3, "three")], "row_id int, prompt string")
+    first = i.ask_model(some, "row_id", i.Backend(call), run=name, batch_size=1)
+    assert {r["row_id"]: r["error"] for r in first.collect()} == {1: None, 2: "ValueError: bad prompt"}
+    again = i.ask_model(more, "row_id", i.Backend(call), run=name, batch_size=1)
+    assert {r["row_id"]: (r["reply"], r["error"]) for r in again.collect()} == {k: ("ok", None) for k in (1, 2, 3)}
+    assert sorted(open(f"{tmp_path}/asked").read().split("\n")[:-1]) == ["bad", "now fine", "one", "three"]
+
+
 def test_messages(spark):
     turns = "array<struct<user:string,assistant:string>>"
     df = spark.createDataFrame([(1, [("u", None)]), (2, [("u", "a"), ("v", None)]), (3, [(None, "a")]), (4, [])], f"row_id int, turns {turns}")

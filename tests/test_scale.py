@@ -116,3 +116,10 @@ def test_fallbacks_need_no_join(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("k"))
     for plan in [plan_of(filter_or_all(df, "k", "3")), plan_of(tab.with_fallback(df, df))]:
         assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_filter_reaches_the_scan(spark, tmp_path):
+    spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit("text").alias("v")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert "EqualTo(k,3)" in plan_of(filter_or_all(df, "k", "3"))
+    assert filter_or_all(df, "k", "none") is df

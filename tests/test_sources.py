@@ -178,3 +178,13 @@ def test_reports_on_tables(spark, rows):
     assert [r[0] for r in t.distinct_sorted(df.union(df), "id").collect()] == [1, 2]
     assert t.concat_tables(df, df, df).count() == 6
     assert [r["id"] for r in t.first_n(df, F.col("name").isNull(), 3, ["id"]).collect()] == [2]
+
+
+def test_clearing_intermediate_tables(spark):
+    from textrec.session import clear_stored, shared_folder, stored
+
+    kept = stored(spark.range(3), "numbers")
+    assert kept.count() == 3
+    clear_stored(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/textrec")
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

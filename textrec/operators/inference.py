@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from textrec.functions.columns import ensure_columns
-from textrec.session import stored
+from textrec.session import shared_folder, stored
 
 Messages = list[dict[str, str]]
 Reply = tuple[str | None, Mapping[str, int] | None]
@@ -126,14 +127,31 @@ def answered(
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
-def ask_model(df: DataFrame, key: str, backend: Backend, prompt_col: str = "prompt", **options) -> DataFrame:
-    """``(key, reply, 3 token counts, error)`` for every prompt.
+def ask_model(
+    df: DataFrame, key: str, backend: Backend, prompt_col: str = "prompt", run: str | None = None, **options
+) -> DataFrame:
+    """``(key, reply, 3 token counts, error)`` for every prompt; keys must be unique.
 
     Replies are written once under their key, so a later failure does not call
-    the model again.
+    the model again. With the name of a ``run`` they are kept under it, and the
+    same run asks only for keys that have no reply yet, or a failed one.
     """
-    asked = answered(df.select(key, prompt_col), backend, prompt_col, **options)
-    return stored(asked.select(key, *[F.col(f"_{c}").alias(c) for c in REPLY_COLUMNS]), "replies")
+    kept = [F.col(f"_{c}").alias(c) for c in REPLY_COLUMNS]
+    prompts = df.select(key, prompt_col)
+    if run is None:
+        return stored(answered(prompts, backend, prompt_col, **options).select(key, *kept), "replies")
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/textrec/replies-of-{run}"
+    fields = [prompts.schema[key], *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in REPLY_COLUMNS.items())).fields]
+    replies = spark.createDataFrame([], T.StructType(fields))
+    # So that the folder is there to be read, with or without replies.
+    replies.write.mode("append").parquet(path)
+    had = spark.read.schema(replies.schema).parquet(path).where(F.col("error").isNull())
+    missing = prompts.join(had.select(key), key, "left_anti")
+    answered(missing, backend, prompt_col, **options).select(key, *kept).write.mode("append").parquet(path)
+    best = Window.partitionBy(key).orderBy(F.col("error").isNotNull())
+    every = spark.read.schema(replies.schema).parquet(path).join(prompts.select(key), key, "left_semi")
+    return every.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
 
 
 def _filled(df: DataFrame, columns: list[str], result_col: str, error_col: str | None) -> DataFrame:

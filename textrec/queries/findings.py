@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textrec.functions.replies import reply_clusters, reply_findings, reply_items
 from textrec.operators.filters import docs_with_all, tag_matches
 from textrec.operators.findings import findings_by_question, report_totals, sections, with_titles
 from textrec.operators.texts import explode_findings
-from textrec.plans.reports import json_report, markdown_report
+from textrec.plans.reports import ORDER, json_report, markdown_report
 from textrec.plans.screening import analyse_batches, screen_documents
 from textrec.queries.inputs import document_names, pages, read
 from textrec.queries.registry import query
 from textrec.queries.screening import BATCHES_SQL, TERMS, WORDS, relevant
 from textrec.queries.standins import BACKENDS
+from textrec.session import shared_folder
+from textrec.sources.sinks import write_lines
 
 DATE = "2025-01-31T00:00:00"
 
@@ -212,6 +216,14 @@ def markdown_lines(spark, folder):
     return markdown_report(dated(run), run.clusters, titles, "Risks", "all terms", "First line.\nSecond line.")
 
 
+@query(MARKDOWN_SQL.replace("SELECT * FROM lines", "SELECT line FROM lines"))
+def written_report(spark, folder):
+    """The Markdown report written as text and read back."""
+    path = f"{shared_folder(spark)}/textrec/report-{uuid.uuid4().hex}"
+    write_lines(markdown_lines(spark, folder), ORDER, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query(f"""WITH {CLUSTERS_SQL}, {TOTALS_SQL},
 quoted AS (SELECT question_num, md5(string_agg(quote, chr(10) ORDER BY idx)) AS quotes, count(*) AS raw_findings
     FROM placed GROUP BY question_num),
