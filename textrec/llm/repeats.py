@@ -22,6 +22,12 @@ WINDOW = 100
 ANCHOR = 32
 CHUNK_BYTES = 1 << 20
 
+# Strings are sorted a bucket at a time; several buckets a task even out its load and keep each small.
+BUCKETS_PER_TASK = 4
+
+# How hard chunks and strings are compressed on their way.
+LEVEL = 3
+
 # Odd, so it has an inverse among 64-bit numbers.
 BASE = 0x9E3779B97F4A7C15
 HASH_BITS = np.uint64((1 << 47) - 1)
@@ -124,7 +130,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Da
         def made() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                 out.write_table(table)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
@@ -246,7 +252,7 @@ def _strings(window: int, anchor: int, buckets: int):
     schema = [("bucket", pa.int32()), ("chunk", pa.int64()), ("strings", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = zstandard.ZstdCompressor(1)
+        packed = zstandard.ZstdCompressor(LEVEL)
         for batch in batches:
             for chunk, rows, hits in zip(batch.column("chunk"), batch.column("rows"), batch.column("hits")):
                 _, ids, text, lengths = _opened(rows.as_py())
@@ -282,7 +288,7 @@ def _strings(window: int, anchor: int, buckets: int):
                 kept, content = np.array(kept, np.int64)[order], [content[i] for i in order]
                 for b, at in _by_value(home[order]):
                     some = kept[at]
-                    numbers = [end[some] - start[some], pieces.key[some].view(np.int64), ids[pieces.doc[some]], pieces.doc[some], start[some]]
+                    numbers = [end[some] - start[some], (pieces.key[some] >> np.uint64(32)).astype(np.int64), ids[pieces.doc[some]], pieces.doc[some], start[some]]
                     body = b"".join([struct.pack(HEAD, len(some)), *[x.astype("<i8").tobytes() for x in numbers], *content[at]])
                     out.append((b, chunk.as_py(), packed.compress(body)))
                 if out:
@@ -307,15 +313,23 @@ def _first_of_equal(strings: list[bytes], rank: np.ndarray, files: Files, window
         text[at : at + len(some)] = some
         at += len(some)
     text[n - 1] = 0
+    inside = np.zeros(n + 1, np.int8)  # where a window begins
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, begins + lengths - window + 1, -1)
+    inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
     group, kept = 0, []
     for pos, lcp in sorted_suffixes(files, text, 258, window):
         number = group + np.cumsum(lcp < window)
         group = int(number[-1])
-        string = np.searchsorted(begins, pos, "right") - 1
-        start = pos - begins[string]
-        valid = (start + window <= lengths[string]) & (pos < n - 1)
-        kept.append(np.stack([number[valid], string[valid], start[valid]]))
-    number, string, start = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0), np.int64)
+        valid = inside[pos]
+        kept.append((number[valid], pos[valid]))
+    number, pos = (np.concatenate(x) for x in zip(*kept))
+    # A window alone in its group is found nowhere else.
+    new = np.r_[True, number[1:] != number[:-1], True]
+    shared = ~(new[:-1] & new[1:])
+    number, pos = number[shared], pos[shared]
+    string = np.searchsorted(begins, pos, "right") - 1
+    start = pos - begins[string]
     if not len(number):
         return string, start
     heads = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
@@ -458,18 +472,19 @@ def remove_repeats(
     if not 0 < anchor <= window <= 200:
         raise ValueError("0 < anchor <= window <= 200 is needed")
     spark = docs.sparkSession
-    buckets = parts(spark)
+    tasks = parts(spark)
+    buckets = BUCKETS_PER_TASK * tasks
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     chunks = _chunks(docs, id_col, text_col, chunk_bytes)
 
     found = chunks.mapInArrow(_anchors(window, anchor, buckets), "bucket int, chunk long, keys binary")
-    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = found.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     again = dealt.mapInArrow(_repeated, "chunk long, bucket int, bits binary")
     hits = again.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
     asked = chunks.join(hits, "chunk").select("chunk", "rows", "hits")
     strings = asked.mapInArrow(_strings(window, anchor, buckets), "bucket int, chunk long, strings binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(0)
-    shards = strings.repartition(buckets, "bucket", spread).sortWithinPartitions("bucket")
+    shards = strings.repartition(tasks, "bucket", spread).sortWithinPartitions("bucket")
     marks = shards.mapInArrow(_sorted_shards(window, memory), "chunk long, marks binary")
     by_chunk = marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks"))
     whole = chunks.join(by_chunk, "chunk", "left").select("rows", "marks")
