@@ -182,6 +182,8 @@ def fit_graded(
     rows = joined.mapInArrow(run, "grade long, at array<int>, value array<float>")
     # The rated rows, of which there are few, meet in one task; the driver gets the weights.
     row = rows.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
+    if row is None:  # no partition at all
+        return fit([], np.zeros(0, np.int64), n_grades)
     return Ordinal(np.frombuffer(row["weights"], "<f4").astype(np.float64), np.array(row["thresholds"]))
 
 
