@@ -165,9 +165,10 @@ class Trie:
         for level in range(order + 1):
             parent, own = parents[level], entry_code[level]
             width = len(symbols)
-            place = owner[level] * width + alphabet[own & 255]
-            if len(parent) * width <= DENSE_CELLS:
-                table = np.full(max(1, len(parent) * width), -1, np.int32)
+            place = owner[level] * (width + 1) + alphabet[own & 255]
+            # One context and one symbol more, which stand for none.
+            if (len(parent) + 1) * (width + 1) <= DENSE_CELLS:
+                table = np.full((len(parent) + 1) * (width + 1), -1, np.int32)
                 table[place] = np.arange(len(own))
                 out[f"children{level}"] = table
             else:
@@ -176,13 +177,13 @@ class Trie:
                 deeper = parents[level + 1]
                 at = np.minimum(np.searchsorted(deeper, own), max(0, len(deeper) - 1))
                 known = deeper[at] == own if len(deeper) else np.zeros(len(own), bool)
-                out[f"context{level}"] = np.where(known, at, -1).astype(np.int32)
+                out[f"context{level}"] = np.append(np.where(known, at, len(deeper)), len(deeper)).astype(np.int32)
             if not whole:
                 out[f"parents{level}"] = parents[level]
         pads = [sum(END[0] << (8 * j) for j in range(level)) for level in range(order + 1)]
-        starts = [int(np.searchsorted(p, c)) if c in p else -1 for p, c in zip(parents, pads)]
+        starts = [int(np.searchsorted(p, c)) if c in p else len(p) for p, c in zip(parents, pads)]
         out["starts"] = np.array(starts, np.int64)
-        out["symbols"] = np.append(alphabet, len(symbols))
+        out["symbols"] = np.append(np.where(alphabet < 0, len(symbols), alphabet), len(symbols)).astype(np.int32)
         # An entry with the logarithm 0 comes first, for symbols never seen.
         out["logs"] = np.concatenate([[0.0], *[np.log10(n) for n in entry_n]])
         out["total"] = np.concatenate([np.log10(np.maximum(t + d, 1)) for t, d in zip(total, kinds)])
@@ -219,22 +220,24 @@ class Trie:
         self.children = [arrays[f"children{level}"] for level in range(order + 1)]
         self.context = [arrays[f"context{level}"] for level in range(order)]
         self.entry_base, self.context_base = arrays["entry_base"], arrays["context_base"]
-        self.root_unseen = float(self.left_out[0])
+        self.none = np.diff(self.context_base).tolist()  # the number after the last context, for none
 
-    def _child(self, level: int, place: np.ndarray) -> np.ndarray:
+    def _child(self, level: int, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The entry of each symbol after its context, or -1."""
         keys, children = self.keys[level], self.children[level]
         if keys is None:
-            return children[place]
+            return children[before * (self.width + 1) + own]
         bits = len(children).bit_length() - 1
+        found = np.full(len(before), -1, np.int32)
+        left = np.flatnonzero((before < self.none[level]) & (own < self.width))
+        place = before[left].astype(np.int64) * (self.width + 1) + own[left]
         slot = self._slots(place, bits)
-        found = np.full(len(place), -1, np.int32)
-        left = np.arange(len(place))
         while len(left):
-            there = children[slot[left]]
-            hit = (keys[there] == place[left]) & (there >= 0)
+            there = children[slot]
+            hit = (keys[there] == place) & (there >= 0)
             found[left[hit]] = there[hit]
-            left = left[~hit & (there >= 0)]
-            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+            more = ~hit & (there >= 0)
+            left, place, slot = left[more], place[more], (slot[more] + 1) & ((1 << bits) - 1)
         return found
 
     def _contexts(self, symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
@@ -246,44 +249,42 @@ class Trie:
             code |= np.where(since > j, symbols[at - np.minimum(j, since)], END[0]).astype(np.int64) << (8 * j)
         parents = self.parents[level]
         if not len(parents):
-            return np.full(len(symbols), -1, np.int32)
+            return np.zeros(len(symbols), np.int32)
         found = np.minimum(np.searchsorted(parents, code), len(parents) - 1)
-        return np.where(parents[found] == code, found, -1).astype(np.int32)
+        return np.where(parents[found] == code, found, len(parents)).astype(np.int32)
 
     def symbol_logs(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """log10 of the chance of each symbol. ``begins`` marks places that are no symbol but the begin of a text."""
-        n = len(symbols)
         own = self.symbols[symbols]
-        some = np.flatnonzero(~begins)
-        own = own[some]
-        known = own >= 0
-        entry, top, above = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.full(len(some), -1, np.int64)
-        state = np.zeros(n, np.int32)  # the context of this level that ends at each place
+        state = np.zeros(len(symbols), np.int32)  # the context of this level that ends at each place
+        levels = []
         for level in range(self.order + 1):
-            before = state[some - 1]
-            here = np.flatnonzero(before >= 0)
-            at = before[here].astype(np.int64)
-            child = np.full(len(here), -1, np.int32)
-            fits = known[here]
-            child[fits] = self._child(level, at[fits] * self.width + own[here[fits]])
-            base = at + self.context_base[level]
-            top[here] = base
-            seen = child >= 0
-            entry[here[seen]] = child[seen] + self.entry_base[level]
-            new = here[~seen]
-            first = above[new] < 0
-            above[new[first]] = base[~seen][first]
-            if level < self.order and self.whole:
-                state = np.full(n, -1, np.int32)
-                state[some[here[seen]]] = self.context[level][child[seen]]
+            before = np.empty_like(state)
+            before[0], before[1:] = self.none[level], state[:-1]
+            child = self._child(level, before, own)
+            levels.append((before, before < self.none[level], child, child >= 0))
+            if level == self.order:
+                break
+            if self.whole:
+                state = self.context[level][child]
                 state[begins] = self.starts[level + 1]
-            elif level < self.order:
+            else:
                 state = self._contexts(symbols, begins, level + 1)
+        entry, top, above = np.zeros_like(state), np.zeros_like(state), np.full_like(state, -1)
+        for level, (before, valid, child, seen) in enumerate(levels):
+            np.add(child, self.entry_base[level], out=entry, where=seen, casting="unsafe")
+            np.add(before, self.context_base[level], out=top, where=valid, casting="unsafe")
+        for level in range(self.order, -1, -1):  # the shortest context that has not seen the symbol stays
+            before, valid, _, seen = levels[level]
+            np.add(before, self.context_base[level], out=above, where=valid & ~seen, casting="unsafe")
+        some = np.flatnonzero(~begins)
+        entry, top, above = entry[some], top[some], above[some]
         out = self.logs[entry]
         whole = above < 0
         out[whole] -= self.total[top[whole]]
-        cut = ~whole
-        out[cut] += self.chain[top[cut]] - self.chain[above[cut]] + self.escape[top[cut]] - self.left_out[above[cut]]
+        cut = np.flatnonzero(~whole)
+        top, above = top[cut], above[cut]
+        out[cut] += self.chain[top] - self.chain[above] + self.escape[top] - self.left_out[above]
         return out
 
     def scores(self, texts: list[bytes], wanted: np.ndarray | None = None) -> np.ndarray:
