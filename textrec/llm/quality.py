@@ -12,11 +12,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 1 << 18
 
 # Rated documents that a model is fitted on, at most; all documents are scored.
-MAX_RATED = 8_000
+MAX_RATED = 6_000
+
+# Rows handed back to Spark at a time.
+ROWS_AT_ONCE = 1_024
 
 STEPS = 150
 RATE = 0.1
@@ -97,12 +101,18 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
     """
     if not len(grades):
         return Ordinal(np.zeros(DIMENSIONS), np.arange(n_grades - 1, dtype=float))
-    index = np.concatenate([f[0] for f in features]).astype(np.int32)
-    value = np.concatenate([f[1] for f in features]).astype(np.float32)
-    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f[0]) for f in features])
-    common = np.bincount(index, minlength=DIMENSIONS) >= min(LEAST_DOCUMENTS, len(grades))
-    row, value, index = row[common[index]], value[common[index]], index[common[index]]
-    used, index = np.unique(index, return_inverse=True)
+    found = np.zeros(DIMENSIONS, np.int64)
+    for at, _ in features:
+        found[at] += 1
+    used = np.flatnonzero(found >= min(LEAST_DOCUMENTS, len(grades)))
+    number = np.full(DIMENSIONS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    kept = [(number[at], value) for at, value in features]
+    kept = [(at[at >= 0], value[at >= 0]) for at, value in kept]
+    index = np.concatenate([at for at, _ in kept])
+    value = np.concatenate([value for _, value in kept]).astype(np.float32)
+    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(at) for at, _ in kept])
+    del kept
     share = np.array([(grades <= j).mean() for j in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     first, gaps = start[:1], np.log(np.maximum(np.diff(start), 0.1))
@@ -170,7 +180,7 @@ def fit_graded(
         for batch in batches:
             at, value = batch.column("at"), batch.column("value")
             ends, indexes, values = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
-            features += [(indexes[a:b].astype(np.int64), values[a:b]) for a, b in zip(ends, ends[1:])]
+            features += [(indexes[a:b], values[a:b]) for a, b in zip(ends, ends[1:])]
             grades += batch.column("grade").to_pylist()
         # Rows in one order, whatever order tasks ended in.
         order = sorted(range(len(features)), key=lambda i: (features[i][0].tobytes(), grades[i]))
@@ -215,20 +225,21 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
 
 
 def with_tail(docs: DataFrame, model: Ordinal, grade: int, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the probability ``name`` of ``grade`` or a higher one. Narrow."""
+    """``docs`` with the probability ``name`` of ``grade`` or a higher one. Narrow; other columns pass as Arrow data."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
-    @F.pandas_udf("double")
-    def tail(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds = sent.value
         own, features = Ordinal(weights, thresholds), Features()
-        made = [features(t) for t in texts]
-        score = np.array([float(weights[at] @ value) for at, value in made], np.float64)
-        return pd.Series(own.tails(score)[:, grade - 1] if len(score) else score)
-
-    return docs.withColumn(name, tail(F.col(text_col).cast("binary")))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(begin, ROWS_AT_ONCE)
+                made = [features((t.as_py() or "").encode()) for t in batch.column(text_col)]
+                score = np.array([float(weights[at] @ value) for at, value in made], np.float64)
+                chance = pa.array(own.tails(score)[:, grade - 1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, chance], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def rated_grades(labels: DataFrame) -> DataFrame:
