@@ -38,8 +38,8 @@ LENGTH_POWER = 0.35
 # Rated documents that must have a feature for it to get a weight.
 LEAST_DOCUMENTS = 6
 
-# Words whose features a worker remembers.
-REMEMBERED = 1 << 19
+# Words whose features a task remembers: the first it meets, which the frequent ones are among.
+REMEMBERED = 150_000
 
 
 class Features:
@@ -54,15 +54,14 @@ class Features:
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def _of(self, word: bytes) -> tuple[int, ...]:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
         bare, marks = word.strip(MARKS), word.translate(None, LETTERS)
         low = bare.lower()
         own = [(0, low), (4, low[:4]), (5, low[:5]), (6, low[:6]), (1, marks)]
         if len(bare) > 1 and bare != low and not any(97 <= c <= 122 for c in bare):
             own.append((2, b"capitals"))
         at = tuple(xxhash.xxh64_intdigest(x, seed) % DIMENSIONS for seed, x in own if len(x) >= seed - 3 and x)
-        self.known[word] = at
+        if len(self.known) < REMEMBERED:
+            self.known[word] = at
         return at
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
