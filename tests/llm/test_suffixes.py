@@ -38,9 +38,11 @@ TEXTS = [
 ]
 
 
+@pytest.mark.parametrize("base", [0, 1 << 20])
 @pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("cap", [3, 100])
-def test_small_texts(tmp_path, text, cap):
+def test_small_texts(tmp_path, monkeypatch, text, cap, base):
+    monkeypatch.setattr(suffixes, "BASE_ITEMS", base)
     assert fast(tmp_path, text, cap) == slow(text, cap)
 
 
@@ -48,6 +50,7 @@ def test_small_texts(tmp_path, text, cap):
 def test_random_texts_with_tiny_memory(tmp_path, monkeypatch, seed):
     monkeypatch.setattr(suffixes, "BLOCK_ITEMS", 16)
     monkeypatch.setattr(suffixes, "BATCH_ITEMS", 37)
+    monkeypatch.setattr(suffixes, "BASE_ITEMS", 0)
     rng = np.random.default_rng(seed)
     alphabet = [1, 2, 3, 60, 250][seed % 5]
     text = rng.integers(1, alphabet + 1, 700).tolist()
@@ -57,7 +60,9 @@ def test_random_texts_with_tiny_memory(tmp_path, monkeypatch, seed):
     assert any(tmp_path.iterdir())
 
 
-def test_larger_text(tmp_path):
+@pytest.mark.parametrize("base", [0, 500, 1 << 20])
+def test_larger_text(tmp_path, monkeypatch, base):
+    monkeypatch.setattr(suffixes, "BASE_ITEMS", base)
     rng = np.random.default_rng(1)
     words = [rng.integers(97, 123, rng.integers(2, 9)).tolist() + [32] for _ in range(300)]
     text = [c for w in rng.integers(0, 300, 4000) for c in words[w]]

@@ -16,6 +16,9 @@ BLOCK_ITEMS = 1 << 14
 BATCH_ITEMS = 1 << 18
 MEMORY_BYTES = 64 << 20
 
+# A text of names up to this length ends the recursion: it is sorted in memory.
+BASE_ITEMS = 1 << 20
+
 FAR = np.uint8(255)
 
 
@@ -294,6 +297,31 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, base: np.ndarray, ca
     return out.astype(np.uint8)
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of a short text of ranks, the last one least and alone, by doubling prefixes.
+
+    Only suffixes that still share their rank are sorted again.
+    """
+    order = np.argsort(names, kind="stable")
+    sorted_ = names[order]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(names)), 0))
+    alone = new & np.r_[new[1:], True]
+    left, width = order[~alone], 1
+    while len(left):
+        first, second = rank[left], rank[left + width]
+        by = np.argsort(first * len(names) + second, kind="stable")
+        left, first, second = left[by], first[by], second[by]
+        at = np.arange(len(left))
+        group = np.r_[True, first[1:] != first[:-1]]
+        new = group | np.r_[True, second[1:] != second[:-1]]
+        rank[left] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        left, width = left[~(new & np.r_[new[1:], True])], 2 * width
+    order[rank] = np.arange(len(names))
+    return order
+
+
 def sorted_suffixes(files: Files, text: np.ndarray, sigma: int, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of ``(position, common prefix with the one before)`` of all suffixes, in descending order.
 
@@ -310,6 +338,10 @@ def sorted_suffixes(files: Files, text: np.ndarray, sigma: int, cap: int) -> Ite
         order = np.empty(len(lms), np.int64)
         order[names] = np.arange(len(lms))
         name_lcp = np.zeros(len(lms), np.int64)
+    elif len(lms) <= BASE_ITEMS:
+        order = _doubled(np.asarray(names))
+        name_lcp = np.zeros(len(lms), np.uint8)
+        name_lcp[1:] = _common(names, order[:-1], order[1:], np.zeros(len(lms) - 1, np.int64), cap)
     else:  # the names are a text of a third of the length or less
         order, name_lcp = files.array(len(lms), np.int64), files.array(len(lms), np.uint8)
         end = len(lms)
