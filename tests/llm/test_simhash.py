@@ -110,3 +110,31 @@ def test_one_row_of_each_group_stays(spark):
     unique = docs.where("doc_id in (3, 5, 9, 2)")
     assert sorted(r.doc_id for r in simhash.one_of_each_group(unique, **options).collect()) == [2, 3]
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def linked_groups(spark, rows, thresholds, blocks, members):
+    signed = [tuple(x - 2**64 if x >= 2**63 else x for x in r) for r in rows]
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "print long, print1 long"), thresholds, blocks, members)
+    own = simhash.stars(links.selectExpr("struct(u a, u1 b) u", "struct(v a, v1 b) v")).collect()
+    root = {r: r for r in signed} | {tuple(r.u): tuple(r.v) for r in own}
+    names = [root[r] for r in signed]
+    return [names.index(n) for n in names]
+
+
+def test_crowded_anchors_keep_links_of_the_pipeline(spark):
+    """Bits that differ in every byte, 8 to 12 of them, and the same groups whatever the crowding."""
+    rng = np.random.default_rng(11)
+    one_a_byte = sum(1 << 8 * j for j in range(8))
+    rows = []
+    for n in range(24):
+        a, b = (int(x) for x in rng.integers(0, 2**63, 2))
+        other = a ^ one_a_byte << int(rng.integers(8))
+        for _ in range(n % 5):
+            other ^= 1 << int(rng.integers(64))
+        rows += [(a, b), (other, b ^ 0xFFF << int(rng.integers(50)))]
+    expected = []
+    for i, x in enumerate(rows):
+        near = [j for j in range(i) if (x[0] ^ rows[j][0]).bit_count() <= 11 and (x[1] ^ rows[j][1]).bit_count() <= 12]
+        expected.append(near[0] if near else i)
+    for members in (20_000, 1):
+        assert linked_groups(spark, rows, (11, 12), 4, members) == expected

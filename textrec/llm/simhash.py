@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,11 +20,11 @@ BITS = 64
 # Shingles counted at a time, so that a very long text needs little memory.
 SHINGLES_AT_ONCE = 1 << 15
 
-# Members of an anchor compared in one go; larger anchors are divided further, by bytes.
+# Members of an anchor compared in one go; larger anchors are divided further, by pieces of the other blocks.
 ANCHOR_MEMBERS = 20_000
 
 # Differing bits at which fingerprints link, and blocks of the fingerprint that have anchors. With 2 blocks two
-# fingerprints within 3 bits always meet at an anchor, with 4 blocks two within 7.
+# fingerprints within 5 bits always meet at an anchor, with 4 blocks two within 11.
 THRESHOLD, BLOCKS = 3, 2
 
 # For texts of a similarity of 0.8 or more by five-word shingles: bits in the fingerprints of three and of five words.
@@ -77,8 +77,8 @@ def anchors(prints: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.nd
     the words of the Hamming code of 31 or 15 bits with either value of the last
     bit: a covering code of radius 1. A fingerprint goes to all anchors within 2,
     that is the radius plus one differing bit. Two fingerprints that differ in
-    one bit of a block or none so meet at the anchor nearest to either; some
-    block is like that if all 64 bits differ in less than two a block. In a
+    at most two bits of a block so meet at an anchor of it; some block is like
+    that if all 64 bits differ in less than three a block. In a
     block of 32 bits that makes 17 anchors, in one of 16 nine, or 2 for a code word.
     """
     size = BITS // blocks
@@ -192,15 +192,25 @@ def _anchor_links(copies: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in sides))
 
 
+def _piece_keys(threshold: int, blocks: int) -> Column:
+    """Keys of a fingerprint at an anchor, by each of ``threshold + 1`` pieces of the blocks that are not the anchor's own."""
+    size = BITS // blocks
+    ends = [(BITS - size) * i // (threshold + 1) for i in range(threshold + 2)]
+    # Turned so that the anchor's own block is on top; shifts by 64 are shifts by 0.
+    turn = f"cast({size} * (shiftright(key, 32) + 1) as int)"
+    turned = f"(shiftrightunsigned(print, {turn}) | shiftleft(print, {BITS} - {turn}))"
+    pieces = [F.expr(f"shiftrightunsigned({turned}, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(ends, ends[1:])]
+    return F.array(*[F.xxhash64("key", F.lit(i), piece) for i, piece in enumerate(pieces)])
+
+
 def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOLD,), blocks: int = BLOCKS, members: int = ANCHOR_MEMBERS) -> DataFrame:
     """``(u..., v...)`` links that connect all rows of fingerprints (distinct) within as many bits as ``thresholds`` says.
 
     Rows meet by their first fingerprint. Not every pair is given: the links
     within one anchor are stars, which connect the same fingerprints. An anchor
-    with more than ``members`` rows is divided by the bytes of the
-    blocks that are not its own, four or six: of two that differ in fewer bits
-    than there are such bytes, one byte is equal, so no link within three bits
-    (2 blocks) or five (4 blocks) is lost by that.
+    with more than ``members`` rows is divided by pieces of the blocks that are
+    not its own, one more than the bits that may differ: one piece is then equal
+    in any two that link, so no link is lost by that, whatever the table's size.
     """
     names = print_names(len(thresholds))
 
@@ -219,17 +229,7 @@ def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOL
     if crowded.isEmpty():
         return _anchor_links(copies, thresholds)
     usual = copies.join(crowded, "key", "left_anti")
-    own = F.shiftright("key", 32)
-    size = BITS // blocks // 8
-    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(j.alias("j"), F.expr("print").alias("x")))
-    divided = (
-        copies.join(crowded, "key", "left_semi")
-        .withColumn("b", F.explode(bytes_))
-        .where(F.floor(F.col("b.j") / size) != own)
-        .withColumn("byte", F.expr("shiftright(b.x, 8 * b.j)").bitwiseAND(F.lit(255)))
-        .withColumn("key", F.xxhash64("key", "b.j", "byte"))
-        .select("key", *names)
-    )
+    divided = copies.join(crowded, "key", "left_semi").select(F.explode(_piece_keys(thresholds[0], blocks)).alias("key"), *names)
     return _anchor_links(usual, thresholds).union(_anchor_links(divided, thresholds))
 
 
@@ -253,8 +253,8 @@ def near_duplicates(
     rows only has a null id; repeated rows are all returned. Other columns of
     ``docs`` are not looked at. An empty table gives an empty table.
 
-    All links within 3 bits of the first fingerprint are found with 2 blocks, all
-    within 7 with 4; of links at more bits those whose fingerprints meet.
+    All links within 5 bits of the first fingerprint are found with 2 blocks, all
+    within 11 with 4; of links at more bits those whose fingerprints meet.
     """
     names = print_names(len(shingle_words))
     made = stored(fingerprints(docs, id_col, text_col, shingle_words), "prints")
