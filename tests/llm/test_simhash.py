@@ -138,3 +138,21 @@ def test_crowded_anchors_keep_links_of_the_pipeline(spark):
         expected.append(near[0] if near else i)
     for members in (20_000, 1):
         assert linked_groups(spark, rows, (11, 12), 4, members) == expected
+
+
+def test_near_copies_without_end_are_compared_in_bounded_sets(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    a, b = (int(x) for x in rng.integers(0, 2**62, 2))
+    rows = [(a ^ 1 << i ^ 1 << j, b) for i in range(0, 60, 4) for j in range(i)][:250]
+    rows += [(a ^ 0xFFFFF << 20, b), (a ^ 0xFFFFF << 40, b)]
+    made, largest = simhash._anchor_links, []
+
+    def measured(copies, thresholds):
+        largest.append(copies.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return made(copies, thresholds)
+
+    monkeypatch.setattr(simhash, "_anchor_links", measured)
+    whole = linked_groups(spark, rows, (11, 12), 4, 20_000)
+    assert largest.pop() >= 100
+    assert linked_groups(spark, rows, (11, 12), 4, 60) == whole == [0] * 250 + [250, 251]
+    assert max(largest) <= 90  # sets are dealt by hash and differ a little

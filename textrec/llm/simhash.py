@@ -20,7 +20,8 @@ BITS = 64
 # Shingles counted at a time, so that a very long text needs little memory.
 SHINGLES_AT_ONCE = 1 << 15
 
-# Members of an anchor compared in one go; larger anchors are divided further, by pieces of the other blocks.
+# Members of a key compared in one go. Larger anchors are divided by pieces of the other blocks, and what is still
+# larger is cut into sets that meet two by two.
 ANCHOR_MEMBERS = 20_000
 
 # Differing bits at which fingerprints link, and blocks of the fingerprint that have anchors. With 2 blocks two
@@ -211,6 +212,11 @@ def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOL
     with more than ``members`` rows is divided by pieces of the blocks that are
     not its own, one more than the bits that may differ: one piece is then equal
     in any two that link, so no link is lost by that, whatever the table's size.
+    Where pieces do not make the comparisons fewer, as among many near copies,
+    the anchor stays as it is. A key that still has more than ``members`` rows is
+    cut into sets of half as many, and every two sets meet in a key of their own:
+    no task holds more than about ``members`` rows of a key. The work on
+    such a key grows with the square of its size, over as many keys.
     """
     names = print_names(len(thresholds))
 
@@ -225,12 +231,29 @@ def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOL
 
     schema = ", ".join(f"{n} long" for n in ["key", *names])
     copies = stored(prints.select(*names).mapInArrow(run, schema), "anchors")
-    crowded = stored(copies.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members).select("key"), "crowded")
+    crowded = stored(copies.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members), "crowded")
     if crowded.isEmpty():
         return _anchor_links(copies, thresholds)
     usual = copies.join(crowded, "key", "left_anti")
-    divided = copies.join(crowded, "key", "left_semi").select(F.explode(_piece_keys(thresholds[0], blocks)).alias("key"), *names)
-    return _anchor_links(usual, thresholds).union(_anchor_links(divided, thresholds))
+    hot = copies.join(crowded, "key")
+    pieces = hot.select(F.col("key").alias("anchor"), "n", F.explode(_piece_keys(thresholds[0], blocks)).alias("key"), *names)
+    sizes = stored(pieces.groupBy("anchor", "n", "key").agg(F.count("*").alias("size")), "pieces")
+    pairs = F.sum(F.col("size").cast("double") * F.col("size"))
+    whole = stored(sizes.groupBy("anchor", "n").agg(pairs.alias("pairs")).where(F.col("pairs") >= F.col("n").cast("double") * F.col("n")).select("anchor", "n"), "whole")
+    divided = sizes.join(whole, "anchor", "left_anti").select("key", F.col("size").alias("n"))
+    large = stored(divided.where(F.col("n") > members).union(whole.select(F.col("anchor").alias("key"), "n")), "large")
+    rows = pieces.join(whole, "anchor", "left_anti").select("key", *names)
+    rows = rows.union(hot.join(whole.select(F.col("anchor").alias("key")), "key", "left_semi").select("key", *names))
+    small = rows.join(large, "key", "left_anti")
+    return _anchor_links(usual, thresholds).union(_anchor_links(small, thresholds)).union(_anchor_links(_set_pairs(rows.join(large, "key"), names, members), thresholds))
+
+
+def _set_pairs(rows: DataFrame, names: list[str], members: int) -> DataFrame:
+    """``rows`` of keys with ``n`` members each, under a key for every two sets of half of ``members``."""
+    sets = F.ceil(2 * F.col("n") / members).cast("int")
+    dealt = rows.withColumn("sets", sets).withColumn("own", F.pmod(F.xxhash64(F.lit("set"), *names), F.col("sets")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("other")).where(F.col("other") != F.col("own"))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
 
 
 def near_duplicates(
