@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from textrec.llm import ppm
@@ -95,3 +96,28 @@ def test_nothing_learned_null_ids_and_no_rows(spark):
     assert got[None].score == pytest.approx(-3 * math.log10(256)) and got[1].n_tokens == 1 and got[1].train_tokens == 0
     assert ppm.score_documents(docs.limit(0), F.lit(True)).count() == 0
     assert zlib.crc32(b"7") % 5 == spark.range(1).select(F.crc32(F.lit("7").cast("binary")) % 5).first()[0]
+
+
+def test_parts_are_bounded_and_built_by_tasks(spark, monkeypatch):
+    """A byte that ends nearly every context is cut by the bytes before it."""
+    rng = np.random.default_rng(4)
+    learned = [" ".join("e" * int(rng.integers(1, 9)) + "".join(rng.choice(list("ex"), 6)) for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*learned, "qe eeq", "xeq"])), "doc_id long, text string").repartition(3)
+    use = F.col("doc_id") < 30
+    counts = ppm.count_grams(docs.where(use), "text", 5).where("gram IS NOT NULL").persist()
+    cut = ppm._cut(counts, 5, 20)
+    assert cut.depth > 1 and cut.parts > 3
+    codes = np.array([r.gram for r in counts.collect()])
+    assert np.bincount(cut.part_of(codes >> 8)).max() <= 20
+    scored = {r.doc_id: r.score for r in ppm.score_documents(docs, use, part_grams=20).collect()}
+    for i, t in enumerate([*learned, "qe eeq", "xeq"]):
+        assert scored[i] == pytest.approx(slow_score(t, learned, 5), rel=1e-9)
+
+    build = ppm.Trie.build
+
+    def in_a_task(*args):
+        assert TaskContext.get() is not None, "built on the driver"
+        return build(*args)
+
+    monkeypatch.setattr(ppm.Trie, "build", staticmethod(in_a_task))
+    assert ppm.score_documents(docs, use, part_grams=20).count() == 32

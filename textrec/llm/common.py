@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.fs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,4 +61,37 @@ def load_array(name: str, part: str) -> np.ndarray:
         return np.load(path)
 
 
-__all__ = ["ASCII_UPPER", "ascii_lower", "load_array", "parts", "read", "scratch", "ship_arrays", "stored"]
+def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that all executors share, and the folder's name there."""
+    local = re.sub(r"^file:/+", "/", path)
+    return (pyarrow.fs.LocalFileSystem(), local) if local.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
+
+
+def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes arrays to a new shared folder; for tasks, whose arrays the driver then never holds."""
+    system, at = _place(folder)
+    system.create_dir(at)
+    for part, values in arrays.items():
+        with system.open_output_stream(f"{at}/{part}.npy") as out:
+            np.save(out, values)
+
+
+def open_array(folder: str, part: str) -> np.ndarray:
+    """One of the arrays in a shared folder, mapped; from a store that cannot be mapped an executor copies it once."""
+    system, at = _place(folder)
+    path = f"{at}/{part}.npy"
+    if not isinstance(system, pyarrow.fs.LocalFileSystem):
+        path, source = os.path.join(SparkFiles.getRootDirectory(), f"{os.path.basename(at)}-{part}.npy"), path
+        if not os.path.exists(path):
+            own = f"{path}-{uuid.uuid4().hex}"
+            with system.open_input_stream(source) as data, open(own, "wb") as out:
+                while block := data.read(1 << 20):
+                    out.write(block)
+            os.replace(own, path)
+    try:
+        return np.load(path, mmap_mode="r")
+    except ValueError:  # an empty array cannot be mapped
+        return np.load(path)
+
+
+__all__ = ["ASCII_UPPER", "ascii_lower", "load_array", "open_array", "parts", "read", "save_arrays", "scratch", "ship_arrays", "stored"]

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrec.llm.common import load_array, scratch, ship_arrays, stored
+from textrec.llm.common import open_array, save_arrays, scratch, stored
 
 # Longest context in bytes; contexts and symbol together fit a long.
 ORDER = 5
@@ -114,6 +116,35 @@ def count_grams(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     return made.groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Which part of the trie a context is in, by as many of its last bytes as keep parts small.
+
+    ``leaves`` has for each number of bytes the endings, sorted, and their parts;
+    no ending is the ending of another. ``shared`` has the entries of contexts so
+    short that they are cut between parts; every part holds these whole.
+    """
+
+    parts: int
+    leaves: list[tuple[np.ndarray, np.ndarray]]
+    shared: list[tuple[np.ndarray, np.ndarray]]
+
+    @property
+    def depth(self) -> int:
+        return len(self.leaves)
+
+    def part_of(self, contexts: np.ndarray) -> np.ndarray:
+        """Endings that the corpus never had are in the first part: what is known of them is in all."""
+        out = np.zeros(len(contexts), np.int32)
+        for depth, (endings, numbers) in enumerate(self.leaves, 1):
+            if len(endings):
+                own = contexts & ((1 << (8 * depth)) - 1)
+                at = np.minimum(np.searchsorted(endings, own), len(endings) - 1)
+                hit = endings[at] == own
+                out[hit] = numbers[at[hit]]
+        return out
+
+
 class Trie:
     """Contexts of up to ``order`` bytes with the logarithms that scoring needs.
 
@@ -126,8 +157,19 @@ class Trie:
     """
 
     @staticmethod
-    def build(codes: np.ndarray, counts: np.ndarray, singles: np.ndarray, order: int, whole: bool = True) -> dict[str, np.ndarray]:
-        """Arrays of the trie of these grams; ``singles`` counts each symbol in the whole corpus."""
+    def build(
+        codes: np.ndarray,
+        counts: np.ndarray,
+        singles: np.ndarray,
+        order: int,
+        whole: bool = True,
+        shared: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    ) -> dict[str, np.ndarray]:
+        """Arrays of the trie of these grams; ``singles`` counts each symbol in the whole corpus.
+
+        ``shared`` has for contexts of one byte, two and so on the entries, with
+        counts in the whole corpus, of those that are cut between parts.
+        """
         out: dict[str, np.ndarray] = {}
         symbols = np.flatnonzero(singles)
         alphabet = np.full(256, -1, np.int64)
@@ -139,6 +181,12 @@ class Trie:
             else:
                 own, at = np.unique(codes & ((1 << (8 * length)) - 1), return_inverse=True)
                 n = np.bincount(at, counts, len(own)).astype(np.int64)
+                if length - 2 < len(shared or []):
+                    more, more_n = shared[length - 2]
+                    others = ~np.isin(own >> 8, more >> 8)
+                    own, n = np.concatenate([own[others], more]), np.concatenate([n[others], more_n])
+                    by_code = np.argsort(own)
+                    own, n = own[by_code], n[by_code]
             entry_code.append(own)
             entry_n.append(n)
         parents, owner = [], []
@@ -240,13 +288,19 @@ class Trie:
             left, place, slot = left[more], place[more], (slot[more] + 1) & ((1 << bits) - 1)
         return found
 
-    def _contexts(self, symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
-        """The context of ``level`` bytes that ends at each place, looked up by these bytes."""
+    @staticmethod
+    def _endings(symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
+        """The ``level`` bytes that end at each place, backward."""
         at = np.arange(len(symbols))
         since = at - np.maximum.accumulate(np.where(begins, at, 0))
         code = np.zeros(len(symbols), np.int64)
         for j in range(level):
             code |= np.where(since > j, symbols[at - np.minimum(j, since)], END[0]).astype(np.int64) << (8 * j)
+        return code
+
+    def _contexts(self, symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
+        """The context of ``level`` bytes that ends at each place, looked up by these bytes."""
+        code = self._endings(symbols, begins, level)
         parents = self.parents[level]
         if not len(parents):
             return np.zeros(len(symbols), np.int32)
@@ -287,8 +341,8 @@ class Trie:
         out[cut] += self.chain[top] - self.chain[above] + self.escape[top] - self.left_out[above]
         return out
 
-    def scores(self, texts: list[bytes], wanted: np.ndarray | None = None) -> np.ndarray:
-        """log10 of the chance of each text, or of those of its symbols whose last context byte is ``wanted``."""
+    def scores(self, texts: list[bytes], cut: Cut | None = None, number: int = 0) -> np.ndarray:
+        """log10 of the chance of each text, or of those of its symbols whose context is in this part of the ``cut``."""
         out = np.zeros(len(texts))
         waiting: list[tuple[int, bytes, int]] = []
         size = 0
@@ -302,8 +356,9 @@ class Trie:
             logs = self.symbol_logs(joined, begins)
             owner = np.repeat([i for i, *_ in waiting], lengths - 1)
             counted = np.concatenate([np.arange(len(piece)) >= skip for _, piece, skip in waiting])
-            if wanted is not None:
-                counted &= wanted[joined[np.flatnonzero(~begins) - 1]]
+            if cut is not None:
+                before = self._endings(joined, begins, cut.depth)[np.flatnonzero(~begins) - 1]
+                counted &= cut.part_of(before) == number
             out[:] += np.bincount(owner[counted], logs[counted], len(texts))
 
         for i, text in enumerate(texts):
@@ -326,39 +381,66 @@ def log_chance(count: Column | float, tokens: float, distinct: float):
     return F.log10(share) if isinstance(share, Column) else math.log10(share)
 
 
-def _parts(spark: SparkSession, counts: DataFrame, order: int, part_grams: int) -> Iterator[tuple[str, np.ndarray | None]]:
-    """The name of each part of the trie and the last context bytes it is for (None: all)."""
-    sizes = counts.groupBy(F.shiftright("gram", 8).bitwiseAND(255).cast("int").alias("last")).agg(F.count("*").alias("n")).collect()
+def _cut(counts: DataFrame, order: int, part_grams: int) -> Cut:
+    """Parts of at most ``part_grams`` grams. The driver gets a count for each ending that is looked at."""
+    context = F.shiftright("gram", 8)
+    left, found, shared = counts, [], []
+    for depth in range(1, order + 1):
+        ending = context.bitwiseAND(F.lit((1 << (8 * depth)) - 1))
+        sizes = left.groupBy(ending.alias("ending")).agg(F.count("*").alias("n")).collect()
+        crowded = [r["ending"] for r in sizes if r["n"] > part_grams and depth < order]
+        found += [(r["ending"].to_bytes(depth, "little"), r["n"]) for r in sizes if r["n"] <= part_grams or depth == order]
+        if not crowded:
+            break
+        left = left.where(ending.isin(crowded))
+        code = F.col("gram").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1))
+        entries = sorted(left.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).collect())
+        shared.append((np.array([r["code"] for r in entries], np.int64), np.array([r["n"] for r in entries], np.int64)))
+    number = held = 0
+    leaves: list[list[tuple[int, int]]] = [[] for _ in range(max((len(e) for e, _ in found), default=0))]
+    for i, (ending, n) in enumerate(sorted(found)):
+        if i and held + n > part_grams:
+            number, held = number + 1, 0
+        leaves[len(ending) - 1].append((int.from_bytes(ending, "little"), number))
+        held += n
+    tables = [tuple(np.array(sorted(x), np.int64).reshape(-1, 2).T) for x in leaves]
+    return Cut(number + 1, tables, shared)
+
+
+def _parts(counts: DataFrame, order: int, cut: Cut) -> list[tuple[int, str]]:
+    """The number and the shared folder of each part of the trie, built by tasks."""
+    spark = counts.sparkSession
     singles = np.zeros(256, np.int64)
     for row in counts.groupBy(F.col("gram").bitwiseAND(255).cast("int").alias("symbol")).agg(F.sum("n").alias("n")).collect():
         singles[row["symbol"]] = row["n"]
-    groups: list[list[int]] = [[]]
-    held = 0
-    for row in sorted(sizes, key=lambda r: r["last"]):
-        if groups[-1] and held + row["n"] > part_grams:
-            groups.append([])
-            held = 0
-        groups[-1].append(row["last"])
-        held += row["n"]
-    for number, group in enumerate(groups):
-        some = counts.where(F.shiftright("gram", 8).bitwiseAND(255).isin(group)) if len(groups) > 1 else counts
-        table = some.select("gram", "n").toArrow()
-        codes, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        wanted = None
-        if len(groups) > 1:
-            wanted = np.isin(np.arange(256), group)
-            if number == 0:  # bytes that the corpus never had as a context
-                wanted |= ~np.isin(np.arange(256), [b for g in groups for b in g])
-        yield ship_arrays(spark, Trie.build(codes, n, singles, order, wanted is None)), wanted
-
-
-def load_trie(name: str, order: int, whole: bool) -> Trie:
+    folder = scratch(spark, "trie")
+
+    def written(codes: np.ndarray, n: np.ndarray) -> str:
+        own = f"{folder}/{uuid.uuid4().hex}"  # a repeated task writes another one
+        save_arrays(own, Trie.build(codes, n, singles, order, cut.parts == 1, cut.shared))
+        return own
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = cut.part_of(batch.column("gram").to_numpy() >> 8)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", "gram", "n"])
+
+    def build(table: pa.Table) -> pa.Table:
+        own = written(table.column("gram").to_numpy(), table.column("n").to_numpy())
+        return pa.table({"part": table.column("part").slice(0, 1), "folder": pa.array([own])})
+
+    dealt = counts.select("gram", "n").mapInArrow(deal, "part int, gram long, n long")
+    made = dealt.groupBy("part").applyInArrow(build, "part int, folder string").collect()
+    return [(r["part"], r["folder"]) for r in made] or [(0, written(np.zeros(0, np.int64), np.zeros(0, np.int64)))]
+
+
+def load_trie(folder: str, order: int, whole: bool) -> Trie:
     """A part of the trie on an executor, mapped into memory."""
     levels = range(order + 1)
-    arrays = {k: load_array(name, k) for k in [*NAMES, "entry_base", "context_base", *[f"children{i}" for i in levels], *[f"context{i}" for i in range(order)]]}
+    arrays = {k: open_array(folder, k) for k in [*NAMES, "entry_base", "context_base", *[f"children{i}" for i in levels], *[f"context{i}" for i in range(order)]]}
     for part in [f"{x}{level}" for level in levels for x in ("keys", "parents")]:
         try:
-            arrays[part] = load_array(name, part)
+            arrays[part] = open_array(folder, part)
         except FileNotFoundError:  # dense levels have no keys, and a whole trie needs no parents
             pass
     return Trie(arrays, order, whole)
@@ -385,9 +467,10 @@ def score_documents(
     looked at; an empty table gives no rows. Without training rows every symbol
     has the chance 1/256, and every word that of one unseen.
 
-    The trie reaches the executors in parts of about ``part_grams`` entries, cut
-    by the last byte of the context and mapped into memory; every text is scored
-    against one after the other.
+    The trie is built by tasks, in parts of at most ``part_grams`` contexts and
+    symbols, cut by as many of a context's last bytes as that takes. Tasks write
+    the parts to the shared folder and map them into memory; every text is
+    scored against one after the other. The driver gets counts and names.
     Counts of at most ``frequent`` words go to every worker; the others are joined.
     """
     if not 1 <= order <= 6:
@@ -408,7 +491,9 @@ def score_documents(
     table = common.toArrow()
     sent = spark.sparkContext.broadcast(dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist())))
     unseen = log_chance(0, tokens, distinct)
-    parts = list(_parts(spark, learned.where(F.col("gram").isNotNull()), order, part_grams))
+    known_grams = learned.where(F.col("gram").isNotNull())
+    cut = _cut(known_grams, order, part_grams)
+    parts = _parts(known_grams, order, cut)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row long, n_tokens long, n_known long, base_score double, score double, others array<struct<word:binary,n:long>>"
@@ -416,7 +501,7 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, at = sent.value, TaskContext.get().partitionId() << 33
         chances = {w: log_chance(n, tokens, distinct) for w, n in counts.items()}
-        tries = [(load_trie(name, order, wanted is None), wanted) for name, wanted in parts]
+        tries = [(load_trie(folder, order, cut.parts == 1), number) for number, folder in sorted(parts)]
         kinds = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
@@ -436,7 +521,7 @@ def score_documents(
                             base += n * chance
                     for column, value in zip(columns, (len(own), known, base, others)):
                         column.append(value)
-                score = sum((trie.scores(texts, wanted) for trie, wanted in tries), np.zeros(len(texts)))
+                score = sum((trie.scores(texts, cut if cut.parts > 1 else None, number) for trie, number in tries), np.zeros(len(texts)))
                 n_tokens, n_known, base_score, others = columns
                 arrays = [
                     some.column("id"),
