@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textrec.llm import packing
 
@@ -36,6 +38,19 @@ def test_few_bins(shape):
     assert bins <= 1.01 * least + 2
 
 
+def test_many_group_lengths_beside_a_session(spark):
+    """All 128 groups have lengths of their own; the solver runs in the driver of a session that has worked."""
+    assert spark.range(10).count() == 10
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.pmod(F.xxhash64("id"), F.lit(1349)) + 700).alias("length"), F.lit(0).alias("slot")
+    )
+    pieces = docs.withColumn("place", F.row_number().over(Window.partitionBy("length").orderBy("doc_id")) - 1)
+    got = packing.pack_pieces(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    bins, tokens, most, gaps = got.agg(F.count("*"), F.sum("n"), F.max("n"), F.count_if(F.col("n") != F.col("end"))).first()
+    large = docs.where("length > 1024").count()
+    assert most <= 2048 and gaps == 0 and bins <= 1.01 * max(large, tokens / 2048) + 2
+
+
 def test_equal_groups_of_one_length_and_leftovers():
     for counts in ({}, {5: 0}, {2048: 3}, {300: 1}, {300: 7, 1748: 7, 1: 9}, {1025: 10, 1023: 10}):
         assert unpacked(packing.pack_lengths(counts), counts, 2048) >= 0

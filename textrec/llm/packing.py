@@ -123,7 +123,23 @@ def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) ->
         if item[room] >= 0:
             out[item[room]] += 1
             room -= int(sizes[item[room]])
-    return float(worth @ out), out
+    return float((worth * out).sum()), out
+
+
+# Exchanges of a column after which the basis' inverse is made exact again.
+REFINE_AFTER = 64
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product by plain sums: the driver calls no threaded BLAS or LAPACK, which may wait for ever beside Spark."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _refined(inverse: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The inverse after a Newton step, which squares what rounding has left of ``1 - basis * inverse``."""
+    error = -np.einsum("ij,jk->ik", basis, inverse)
+    error[np.diag_indices_from(error)] += 1
+    return inverse + np.einsum("ij,jk->ik", inverse, error)
 
 
 def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -131,18 +147,25 @@ def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> list
 
     The linear program over all configurations is solved by column generation,
     with a knapsack for the next column; the solution is rounded down, so a few
-    of each size may be left over.
+    of each size may be left over. The basis' inverse is kept in product form:
+    a new column changes it by a matrix of rank one.
     """
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(20 * len(sizes) + 200):
-        inverse = np.linalg.inv(basis)
+    inverse = np.diag(1.0 / (capacity // sizes))
+    for turn in range(1, 20 * len(sizes) + 200):
         worth, column = _best_configuration(sizes, inverse.sum(axis=0), capacity)
         if worth <= 1 + 1e-7:
             break
-        used, step = inverse @ wanted, inverse @ column
+        used, step = _times(inverse, wanted), _times(inverse, column)
         ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    used = np.floor(np.linalg.solve(basis, wanted) + 1e-6).astype(np.int64)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= step[:, None] * row
+        inverse[out] = row
+        if turn % REFINE_AFTER == 0:
+            inverse = _refined(inverse, basis)
+    used = np.floor(_times(_refined(inverse, basis), wanted) + 1e-6).astype(np.int64)
     left, out = wanted.astype(np.int64).copy(), []
     for j in np.argsort(-used):
         column = np.rint(basis[:, j]).astype(np.int64)
