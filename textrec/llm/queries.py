@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textrec.llm.registry import QUERIES
 
-NAMES = ["dedup", "data", "text", "runs"]
+NAMES = ["dedup", "data", "text", "runs", "vectors"]
 
 for _name in NAMES:
     import_module(f"textrec.llm.query_{_name}")
