@@ -1,10 +1,13 @@
-"""Queries over embeddings: near-duplicates."""
+"""Queries over embeddings: near-duplicates, whitening."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textrec.llm.common import read
 from textrec.llm.embeddings import near_vectors
 from textrec.llm.registry import query
+from textrec.llm.whitening import whitened
 
 
 @query("""WITH RECURSIVE whole AS (
@@ -22,3 +25,10 @@ FROM whole JOIN found ON found.a = r LEFT JOIN counted ON counted.a = r""")
 def op11_vectors(spark, folder):
     """Links and component of every vector."""
     return near_vectors(read(spark, folder, "embeddings"))
+
+
+@query()
+def op13_whitening(spark, folder):
+    """Every vector on the 32 leading components, whitened."""
+    made = whitened(read(spark, folder, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
