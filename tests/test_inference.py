@@ -1,3 +1,6 @@
+import uuid
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,22 +113,78 @@ def test_replies_are_kept(prompts):
     assert by_id(i.write_back(i.ensure_columns(prompts, {}, i.TOKENS), replies, "row_id"))[1] == ("abc", "cba", 3, 3, 6)
 
 
-def test_a_named_run_asks_only_what_is_missing(spark, tmp_path):
-    def call(talks, *_):
+@pytest.fixture
+def recorded(tmp_path):
+    """A backend that notes every prompt, and a function that gives the prompts noted so far."""
+
+    def call(talks, system, max_tokens, temperature):
         with open(f"{tmp_path}/asked", "a") as out:
-            out.writelines(t[-1]["content"] + "\n" for t in talks)
+            out.writelines(f"{system}|{t[-1]['content']}\n" for t in talks)
         if any("bad" in t[-1]["content"] for t in talks):
             raise ValueError("bad prompt")
-        return [("ok", {"total_tokens": 1})] * len(talks)
+        return [(f"{system} {max_tokens} {t[-1]['content'].upper()}", {"total_tokens": 1}) for t in talks]
 
-    name = tmp_path.name
-    some = spark.createDataFrame([(1, "one"), (2, "bad")], "row_id int, prompt string")
-    more = spark.createDataFrame([(1, "one"), (2, "now fine"), (3, "three")], "row_id int, prompt string")
-    first = i.ask_model(some, "row_id", i.Backend(call), run=name, batch_size=1)
-    assert {r["row_id"]: r["error"] for r in first.collect()} == {1: None, 2: "ValueError: bad prompt"}
-    again = i.ask_model(more, "row_id", i.Backend(call), run=name, batch_size=1)
-    assert {r["row_id"]: (r["reply"], r["error"]) for r in again.collect()} == {k: ("ok", None) for k in (1, 2, 3)}
-    assert sorted(open(f"{tmp_path}/asked").read().split("\n")[:-1]) == ["bad", "now fine", "one", "three"]
+    def noted():
+        path = tmp_path / "asked"
+        lines = sorted(path.read_text().split("\n")[:-1]) if path.exists() else []
+        path.unlink(missing_ok=True)
+        return lines
+
+    return i.Backend(call), noted
+
+
+@pytest.fixture
+def run_name():
+    return f"run-{uuid.uuid4().hex}"
+
+
+SAY = {"system": "s", "max_tokens": 5, "batch_size": 1}
+
+
+def test_a_named_run_asks_only_what_is_missing(spark, recorded, run_name):
+    backend, noted = recorded
+    ask = lambda rows: {r["row_id"]: r["reply"] or r["error"] for r in i.ask_model(spark.createDataFrame(rows, "row_id int, prompt string"), "row_id", backend, run=run_name, **SAY).collect()}
+    assert ask([(1, "one"), (2, "bad"), (3, None)]) == {1: "s 5 ONE", 2: "ValueError: bad prompt", 3: None}
+    assert noted() == ["s|bad", "s|one"]
+    # A failed prompt is asked again, good ones are not, under whatever key.
+    assert ask([(7, "one"), (2, "bad"), (4, "two"), (5, "two")]) == {7: "s 5 ONE", 2: "ValueError: bad prompt", 4: "s 5 TWO", 5: "s 5 TWO"}
+    assert noted() == ["s|bad", "s|two"]
+    assert ask([]) == {} and noted() == []
+
+
+def test_what_changed_is_asked_again(spark, recorded, run_name):
+    backend, noted = recorded
+    one = lambda prompt, used=backend, **options: i.ask_model(spark.createDataFrame([(0, prompt)], "row_id int, prompt string"), "row_id", used, run=run_name, **{**SAY, **options}).first()["reply"]
+    assert one("old prompt") == "s 5 OLD PROMPT" and one("new prompt") == "s 5 NEW PROMPT"
+    assert one("old prompt", system="t") == "t 5 OLD PROMPT" and one("old prompt", max_tokens=6) == "s 6 OLD PROMPT"
+    assert one("old prompt", temperature=0.5) == one("old prompt", used=replace(backend, name="other")) == "s 5 OLD PROMPT"
+    assert noted() == sorted(["s|old prompt"] * 4 + ["s|new prompt", "t|old prompt"])
+    # Sizes of calls and numbers of callers do not make another question.
+    assert one("old prompt", batch_size=9, partitions=2) == "s 5 OLD PROMPT" and one("new prompt") == "s 5 NEW PROMPT"
+    assert noted() == []
+    with pytest.raises(ValueError):
+        i.ask_model(spark.range(1).selectExpr("id", "'x' as prompt"), "id", backend, run="a/b")
+
+
+def test_a_column_is_completed_from_kept_replies(spark, prompts, recorded, run_name):
+    backend, noted = recorded
+    complete = lambda df: by_id(i.complete_prompts(df, "mine", {"mine": backend}, error_col="error", run=run_name, **SAY))
+    first = complete(prompts)
+    assert first == by_id(i.complete_prompts(prompts, "mine", {"mine": backend}, error_col="error", **SAY))
+    assert noted().count("s|abc") == 2
+    more = prompts.union(spark.createDataFrame([(9, "abc", None), (10, "xyz", None)], "row_id int, prompt string, response string"))
+    again = complete(more)
+    assert noted() == ["s|bad", "s|xyz"]
+    assert {k: again[k] for k in first} == first and again[9][1] == first[1][1] and again[10][1] == "s 5 XYZ"
+
+
+def test_many_rows_with_one_prompt(spark, recorded, run_name):
+    """A third of all rows ask the same; it is asked once."""
+    backend, noted = recorded
+    df = spark.range(900).select("id", F.expr("if(id % 3 = 0, 'same', concat('p', id))").alias("prompt")).repartition(8)
+    got = {r["id"]: r["reply"] for r in i.ask_model(df, "id", backend, run=run_name, **{**SAY, "batch_size": 64}).collect()}
+    assert got == {k: "s 5 SAME" if k % 3 == 0 else f"s 5 P{k}" for k in range(900)}
+    assert len(noted()) == 601
 
 
 def test_messages(spark):

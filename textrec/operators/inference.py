@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from textrec.functions.columns import ensure_columns
-from textrec.session import shared_folder, stored
+from textrec.operators.kept import keep_replies, kept_replies, prompt_digest
+from textrec.session import stored
 
 Messages = list[dict[str, str]]
 Reply = tuple[str | None, Mapping[str, int] | None]
@@ -36,10 +36,12 @@ class Backend:
     ``call(conversations, system, max_tokens, temperature)`` returns one reply
     and its token usage per conversation. With ``inline_system`` the system
     prompt is the first message of each conversation and ``system`` is None.
+    ``name`` tells models apart in the replies that a named run keeps.
     """
 
     call: Callable[[list[Messages], str | None, int, float], list[Reply]]
     inline_system: bool = False
+    name: str = ""
 
 
 def build_messages(turns: Column | str, system: str | None = None, inline: bool = False) -> Column:
@@ -127,31 +129,41 @@ def answered(
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
+def _with_digest(df: DataFrame, backend: Backend, prompt_col: str, options: Mapping) -> DataFrame:
+    setting = {"system": SYSTEM, "max_tokens": MAX_TOKENS, "temperature": TEMPERATURE, **options}
+    asked = [setting[name] for name in ("system", "max_tokens", "temperature")]
+    return df.withColumn("_digest", prompt_digest(F.col(prompt_col), backend.name, backend.inline_system, *asked))
+
+
+def _kept_answers(asked: DataFrame, backend: Backend, prompt_col: str, run: str, options: Mapping) -> DataFrame:
+    """``asked``, which has a ``_digest``, with the ``_reply`` and so on that the run keeps, after asking for those it lacks."""
+    spark = asked.sparkSession
+    good = kept_replies(spark, run).where(F.col("error").isNull()).select(F.col("digest").alias("_digest"))
+    wanted = asked.where(F.col("_digest").isNotNull()).select("_digest", prompt_col).dropDuplicates(["_digest"])
+    new = answered(wanted.join(good, "_digest", "left_anti"), backend, prompt_col, **options)
+    keep_replies(new.select(F.col("_digest").alias("digest"), *[F.col(f"_{c}").alias(c) for c in REPLY_COLUMNS]), run)
+    had = kept_replies(spark, run).select(F.col("digest").alias("_digest"), *[F.col(c).alias(f"_{c}") for c in REPLY_COLUMNS])
+    return asked.join(had, "_digest", "left").drop("_digest")
+
+
 def ask_model(
     df: DataFrame, key: str, backend: Backend, prompt_col: str = "prompt", run: str | None = None, **options
 ) -> DataFrame:
     """``(key, reply, 3 token counts, error)`` for every prompt; keys must be unique.
 
     Replies are written once under their key, so a later failure does not call
-    the model again. With the name of a ``run`` they are kept under it, and the
-    same run asks only for keys that have no reply yet, or a failed one.
+    the model again. With the name of a ``run`` they are kept under a digest of
+    the model's name, system prompt, settings and prompt. The same run then asks
+    only for what it has no good reply to, whatever the keys; a prompt or setting
+    that changed is asked for, and equal prompts are asked once.
     """
     kept = [F.col(f"_{c}").alias(c) for c in REPLY_COLUMNS]
     prompts = df.select(key, prompt_col)
     if run is None:
         return stored(answered(prompts, backend, prompt_col, **options).select(key, *kept), "replies")
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/textrec/replies-of-{run}"
-    fields = [prompts.schema[key], *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in REPLY_COLUMNS.items())).fields]
-    replies = spark.createDataFrame([], T.StructType(fields))
-    # So that the folder is there to be read, with or without replies.
-    replies.write.mode("append").parquet(path)
-    had = spark.read.schema(replies.schema).parquet(path).where(F.col("error").isNull())
-    missing = prompts.join(had.select(key), key, "left_anti")
-    answered(missing, backend, prompt_col, **options).select(key, *kept).write.mode("append").parquet(path)
-    best = Window.partitionBy(key).orderBy(F.col("error").isNotNull())
-    every = spark.read.schema(replies.schema).parquet(path).join(prompts.select(key), key, "left_semi")
-    return every.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
+    # Written first: prompts are read to find those that are new and again for their replies.
+    asked = stored(_with_digest(prompts, backend, prompt_col, options), "prompts")
+    return _kept_answers(asked, backend, prompt_col, run, options).select(key, *kept)
 
 
 def _filled(df: DataFrame, columns: list[str], result_col: str, error_col: str | None) -> DataFrame:
@@ -180,6 +192,7 @@ def complete_prompts(
     prompt_col: str = "prompt",
     result_col: str = "response",
     error_col: str | None = None,
+    run: str | None = None,
     **options,
 ) -> DataFrame:
     """Reply and token counts for every row.
@@ -187,12 +200,19 @@ def complete_prompts(
     A row with a null prompt, an empty reply or a failed call keeps its earlier
     result and null counts. An unknown backend name gives the table with the
     columns added and nothing filled in. ``options`` are those of ``answered``.
-    The result is written once, so that no use of it calls the model again.
+    The result is written once, so that no use of it calls the model again. With
+    the name of a ``run`` replies are kept and asked for as in ``ask_model``.
     """
     ready = ensure_columns(df, keep={result_col: "string"}, reset=TOKENS)
     if backend not in backends:
         return ensure_columns(ready, {}, {error_col: "string"}) if error_col else ready
-    rows = answered(ready, backends[backend], prompt_col, **options)
+    chosen = backends[backend]
+    if run is None:
+        rows = answered(ready, chosen, prompt_col, **options)
+    else:
+        chosen = replace(chosen, name=chosen.name or backend)
+        asked = stored(_with_digest(ready, chosen, prompt_col, options), "prompts")
+        rows = _kept_answers(asked, chosen, prompt_col, run, options)
     return stored(_filled(rows, ready.columns, result_col, error_col), "completed")
 
 

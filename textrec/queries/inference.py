@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textrec.operators.inference import (
     TOKENS,
+    ask_model,
     build_messages,
     complete_prompts,
     usage_totals,
     write_back,
 )
 from textrec.functions.columns import ensure_columns
+from textrec.operators.kept import kept_replies
 from textrec.plans.evidence import evidence_table, summarise_documents
 from textrec.queries.inputs import PAGES_SQL, pages, read, strip_sql
 from textrec.queries.registry import query
 from textrec.queries.standins import BACKENDS
+from textrec.session import stored
 
 SYSTEM = "Answer in one word."
 
@@ -73,6 +78,20 @@ def unknown_backend(spark, folder):
     return complete_prompts(prompts(spark, folder), "no such model", BACKENDS)
 
 
+@query("""WITH said AS (SELECT conv_id, turn, text FROM conversations),
+early AS (SELECT DISTINCT text FROM said WHERE turn < 2 AND text IS NOT NULL)
+SELECT conv_id, turn, md5('Again.|9|0.0|' || said.text) AS reply, length(said.text) AS prompt_tokens, early.text IS NOT NULL AS had
+FROM said LEFT JOIN early ON early.text = said.text""")
+def resumed_run(spark, folder):
+    """A run stopped after the first turns and started again over all; ``had`` tells whose reply was there by then."""
+    run, asked = f"resumed-{uuid.uuid4().hex}", {"system": "Again.", "max_tokens": 9, "temperature": 0.0}
+    said = read(spark, folder, "conversations").select(F.struct("conv_id", "turn").alias("place"), F.col("text").alias("prompt"))
+    ask_model(said.where("place.turn < 2"), "place", BACKENDS["instructed"], run=run, **asked)
+    before = stored(kept_replies(spark, run).where("error IS NULL").select("reply", F.lit(True).alias("had")), "before")
+    replies = ask_model(said, "place", BACKENDS["instructed"], run=run, **asked).join(before, "reply", "left")
+    return replies.select("place.conv_id", "place.turn", "reply", "prompt_tokens", F.coalesce("had", F.lit(False)).alias("had"))
+
+
 @query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'good' ELSE lang END AS response,
     CASE WHEN quality = 1 AND toxic = 0 THEN 1::BIGINT END AS prompt_tokens,
     CASE WHEN quality = 1 AND toxic = 0 THEN 2::BIGINT END AS completion_tokens,
