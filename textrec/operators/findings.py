@@ -37,8 +37,9 @@ def with_titles(df: DataFrame, titles: DataFrame, key: str = "question_num", tit
 def findings_by_question(findings: DataFrame) -> DataFrame:
     """``(question_num, findings)``: the findings of a question in order, a row for each question.
 
-    A null question number is a group of its own. The list is what a prompt on
-    the question holds, so its size is bounded by the model's input.
+    A null question number is a group of its own. For callers who want a list: a
+    row holds all findings of a question. ``indexed_findings`` of ``plans.themes``
+    is the long form, which the reports and the themes are made from.
     """
     fields = F.struct("batch", "pos", *FINDING_FIELDS, "raw")
     return findings.groupBy("question_num").agg(F.array_sort(F.collect_list(fields)).alias("findings"))

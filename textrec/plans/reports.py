@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textrec.operators.findings import with_titles
 from textrec.operators.tables import concat_tables
 from textrec.operators.texts import rendered
+from textrec.plans.themes import Themes
 
 # The lines of a Markdown report.
 HEADING = "# {heading}"
@@ -27,6 +28,8 @@ COUNT_KEYS = ["total_documents", "relevant_documents", "total_findings"]
 CRITERIA_KEY = "filter_criteria"
 QUESTIONS_KEY = "questions"
 CLUSTERS_KEY = "clusters"
+INDICES_KEY = "finding_indices"
+QUOTES_KEY = "key_quotes"
 RAW_KEY = "raw_findings"
 
 # Columns that put report lines in order.
@@ -53,16 +56,12 @@ def _lines(rows: DataFrame, lines: list[Column | str], section: int, block: int
     )
 
 
-def _each_cluster(clusters: DataFrame) -> DataFrame:
-    return clusters.select("question_num", F.posexplode("clusters").alias("item", "c"))
-
-
 def _text(template: str, **values: str) -> Column:
     return rendered(template, **{n: F.col(c) for n, c in values.items()})
 
 
 def markdown_report(
-    totals: DataFrame, clusters: DataFrame, titles: DataFrame, heading: str, criteria: str, summary: str
+    totals: DataFrame, themes: Themes, titles: DataFrame, heading: str, criteria: str, summary: str
 ) -> DataFrame:
     """Totals, then by question its title, themes, summaries and quotes.
 
@@ -78,12 +77,12 @@ def markdown_report(
         *summary.split("\n"),
         "",
     ]
-    titled = with_titles(clusters.select("question_num").distinct(), titles)
+    titled = with_titles(themes.questions, titles)
     heads = ["", _text(QUESTION_HEADING, number="question_num", title="title"), ""]
-    each = _each_cluster(clusters)
+    each = themes.themes
     place = {"question_num": "question_num", "item": "item"}
-    theme = [_text(THEME_HEADING, x="c.theme"), "", _text("{x}", x="c.summary"), "", QUOTES_HEADING]
-    quotes = each.select("*", F.posexplode("c.key_quotes").alias("step", "quote"))
+    theme = [_text(THEME_HEADING, x="theme"), "", _text("{x}", x="summary"), "", QUOTES_HEADING]
+    quotes = each.select("*", F.posexplode("key_quotes").alias("step", "quote"))
     last = each.withColumn("step", F.lit(2**31 - 1))
     return concat_tables(
         _lines(totals, top, 0),
@@ -94,11 +93,12 @@ def markdown_report(
     )
 
 
-def json_report(totals: DataFrame, clusters: DataFrame, by_question: DataFrame, criteria: str) -> DataFrame:
-    """One nested JSON document: totals, then by clustered question its clusters and raw findings.
+def json_report(totals: DataFrame, themes: Themes, indexed: DataFrame, criteria: str) -> DataFrame:
+    """One nested JSON document: totals, then by answered question its clusters and raw findings.
 
-    Each cluster and finding is a line of its own; a finding is as its reply gave
-    it. ``by_question`` is the output of ``findings_by_question``.
+    The head and the tail of a cluster, every finding that belongs to it and every
+    raw finding are lines of their own, so no line grows with a question; a
+    finding is as its reply gave it. ``indexed`` is the output of ``indexed_findings``.
     """
 
     def quoted(value: Column) -> Column:
@@ -121,26 +121,34 @@ def json_report(totals: DataFrame, clusters: DataFrame, by_question: DataFrame,
         """The first line of a list has no comma before it."""
         return F.concat(F.when(is_first, "").otherwise(","), line)
 
-    asked = clusters.select("question_num").distinct()
+    asked = themes.questions
     number = F.coalesce(F.col("question_num"), F.lit(-1))
     first_asked = number == asked.agg(F.min(number)).scalar()
     name = F.coalesce(F.col("question_num").cast("string"), F.lit("null"))
     opening = F.concat(F.lit('"'), name, F.lit(f'": {{"{CLUSTERS_KEY}": {{"{CLUSTERS_KEY}": ['))
 
-    each = _each_cluster(clusters)
+    # A cluster's object without its last brace, the list of its findings open.
+    fields = F.to_json(F.struct("theme", "summary"), KEEP_NULLS)
+    cluster = F.concat(F.substring(fields, F.lit(1), F.length(fields) - 1), F.lit(f',"{INDICES_KEY}":['))
+    quotes = F.coalesce(F.to_json("key_quotes"), F.lit("null"))
+    # The least finding of each theme has no comma before it.
+    least = themes.members.groupBy("question_num", "item").agg(F.min("idx").alias("_least"))
+    least = least.select(F.col("question_num").alias("_q"), F.col("item").alias("_i"), "_least")
+    members = themes.members.join(least, F.col("question_num").eqNullSafe(F.col("_q")) & (F.col("item") == F.col("_i")))
     wanted = asked.select(F.col("question_num").alias("_q"))
-    kept = by_question.join(wanted, F.col("question_num").eqNullSafe(F.col("_q")), "left_semi")
-    found = kept.select("question_num", F.posexplode("findings").alias("item", "f"))
-    first = F.col("item") == 0
+    found = indexed.join(wanted, F.col("question_num").eqNullSafe(F.col("_q")), "left_semi")
 
     at_question = {"question_num": "question_num"}
     at_item = {**at_question, "item": "item"}
+    last = themes.themes.withColumn("step", F.lit(2**31 - 1))
     return concat_tables(
         _lines(totals, head, 0),
         _lines(asked, [after(first_asked, opening)], 1, 0, **at_question),
-        _lines(each, [after(first, F.to_json("c", KEEP_NULLS))], 1, 1, **at_item),
+        _lines(themes.themes, [after(F.col("item") == 0, cluster)], 1, 1, **at_item),
+        _lines(members, [after(F.col("idx") == F.col("_least"), F.col("idx").cast("string"))], 1, 1, step="idx", **at_item),
+        _lines(last, [F.concat(F.lit(f'],"{QUOTES_KEY}":'), quotes, F.lit("}"))], 1, 1, step="step", **at_item),
         _lines(asked, [f']}}, "{RAW_KEY}": ['], 1, 2, **at_question),
-        _lines(found, [after(first, F.col("f.raw"))], 1, 3, **at_item),
+        _lines(found, [after(F.col("idx") == 0, F.col("raw"))], 1, 3, question_num="question_num", item="idx"),
         _lines(asked, ["]}"], 1, 4, **at_question),
         _lines(totals, ["}", "}"], 2),
     )

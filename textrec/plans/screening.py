@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrec.functions.replies import reply_clusters, reply_findings
+from textrec.functions.replies import reply_findings
 from textrec.operators.batching import assign_batches
 from textrec.operators.filters import docs_with_all, tag_matches
-from textrec.operators.findings import findings_by_question, question_list, report_totals
+from textrec.operators.findings import question_list, report_totals
 from textrec.operators.inference import Backend, ask_model
 from textrec.operators.texts import (
     MIN_PARAGRAPH_CHARS,
@@ -21,14 +21,14 @@ from textrec.operators.texts import (
     relevant_paragraphs,
     render_prompt,
 )
+from textrec.plans.themes import Themes, cluster_findings, indexed_findings
 from textrec.session import stored
 
 # Paragraphs per prompt and reply lengths.
 PARAGRAPHS_PER_PROMPT = 10
 ANALYSIS_TOKENS = 4000
-CLUSTER_TOKENS = 2000
 
-# The caller may pass templates of its own with the same names in braces.
+# The caller may pass a template of its own with the same names in braces.
 ANALYSIS_TEMPLATE = (
     "Read the paragraphs below and answer these questions:\n{questions}\n\n"
     "For every passage that answers one, give its exact words, its source and page, "
@@ -36,11 +36,6 @@ ANALYSIS_TEMPLATE = (
     'Reply with JSON only: {{"findings": [{{"question_num": 0, "quote": "", "source": "", '
     '"page": 0, "summary": ""}}]}}'
 )
-CLUSTER_TEMPLATE = (
-    "Sort these findings on question {question} into themes and summarise each theme:\n{findings}\n\n"
-    'Reply with JSON only: {{"clusters": [{{"theme": "", "summary": "", "finding_indices": [0], '
-    '"key_quotes": [""]}}]}}'
-)
 
 
 def question_json(questions: Mapping[int, str] | DataFrame) -> Column:
@@ -83,45 +78,13 @@ def analyse_batches(paras: DataFrame, questions: Mapping[int, str] | DataFrame,
     return reply_rows(ask_batches(paras, questions, backend, **options))
 
 
-def ask_themes(by_question: DataFrame, backend: Backend, template: str = CLUSTER_TEMPLATE, **options) -> DataFrame:
-    """``(question_num, reply, token counts, error)``: the model's themes for all findings of each question.
-
-    ``by_question`` is ``findings_by_question(findings)``. The prompt holds the
-    findings as their replies gave them.
-    """
-    keyed = by_question.select(
-        F.to_json(F.struct("question_num"), {"ignoreNullFields": "false"}).alias("key"),
-        "question_num",
-        F.concat(F.lit("["), F.array_join("findings.raw", ", "), F.lit("]")).alias("listed"),
-    )
-    prompts = render_prompt(keyed, template, question=F.col("question_num"), findings=F.col("listed"))
-    replies = ask_model(prompts, "key", backend, **{"max_tokens": CLUSTER_TOKENS, "temperature": 0.0, **options})
-    number = F.from_json("key", "question_num int")["question_num"]
-    return replies.withColumn("question_num", number).drop("key")
-
-
-def theme_rows(replies: DataFrame) -> DataFrame:
-    """``(question_num, clusters)``; a question whose reply holds no JSON object is left out."""
-    read = replies.select("question_num", reply_clusters("reply").alias("clusters"))
-    return read.where(F.col("clusters").isNotNull())
-
-
-def cluster_findings(by_question: DataFrame, backend: Backend, **options) -> DataFrame:
-    """``(question_num, clusters)``: one set of themes for each question.
-
-    ``finding_indices`` count from the question's first finding.
-    """
-    return theme_rows(ask_themes(by_question, backend, **options))
-
-
 @dataclass(frozen=True)
 class Screening:
-    """Tables of one run: tagged documents, findings, those by question, themes, totals, failed calls."""
+    """Tables of one run: tagged documents, findings with their place ``idx`` in their question, themes, totals, failed calls."""
 
     documents: DataFrame
     findings: DataFrame
-    by_question: DataFrame
-    clusters: DataFrame
+    themes: Themes
     totals: DataFrame
     errors: DataFrame
 
@@ -142,22 +105,23 @@ def screen_documents(
     """Documents that hold all ``terms``, what their paragraphs say on the questions, and its themes.
 
     ``finder_options`` are those of ``ask_batches``, ``clusterer_options`` those
-    of ``ask_themes``: system prompt, templates, call sizes, partitions and so
-    on. ``errors`` has ``(step, key, error)`` of every failed call. ``pages`` is
-    read twice. Pages extracted from files should be written to a table first,
-    as extraction would be repeated.
+    of ``cluster_findings``: system prompt, templates, call sizes, partitions, the
+    name of a run that keeps replies, and so on. ``errors`` has ``(step, key,
+    error)`` of every failed call; the key of a theme's call is the question, the
+    round and the part. ``pages`` is read twice. Pages extracted from files
+    should be written to a table first, as extraction would be repeated.
     """
     flags = docs_with_all(pages, terms)
     documents = tag_matches(docs, flags)
     paras = relevant_paragraphs(pages, flags, keywords, sep, min_len)
     found = ask_batches(paras, questions, finder, **(finder_options or {}))
-    findings = reply_rows(found)
-    by_question = findings_by_question(findings)
-    themed = ask_themes(by_question, clusterer, **(clusterer_options or {}))
+    findings = indexed_findings(reply_rows(found))
+    themes = cluster_findings(findings, clusterer, **(clusterer_options or {}))
 
-    def failed(replies: DataFrame, step: str, key: str) -> DataFrame:
+    def failed(replies: DataFrame, step: str, *key: str) -> DataFrame:
         rows = replies.where(F.col("error").isNotNull())
-        return rows.select(F.lit(step).alias("step"), F.col(key).cast("string").alias("key"), "error")
+        named = F.array_join(F.array(*[F.col(k).cast("string") for k in key]), "/", "none")
+        return rows.select(F.lit(step).alias("step"), named.alias("key"), "error")
 
-    errors = failed(found, "findings", "batch").union(failed(themed, "themes", "question_num"))
-    return Screening(documents, findings, by_question, theme_rows(themed), report_totals(documents, findings), errors)
+    errors = failed(found, "findings", "batch").union(failed(themes.errors, "themes", "question_num", "round", "part"))
+    return Screening(documents, findings, themes, report_totals(documents, findings), errors)

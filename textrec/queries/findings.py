@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from textrec.functions.replies import reply_clusters, reply_findings, reply_items
 from textrec.operators.filters import docs_with_all, tag_matches
-from textrec.operators.findings import findings_by_question, report_totals, sections, with_titles
+from textrec.operators.findings import report_totals, sections, with_titles
 from textrec.operators.texts import explode_findings
 from textrec.plans.reports import ORDER, json_report, markdown_report
 from textrec.plans.screening import analyse_batches, screen_documents
+from textrec.plans.themes import cluster_findings, indexed_findings
 from textrec.queries.inputs import document_names, pages, read
 from textrec.queries.registry import query
 from textrec.queries.screening import BATCHES_SQL, TERMS, WORDS, relevant
@@ -32,11 +33,11 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY question_num ORDER BY batch
 
 CLUSTERS_SQL = f"""{PLACED_SQL},
 themed AS (
-    SELECT question_num, page % 3 AS number, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices,
-        arg_min(quote, idx) AS key_quote FROM placed GROUP BY ALL),
+    SELECT question_num, page % 3 AS number, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx,
+        CAST(sum(idx) AS BIGINT) AS idx_sum, arg_min(quote, idx) AS key_quote FROM placed GROUP BY ALL),
 clusters AS (
-    SELECT question_num, CAST(row_number() OVER (PARTITION BY question_num ORDER BY number) - 1 AS INTEGER) AS item,
-        'theme ' || number AS theme, n || ' findings' AS summary, indices, key_quote FROM themed)"""
+    SELECT question_num, row_number() OVER (PARTITION BY question_num ORDER BY number) - 1 AS item, number,
+        'theme ' || number AS theme, n || ' findings' AS summary, n, first_idx, last_idx, idx_sum, key_quote FROM themed)"""
 
 TOTALS_SQL = """totals AS (
     SELECT (SELECT count(*) FROM documents) AS total_documents,
@@ -152,17 +153,12 @@ def analysed_batches(spark, folder):
     return findings(spark, folder)
 
 
-@query(f"""WITH {PLACED_SQL}
-SELECT question_num, count(*) AS n, md5(string_agg(quote || '|' || source || '|' || page, chr(10) ORDER BY idx)) AS digest
-FROM placed GROUP BY question_num""")
+@query(f"WITH {PLACED_SQL} SELECT question_num, idx, batch, pos, md5(quote || '|' || source || '|' || page) AS digest FROM placed")
 def findings_per_question(spark, folder):
-    line = lambda f: F.concat_ws("|", f["quote"], f["source"], f["page"].cast("string"))
+    """Every finding at its place among those of its question."""
     found = analyse_batches(relevant(spark, folder), questions(spark, folder), BACKENDS["find"])
-    return findings_by_question(found).select(
-        "question_num",
-        F.size("findings").cast("bigint").alias("n"),
-        F.md5(F.array_join(F.transform("findings", line), "\n")).alias("digest"),
-    )
+    line = F.concat_ws("|", "quote", "source", F.col("page").cast("string"))
+    return indexed_findings(found).select("question_num", "idx", "batch", "pos", F.md5(line).alias("digest"))
 
 
 @query(f"WITH {FINDINGS_SQL}, {TOTALS_SQL} SELECT * FROM totals")
@@ -171,18 +167,24 @@ def totals_of_report(spark, folder):
     return report_totals(docs, findings(spark, folder))
 
 
-@query(f"WITH {CLUSTERS_SQL} SELECT * FROM clusters")
+@query(f"WITH {CLUSTERS_SQL} SELECT * EXCLUDE (number) FROM clusters")
 def theme_clusters(spark, folder):
-    clusters = screening(spark, folder).clusters
-    each = clusters.select("question_num", F.posexplode("clusters").alias("item", "c"))
-    return each.select(
-        "question_num",
-        "item",
-        "c.theme",
-        "c.summary",
-        F.array_join(F.col("c.finding_indices").cast("array<string>"), ",").alias("indices"),
-        F.get("c.key_quotes", F.lit(0)).alias("key_quote"),
-    )
+    """The themes of each question, found by rounds, with what their findings' places come to."""
+    found = screening(spark, folder).themes
+    sums = [F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.sum("idx").alias("idx_sum")]
+    places = found.members.groupBy("question_num", "item").agg(*sums)
+    each = found.themes.select("question_num", "item", "theme", "summary", F.get("key_quotes", F.lit(0)).alias("key_quote"))
+    return each.join(places, ["question_num", "item"])
+
+
+@query(f"""WITH {CLUSTERS_SQL}
+SELECT question_num, c.item, p.idx, c.theme FROM placed p JOIN clusters c USING (question_num) WHERE c.number = p.page % 3""")
+def theme_members(spark, folder):
+    """Every finding with its theme, over three rounds or more where a prompt lists 20 entries."""
+    found = analyse_batches(relevant(spark, folder), questions(spark, folder), BACKENDS["find"])
+    themes = cluster_findings(indexed_findings(found), BACKENDS["cluster"], per_prompt=20)
+    named = themes.themes.select("question_num", "item", "theme")
+    return themes.members.join(named, ["question_num", "item"]).select("question_num", "item", "idx", "theme")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT question_num, count(*) AS n FROM findings GROUP BY question_num ORDER BY question_num")
@@ -213,7 +215,7 @@ SELECT * FROM lines"""
 def markdown_lines(spark, folder):
     run = screening(spark, folder)
     titles = questions(spark, folder)
-    return markdown_report(dated(run), run.clusters, titles, "Risks", "all terms", "First line.\nSecond line.")
+    return markdown_report(dated(run), run.themes, titles, "Risks", "all terms", "First line.\nSecond line.")
 
 
 @query(MARKDOWN_SQL.replace("SELECT * FROM lines", "SELECT line FROM lines"))
@@ -227,13 +229,14 @@ def written_report(spark, folder):
 @query(f"""WITH {CLUSTERS_SQL}, {TOTALS_SQL},
 quoted AS (SELECT question_num, md5(string_agg(quote, chr(10) ORDER BY idx)) AS quotes, count(*) AS raw_findings
     FROM placed GROUP BY question_num),
-themes AS (SELECT question_num, string_agg(theme, ',' ORDER BY item) AS themes FROM clusters GROUP BY question_num)
-SELECT total_documents, relevant_documents, total_findings, question_num, themes, raw_findings, quotes
+themes AS (SELECT question_num, string_agg(theme, ',' ORDER BY item) AS themes, CAST(sum(idx_sum) AS BIGINT) AS idx_sum
+    FROM clusters GROUP BY question_num)
+SELECT total_documents, relevant_documents, total_findings, question_num, themes, idx_sum, raw_findings, quotes
 FROM totals, quoted JOIN themes USING (question_num)""")
 def json_report_contents(spark, folder):
     """The report's lines read as one document; its contents by question."""
     run = screening(spark, folder)
-    return report_contents(json_report(dated(run), run.clusters, run.by_question, "all terms"))
+    return report_contents(json_report(dated(run), run.themes, run.findings, "all terms"))
 
 
 def report_contents(lines):
@@ -245,7 +248,10 @@ def report_contents(lines):
     top = lines.where("section = 0").agg(*[head(c).cast("bigint").alias(c) for c in counts])
     ordered = lambda name: F.array_sort(F.collect_list(F.struct("item", F.get_json_object("body", f"$.{name}").alias("v"))))
     joined = lambda name, sep: F.array_join(F.transform(ordered(name), lambda r: r["v"]), sep)
-    themes = lines.where("block = 1").groupBy("question_num").agg(joined("theme", ",").alias("themes"))
+    theme = lines.where("block = 1 AND step = -1").withColumn("body", F.concat("body", F.lit("]}")))
+    themes = theme.groupBy("question_num").agg(joined("theme", ",").alias("themes"))
+    places = lines.where("block = 1 AND step BETWEEN 0 AND 2147483646").groupBy("question_num")
+    themes = themes.join(places.agg(F.sum(F.col("body").cast("bigint")).alias("idx_sum")), "question_num")
     raw = lines.where("section = 1 AND block = 3").groupBy("question_num")
     raw = raw.agg(F.count("*").alias("raw_findings"), F.md5(joined("quote", "\n")).alias("quotes"))
     both = themes.join(raw, "question_num")

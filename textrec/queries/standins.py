@@ -71,19 +71,21 @@ def find(prompt: str) -> str:
 
 
 def cluster(prompt: str) -> str:
-    """Findings by page, three themes at most."""
+    """Findings by page, three themes at most; themes by name, with their numbers of findings added up."""
     start, end = prompt.index("\n[{") + 1, prompt.index("}]\n") + 2
-    themes: dict[int, list[tuple[int, dict]]] = {}
-    for at, finding in enumerate(json.loads(prompt[start:end])):
-        themes.setdefault(finding["page"] % 3, []).append((at, finding))
+    themes: dict[str, list[tuple[int, int, str]]] = {}
+    for at, entry in enumerate(json.loads(prompt[start:end])):
+        name = entry["theme"] if "theme" in entry else f"theme {entry['page'] % 3}"
+        quote = entry["key_quotes"][0] if "theme" in entry else entry["quote"]
+        themes.setdefault(name, []).append((at, entry.get("findings", 1), quote))
     clusters = [
         {
-            "theme": f"theme {number}",
-            "summary": f"{len(members)} findings",
-            "finding_indices": [at for at, _ in members],
-            "key_quotes": [members[0][1]["quote"]],
+            "theme": name,
+            "summary": f"{sum(n for _, n, _ in members)} findings",
+            "finding_indices": [at for at, _, _ in members],
+            "key_quotes": [members[0][2]],
         }
-        for number, members in sorted(themes.items())
+        for name, members in sorted(themes.items())
     ]
     return json.dumps({"clusters": clusters}, ensure_ascii=False)
 
