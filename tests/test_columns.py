@@ -11,6 +11,7 @@ from textrec.functions.keywords import (
     keyword_filter,
     refine,
 )
+from textrec.functions import replies as replies_module
 from textrec.functions.replies import is_json, reply_clusters, reply_findings, reply_items
 
 
@@ -150,6 +151,34 @@ def test_uneven_findings(spark):
     assert got[2]["f"]["question_num"] == 2 and '"more"' in got[3]["raw"] and values(df, F.size(reply_items("x", "findings"))) == [7]
 
 
+def test_names_that_come_twice(spark):
+    """VARIANT has no object that names a key twice; such replies are read as text, the last value counting."""
+    replies = [
+        '{"findings": [{"page": 1, "page": 2}, {"quote": "q", "more": 5}]}',
+        'x {"findings": [{"page": 1}], "findings": [{"page": 7, "quote": "z"}]} y',
+        '{"a": 1, "a": 2}',
+        '{"a": 1, "a": 2} {"findings": []}',
+    ]
+    got = values(column(spark, replies), reply_findings("x"))
+    read = [None if fs is None else [(x["f"]["page"], x["f"]["quote"]) for x in fs] for fs in got]
+    assert read[0] == [(2, None), (None, "q")] and read[2:] == [[], None]
+    assert read[1][-1] == (7, "z") and json.loads(got[0][1]["raw"]) == {"quote": "q", "more": 5}
+
+
+def test_what_follows_a_document(spark):
+    end = replies_module.END
+    replies = ['{"findings": []}] {}', '{"findings": []}, 1] {"x": 2}', '{"findings": []} // {}', '{"findings": [1e400, 12345678901234567890123, 0.10]}', '[{"findings": []}', f'{{"findings": ["{end}"]}}']
+    got = values(column(spark, replies), reply_items("x", "findings").cast("array<string>"))
+    assert got[:3] == [None] * 3 and got[4:] == [[], [end]]
+    assert got[3] is None or len(got[3]) == 3
+
+
+def test_a_reply_is_parsed_once(spark):
+    """One parser for the document; the other calls belong to the branch for documents that it refuses."""
+    plan = column(spark, ["{}"]).select(reply_findings("x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("from_json")[0].count("parseJson") == 1
+
+
 def test_reply_without_some_fields(spark):
     df = column(spark, ['{"clusters": [{"theme": "t", "key_quotes": ["q \\"x\\""]}]}', "none", "{}", '{"clusters": [{"finding_indices": [1, "2", 3.0, "x"]}]}'])
     one, none, empty, uneven = values(df, reply_clusters("x"))

@@ -36,47 +36,86 @@ def is_json(col: Column | str) -> Column:
 
 def json_span(col: Column | str) -> Column:
     """From the first ``{`` to the last ``}``; null when there is no such span."""
-    text = as_column(col)
-    start = F.instr(text, "{")
-    stop = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return F.when(
-        (start > 0) & F.contains(text, F.lit("}")) & (stop > start),
-        F.substring(text, start, stop - start + 1),
-    )
+    return F.regexp_substr(as_column(col), F.lit(r"(?s)\{.*\}"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# Comes after the document in the list that is parsed. A parser stops where its first value ends, so only a text that
+# is one document as a whole has this as the second element.
+END = "end of the reply's document"
+
+
+def reply_document(col: Column | str) -> Column:
+    """The JSON document in a reply as a VARIANT; null when the reply holds none, or more than one.
+
+    Parsed once: all that is read out of it later is looked up in binary form. A
+    document that names a key twice in one object is read as text, its last
+    values counting, as VARIANT has no such objects.
+    """
+
+    def first(listed: Column) -> Column:
+        whole = F.try_variant_get(listed, "$[1]", "string") == END
+        return F.when(whole, F.try_variant_get(listed, "$[0]", "variant"))
+
+    return bound(F.try_parse_json(F.concat(F.lit("["), json_span(col), F.lit(f', "{END}"]'))), first)
+
+
+def _twice_named(col: Column | str, field: str) -> Column:
+    """``reply_items`` of a document that VARIANT refused: elements one by one, those refused too with their last values."""
+    known = {**FINDING, **CLUSTER}
+    fields = ", ".join(f"{n} {'array<string>' if t.startswith('array') else 'string'}" for n, t in known.items())
+
+    def element(text: Column) -> Column:
+        plain = F.to_json(F.from_json(text, fields, STRICT_JSON))
+        return F.coalesce(F.try_parse_json(text), F.try_parse_json(plain))
+
+    listed = F.from_json(F.concat(F.lit("["), json_span(col), F.lit(f', "{END}"]')), "array<string>", STRICT_JSON)
+    single = bound(listed, lambda texts: F.when(F.get(texts, F.lit(1)) == END, F.get(texts, F.lit(0))))
+    document = F.from_json(single, f"{field} array<string>", STRICT_JSON)
+    none = F.array().cast("array<string>")
+    return bound(F.when(single.isNotNull(), document), lambda d: F.when(d.isNotNull(), F.transform(F.coalesce(d[field], none), element)))
 
 
 def reply_items(col: Column | str, field: str) -> Column:
-    """The elements of the array ``field`` of the JSON object in a reply, each as JSON.
+    """The elements of the array ``field`` of the JSON object in a reply, as ``array<variant>``.
 
     Empty when the object has no such array; null when the reply holds no JSON object.
     """
-    document = one_document(json_span(col), f"struct<{field}:array<string>>")
-    none = F.array().cast("array<string>")
-    items = F.transform(F.array(document), lambda d: F.when(d.isNotNull(), F.coalesce(d[field], none)))
-    return F.get(items, F.lit(0))
+    none = F.array().cast("array<variant>")
+
+    def listed(document: Column) -> Column:
+        elements = F.coalesce(F.try_variant_get(document, f"$.{field}", "array<variant>"), none)
+        return F.when(document.isNotNull(), elements).otherwise(_twice_named(col, field))
+
+    return bound(reply_document(col), listed)
 
 
 def whole_number(text: Column) -> Column:
     """A number written as such, as text or with decimals that are zero; null otherwise."""
-    value = text.try_cast("double")
-    return F.when(value == F.floor(value), value.try_cast("int"))
+    return bound(text.try_cast("double"), lambda value: F.when(value == F.floor(value), value.try_cast("int")))
 
 
 def item_fields(item: Column, fields: Mapping[str, str]) -> Column:
     """The ``fields`` (name: type) of one JSON element as a struct, null where they are absent or of another kind."""
-    loose = {"int": "string", "array<int>": "array<string>"}
-    read = F.from_json(item, ", ".join(f"{n} {loose.get(t, t)}" for n, t in fields.items()), STRICT_JSON)
-    made = {
-        "int": whole_number,
-        "array<int>": lambda value: F.filter(F.transform(value, whole_number), lambda n: n.isNotNull()),
-    }
-    return F.struct(*[made.get(t, lambda value: value)(read[n]).alias(n) for n, t in fields.items()])
+    loose = {"int": "string", "array<int>": "array<variant>", "array<string>": "array<variant>"}
+    numbers = lambda value: F.filter(F.transform(value, lambda v: whole_number(_text(v))), lambda n: n.isNotNull())
+    made = {"int": whole_number, "array<int>": numbers, "array<string>": lambda value: F.transform(value, _text)}
+    read = lambda n, t: F.try_variant_get(item, f"$.{n}", loose.get(t, t))
+    return F.struct(*[made.get(t, lambda value: value)(read(n, t)).alias(n) for n, t in fields.items()])
+
+
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
 def reply_findings(col: Column | str) -> Column:
-    """The findings in a reply: their fields, and ``raw``, the JSON as the model gave it."""
+    """The findings in a reply: their fields, and ``raw``, their JSON with keys in order of name."""
     return F.transform(
-        reply_items(col, "findings"), lambda item: F.struct(item.alias("raw"), item_fields(item, FINDING).alias("f"))
+        reply_items(col, "findings"), lambda item: F.struct(F.to_json(item).alias("raw"), item_fields(item, FINDING).alias("f"))
     )
 
 
