@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textrec.functions import keywords
-from textrec.operators.classify import classify_entries, first_match_table
+from textrec.operators.classify import classify_entries
+from textrec.operators.rules import first_match_table
 from textrec.plans.explorer import consequence_plot, function_plot
 from textrec.queries import classify as q
 
@@ -117,8 +118,8 @@ def test_one_pass_needs_its_library(monkeypatch):
 def test_rule_without_a_value_still_wins(spark):
     rules = spark.createDataFrame([(1, "one", None), (2, "two", "second")], "priority int, keyword string, value string")
     df = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "else"), (4, None)], "id int, x string")
-    for per_step in (1, 1000):
-        got = {r["id"]: r["label"] for r in first_match_table(df, rules, "x", "label", "default", per_step).collect()}
+    for per_index in (1, 1000):
+        got = {r["id"]: r["label"] for r in first_match_table(df, rules, "x", "label", "default", per_index).collect()}
         assert got == {1: None, 2: "second", 3: "default", 4: "default"}
 
 
@@ -128,11 +129,11 @@ def test_hits_of_null_texts(spark):
     assert [r["h"] for r in got] == [[True, False], [False, False]]
 
 
-@pytest.mark.parametrize("per_step", [1, 2, 1000])
-def test_rule_table_like_rules(spark, entries, per_step):
+@pytest.mark.parametrize("per_index", [1, 2, 1000])
+def test_rule_table_like_rules(spark, entries, per_index):
     table = [(i, w.upper(), v) for i, (ws, v) in enumerate(q.VALUE_RULES) for w in ws]
     rules = spark.createDataFrame(table, "priority int, keyword string, value int")
-    got = first_match_table(entries, rules, "description", "score", 1, per_step)
+    got = first_match_table(entries, rules, "description", "score", 1, per_index)
     expected = {i: loop_first(d.lower(), q.VALUE_RULES, 1) for i, _, d, _, _ in made_entries(1500)}
     assert {r["id"]: r["score"] for r in got.collect()} == expected
     assert got.columns == [*entries.columns, "score"]

@@ -7,15 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textrec.functions.columns import clean_name, lead_sentence, strip
 from textrec.functions.keywords import KeywordTests, Rule, Test, first_match, refine
-from textrec.operators.batching import assign_batches
-from textrec.session import stored
-
-# Rules held in one literal; a longer rule table is tested in further steps.
-RULES_PER_STEP = 1000
 
 
 @dataclass(frozen=True)
@@ -118,38 +112,3 @@ def classify_entries(
         "Proximity_NCF",
         "Full_Description_Tooltip",
     )
-
-
-def first_match_table(
-    df: DataFrame, rules: DataFrame, text: str, name: str, default, rules_per_step: int = RULES_PER_STEP
-) -> DataFrame:
-    """``first_match`` with the rules in a table ``(priority, keyword, value)``.
-
-    The rules reach the rows as arrays of at most ``rules_per_step`` rules, in
-    priority order; a row reads the next one only if nothing matched so far. The
-    first rule that matches counts, be its value null. The table is neither
-    joined to the rows nor shuffled with them.
-    """
-    rules = rules.select("priority", F.lower("keyword").alias("keyword"), "value")
-    ordered = stored(assign_batches(rules, ["priority", "keyword"], rules_per_step, name="step"), "rules")
-    last = ordered.agg(F.max("step")).first()[0]
-    steps = [ordered.where(F.col("step") == i) for i in range(0 if last is None else last + 1)]
-    hit_type = T.StructType([T.StructField("value", rules.schema["value"].dataType)])
-
-    def listed(part: DataFrame) -> Column:
-        return part.agg(F.array_sort(F.collect_list(F.struct("priority", "keyword", "value")))).scalar()
-
-    def first(step: str, low: Column) -> Column:
-        return F.aggregate(
-            step,
-            F.lit(None).cast(hit_type),
-            lambda found, r: F.coalesce(found, F.when(F.contains(low, r["keyword"]), F.struct(r["value"].alias("value")))),
-        )
-
-    held = {f"_rules{i}": listed(part) for i, part in enumerate(steps)}
-    # The lower-cased text is bound to a name that all rules read.
-    none = F.lit(None).cast(hit_type)
-    found = F.transform(F.array(F.lower(text)), lambda low: F.coalesce(*[first(step, low) for step in held], none))
-    hit = F.get(found, F.lit(0))
-    chosen = F.when(hit.isNull(), F.lit(default)).otherwise(hit["value"])
-    return df.withColumns(held).withColumn(name, chosen).drop(*held)

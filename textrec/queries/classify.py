@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from textrec.functions.columns import strip
 from textrec.functions.keywords import contains_any, decision_tree, first_match, keyword_hits, refine
-from textrec.operators.classify import EntryRules, Override, classify_entries, first_match_table, override
+from textrec.operators.classify import EntryRules, Override, classify_entries, override
+from textrec.operators.rules import first_match_table
 from textrec.operators.tables import distinct_sorted
 from textrec.plans.explorer import consequence_plot, function_plot
 from textrec.queries.inputs import any_sql, read, strip_sql
@@ -160,20 +161,22 @@ def classified_entries_in_one_pass(spark, folder):
     return classified(spark, folder, one_pass=True)
 
 
-RULE_TABLE_SQL = """WITH rules AS (
-    SELECT item_id AS priority, lower(split_part(text, ' ', 1)) AS keyword,
-        CASE WHEN item_id % 7 > 0 THEN 'item ' || item_id END AS value FROM benchmark),
-hits AS (SELECT d.doc_id, min(r.priority) AS priority
-    FROM documents d JOIN rules r ON contains(lower(d.text), r.keyword) GROUP BY d.doc_id)
+RULE_TABLE_SQL = """WITH words AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS keyword FROM benchmark),
+rules AS (
+    SELECT -length(keyword) AS priority, keyword, CASE WHEN min(item_id) % 7 > 0 THEN 'item ' || min(item_id) END AS value
+    FROM words WHERE keyword <> '' GROUP BY keyword),
+ranked AS (SELECT *, row_number() OVER (ORDER BY priority, keyword) AS place FROM rules),
+hits AS (SELECT d.doc_id, min(r.place) AS place FROM documents d JOIN ranked r ON contains(lower(d.text), r.keyword) GROUP BY d.doc_id)
 SELECT d.doc_id, CASE WHEN h.doc_id IS NULL THEN 'none' ELSE r.value END AS label
-FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN rules r ON r.priority = h.priority"""
+FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN ranked r ON r.place = h.place"""
 
 
 def word_rules(spark, folder):
-    """Rules that come as a table: first words of the benchmark's texts, some without a value."""
-    value = F.when(F.col("item_id") % 7 > 0, F.concat(F.lit("item "), F.col("item_id").cast("string")))
-    items = read(spark, folder, "benchmark")
-    return items.select(F.col("item_id").alias("priority"), F.split("text", " ")[0].alias("keyword"), value.alias("value"))
+    """Rules that come as a table: all words of the benchmark's texts, the longest first, some without a value."""
+    words = read(spark, folder, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("keyword"))
+    items = words.where("keyword <> ''").groupBy("keyword").agg(F.min("item_id").alias("item"))
+    value = F.when(F.col("item") % 7 > 0, F.concat(F.lit("item "), F.col("item").cast("string")))
+    return items.select((-F.length("keyword")).alias("priority"), "keyword", value.alias("value"))
 
 
 @query(RULE_TABLE_SQL)
@@ -184,9 +187,9 @@ def rules_as_table(spark, folder):
 
 @query(RULE_TABLE_SQL)
 def rules_as_long_table(spark, folder):
+    """The same in many indexes, one after the other."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    rules = word_rules(spark, folder)
-    return first_match_table(docs, rules, "text", "label", "none", rules_per_step=10).drop("text")
+    return first_match_table(docs, word_rules(spark, folder), "text", "label", "none", rules_per_index=200).drop("text")
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source")
