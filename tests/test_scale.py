@@ -10,7 +10,7 @@ from textrec.operators import texts as t
 from textrec.operators.batching import assign_batches, number_rows
 from textrec.operators.filters import docs_with_all, docs_with_any, filter_or_all
 from textrec.operators.findings import findings_by_question
-from textrec.operators.transcripts import first_turns, group_messages, join_messages
+from textrec.operators.transcripts import first_turns, group_messages, join_message_blocks, join_messages, message_blocks
 
 PAGES = "doc string, page int, text string, error string"
 
@@ -39,6 +39,49 @@ def test_hot_document(spark, partitions):
     assert docs_with_all(pages, ["agent", "page"]).where("matched").count() == 1
 
 
+@pytest.mark.parametrize("partitions, chars", [(1, 7), (4, 100), (64, 100_000)])
+def test_a_hot_document_in_segments(spark, partitions, chars):
+    """A third of all pages is one document; its text comes in rows of a segment, its pages from many tasks."""
+    data = hot_pages() + [("odd", None, "no number", None), ("odd", 2, "", None), ("odd", 3, None, "e"), (None, 1, "no name", None)]
+    random.Random(partitions).shuffle(data)
+    pages = spark.createDataFrame(data, PAGES).repartition(partitions)
+    whole = {}
+    for doc, _, text, _ in sorted((d for d in data if d[2] is not None), key=lambda d: (d[0] or "", d[1] or 0)):
+        whole[doc] = whole.get(doc, "") + text + "\n"
+    got = {}
+    for r in sorted(t.text_segments(pages, chars).collect(), key=lambda r: r["segment"]):
+        assert r["start"] == len(got.get(r["doc"], "")) == r["segment"] * chars and 0 < len(r["text"]) <= chars
+        got[r["doc"]] = got.get(r["doc"], "") + r["text"]
+    assert got == whole
+
+
+def test_pages_of_a_hot_document_are_spread(spark):
+    """With small tables not put into one task, no task has more than its share of the hot document."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        offsets = t.page_offsets(spark.createDataFrame(hot_pages(), PAGES).repartition(4))
+        assert offsets.count() == 2100
+        slots = spark.read.parquet(offsets.inputFiles()[0].rsplit("/", 1)[0])
+        counts = [r["count"] for r in slots.where("doc = 'hot'").groupBy(F.shiftright("_at", 33)).count().collect()]
+        assert len(counts) > 2 and max(counts) < 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("partitions, n", [(1, 1), (4, 100), (64, 10_000)])
+def test_a_hot_sample_in_blocks(spark, partitions, n):
+    data = [("hot", i, "user", f"m{i}") for i in range(1500)] + [(f"s{i // 3}", i % 3, "user", f"n{i}") for i in range(3000)]
+    data += [("tie", 0, "b", "2"), ("tie", 0, "a", "1"), ("tie", None, "c", None)]
+    random.Random(n).shuffle(data)
+    msgs = spark.createDataFrame(data, "sample_id string, turn bigint, role string, content string").repartition(partitions)
+    samples = spark.createDataFrame([("hot", "in"), ("s7", "in"), ("absent", "in"), ("tie", "in")], "sample_id string, input string")
+    got = {}
+    for r in sorted(join_message_blocks(samples, message_blocks(msgs, n)).collect(), key=lambda r: r["block"]):
+        assert len(r["messages"]) == r["n_messages"] <= n and (r["block"] == 0 or r["n_messages"])
+        got.setdefault(r["sample_id"], []).extend(m["content"] for m in r["messages"])
+    assert got == {"hot": [f"m{i}" for i in range(1500)], "s7": ["n21", "n22", "n23"], "absent": [], "tie": [None, "1", "2"]}
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 64])
 def test_hot_sample(spark, partitions):
     roles = ["user", "assistant", "system"]

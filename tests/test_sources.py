@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textrec.operators import tables as t
+from textrec.operators.records import as_table, columns_of, field_types, merged_type, read_records, record_fields
 from textrec.operators.texts import explode_results
 from textrec.sources import files, logs, sinks
 
@@ -125,6 +126,32 @@ def test_sample_records(spark, folder):
     assert logs.load_samples(spark, f"{folder.root}/s1", "input string").columns == ["input"]
 
 
+def test_records_of_any_shapes(spark, folder, rows):
+    lines = ['{"id": 1, "size": 5, "x": null}', '{"id": 2, "size": "6"}', "{broken", '{"id": 3, "size": {"n": 1}, "tags": ["a", 1]}', "[1, 2]", "5", "", '{"id": 1.5, "a b": true, "a.b": "dot", "it\'s": "q", "ID": 9, "a\'b\\"c": 7, "b\\\\": 3}', '{"z": 1, "z": 2}']
+    folder("r/a.json", "\n".join(lines))
+    records = read_records(spark, f"{folder.root}/r")
+    assert sorted(r["error"] for r in records.where("error is not null").collect()) == sorted(['{"z": 1, "z": 2}', "{broken"])
+    found = rows(record_fields(records))
+    assert ("size", "STRING", 1) in found and ("size", "OBJECT<n: BIGINT>", 1) in found and ("x", "VOID", 1) in found and ("id", "BIGINT", 3) in found
+    types = {r["field"]: (r["type"], r["rows"], r["kinds"]) for r in field_types(records).collect()}
+    assert types["size"] == ("VARIANT", 3, 3) and types["id"][0].startswith("DECIMAL(") and types["id"][1:] == (4, 2) and types["a.b"] == ("STRING", 1, 1)
+    table = as_table(records)
+    assert table.columns == ["ID", "a b", "a'b\"c", "a.b", "b\\", "it's", "size", "tags", "x"] and table.count() == 8
+    got = table.where("`a b`").select("`a.b`", "`it's`", "`a'b\"c`", "`b\\`").collect()
+    assert [tuple(r) for r in got] == [("dot", "q", 7, 3)]
+    assert sorted(r[0] for r in table.select(F.try_variant_get("size", "$", "int")).collect() if r[0]) == [5, 6]
+    assert columns_of(records, {"id": "int", "none": "string"}).where("id = 2").collect() == [(2, None)]
+    assert merged_type(records.where("to_json(record) like '{%'")).first()["rows"] == 4
+    assert as_table(records.limit(0)).columns == [] and record_fields(records.limit(0)).count() == 0
+
+
+def test_records_of_whole_files(spark, folder):
+    folder("w/a.json", json.dumps({"results": [1, 2], "n": 1}, indent=2))
+    folder("w/b.json", "no")
+    got = read_records(spark, f"{folder.root}/w", lines=False)
+    assert sorted((r["n"] is not None, r["error"]) for r in got.select(F.try_variant_get("record", "$.n", "int").alias("n"), "error").collect()) == [(False, "no"), (True, None)]
+
+
 def form_feed_pages(content):
     if content.startswith(b"!"):
         raise ValueError("not a document")

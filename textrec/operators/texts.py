@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from textrec.functions.columns import cap_chars, strip
 from textrec.functions.keywords import keyword_filter
+from textrec.operators.batching import SLOT_BITS
+from textrec.session import stored
 
 # A paragraph must be longer than this after stripping.
 MIN_PARAGRAPH_CHARS = 50
@@ -19,6 +21,10 @@ MIN_PARAGRAPH_CHARS = 50
 CONTEXT_FORMAT = "[Source: %s, Page %d]\n%s"
 CONTEXT_GAP = "\n\n"
 
+# Characters of a text that are one row where texts are asked for in segments.
+SEGMENT_CHARS = 100_000
+
+
 def _joined(order: str, text: str, end: str = "") -> Column:
     rows = F.array_sort(F.collect_list(F.struct(order, text)))
     return F.array_join(F.transform(rows, lambda r: F.concat(r[text], F.lit(end))), "")
@@ -29,7 +35,7 @@ def full_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
 
     A null page number comes first. With ``cap`` only the pages that begin within
     the first ``cap`` characters are put together. A group is a document, whose
-    text is one row.
+    text is one row; ``text_segments`` gives texts of any length.
     """
     read = pages.where(F.col("text").isNotNull()).select("doc", "page", "text")
     if cap is not None:
@@ -40,6 +46,48 @@ def full_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
     return whole if cap is None else whole.withColumn("text", cap_chars("text", cap))
 
 
+def page_offsets(pages: DataFrame) -> DataFrame:
+    """``(doc, page, text, start)``: pages with text, and where each begins in its document's whole text, from 0.
+
+    A page counts with its line break. Sums are taken in two levels: over the
+    pages that lie together after a sort by range, and over one number for each
+    document and range. So a document that holds most pages is spread over as
+    many tasks as its pages fill. A null page number comes first, as in
+    ``full_text``. The sorted pages are written once.
+    """
+    keys = ["doc", "page", "text"]
+    read = pages.where(F.col("text").isNotNull()).select(*keys)
+    placed = read.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(placed, "pages").withColumn("_slot", F.shiftright("_at", SLOT_BITS))
+    size = F.length("text").cast("long") + 1
+    sums = rows.groupBy("_slot", "doc").agg(F.sum(size).alias("_size"))
+    before = Window.partitionBy("doc").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(F.col("_slot").alias("_in"), F.col("doc").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_from"))
+    within = Window.partitionBy("_slot", "doc").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    begun = rows.withColumn("_own", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    both = begun.join(earlier, (F.col("_slot") == F.col("_in")) & F.col("doc").eqNullSafe(F.col("_of")))
+    return both.select(*keys, (F.col("_from") + F.col("_own")).alias("start"))
+
+
+def text_segments(pages: DataFrame, chars: int = SEGMENT_CHARS) -> DataFrame:
+    """``(doc, segment, start, text)``: the whole texts of ``full_text`` in segments of ``chars`` characters, the last shorter.
+
+    For documents of any length: no row holds more than a segment, and pages are
+    cut where a segment ends. Segments count from 0.
+    """
+    whole = page_offsets(pages).withColumn("text", F.concat("text", F.lit("\n")))
+    last = F.expr(f"(start + length(text) - 1) div {int(chars)}")
+    each = whole.select("doc", "start", "text", F.explode(F.sequence(F.expr(f"start div {int(chars)}"), last)).alias("segment"))
+    begin = F.col("segment") * chars - F.col("start")
+    skip = F.greatest(begin, F.lit(0)).cast("int")
+    piece = F.substring("text", skip + 1, (begin + chars).cast("int") - skip)
+    pieces = each.select("doc", "segment", (F.col("start") + skip).alias("at"), piece.alias("piece"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    joined = F.array_join(F.transform(listed, lambda r: r["piece"]), "")
+    made = pieces.groupBy("doc", "segment").agg(joined.alias("text"))
+    return made.select("doc", "segment", (F.col("segment") * chars).alias("start"), "text")
+
+
 def paragraphs(pages: DataFrame, sep: str = "\n\n", min_len: int = MIN_PARAGRAPH_CHARS) -> DataFrame:
     """``(source, page, para, text)``: stripped pieces of a page longer than ``min_len``.
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrec.functions.columns import col_or
+from textrec.operators.batching import number_rows
 from textrec.operators.filters import require
 
+# Messages of a sample that are one row where they are asked for in blocks.
+BLOCK_TURNS = 1_000
+
 # What a report shows where there is nothing.
 NO_QUESTION = "No question found"
 NO_RESPONSE = "No response found"
@@ -18,7 +22,7 @@ NO_SCORE = "No score found"
 def group_messages(msgs: DataFrame) -> DataFrame:
     """``(sample_id, messages)``: the messages of a sample in turn order, one row for each sample.
 
-    The messages themselves are the long form, for samples too long for a row.
+    ``message_blocks`` are for samples too long for a row.
     """
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
     return msgs.groupBy("sample_id").agg(listed.alias("messages"))
@@ -30,6 +34,27 @@ def join_messages(samples: DataFrame, grouped: DataFrame) -> DataFrame:
     return samples.join(grouped, "sample_id", "left").withColumn("messages", F.coalesce("messages", none))
 
 
+def message_blocks(msgs: DataFrame, n: int = BLOCK_TURNS) -> DataFrame:
+    """``(sample_id, block, n_messages, messages)``: the messages of a sample in turn order, ``n`` in a row, blocks counted from 0.
+
+    Messages are numbered within their sample after a sort by range, so neither a
+    task nor a row grows with a sample. Messages with the same turn come by role and content.
+    """
+    numbered = number_rows(msgs.select("sample_id", "turn", "role", "content"), ["turn", "role", "content"], by=["sample_id"], name="_no")
+    listed = F.array_sort(F.collect_list(F.struct("_no", "turn", "role", "content")))
+    blocks = numbered.groupBy("sample_id", F.expr(f"(_no - 1) div {int(n)}").alias("block")).agg(listed.alias("listed"))
+    plain = F.transform("listed", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["content"].alias("content")))
+    return blocks.select("sample_id", "block", F.size("listed").alias("n_messages"), plain.alias("messages"))
+
+
+def join_message_blocks(samples: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Samples with their messages, a row for each block; one with an empty list, as block 0, for a sample without any."""
+    none = F.array().cast(blocks.schema["messages"].dataType)
+    joined = samples.join(blocks, "sample_id", "left")
+    filled = {"block": F.coalesce("block", F.lit(0).cast("long")), "n_messages": F.coalesce("n_messages", F.lit(0)), "messages": F.coalesce("messages", none)}
+    return joined.withColumns(filled)
+
+
 def first_turns(msgs: DataFrame) -> DataFrame:
     """``(sample_id, has_user, first_user, reply)`` in one aggregation.
 

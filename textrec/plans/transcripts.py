@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textrec.operators.batching import number_rows
 from textrec.operators.filters import require
 from textrec.operators.transcripts import transcript_rows
 from textrec.session import stored
@@ -18,14 +18,14 @@ SHOWN = 3
 def transcript_report(samples: DataFrame, msgs: DataFrame, n: int = SHOWN, score: str = "score") -> DataFrame:
     """The first ``n`` samples that have an input, numbered from 1.
 
-    The samples are chosen, and written, before any message is read, so Spark
-    knows their size when it joins the messages. Only the messages of ``n``
-    samples are aggregated.
+    The samples are chosen, numbered and written before any message is read, so
+    Spark knows their size when it joins the messages. Only the messages of ``n``
+    samples are aggregated, and only those ``n`` rows are numbered in one task.
     """
-    first = stored(require(samples, "input").orderBy("sample_id").limit(n), "shown")
+    chosen = require(samples, "input").orderBy("sample_id").limit(n)
+    first = stored(chosen.withColumn("sample_no", F.row_number().over(Window.orderBy("sample_id"))), "shown")
     theirs = msgs.join(first.select("sample_id"), "sample_id", "left_semi")
-    numbered = number_rows(transcript_rows(first, theirs, score), ["sample_id"], name="sample_no")
-    return numbered.withColumn("sample_no", F.col("sample_no").cast("int"))
+    return transcript_rows(first, theirs, score).join(first.select("sample_id", "sample_no"), "sample_id")
 
 
 def transcript_or_logs(samples: DataFrame, msgs: DataFrame, logs: DataFrame, n: int = SHOWN) -> DataFrame:

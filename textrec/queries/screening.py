@@ -22,6 +22,7 @@ from textrec.operators.texts import (
     paragraphs,
     relevant_paragraphs,
     render_prompt,
+    text_segments,
 )
 from textrec.plans.screening import context_table
 from textrec.queries.inputs import (
@@ -149,6 +150,15 @@ def full_texts_capped(spark, folder):
     return whole.select("doc", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
 
 
+@query(f"""WITH {PAGES_SQL},
+whole AS (SELECT doc, string_agg(text, chr(10) ORDER BY page) || chr(10) AS t FROM doc_pages GROUP BY doc),
+cut AS (SELECT doc, t, unnest(range((length(t) + 699) // 700)) AS segment FROM whole)
+SELECT doc, segment, segment * 700 AS start, substr(t, segment * 700 + 1, 700) AS text FROM cut""")
+def segmented_texts(spark, folder):
+    """Whole texts in segments, whose ends seldom are those of pages."""
+    return text_segments(pages(spark, folder), 700)
+
+
 @query(f"WITH {PARAS_SQL} SELECT source, page, para, text FROM paras")
 def page_paragraphs(spark, folder):
     return paragraphs(pages(spark, folder), sep="\n")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textrec.operators.filters import by_role, docs_with_any, tag_matches
+from textrec.operators.records import as_table, read_records, record_fields
 from textrec.operators.tables import (
     concat_tables,
     first_n,
@@ -68,6 +69,33 @@ def records_with_any_columns(spark, folder):
     return records_table([docs, talks], fill="absent")
 
 
+def uneven_records(spark, folder):
+    """A log of one record a document, whose field ``size`` is a number, a text, an object or null, and every seventh is cut off."""
+    path, kind = new_folder(spark, "uneven"), F.col("doc_id") % 4
+    size = F.expr("""CASE doc_id % 4 WHEN 0 THEN string(n_chars) WHEN 1 THEN concat('"', n_chars, '"') WHEN 2 THEN concat('{"n": ', n_chars, '}') ELSE 'null' END""")
+    lang = F.when(kind == 2, F.concat(F.lit(', "lang": "'), "lang", F.lit('"'))).otherwise("")
+    line = F.concat(F.lit('{"id": '), "doc_id", F.lit(', "size": '), size, lang, F.when(F.col("doc_id") % 7 > 0, "}").otherwise(""))
+    read(spark, folder, "documents").select(line.alias("value")).write.text(path)
+    return read_records(spark, path)
+
+
+@query("""WITH d AS (SELECT doc_id % 4 AS k FROM documents WHERE doc_id % 7 > 0)
+SELECT 'id' AS field, 'BIGINT' AS kind, count(*) AS rows FROM d UNION ALL SELECT 'lang', 'STRING', count(*) FROM d WHERE k = 2
+UNION ALL SELECT 'size', CASE k WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'OBJECT<n: BIGINT>' ELSE 'VOID' END, count(*)
+FROM d GROUP BY k""")
+def fields_of_uneven_records(spark, folder):
+    return record_fields(uneven_records(spark, folder))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 < 2 THEN n_chars END AS size, CASE WHEN doc_id % 4 = 2 THEN n_chars END AS nested,
+    CASE WHEN doc_id % 4 = 2 THEN lang END AS lang FROM documents WHERE doc_id % 7 > 0
+UNION ALL SELECT NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 7 = 0""")
+def uneven_records_as_table(spark, folder):
+    """The records as a table with a column for every field; the one of several kinds is read as number and as object."""
+    table = as_table(uneven_records(spark, folder))
+    return table.select("id", F.try_variant_get("size", "$", "bigint").alias("size"), F.try_variant_get("size", "$.n", "bigint").alias("nested"), "lang")
+
+
 @query("""SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM documents""")
 def concatenated(spark, folder):
     docs, talks = (read(spark, folder, t).select("text") for t in ["documents", "conversations"])

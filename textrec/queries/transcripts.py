@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from textrec.operators.transcripts import (
     first_reply,
     group_messages,
+    join_message_blocks,
     join_messages,
+    message_blocks,
     question,
     system_prompt,
     transcript_rows,
@@ -55,6 +57,19 @@ def joined_messages(spark, folder):
     return joined.select("sample_id", "target", F.size("messages").cast("bigint").alias("n"), flat(joined).alias("digest"))
 
 
+@query(f"""WITH {MESSAGES_SQL}, {SAMPLES_SQL},
+placed AS (SELECT *, (row_number() OVER (PARTITION BY sample_id ORDER BY turn) - 1) // 2 AS block FROM messages),
+blocks AS (
+    SELECT sample_id, block, count(*) AS n, md5(string_agg(turn || ' ' || role || ' ' || content, chr(10) ORDER BY turn)) AS digest
+    FROM placed GROUP BY sample_id, block)
+SELECT s.sample_id, coalesce(b.block, 0) AS block, coalesce(b.n, 0)::INTEGER AS n_messages, coalesce(b.digest, md5('')) AS digest
+FROM samples s LEFT JOIN blocks b ON b.sample_id = s.sample_id""")
+def messages_in_blocks(spark, folder):
+    """The messages of every sample, two in a row."""
+    joined = join_message_blocks(samples(spark, folder), message_blocks(messages(spark, folder), 2))
+    return joined.select("sample_id", "block", "n_messages", flat(joined).alias("digest"))
+
+
 @query(f"WITH {FIRSTS_SQL} SELECT sample_id, question FROM report")
 def first_user_message(spark, folder):
     return question(samples(spark, folder), messages(spark, folder))
