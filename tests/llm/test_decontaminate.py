@@ -60,7 +60,16 @@ def test_empty_tables_and_clean_rows(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert {r.n_hit for r in contamination(d, b.limit(0)).collect()} == {0}
     assert contamination(d.limit(0), b).count() == 0
-    dirty = {r[0] for r in slow(docs, items, 10) if r[2]}
+    assert sorted(str(r.doc_id) for r in clean_documents(d, b).collect()) == sorted(str(r[0]) for r in slow(docs, items, 10) if not r[2])
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(None, passage), (None, "clean"), (1, passage + " more"), (1, "clean too"), (1, passage + " more"), (2, None), (None, None), (3, "clean")]
+    # Other columns with the names that the operator's own tables have.
+    schema = "doc_id long, text string, id long, doc string, n_hit int, items string"
+    d = spark.createDataFrame([(*r, 5, "x", 1, "y") for r in rows], schema).repartition(3)
+    b = spark.createDataFrame([(0, passage)], "item_id long, text string")
     kept = clean_documents(d, b)
     assert kept.columns == d.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i is None or i not in dirty)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean"), (1, "clean too"), (2, None), (None, None), (3, "clean")], key=repr)

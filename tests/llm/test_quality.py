@@ -63,6 +63,51 @@ def test_odd_rows_and_no_ratings(spark):
     assert quality.with_tail(docs, model, 2, "p").where(F.col("p").between(0, 1)).count() == 6
 
 
+def test_features_and_scores_by_hand(spark):
+    """Features counted word by word, and scores from a model of random weights."""
+    from collections import Counter
+
+    import xxhash
+
+    def slow(text):
+        words, counts = (text or "").encode().split(), Counter()
+        for i, word in enumerate(words):
+            bare, low = word.strip(quality.MARKS), word.strip(quality.MARKS).lower()
+            marks = bytes(c for c in word if c in quality.MARKS or c < 0x80 and not chr(c).isalnum())
+            named = [(0, low)] + [(n, low[:n]) for n in (4, 5, 6) if len(low) >= n - 3] + [(1, marks)]
+            if len(bare) > 1 and bare != low and not any(c in bare for c in b"abcdefghijklmnopqrstuvwxyz"):
+                named.append((2, b"capitals"))
+            counts.update(xxhash.xxh64_intdigest(x, seed) % quality.DIMENSIONS for seed, x in named if x)
+            counts[quality.REPEATS] += i > 0 and words[i - 1] == word
+        return {at: (1 + np.log(n)) / max(1, len(words)) ** quality.LENGTH_POWER for at, n in counts.items() if n}
+
+    texts = ["", None, "One two, two two (three) THREE! A", "É été -- 1,5 ABC ABC", "x" * 5000, "a " * 300]
+    features = quality.Features()
+    for text in texts * 2:
+        at, value = features(text.encode() if text is not None else None)
+        assert dict(zip(at.tolist(), value.tolist())) == pytest.approx(slow(text))
+    rng = np.random.default_rng(3)
+    model = quality.Ordinal(rng.normal(size=quality.DIMENSIONS).astype(np.float32).astype(float), np.array([-0.5, 0.7]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.grade_documents(docs, model).collect():
+        score = sum(model.weights[at] * v for at, v in slow(texts[r.doc_id]).items())
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert (r.score, *r.tails, r.expected_grade) == pytest.approx((score, *tails, sum(tails)), abs=1e-4)
+
+
+def test_an_id_counts_once(spark):
+    """A rated id that a third of all rows have weighs as much as any other, by the text with the least digest."""
+    rows = graded(2, 200)
+    many = [(0, f"great words {i}") for i in range(300)]
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows[1:]] + many, "doc_id long, text string").repartition(6)
+    first = docs.where("doc_id = 0").orderBy(F.xxhash64(F.col("text").cast("binary"))).first()
+    alone = spark.createDataFrame([(i, t) for i, t, _ in rows[1:]] + [tuple(first)], "doc_id long, text string")
+    assert quality.fit_graded(docs, ratings, 3).weights == pytest.approx(quality.fit_graded(alone, ratings, 3).weights, abs=1e-6)
+    with pytest.raises(ValueError):
+        quality.with_tail(docs.withColumn("p", F.lit(1)), quality.fit_graded(alone, ratings.limit(0), 3), 2, "p")
+
+
 def test_given_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, grades = read(spark, folder, "documents"), quality.rated_grades(read(spark, folder, "labels"))

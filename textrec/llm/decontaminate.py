@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +118,7 @@ def contamination(
     item_text_col: str = "text",
     size: int = WINDOW_WORDS,
     slop: int = 0,
+    digest: str | None = None,
 ) -> DataFrame:
     """``(id_col, n_words, n_hit, items)`` of every row of ``docs``.
 
@@ -125,7 +128,8 @@ def contamination(
     texts have no words and no windows; an item with a null id marks words but is
     not listed; repeated items count once and repeated documents are all
     returned. Other columns are not looked at. Without documents there are no
-    rows, without items nothing is hit. Built-in functions only.
+    rows, without items nothing is hit. With a name for the ``digest`` of a row's
+    text (``xxhash64``) it is a further column. Built-in functions only.
     """
     cut = windows(items, size, item_col, item_text_col)
     phrases = stored(cut.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "windows")
@@ -153,6 +157,7 @@ def contamination(
     both = hits.alias("a").join(found.alias("b"), _same_place("a", "b"), "left").select("a.id", "a.doc", "n_hit", "items")
     out = ends.alias("a").join(both.alias("b"), _same_place("a", "b"), "left")
     return out.select(
+        *([F.col("a.doc").alias(digest)] if digest else []),
         F.col("a.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -161,9 +166,13 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a window of any item, all columns unchanged. A row with a null id stays.
+    """The rows of ``docs`` without a window of any item, all columns unchanged, whatever their names.
 
-    If one of several rows with an id is contaminated, they all go.
+    A row is judged by its own text: one with a null id goes if it holds a
+    window, and of several rows with an id those that hold one go.
     """
-    found = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(id_col).distinct()
-    return docs.join(stored(found, "contaminated"), id_col, "left_anti")
+    own, text = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"  # no columns of the table
+    found = contamination(docs, items, id_col, text_col, digest=text, **options).where("n_hit > 0")
+    hit = stored(found.select(F.col(id_col).alias(own), text).distinct(), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(text))
+    return docs.join(hit, same, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 DIMENSIONS = 1 << 18
 
 # Rated documents that a model is fitted on, at most; all documents are scored.
-MAX_RATED = 6_000
+MAX_RATED = 8_000
 
 # Rows handed back to Spark at a time.
 ROWS_AT_ONCE = 1_024
@@ -140,7 +140,8 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
         ])
         low = 0.9 * low + 0.1 * gradient
         high = 0.999 * high + 0.001 * gradient**2
-        state = state - RATE * (low / (1 - 0.9**step)) / (np.sqrt(high / (1 - 0.999**step)) + 1e-8)
+        rate = RATE * min(1.0, 3 * (1 - (step - 1) / steps))  # smaller in the last third, so that the end lies still
+        state = state - rate * (low / (1 - 0.9**step)) / (np.sqrt(high / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(DIMENSIONS)
     weights[used] = state[: len(used)]
     return Ordinal(weights, state[len(used)] + np.concatenate([[0], np.cumsum(np.exp(state[len(used) + 1 :]))]))
@@ -157,10 +158,11 @@ def fit_graded(
 ) -> Ordinal:
     """A model of the grades 0 to ``n_grades - 1`` of rated documents.
 
-    At most ``max_rated`` rated ids take part, chosen by a hash of the id, so the
-    ids that are broadcast and the one task that fits the model are bounded.
-    Null ids and null grades take no part; an id with several ratings counts by
-    the lowest. Null texts have no features. Without ratings all weights are 0.
+    At most ``max_rated`` rated ids take part, chosen by a hash of the id, and one
+    row for each, the one whose text has the least digest, so the ids that are
+    broadcast and the one task that fits the model are bounded, however often an
+    id comes. Null ids and null grades take no part; an id with several ratings
+    counts by the lowest. Null texts have no features. Without ratings all weights are 0.
     """
     rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull())
     rated = rated.groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).cast("long").alias("grade"))
@@ -171,8 +173,8 @@ def fit_graded(
         features = Features()
         for batch in batches:
             made = [features(t.as_py()) for t in batch.column("text")]
-            columns = [batch.column("grade"), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["grade", "at", "value"])
+            columns = [pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "grade", "digest")], *columns], ["id", "grade", "digest", "at", "value"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, grades = [], []
@@ -187,10 +189,12 @@ def fit_graded(
         columns = [pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(columns, ["weights", "thresholds"])
 
-    joined = named.join(F.broadcast(chosen), "id").select("grade", "text")
-    rows = joined.mapInArrow(run, "grade long, at array<int>, value array<float>")
+    joined = named.join(F.broadcast(chosen), "id").select("id", "grade", F.xxhash64("text").alias("digest"), "text")
+    rows = joined.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, grade long, digest long, at array<int>, value array<float>")
+    # Of an id's rows one is left, found task by task before any row moves.
+    single = rows.groupBy("id").agg(F.min(F.struct("digest", "at", "value", "grade")).alias("row")).select("row.grade", "row.at", "row.value")
     # The rated rows, of which there are few, meet in one task; the driver gets the weights.
-    row = rows.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
+    row = single.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
     if row is None:  # no partition at all
         return fit([], np.zeros(0, np.int64), n_grades)
     return Ordinal(np.frombuffer(row["weights"], "<f4").astype(np.float64), np.array(row["thresholds"]))
@@ -224,7 +228,12 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
 
 
 def with_tail(docs: DataFrame, model: Ordinal, grade: int, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the probability ``name`` of ``grade`` or a higher one. Narrow; other columns pass as Arrow data."""
+    """``docs`` with the probability ``name`` of ``grade`` or a higher one. Narrow; other columns pass as Arrow data.
+
+    A column of ``docs`` with that name is an error.
+    """
+    if name in docs.columns:
+        raise ValueError(f"column {name} exists already")
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

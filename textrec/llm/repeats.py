@@ -474,8 +474,12 @@ def remove_repeats(
     spark = docs.sparkSession
     tasks = parts(spark)
     buckets = BUCKETS_PER_TASK * tasks
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    chunks = _chunks(docs, id_col, text_col, chunk_bytes)
+    # Other columns travel under numbers, so that no name of theirs is one of those used here.
+    passed = {f"c{i}": c for i, c in enumerate(c for c in docs.columns if c not in (id_col, text_col))}
+    others, columns = list(passed), docs.columns
+    id_kind = docs.schema[id_col].dataType
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in passed.items()])
+    chunks = _chunks(docs, "id", "text", chunk_bytes)
 
     found = chunks.mapInArrow(_anchors(window, anchor, buckets), "bucket int, chunk long, keys binary")
     dealt = found.repartition(tasks, "bucket").sortWithinPartitions("bucket")
@@ -490,12 +494,11 @@ def remove_repeats(
     whole = chunks.join(by_chunk, "chunk", "left").select("rows", "marks")
 
     kept = "string" if as_text else "binary"
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
+    fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in others]
     schema = ", ".join(["_id long", "_bytes long", "_starts array<long>", "_ends array<long>", f"_kept {kept}", *fields])
     out = whole.mapInArrow(_cut(kept, others, {}), schema)
-    id_kind = docs.schema[id_col].dataType
-    named = {id_col: F.col("_id").cast(id_kind), text_col: F.col("_kept")}
+    named = {id_col: F.col("_id").cast(id_kind), text_col: F.col("_kept")} | {c: F.col(n) for n, c in passed.items()}
     if as_text:
-        return out.select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    columns = [named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != text_col]
-    return out.select(*columns, F.col("_bytes").alias("n_bytes"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"), F.col("_kept").alias("kept"))
+        return out.select(*[named[c].alias(c) for c in columns])
+    kept = [named[c].alias(c) for c in columns if c != text_col]
+    return out.select(*kept, F.col("_bytes").alias("n_bytes"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"), F.col("_kept").alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -63,9 +64,10 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slots: int
     clash = {slot, shard} & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    owner = pd.DataFrame({"_slot": range(slots), shard: [shards[i] for i in slot_table(tuple(shards), slots)]})
-    table = df.sparkSession.createDataFrame(owner, f"_slot int, `{shard}` string")
-    return df.withColumn(slot, slot_of(keys, slots)).join(F.broadcast(table), F.col(slot) == F.col("_slot")).drop("_slot")
+    own = f"_{uuid.uuid4().hex}"  # no column of the table
+    owner = pd.DataFrame({own: range(slots), shard: [shards[i] for i in slot_table(tuple(shards), slots)]})
+    table = df.sparkSession.createDataFrame(owner, f"{own} int, `{shard}` string")
+    return df.withColumn(slot, slot_of(keys, slots)).join(F.broadcast(table), F.col(slot) == F.col(own)).drop(own)
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,11 +302,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows with one; of a component without ids one row stays. Texts without words are one group.
     """
     found = stored(near_duplicates(docs, id_col, text_col, **options), "groups")
-    ids = F.col(id_col)
-    repeated = stored(docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | ids.isNull()).select(ids.alias("_id")), "repeated")
+    ids, tag, columns = F.col(id_col), uuid.uuid4().hex, [F.col(f"`{c}`") for c in docs.columns]
+    # Names that no column of the table has.
+    other, own, made, component, root, place = (f"_{n}_{tag}" for n in ("id", "print", "made", "component", "root", "place"))
+    repeated = stored(docs.groupBy(id_col).agg(F.count("*").alias(place)).where((F.col(place) > 1) | ids.isNull()).select(ids.alias(other)), "repeated")
     dropped = stored(found.where(ids != F.col("component_id")).select(id_col).distinct(), "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    usual = docs.join(repeated, same, "left_anti").join(dropped, id_col, "left_anti")
+    same = ids.eqNullSafe(F.col(other))
+    usual = docs.join(repeated, same, "left_anti").join(dropped, id_col, "left_anti").select(*columns)
     if repeated.isEmpty():
         return usual
     words = options.get("shingle_words", (3,))[0]
@@ -316,10 +319,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return pd.Series(np.array([fingerprint(t or b"", words) for t in texts], np.uint64).view(np.int64))
 
-    rare = docs.join(repeated, same, "left_semi").withColumn("_print", print_of(F.col(text_col).cast("binary")))
-    groups = found.groupBy(ids.alias("_id"), F.col("print").alias("_own")).agg(F.min("component_id").alias("_component"), F.min("root").alias("_root"))
-    known = rare.join(groups, ids.eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_own")))
-    firsts = known.where(ids.eqNullSafe(F.col("_component")))
-    one = Window.partitionBy("_root").orderBy(text_col)
-    kept = firsts.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
+    rare = docs.join(repeated, same, "left_semi").withColumn(made, print_of(F.col(text_col).cast("binary")))
+    groups = found.groupBy(ids.alias(other), F.col("print").alias(own)).agg(F.min("component_id").alias(component), F.min("root").alias(root))
+    known = rare.join(groups, ids.eqNullSafe(F.col(other)) & (F.col(made) == F.col(own)))
+    firsts = known.where(ids.eqNullSafe(F.col(component)))
+    one = Window.partitionBy(root).orderBy(text_col)
+    kept = firsts.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*columns)
     return usual.union(kept)
