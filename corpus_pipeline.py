@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ LEAST_CHANCE = 0.5
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, fitted on the labels, holds for toxic or of low quality."""
     model = fit_graded(docs, rated_grades(read(spark, sf_dir, "labels")), GRADES)
-    return with_tail(docs, model, GOOD, "_chance").where(F.col("_chance") >= LEAST_CHANCE).drop("_chance")
+    chance = f"_{uuid.uuid4().hex}"  # no column of the documents
+    return with_tail(docs, model, GOOD, chance).where(F.col(chance) >= LEAST_CHANCE).drop(chance)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
