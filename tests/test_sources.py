@@ -7,6 +7,7 @@ from textrec.operators import tables as t
 from textrec.operators.records import as_table, columns_of, field_types, merged_type, read_records, record_fields
 from textrec.operators.texts import explode_results
 from textrec.sources import files, logs, sinks
+from textrec.sources.page_files import PageReader, read_pages
 
 
 @pytest.fixture
@@ -178,6 +179,53 @@ def test_pages(spark, folder):
     assert got[5:] == [("long.pdf", i + 1, str(i), None) for i in range(200)]
 
 
+def form_feed_file(file):
+    """Reads a piece at a time, so that pages come before the file's end is reached."""
+    left = b""
+    while piece := file.read(4):
+        *whole, left = (left + piece).split(b"\f")
+        for page in whole:
+            if page == b"BAD":
+                raise ValueError("bad page")
+            yield page.decode()
+    yield left.decode()
+
+
+def test_page_files(spark, folder):
+    folder("a.pdf", "one\ftwo")
+    folder("b.pdf", "one\fsecond\fBAD\fthree")
+    folder("k=1/c.pdf", "deep")
+    folder("k=1/d.txt", "other")
+    folder("e.pdf", b"ok\f\xff\xfe")
+    folder("f.pdf", "")
+    folder("long.pdf", "\f".join(str(i) for i in range(500)))
+    pages = read_pages(spark, folder.root, "*.pdf", form_feed_file, bytes_per_task=20)
+    got = [tuple(r) for r in pages.orderBy("doc", "page").collect()]
+    assert got[:7] == [
+        ("a.pdf", 1, "one", None),
+        ("a.pdf", 2, "two", None),
+        ("b.pdf", 1, "one", None),
+        ("b.pdf", 2, "second", None),
+        ("b.pdf", 3, None, "ValueError: bad page"),
+        ("e.pdf", 1, "ok", None),
+        ("e.pdf", 2, None, "UnicodeDecodeError: 'utf-8' codec can't decode byte 0xff in position 0: invalid start byte"),
+    ]
+    assert got[7:] == [("f.pdf", 1, "", None)] + [("long.pdf", i + 1, str(i), None) for i in range(500)]
+    assert [tuple(r)[:3] for r in read_pages(spark, "file://" + folder.root, "k=*/*.pdf", form_feed_file).collect()] == [("k=1/c.pdf", 1, "deep")]
+    assert read_pages(spark, folder.root, "*.none", form_feed_file).count() == read_pages(spark, folder.root + "/missing", "*", form_feed_file).count() == 0
+
+
+def test_ranges_of_page_files(folder):
+    for name, size in [("a", 5), ("b", 5), ("c", 50), ("d", 1), ("e", 9), ("f", 1)]:
+        folder(name, "x" * size)
+    reader = PageReader(folder.root, "*", 10, form_feed_file)
+    assert [p.names for p in reader.partitions()] == [["a", "b"], ["c"], ["d", "e"], ["f"]]
+    # A file of 500 pages comes in several batches, and the first before the last page is read.
+    folder("g/pages", "\f".join(str(i) for i in range(500)))
+    batches = list(PageReader(folder.root + "/g", "*", 10, form_feed_file).read(PageReader(folder.root + "/g", "*", 10, form_feed_file).partitions()[0]))
+    assert [b.num_rows for b in batches] == [64] * 7 + [52]
+
+
 def test_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, "é,\r\n"), (3, "back\\slash"), (4, None)], "id int, text string")
     sinks.write_csv(df, f"{tmp_path}/out")

@@ -12,6 +12,7 @@ from textrec.queries.inputs import LINES_PER_PAGE, PAGES_SQL, doc_name, read
 from textrec.queries.registry import query
 from textrec.sources.files import binary_profile, decode_text, extract_pages
 from textrec.session import shared_folder
+from textrec.sources.page_files import read_pages
 from textrec.sources.logs import direct_results, parse_result_logs, scan_result_logs
 
 
@@ -67,6 +68,26 @@ def extracted_pages(spark, folder):
     return extract_pages(files, line_pages)
 
 
+def sentences(file):
+    """The file's text, read a piece at a time, cut after every full stop and blank."""
+    left = ""
+    while piece := file.read(64):
+        *whole, left = (left + piece.decode("latin-1")).split(". ")
+        yield from (s.encode("latin-1").decode("utf-8") for s in whole)
+    yield left.rstrip("\n").encode("latin-1").decode("utf-8")
+
+
+@query("""SELECT item_id, CAST(idx AS INTEGER) AS page, s AS text, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS idx FROM benchmark)""")
+def pages_of_files(spark, folder):
+    """Each benchmark item written as a file of its own; a page for each sentence, read out of the files by a data source."""
+    path = f"{shared_folder(spark)}/textrec/page-files-{uuid.uuid4().hex}"
+    items = read(spark, folder, "benchmark").select("item_id", F.col("text").alias("value"))
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    found = read_pages(spark, path, "item_id=*/*.txt", sentences, bytes_per_task=2_000)
+    return found.select(F.regexp_extract("doc", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "page", "text", "error")
+
+
 RESULTS_SQL = """results AS (
     SELECT 'doc_' || doc_id || '.pdf' AS file_path, unnest(range(1, len(l) + 1)) AS result_no, unnest(l) AS input, lang
     FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"""

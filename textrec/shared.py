@@ -1,4 +1,4 @@
-"""Arrays in the shared folder: written by tasks, mapped by the workers that read them."""
+"""Files outside Spark's readers: arrays in the shared folder, written by tasks and mapped by the workers that read them."""
 
 from __future__ import annotations
 
@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow.fs
 
 
-def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder that all executors share, and the folder's name there."""
+def file_place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path, and the path there."""
     local = re.sub(r"^file:/+", "/", path)
     return (pyarrow.fs.LocalFileSystem(), local) if local.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
 
 
 def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> None:
     """Writes arrays to a new folder."""
-    system, at = _place(folder)
+    system, at = file_place(folder)
     system.create_dir(at)
     for name, values in arrays.items():
         with system.open_output_stream(f"{at}/{name}.npy") as out:
@@ -28,7 +28,7 @@ def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> None:
 
 def open_arrays(folder: str, names: list[str]) -> dict[str, np.ndarray]:
     """Arrays of a folder, mapped; those of a store that cannot be mapped are fetched into a file without a name first."""
-    system, at = _place(folder)
+    system, at = file_place(folder)
     return {name: _opened(system, f"{at}/{name}.npy") for name in names}
 
 

@@ -23,7 +23,8 @@ PAGES_PER_FRAME = 64
 PAGE_SCHEMA = "doc string, page int, text string, error string"
 
 
-def _glob_pattern(glob: str) -> str:
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a pattern whose ``*`` stays within a level of folders."""
     parts = {"*": "[^/]*", "?": "[^/]"}
     return "".join(parts.get(c, re.escape(c)) for c in glob)
 
@@ -47,7 +48,7 @@ def binary_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     store = "([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?"
     named = re.sub(f"^{store}", "", root)
     start = f"^{store}" if named.startswith("/") else "/"
-    return files.where(F.col("path").rlike(f"{start}{re.escape(named)}/{_glob_pattern(glob)}$"))
+    return files.where(F.col("path").rlike(f"{start}{re.escape(named)}/{glob_pattern(glob)}$"))
 
 
 def list_files(spark: SparkSession, folder: str, *globs: str) -> DataFrame:
