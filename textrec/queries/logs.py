@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textrec.operators.tables import first_nonempty
 from textrec.operators.texts import explode_results
@@ -14,6 +15,7 @@ from textrec.sources.files import binary_profile, decode_text, extract_pages
 from textrec.session import shared_folder
 from textrec.sources.page_files import read_pages
 from textrec.sources.logs import direct_results, parse_result_logs, scan_result_logs
+from textrec.sources.split_logs import split_result_logs
 
 
 def encoded(spark, folder, text):
@@ -134,3 +136,24 @@ def scanned_result_logs(spark, folder):
         F.sum(F.when(read_well, F.size("results")).otherwise(0)).alias("results"),
         F.sum(F.when(read_well, inputs).otherwise(0)).alias("chars"),
     )
+
+
+@query("""SELECT doc_id // 500 AS log, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS result_no,
+    text AS input, lang AS target, source AS response, CAST(length(text) AS VARCHAR) AS score FROM documents""")
+def results_of_large_logs(spark, folder):
+    """Logs of 500 results each, one document a result, read split by split; one that is cut off is left out."""
+    path = f"{shared_folder(spark)}/textrec/large-logs-{uuid.uuid4().hex}"
+    sample = F.struct(F.col("text").alias("input"), F.col("lang").alias("target"))
+    result = F.to_json(F.struct(sample.alias("sample"), F.col("source").alias("response"), F.length("text").cast("string").alias("score")))
+    docs = read(spark, folder, "documents").select(F.floor(F.col("doc_id") / 500).alias("log"), "doc_id", result.alias("json"))
+    place = Window.partitionBy("log").orderBy("doc_id")
+    lines = docs.select("log", "doc_id", F.concat(F.when(F.row_number().over(place) > 1, ",").otherwise(""), "json").alias("value"))
+    logs = docs.select("log").distinct()
+    head = logs.select("log", F.lit(-1).alias("doc_id"), F.lit('{"eval": {"results": [1]}, "results": [').alias("value"))
+    tail = logs.select("log", F.lit(2**62).alias("doc_id"), F.lit('], "stats": {"n": [{}]}}').alias("value"))
+    cut_off = logs.limit(1).select(F.lit(-1).alias("log"), F.lit(0).alias("doc_id"), F.lit('{"results": [{"response": "x"}, {"resp').alias("value"))
+    ordered = head.union(lines).union(tail).union(cut_off).repartition("log").sortWithinPartitions("log", "doc_id")
+    ordered.select("log", "value").write.partitionBy("log").text(path)
+    found, _ = split_result_logs(spark, f"{path}/*")
+    log = F.regexp_extract("file_path", r"log=(-?\d+)/", 1).cast("long")
+    return found.select(log.alias("log"), "result_no", "result.sample.input", "result.sample.target", "result.response", "result.score")
