@@ -259,9 +259,8 @@ class Trie:
     def _slots(places: np.ndarray, bits: int) -> np.ndarray:
         return ((places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def __init__(self, arrays: dict[str, np.ndarray], order: int, whole: bool = True):
-        """``whole``: no other part has contexts, so each is found from the one before it; else by its bytes."""
-        self.whole, self.parents = whole, [arrays.get(f"parents{level}") for level in range(order + 1)]
+    def __init__(self, arrays: dict[str, np.ndarray], order: int):
+        self.parents = [arrays.get(f"parents{level}") for level in range(order + 1)]
         self.__dict__.update({k: arrays[k] for k in NAMES})
         self.order, self.width = order, int(arrays["symbols"][256])
         self.keys = [arrays.get(f"keys{level}") for level in range(order + 1)]
@@ -288,51 +287,46 @@ class Trie:
             left, place, slot = left[more], place[more], (slot[more] + 1) & ((1 << bits) - 1)
         return found
 
-    @staticmethod
-    def _endings(symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
-        """The ``level`` bytes that end at each place, backward."""
-        at = np.arange(len(symbols))
-        since = at - np.maximum.accumulate(np.where(begins, at, 0))
-        code = np.zeros(len(symbols), np.int64)
-        for j in range(level):
-            code |= np.where(since > j, symbols[at - np.minimum(j, since)], END[0]).astype(np.int64) << (8 * j)
-        return code
-
-    def _contexts(self, symbols: np.ndarray, begins: np.ndarray, level: int) -> np.ndarray:
-        """The context of ``level`` bytes that ends at each place, looked up by these bytes."""
-        code = self._endings(symbols, begins, level)
+    def _found(self, level: int, codes: np.ndarray) -> np.ndarray:
+        """The contexts of ``level`` bytes with these codes; the number after the last for one that is not here."""
         parents = self.parents[level]
         if not len(parents):
-            return np.zeros(len(symbols), np.int32)
-        found = np.minimum(np.searchsorted(parents, code), len(parents) - 1)
-        return np.where(parents[found] == code, found, len(parents)).astype(np.int32)
+            return np.zeros(len(codes), np.int32)
+        found = np.minimum(np.searchsorted(parents, codes), len(parents) - 1)
+        return np.where(parents[found] == codes, found, len(parents)).astype(np.int32)
 
     def symbol_logs(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each symbol. ``begins`` marks places that are no symbol but the begin of a text."""
-        own = self.symbols[symbols]
+        """log10 of the chance of each symbol by the whole trie. ``begins`` marks places that are no symbol but the begin of a text."""
+        own, some = self.symbols[symbols], np.flatnonzero(~begins)
         state = np.zeros(len(symbols), np.int32)  # the context of this level that ends at each place
         levels = []
         for level in range(self.order + 1):
             before = np.empty_like(state)
             before[0], before[1:] = self.none[level], state[:-1]
             child = self._child(level, before, own)
-            levels.append((before, before < self.none[level], child, child >= 0))
-            if level == self.order:
-                break
-            if self.whole:
+            levels.append((before[some], child[some]))
+            if level < self.order:
                 state = self.context[level][child]
                 state[begins] = self.starts[level + 1]
-            else:
-                state = self._contexts(symbols, begins, level + 1)
-        entry, top, above = np.zeros_like(state), np.zeros_like(state), np.full_like(state, -1)
-        for level, (before, valid, child, seen) in enumerate(levels):
-            np.add(child, self.entry_base[level], out=entry, where=seen, casting="unsafe")
-            np.add(before, self.context_base[level], out=top, where=valid, casting="unsafe")
+        return self._logs(levels)
+
+    def chosen_logs(self, symbols: np.ndarray, endings: list[np.ndarray]) -> np.ndarray:
+        """log10 of the chance of each symbol after the bytes in ``endings``, one array for each length from 1, by a part that has them."""
+        own, levels = self.symbols[symbols], []
+        for level in range(self.order + 1):
+            before = self._found(level, endings[level - 1]) if level else np.zeros(len(symbols), np.int32)
+            levels.append((before, self._child(level, before, own)))
+        return self._logs(levels)
+
+    def _logs(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """From the context of each length and the symbol's entry there, or -1."""
+        entry, top, above = (np.full(len(levels[0][0]), x, np.int32) for x in (0, 0, -1))
+        for level, (before, child) in enumerate(levels):
+            np.add(child, self.entry_base[level], out=entry, where=child >= 0, casting="unsafe")
+            np.add(before, self.context_base[level], out=top, where=before < self.none[level], casting="unsafe")
         for level in range(self.order, -1, -1):  # the shortest context that has not seen the symbol stays
-            before, valid, _, seen = levels[level]
-            np.add(before, self.context_base[level], out=above, where=valid & ~seen, casting="unsafe")
-        some = np.flatnonzero(~begins)
-        entry, top, above = entry[some], top[some], above[some]
+            before, child = levels[level]
+            np.add(before, self.context_base[level], out=above, where=(before < self.none[level]) & (child < 0), casting="unsafe")
         out = self.logs[entry]
         whole = above < 0
         out[whole] -= self.total[top[whole]]
@@ -341,38 +335,69 @@ class Trie:
         out[cut] += self.chain[top] - self.chain[above] + self.escape[top] - self.left_out[above]
         return out
 
-    def scores(self, texts: list[bytes], cut: Cut | None = None, number: int = 0) -> np.ndarray:
-        """log10 of the chance of each text, or of those of its symbols whose context is in this part of the ``cut``."""
-        out = np.zeros(len(texts))
-        waiting: list[tuple[int, bytes, int]] = []
-        size = 0
 
-        def add() -> None:
-            joined = np.frombuffer(b"".join(END + piece for _, piece, _ in waiting), np.uint8)
-            lengths = np.array([len(piece) + 1 for _, piece, _ in waiting])
-            begin = np.cumsum(lengths) - lengths
-            begins = np.zeros(len(joined), bool)
-            begins[begin] = True
-            logs = self.symbol_logs(joined, begins)
-            owner = np.repeat([i for i, *_ in waiting], lengths - 1)
-            counted = np.concatenate([np.arange(len(piece)) >= skip for _, piece, skip in waiting])
-            if cut is not None:
-                before = self._endings(joined, begins, cut.depth)[np.flatnonzero(~begins) - 1]
-                counted &= cut.part_of(before) == number
-            out[:] += np.bincount(owner[counted], logs[counted], len(texts))
-
-        for i, text in enumerate(texts):
-            for at in range(0, len(text), CHUNK):
-                # The context of a later piece is read once more and not counted again.
-                skip = self.order if at else 0
-                waiting.append((i, text[at - skip : at + CHUNK], skip))
-                size += len(waiting[-1][1]) + 1
-                if size >= CHUNK:
-                    add()
-                    waiting, size = [], 0
-        if waiting:
-            add()
-        return out
+def _endings(symbols: np.ndarray, begins: np.ndarray, most: int) -> list[np.ndarray]:
+    """The 1, 2 and so on bytes, ``most`` at last, that end at each place, backward; before a text lie end symbols."""
+    at = np.arange(len(symbols))
+    since = at - np.maximum.accumulate(np.where(begins, at, 0))
+    out, code = [], np.zeros(len(symbols), np.int64)
+    for j in range(most):
+        code = code | np.where(since > j, symbols[at - np.minimum(j, since)], END[0]).astype(np.int64) << (8 * j)
+        out.append(code)
+    return out
+
+
+def _pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(symbols, begins, owner, counted)`` of some texts, or pieces of long ones, at a time; the last two without the begins."""
+    waiting: list[tuple[int, bytes, int]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        symbols = np.frombuffer(b"".join(END + piece for _, piece, _ in waiting), np.uint8)
+        lengths = np.array([len(piece) + 1 for _, piece, _ in waiting])
+        begins = np.zeros(len(symbols), bool)
+        begins[np.cumsum(lengths) - lengths] = True
+        owner = np.repeat([i for i, *_ in waiting], lengths - 1)
+        return symbols, begins, owner, np.concatenate([np.arange(len(piece)) >= skip for _, piece, skip in waiting])
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK):
+            # The context of a later piece is read once more and not counted again.
+            skip = order if at else 0
+            waiting.append((i, text[at - skip : at + CHUNK], skip))
+            size += len(waiting[-1][1]) + 1
+            if size >= CHUNK:
+                yield joined()
+                waiting, size = [], 0
+    if waiting:
+        yield joined()
+
+
+def scores(texts: list[bytes], tries: list[tuple[Trie, int]], cut: Cut) -> np.ndarray:
+    """log10 of the chance of each text, by the parts of a trie and their numbers in the ``cut``.
+
+    The bytes before a symbol say which part has its context, so each symbol is
+    looked up in one part, however many there are.
+    """
+    out = np.zeros(len(texts))
+    for symbols, begins, owner, counted in _pieces(texts, tries[0][0].order):
+        if cut.parts == 1:
+            logs = tries[0][0].symbol_logs(symbols, begins)
+            out += np.bincount(owner[counted], logs[counted], len(texts))
+            continue
+        endings = _endings(symbols, begins, tries[0][0].order)
+        places = np.flatnonzero(~begins)[counted]
+        owner = owner[counted]
+        part = cut.part_of(endings[cut.depth - 1][places - 1])
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(cut.parts + 1))
+        for trie, number in tries:
+            own = order[ends[number] : ends[number + 1]]
+            if len(own):
+                at = places[own]
+                logs = trie.chosen_logs(symbols[at], [codes[at - 1] for codes in endings])
+                out += np.bincount(owner[own], logs, len(texts))
+    return out
 
 
 def log_chance(count: Column | float, tokens: float, distinct: float):
@@ -434,7 +459,7 @@ def _parts(counts: DataFrame, order: int, cut: Cut) -> list[tuple[int, str]]:
     return [(r["part"], r["folder"]) for r in made] or [(0, written(np.zeros(0, np.int64), np.zeros(0, np.int64)))]
 
 
-def load_trie(folder: str, order: int, whole: bool) -> Trie:
+def load_trie(folder: str, order: int) -> Trie:
     """A part of the trie on an executor, mapped into memory."""
     levels = range(order + 1)
     arrays = {k: open_array(folder, k) for k in [*NAMES, "entry_base", "context_base", *[f"children{i}" for i in levels], *[f"context{i}" for i in range(order)]]}
@@ -443,7 +468,7 @@ def load_trie(folder: str, order: int, whole: bool) -> Trie:
             arrays[part] = open_array(folder, part)
         except FileNotFoundError:  # dense levels have no keys, and a whole trie needs no parents
             pass
-    return Trie(arrays, order, whole)
+    return Trie(arrays, order)
 
 
 def score_documents(
@@ -469,8 +494,8 @@ def score_documents(
 
     The trie is built by tasks, in parts of at most ``part_grams`` contexts and
     symbols, cut by as many of a context's last bytes as that takes. Tasks write
-    the parts to the shared folder and map them into memory; every text is
-    scored against one after the other. The driver gets counts and names.
+    the parts to the shared folder and map them into memory; every symbol is
+    looked up in the part that has its context. The driver gets counts and names.
     Counts of at most ``frequent`` words go to every worker; the others are joined.
     """
     if not 1 <= order <= 6:
@@ -501,7 +526,7 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, at = sent.value, TaskContext.get().partitionId() << 33
         chances = {w: log_chance(n, tokens, distinct) for w, n in counts.items()}
-        tries = [(load_trie(folder, order, cut.parts == 1), number) for number, folder in sorted(parts)]
+        tries = [(load_trie(folder, order), number) for number, folder in sorted(parts)]
         kinds = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
@@ -521,7 +546,7 @@ def score_documents(
                             base += n * chance
                     for column, value in zip(columns, (len(own), known, base, others)):
                         column.append(value)
-                score = sum((trie.scores(texts, cut if cut.parts > 1 else None, number) for trie, number in tries), np.zeros(len(texts)))
+                score = scores(texts, tries, cut)
                 n_tokens, n_known, base_score, others = columns
                 arrays = [
                     some.column("id"),
