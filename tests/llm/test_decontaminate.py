@@ -73,3 +73,24 @@ def test_rows_are_judged_by_their_own_text(spark):
     kept = clean_documents(d, b)
     assert kept.columns == d.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean"), (1, "clean too"), (2, None), (None, None), (3, "clean")], key=repr)
+
+
+def test_proximity_query_as_sliding_windows(spark, tmp_path):
+    from textrec.llm.query_dedup import near_passages
+
+    rng = random.Random(8)
+    drawn = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(i, " ".join(drawn(13))) for i in range(4)]
+    docs = []
+    for i in range(12):
+        own = drawn(30)
+        passage = items[i % 4][1].split()
+        if i % 3:
+            j = rng.randrange(11)
+            passage[j], passage[j + 1] = passage[j + 1], passage[j]
+        docs.append((i, " ".join(own[:9] + (passage if i < 9 else passage[::-1]) + own[9:])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in near_passages(spark, str(tmp_path)).collect())
+    assert got == sorted((i, n, hit, ",".join(found)) for i, n, hit, found in slow(docs, items, 10, 1))
+    assert sum(r[2] > 0 for r in got) >= 9

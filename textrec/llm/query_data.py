@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textrec.llm.chat import render_conversations
-from textrec.llm.common import read
+from textrec.llm.common import read, scratch
 from textrec.llm.registry import query
-from textrec.llm.sharding import SLOTS, place, slot_table
+from textrec.llm.sharding import SLOTS, place, slot_table, write_shards
 from textrec.llm.topk import top_k
 from textrec.llm.urls import judge_urls
 
@@ -83,3 +83,16 @@ def op9_sharding(spark, folder):
     """The slot and shard of every document."""
     docs = read(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     return place(docs, ["doc_id"], SHARDS)
+
+
+@query(f"""WITH slots AS (
+    SELECT doc_id, strlen(text) AS n_bytes, CAST(CAST('0x' || substr(md5('=' || doc_id), 1, 15) AS BIGINT) % {SLOTS} AS INTEGER) AS slot
+    FROM documents)
+SELECT format('shard-{{:02d}}', ascii(substr($table${_shard_letters()}$table$, slot + 1, 1)) - 48) AS shard, count(*) AS documents,
+    CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(doc_id) AS BIGINT) AS doc_ids FROM slots GROUP BY shard""")
+def written_shards(spark, folder):
+    """What each shard's folder holds after all documents were written to theirs."""
+    path = scratch(spark, "shards")
+    write_shards(place(read(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], SHARDS), path)
+    back = spark.read.parquet(path).groupBy(F.col("shard").cast("string").alias("shard"))
+    return back.agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum("doc_id").alias("doc_ids"))

@@ -51,6 +51,13 @@ def op2_decontamination(spark, folder):
     )
 
 
+@query()
+def near_passages(spark, folder):
+    """Proximity search: words in passages of the benchmark of which each may stand one place before or after its own."""
+    found = contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), slop=1)
+    return found.select("doc_id", "n_words", "n_hit", F.array_join("items", ",").alias("items"))
+
+
 @query()
 def op3_suffixes(spark, folder):
     """What is left of every document without 100-byte strings that start earlier."""
