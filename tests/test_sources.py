@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from textrec.operators import tables as t
 from textrec.operators.records import as_table, columns_of, field_types, merged_type, read_records, record_fields
 from textrec.operators.texts import explode_results
+from textrec.plans.evidence import summarise_folder
+from textrec.queries.standins import BACKENDS
 from textrec.sources import files, logs, sinks
 from textrec.sources.page_files import PageReader, read_pages
 
@@ -215,6 +217,18 @@ def test_page_files(spark, folder):
     assert read_pages(spark, folder.root, "*.none", form_feed_file).count() == read_pages(spark, folder.root + "/missing", "*", form_feed_file).count() == 0
 
 
+def test_a_folder_summarised_into_csv(spark, folder, tmp_path):
+    for name, text in [("a_report.pdf", "first\fsecond, \"x\""), ("b.pdf", " \f"), ("c.pdf", "one\fBAD\fx"), ("d.pdf", "late"), ("n.txt", "no")]:
+        folder(f"in/{name}", text)
+    run = lambda path, **more: summarise_folder(spark, f"{folder.root}/in", "*.pdf", form_feed_file, f"{folder.root}/{path}", "instructed", BACKENDS, "Be brief.", **more)
+    got = {r["pdf_filename"]: (r["pdf_title"], r["full_text"], r["summary"] is not None) for r in run("one").collect()}
+    assert got == {"a_report.pdf": ("a report", 'first\nsecond, "x"\n', True), "d.pdf": ("d", "late\n", True)}
+    back = spark.read.csv(f"{folder.root}/one", header=True, multiLine=True, escape='"')
+    assert {r["pdf_filename"]: r["full_text"] for r in back.collect()} == {k: v[1] for k, v in got.items()}
+    assert [r["pdf_filename"] for r in run("two", first=3).collect()] == ["a_report.pdf"]
+    assert summarise_folder(spark, f"{folder.root}/none", "*", form_feed_file, f"{folder.root}/three", "instructed", BACKENDS, "x").count() == 0
+
+
 def test_ranges_of_page_files(folder):
     for name, size in [("a", 5), ("b", 5), ("c", 50), ("d", 1), ("e", 9), ("f", 1)]:
         folder(name, "x" * size)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrec.functions.columns import MAX_TEXT_CHARS, title_from_path
 from textrec.operators.filters import non_blank
 from textrec.operators.inference import Backend, complete_prompts
 from textrec.operators.texts import full_text
+from textrec.session import stored
+from textrec.sources.page_files import Extractor, read_pages
+from textrec.sources.sinks import write_csv
 
 # Reply length and temperature of a summary.
 SUMMARY_TOKENS = 700
@@ -52,3 +55,27 @@ def summarise_documents(
         temperature=SUMMARY_TEMPERATURE,
         **options,
     )
+
+
+def summarise_folder(
+    spark: SparkSession,
+    folder: str,
+    glob: str,
+    extractor: Extractor,
+    path: str,
+    backend: str,
+    backends: Mapping[str, Backend],
+    system: str,
+    first: int | None = None,
+    **options,
+) -> DataFrame:
+    """Summaries of the files below ``folder`` that match ``glob``, or the ``first`` of them, written to ``path`` as CSV and returned.
+
+    Pages are extracted once. ``options`` are those of ``summarise_documents``,
+    among them the name of a ``run`` that keeps replies. Files that could not be
+    read to their end, or hold no text, have no row; no file gives a table without rows.
+    """
+    pages = stored(read_pages(spark, folder, glob, extractor, first=first), "pages")
+    summaries = summarise_documents(pages, backend, backends, system, **options)
+    write_csv(summaries, path)
+    return summaries

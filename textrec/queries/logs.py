@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from textrec.operators.tables import first_nonempty
 from textrec.operators.texts import explode_results
+from textrec.plans.evidence import summarise_folder
 from textrec.queries.inputs import LINES_PER_PAGE, PAGES_SQL, doc_name, read
 from textrec.queries.registry import query
+from textrec.queries.standins import BACKENDS
 from textrec.sources.files import binary_profile, decode_text, extract_pages
 from textrec.session import shared_folder
 from textrec.sources.page_files import read_pages
@@ -83,11 +85,30 @@ def sentences(file):
 FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS idx FROM benchmark)""")
 def pages_of_files(spark, folder):
     """Each benchmark item written as a file of its own; a page for each sentence, read out of the files by a data source."""
+    found = read_pages(spark, item_files(spark, folder), "item_id=*/*.txt", sentences, bytes_per_task=2_000)
+    return found.select(item_of("doc"), "page", "text", "error")
+
+
+def item_files(spark, folder):
     path = f"{shared_folder(spark)}/textrec/page-files-{uuid.uuid4().hex}"
     items = read(spark, folder, "benchmark").select("item_id", F.col("text").alias("value"))
     items.repartition("item_id").write.partitionBy("item_id").text(path)
-    found = read_pages(spark, path, "item_id=*/*.txt", sentences, bytes_per_task=2_000)
-    return found.select(F.regexp_extract("doc", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "page", "text", "error")
+    return path
+
+
+def item_of(name):
+    return F.regexp_extract(name, r"item_id=(\d+)/", 1).cast("long").alias("item_id")
+
+
+@query("""WITH texts AS (SELECT item_id, array_to_string(string_split(text, '. '), chr(10)) || chr(10) AS t FROM benchmark)
+SELECT item_id, t AS full_text, md5('Summarise.|700|0.5|' || t) AS summary, CAST(length(t) AS VARCHAR) AS prompt_tokens,
+    CAST(length(t) + 32 AS VARCHAR) AS total_tokens FROM texts""")
+def summarised_folder(spark, folder):
+    """Files summarised into a CSV file in one call, which is read back."""
+    files = item_files(spark, folder)
+    summarise_folder(spark, files, "item_id=*/*.txt", sentences, f"{files}-summaries", "instructed", BACKENDS, "Summarise.")
+    back = spark.read.csv(f"{files}-summaries", header=True, multiLine=True, escape='"')
+    return back.select(item_of("pdf_filename"), "full_text", "summary", "prompt_tokens", "total_tokens")
 
 
 RESULTS_SQL = """results AS (

@@ -70,12 +70,14 @@ def evaluation_accuracy(spark, folder):
 
 
 @query(f"""WITH {SAMPLES_SQL}
-SELECT sample_id, coalesce(target, left(md5(input), 9)) AS target, md5(input) AS response,
-    CASE WHEN contains(md5(input), coalesce(target, left(md5(input), 9))) THEN 'C' ELSE 'I' END AS grade FROM samples""")
+SELECT sample_id, coalesce(target, CASE WHEN length(input) % 2 = 0 THEN left(md5(input), 9) ELSE reverse(left(md5(input), 9)) END) AS target,
+    md5(input) AS response, CASE WHEN contains(md5(input), coalesce(target, CASE WHEN length(input) % 2 = 0 THEN left(md5(input), 9)
+        ELSE reverse(left(md5(input), 9)) END)) THEN 'C' ELSE 'I' END AS grade FROM samples""")
 def graded_evaluation(spark, folder):
-    """Digests as replies, graded by whether they hold the target; samples without one expect a digest's begin."""
+    """Digests as replies, graded by whether they hold the target; samples without one expect a digest's begin, every other one backward."""
     begin = F.left(F.md5("input"), F.lit(9))
-    expected = samples(spark, folder).withColumn("target", F.coalesce("target", begin))
+    made = F.when(F.length("input") % 2 == 0, begin).otherwise(F.reverse(begin))
+    expected = samples(spark, folder).withColumn("target", F.coalesce("target", made))
     values = {"answer": "response", "fact": "target"}
     scorer = lambda df: graded_score(df, BACKENDS["grade"], GRADE_TEMPLATE, GRADE_PATTERN, values)
     return evaluate(expected, "digest", BACKENDS, scorer).select("sample_id", "target", "response", "grade")

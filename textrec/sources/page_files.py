@@ -38,19 +38,18 @@ class FileRange(InputPartition):
 class PageReader(DataSourceReader):
     """Lists the files once, in the planner, and reads a range of them in each task."""
 
-    def __init__(self, folder: str, glob: str, bytes_per_task: int, extractor: Extractor):
-        self.folder, self.glob, self.bytes_per_task, self.extractor = folder, glob, bytes_per_task, extractor
+    def __init__(self, folder: str, glob: str, bytes_per_task: int, extractor: Extractor, first: int | None = None):
+        self.folder, self.glob, self.bytes_per_task, self.extractor, self.first = folder, glob, bytes_per_task, extractor, first
 
     def partitions(self) -> list[FileRange]:
         system, root = file_place(self.folder.rstrip("/"))
         every = system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True))
         wanted = re.compile(glob_pattern(self.glob))
         files = sorted((f.path[len(root) :].lstrip("/"), f.size or 0) for f in every if f.is_file)
+        named = [(name, size) for name, size in files if wanted.fullmatch(name)]
         ranges: list[list[str]] = []
         room = 0
-        for name, size in files:
-            if not wanted.fullmatch(name):
-                continue
+        for name, size in named[: self.first]:
             if not ranges or size > room:
                 ranges.append([])
                 room = self.bytes_per_task
@@ -92,8 +91,8 @@ def page_source(extractor: Extractor) -> type[DataSource]:
 
     ``extractor`` gets an open file, which it may read in pieces and move about
     in, and yields the texts of the pages. Options: ``path``, a folder; ``glob``,
-    a pattern for paths below it in which ``*`` stays within a level; and
-    ``bytesPerTask``.
+    a pattern for paths below it in which ``*`` stays within a level;
+    ``bytesPerTask``; and ``first``, to read only so many files, in order of path.
     """
     kind = f"textrec_pages_{uuid.uuid4().hex}"
 
@@ -107,13 +106,14 @@ def page_source(extractor: Extractor) -> type[DataSource]:
 
         def reader(self, schema) -> DataSourceReader:
             size = int(self.options.get("bytesPerTask", BYTES_PER_TASK))
-            return PageReader(self.options["path"], self.options.get("glob", "*"), size, extractor)
+            first = self.options.get("first")
+            return PageReader(self.options["path"], self.options.get("glob", "*"), size, extractor, int(first) if first else None)
 
     return Pages
 
 
-def read_pages(spark: SparkSession, folder: str, glob: str, extractor: Extractor, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
-    """``(doc, page, text, error)`` of the files below ``folder`` that match ``glob``; ``doc`` is the path from there.
+def read_pages(spark: SparkSession, folder: str, glob: str, extractor: Extractor, bytes_per_task: int = BYTES_PER_TASK, first: int | None = None) -> DataFrame:
+    """``(doc, page, text, error)`` of the files below ``folder`` that match ``glob``, or the ``first`` of them; ``doc`` is the path from there.
 
     No file is ever one row: a task opens one file of its range after the other
     and hands pages on some at a time. If the extractor fails, the pages read so
@@ -123,4 +123,5 @@ def read_pages(spark: SparkSession, folder: str, glob: str, extractor: Extractor
     """
     source = page_source(extractor)
     spark.dataSource.register(source)
-    return spark.read.format(source.name()).options(glob=glob, bytesPerTask=str(bytes_per_task)).load(folder)
+    options = {"glob": glob, "bytesPerTask": str(bytes_per_task), **({"first": str(first)} if first else {})}
+    return spark.read.format(source.name()).options(**options).load(folder)
