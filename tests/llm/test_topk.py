@@ -30,6 +30,24 @@ def test_as_all_inner_products(spark, sizes):
     assert sorted(tuple(r) for r in got.collect()) == slow(rows, lambda q: q % 5 == 0, 5)
 
 
+def test_too_long_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="or longer"):
+        top_k(df, F.lit(True)).collect()
+    near = spark.createDataFrame([(0, [4e6]), (1, [-4e6])], "vec_id long, embedding array<double>")
+    assert {r.score for r in top_k(near, F.lit(True)).collect()} == {-((256 * 4_000_000) ** 2)}
+
+
+def test_bounds_and_stored_indexes():
+    rng = np.random.default_rng(5)
+    values, queries = rng.integers(-50, 60, (200, 5)), rng.integers(-9, 9, (30, 5))
+    index = BitSlicedIndex(np.arange(200), values)
+    assert (index.bounds(queries) >= (queries[:, None] * values).sum(axis=2).max(axis=1)).all()
+    again = BitSlicedIndex.of(index.arrays())
+    for q in queries:
+        assert sorted(again.top(q, 7).tolist()) == sorted(index.top(q, 7).tolist()) == sorted(np.lexsort((np.arange(200), -(values * q).sum(axis=1)))[:7].tolist())
+
+
 def test_fewer_rows_than_k_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from textrec.llm.common import open_array, save_arrays, scratch
 from textrec.session import stored
 
-# Rows of one index and queries that meet it in one task.
+# Rows of one index, and queries of a task.
 INDEX_ROWS = 32_768
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 128
+
+# Scores are sums in 64 bits: no vector may be so long that they could leave them.
+LONGEST = float(1 << 30)
 
 
 def quantised(vector: str, scale: float = 256.0) -> Column:
-    """``floor(scale * x)`` of every component; null for vectors that are null or hold a null or non-finite one."""
+    """``floor(scale * x)`` of every component; null for vectors that are null or hold a null or non-finite one.
+
+    A vector of ``LONGEST`` or more in length, as long as ``scale`` makes it, is an error.
+    """
     fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.when(fits, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")))
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") * F.lit(scale), F.lit(2.0))))
+    numbers = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
+    error = F.raise_error(F.lit(f"a vector is {LONGEST:.0f} or longer, times its scale")).cast("array<bigint>")
+    return F.when(fits, F.when(length < F.lit(LONGEST), numbers).otherwise(error))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -45,6 +55,25 @@ class BitSlicedIndex:
         self.every = self._pack(np.ones((self.rows, 1), np.uint64))[0]
         self.opposite = ~self.slices & self.every
 
+    PARTS = ["order", "values", "slices", "every", "opposite"]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {name: getattr(self, name) for name in self.PARTS} | {"least": np.array([self.least])}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> BitSlicedIndex:
+        """The index that has these arrays."""
+        index = cls.__new__(cls)
+        index.__dict__.update({name: arrays[name] for name in cls.PARTS})
+        index.rows, index.words = len(index.order), len(index.every)
+        index.bits, index.least = index.slices.shape[1], int(arrays["least"][0])
+        return index
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """A score for each query that no row exceeds."""
+        low, high = self.values.min(axis=0, initial=0), self.values.max(axis=0, initial=0)
+        return np.where(queries > 0, queries * high, queries * low).sum(axis=1)
+
     def _pack(self, bits: np.ndarray) -> np.ndarray:
         packed = np.packbits(bits.astype(np.uint8).T, axis=1, bitorder="little")
         out = np.zeros((bits.shape[1], self.words * 8), np.uint8)
@@ -106,20 +135,50 @@ class BitSlicedIndex:
         return np.append(taken, rows(maybe)[: k - len(taken)])
 
 
-def _block(table: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The best rows of one block of the index for each query of one block."""
-    width = max([0, *[int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max(initial=0)) for t in (table, queries)]])
-    ids = table.column("id").to_numpy()
-    index = BitSlicedIndex(ids, _matrix(table.column("v").combine_chunks(), width))
-    ids = ids[index.order]
-    place = {int(r): i for i, r in enumerate(table.column("row").to_numpy()[index.order])}
-    asked = _matrix(queries.column("v").combine_chunks(), width)
-    found: list[list] = [[], [], [], []]
-    for i, (query_id, row) in enumerate(zip(queries.column("id").to_pylist(), queries.column("row").to_pylist())):
-        best = index.top(asked[i], k, place.get(row, -1))
-        for column, values in zip(found, ([query_id] * len(best), [row] * len(best), ids[best], index.values[best] @ asked[i])):
-            column.extend(values)
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(["query_id", "row", "id", "score"], found)})
+def _written(folder: str, width: int):
+    """Function that builds the index of one block, writes it to the shared folder and gives its name."""
+
+    def build(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        index = BitSlicedIndex(ids, _matrix(table.column("v").combine_chunks(), width))
+        name = f"{folder}/{uuid.uuid4().hex}"  # a repeated task writes a folder of its own
+        rows = table.column("row").to_numpy()[index.order]
+        save_arrays(name, index.arrays() | {"ids": ids[index.order], "rows": rows})
+        return pa.table({"block": table.column("block")[:1], "folder": [name]})
+
+    return build
+
+
+def _search(folders: list[str], width: int, k: int):
+    """Function that looks for the best rows of each query in one index after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, own_rows = _matrix(batch.column("v"), width), batch.column("row").to_numpy()
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own_rows]  # scores and ids, in order
+            for folder in folders:
+                arrays = {name: open_array(folder, name) for name in [*BitSlicedIndex.PARTS, "least", "ids", "rows"]}
+                index = BitSlicedIndex.of(arrays)
+                place = {int(r): i for i, r in enumerate(arrays["rows"])}
+                bounds = index.bounds(asked)
+                for i, row in enumerate(own_rows.tolist()):
+                    scores, ids = best[i]
+                    if len(scores) == k and bounds[i] < scores[-1]:
+                        continue
+                    top = index.top(asked[i], k, place.get(row, -1))
+                    scores, ids = np.r_[scores, index.values[top] @ asked[i]], np.r_[ids, arrays["ids"][top]]
+                    order = np.lexsort((ids, -scores))[:k]
+                    best[i] = scores[order], ids[order]
+            counts = [len(scores) for scores, _ in best]
+            columns = [
+                np.repeat(batch.column("id").to_numpy(), counts),
+                np.concatenate([np.zeros(0, np.int64), *[np.arange(1, n + 1) for n in counts]]),
+                np.concatenate([np.zeros(0, np.int64), *[ids for _, ids in best]]),
+                np.concatenate([np.zeros(0, np.int64), *[scores for scores, _ in best]]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i == 1 else c) for i, c in enumerate(columns)], ["query_id", "rank", "id", "score"])
+
+    return run
 
 
 def top_k(
@@ -142,30 +201,20 @@ def top_k(
     rankings. Other columns are not looked at; an empty table gives no rows.
 
     Rows are dealt evenly, whatever their values, to blocks of about
-    ``index_rows``, queries to blocks of about ``block_queries``; every block of
-    queries meets every block of the index in a task of its own.
+    ``index_rows``, and each block's index is built once and written to the
+    shared folder. Tasks of about ``block_queries`` queries map one index after
+    the other; an index none of whose rows can score as high as the ``k`` found so
+    far is passed over.
     """
     spark = vectors.sparkSession
     named = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     valid = named.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     kept = stored(valid, "vectors")
-    n_rows, n_queries = kept.agg(F.count("*"), F.count_if("q")).first()
-    row_blocks, query_blocks = -(-n_rows // index_rows) or 1, -(-n_queries // block_queries) or 1
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def dealt(n: int) -> Column:
-        return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-
-    rows = kept.select("id", "v", "row", dealt(row_blocks).alias("rb"), each(query_blocks).alias("qb"))
-    queries = kept.where("q").select("id", "v", "row", dealt(query_blocks).alias("qb"), each(row_blocks).alias("rb"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _block(left, right, k)
-
-    grouped = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb"))
-    found = grouped.applyInArrow(meet, "query_id long, row long, id long, score long")
-    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    n_rows, n_queries, width = kept.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).first()
+    blocks, tasks, width = -(-n_rows // index_rows) or 1, -(-n_queries // block_queries) or 1, width or 0
+    dealt = kept.select("id", "v", "row", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+    built = dealt.repartitionByRange(blocks, "block").groupBy("block").applyInArrow(_written(scratch(spark, "slices"), width), "block int, folder string")
+    folders = [r["folder"] for r in stored(built, "indexes").orderBy("block").collect()]
+    asked = kept.where("q").select("id", "v", "row").repartition(tasks)
+    found = asked.mapInArrow(_search(folders, width, k), "query_id long, rank int, id long, score long")
+    return found.withColumnRenamed("id", id_col)
