@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from textrec.llm.chat import maximal_conversations, render_conversations
+from textrec.llm.chat import maximal_conversations, numbered_turns, prefix_hashes, render_conversations, rendered_turns
 
 SCHEMA = "conv_id long, turn long, role string, text string, at int, last string"
 
@@ -44,6 +44,22 @@ def test_one_first_turn_for_all_and_long_texts(spark):
     assert sorted(r.conv_id for r in kept) == list(range(300)) and {r.copies for r in kept} == {1}
 
 
+def test_a_hot_conversation_in_blocks(spark):
+    """Prefixes of a conversation of many turns, and the rows without an id, are added up block by block."""
+    rows = [(c, t, "user", f"t{t}") for c, n in ((1, 900), (2, 500), (3, 899), (None, 700)) for t in range(n)] + [(4, t, "user", "other") for t in range(5)]
+    random.Random(2).shuffle(rows)
+    placed = numbered_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), "conv_id", "turn", "role", "text")
+    whole = {(r.conv, r.at): (r.h1, r.h2, r["last"]) for r in prefix_hashes(placed, 10_000).collect()}
+    for block in (1, 64):
+        assert {(r.conv, r.at): (r.h1, r.h2, r["last"]) for r in prefix_hashes(placed, block).collect()} == whole
+    assert whole[1, 500][:2] == whole[2, 500][:2] == whole[None, 500][:2] and whole[2, 500][2] and not whole[1, 500][2]
+    long = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = rendered_turns(long).collect()
+    assert sorted((r.conv_id, r.at) for r in turns) == [(1, i + 1) for i in range(900)] + [(4, i + 1) for i in range(5)]
+    texts = {r.conv_id: r.rendered for r in render_conversations(long).collect()}
+    assert {c: "".join(r.rendered for r in sorted(turns, key=lambda r: r.at) if r.conv_id == c) for c in (1, 4)} == texts
+
+
 def test_no_turns_and_no_python(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = render_conversations(df)
