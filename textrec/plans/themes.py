@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textrec.functions.replies import reply_clusters
 from textrec.operators.batching import number_rows
@@ -86,7 +87,7 @@ def _asked(parts: DataFrame, backend: Backend, template: str, options: Mapping)
     keyed = parts.withColumn("place", F.struct("q", "part", "size"))
     prompts = render_prompt(keyed, template, question=_number(), findings=F.col("listed"))
     replies = ask_model(prompts, "place", backend, **{"max_tokens": CLUSTER_TOKENS, "temperature": 0.0, **options})
-    return stored(replies.select("place.*", reply_clusters("reply").alias("clusters"), "error"), "themed")
+    return replies.select("place.*", reply_clusters("reply").alias("clusters"), "error")
 
 
 def cluster_findings(
@@ -123,8 +124,12 @@ def cluster_findings(
     while True:
         replies = _asked(_listed(items, per_prompt), backend, template if turn == 0 else merge_template, options)
         done["errors"].append(replies.where(F.col("error").isNotNull()).select(_number().alias("question_num"), F.lit(turn).alias("round"), "part", "error"))
-        each = replies.select("q", "part", "size", F.posexplode("clusters").alias("at", "c"))
-        found = number_rows(each, ["part", "at"], by=["q"], name="_no").withColumn("item", F.col("_no") - 1).drop("_no")
+        # Themes are numbered over a question's parts; only the parts' numbers of themes meet by question.
+        sizes = replies.select("q", "part", "size", F.coalesce(F.size("clusters"), F.lit(0)).alias("n"), F.col("clusters").isNotNull().alias("read"))
+        before = Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("q", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        each = replies.join(offsets, ["q", "part"]).select("q", "part", "size", "offset", F.posexplode("clusters").alias("at", "c"))
+        found = each.withColumn("item", F.col("offset") + F.col("at"))
         places = found.select("q", "item", "part", "size", F.explode("c.finding_indices").alias("i"))
         named = places.where("i >= 0 AND i < size").select("q", "item", (F.col("part") * per_prompt + F.col("i")).alias("below"))
         if links is None:
@@ -136,9 +141,8 @@ def cluster_findings(
         themes = found.select("q", "item", "c.theme", "c.summary", "c.key_quotes").join(counts, ["q", "item"], "left")
         themes = stored(themes.fillna(0, ["n_findings"]), "themes")
         # How a question goes on: with one part it is done, and also when there are no fewer themes than entries.
-        sizes = replies.groupBy("q").agg(F.count("*").alias("parts"), F.sum("size").alias("entries"), F.count("clusters").alias("read"))
-        state = sizes.join(themes.groupBy("q").agg(F.count("*").alias("n")), "q", "left").fillna(0, ["n"])
-        state = stored(state.where("read > 0").withColumn("last", F.expr("parts = 1 OR n = 0 OR n >= entries")), "state")
+        whole = sizes.groupBy("q").agg(F.count("*").alias("parts"), F.sum("size").alias("entries"), F.count_if("read").alias("read"), F.sum("n").alias("n"))
+        state = whole.where("read > 0").withColumn("last", F.expr("parts = 1 OR n = 0 OR n >= entries"))
         ready = state.where("last").select("q")
         done["questions"].append(ready.select(_number().alias("question_num")))
         done["themes"].append(themes.join(ready, "q", "left_semi").select(_number().alias("question_num"), "item", "theme", "summary", "key_quotes", "n_findings"))
