@@ -92,3 +92,23 @@ def test_fast_and_file_ids_agree():
     encode = packing.Encoder(packing.VOCABULARY)
     for text in ("a  b\t\n c", "don't I'll 123 ١٢٣ ½", "日本語 mixed ÉÑ x y​", "🙂👍🏽 é", "\x00\x1f x\r\n\r\n ", "  lead and trail  ", "A" * 5000):
         assert encode(text) == encode.file.encode(text, add_special_tokens=False).ids
+
+
+def test_query_as_encoding_one_by_one(spark, tmp_path):
+    from textrec.llm.query_text import op4_packing
+
+    texts = ["", None, "short text", "long text " * 3000, "été " * 900, "<|endoftext|> there"] + [f"document {i} " * (i * 7) for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    encode, want = packing.Encoder(packing.VOCABULARY), set()
+    for i, text in enumerate(texts):
+        ids = np.array([*encode.file.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for piece, (start, length) in enumerate(packing.cuts(len(ids), 2048)):
+            want.add((i, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
+    rows = op4_packing(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [a for a, _ in own] == np.cumsum([0, *[n for _, n in own[:-1]]]).tolist() and sum(n for _, n in own) <= 2048

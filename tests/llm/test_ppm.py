@@ -121,3 +121,18 @@ def test_parts_are_bounded_and_built_by_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(ppm.Trie, "build", staticmethod(in_a_task))
     assert ppm.score_documents(docs, use, part_grams=20).count() == 32
+
+
+def test_query_as_symbol_by_symbol(spark, tmp_path):
+    from textrec.llm.query_text import op10_ppm
+
+    own = texts()[:40]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(own))]
+    learned = [t for t, h in zip(own, held) if not h]
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_ppm(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(own):
+        n, known, train, base = slow_base(t, learned)
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], n, known, train)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(slow_score(t, learned, ppm.ORDER), rel=1e-9)
+    assert any(held) and not all(held)

@@ -74,3 +74,16 @@ def test_order_over_partitions_text_and_no_rows(spark):
     assert remove_repeats(docs, as_text=True).schema == docs.schema
     assert remove_repeats(docs.limit(0)).count() == 0
     assert remove_repeats(docs.where(F.col("doc_id") == 2)).select("kept").first()[0].decode() == passage + "é A"
+
+
+def test_query_as_every_window(spark, tmp_path):
+    import hashlib
+
+    from textrec.llm.query_dedup import op3_suffixes
+
+    own = texts(9, "abcdefgh", 40) + [None, "", "ab" * 200, "é" * 150]
+    rows = list(enumerate(own + own[:3]))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in op3_suffixes(spark, str(tmp_path)).collect())
+    want = [(i, n, sum(ends) - sum(starts), len(starts), hashlib.sha256(kept).hexdigest()) for i, n, starts, ends, kept in slow(rows, 100)]
+    assert got == sorted(want) and sum(r[2] for r in want) > 1000

@@ -156,3 +156,13 @@ def test_near_copies_without_end_are_compared_in_bounded_sets(spark, monkeypatch
     assert largest.pop() >= 100
     assert linked_groups(spark, rows, (11, 12), 4, 60) == whole == [0] * 250 + [250, 251]
     assert max(largest) <= 90  # sets are dealt by hash and differ a little
+
+
+def test_query_as_from_all_pairs(spark, tmp_path):
+    from textrec.llm.query_dedup import op1_simhash
+
+    own = texts()
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [slow_print(t) for t in own]
+    got = sorted(tuple(r) for r in op1_simhash(spark, str(tmp_path)).collect())
+    assert got == [(i, f"{p:016x}", c) for i, (p, c) in enumerate(zip(prints, slow_components(prints)))]
