@@ -23,7 +23,7 @@ ORDER = 5
 END = b"\n"
 
 # Contexts and symbols in one part of the trie, and bytes scored at a time.
-PART_GRAMS = 4_000_000
+PART_GRAMS = 2_000_000
 CHUNK = 1 << 19
 
 # What a worker counts before it hands it on.
