@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from textrec.llm.decontaminate import clean_documents, contamination
+from textrec.llm import decontaminate
+from textrec.llm.decontaminate import clean_documents, contamination, positional_index, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -94,3 +95,18 @@ def test_proximity_query_as_sliding_windows(spark, tmp_path):
     got = sorted(tuple(r) for r in near_passages(spark, str(tmp_path)).collect())
     assert got == sorted((i, n, hit, ",".join(found)) for i, n, hit, found in slow(docs, items, 10, 1))
     assert sum(r[2] > 0 for r in got) >= 9
+
+
+def test_each_text_is_cut_into_words_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: df)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    terms = spark.createDataFrame([("a", 2), ("\n", 1)], "word string, term long")
+    index = positional_index(docs, terms, "doc_id", "text")
+    assert sorted((r.at, r.term) for r in index.collect()) == [(0, 2), (2, 1)]
+    assert index._jdf.queryExecution().optimizedPlan().toString().count(r"\x3A-\x60") == 1
+
+
+def test_words_of_odd_texts(spark):
+    texts = [None, "", " ", "--", "a", "-a", "a-", "--a--", "a\x00b", "A\tÉ\x7fe\u0301 \u00a0z", "Ç9d 漢字 😀x", "\x80\u2028[Q]"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", words("text").alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: split(t) for i, t in enumerate(texts)}
