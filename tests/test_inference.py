@@ -1,6 +1,7 @@
 import uuid
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,26 @@ def test_one_sample_run(spark):
     samples = spark.createDataFrame([("Say hello", "olleh yaS"), ("Say bye", "bye")], "input string, target string")
     run = evaluate(samples, "echo", ALL, exact_score)
     assert {r["input"]: r["correct"] for r in run.collect()} == {"Say hello": True, "Say bye": False}
+
+
+def test_prompts_of_one_call_at_a_time_are_objects():
+    """Also with nulls between them and at both ends; calls are as full as they can be."""
+    calls = []
+
+    def call(talks, system, max_tokens, temperature):
+        calls.append([talk[-1]["content"] for talk in talks])
+        return [(content.upper(), {"total_tokens": len(content)}) for content in calls[-1]]
+
+    prompts = [None, *[None if n % 3 == 0 else f"p{n}" for n in range(100)], None, None]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(prompts))), "prompt": prompts})
+    empty = batch.slice(0, 0)
+    nulls = pa.RecordBatch.from_pydict({"row": [7, 8], "prompt": pa.array([None, None], pa.string())})
+    out = i._caller(i.Backend(call), "prompt", "s", 1, 0.0, 7)(iter([batch, empty, nulls]))
+    first = next(out)
+    assert len(calls) == 1 and first.num_rows < 20
+    rows = pa.Table.from_batches([first, *out]).to_pylist()
+    asked = [p for p in prompts if p is not None]
+    assert calls == [asked[n : n + 7] for n in range(0, len(asked), 7)]
+    assert [r["row"] for r in rows] == [*range(len(prompts)), 7, 8]
+    assert [r["_reply"] for r in rows] == [p and p.upper() for p in prompts] + [None, None]
+    assert [r["_total_tokens"] for r in rows] == [p and len(p) for p in prompts] + [None, None]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,22 +86,29 @@ def _caller(backend: Backend, prompt_col: str, system: str, max_tokens: int, tem
             half = len(prompts) // 2
             return ask(prompts[:half]) + ask(prompts[half:])
 
+    def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prompts = batch.column(batch.schema.get_field_index(prompt_col)).to_pylist()
+        answers: list[tuple[Reply, str | None]] = [((None, None), None)] * len(prompts)
+        asked = [i for i, prompt in enumerate(prompts) if prompt is not None]
+        if asked:
+            for i, given in zip(asked, ask([prompts[i] for i in asked])):
+                answers[i] = given
+        used = [usage or {} for (_, usage), _ in answers]
+        added = {
+            "_reply": pa.array([reply for (reply, _), _ in answers], pa.string()),
+            **{f"_{t}": pa.array([u.get(t) for u in used], pa.int64()) for t in TOKENS},
+            "_error": pa.array([error for _, error in answers], pa.string()),
+        }
+        return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prompts = batch.column(batch.schema.get_field_index(prompt_col)).to_pylist()
-            answers: list[tuple[Reply, str | None]] = [((None, None), None)] * len(prompts)
-            asked = [i for i, prompt in enumerate(prompts) if prompt is not None]
-            for start in range(0, len(asked), batch_size):
-                part = asked[start : start + batch_size]
-                for i, answer in zip(part, ask([prompts[i] for i in part])):
-                    answers[i] = answer
-            used = [usage or {} for (_, usage), _ in answers]
-            added = {
-                "_reply": pa.array([reply for (reply, _), _ in answers], pa.string()),
-                **{f"_{t}": pa.array([u.get(t) for u in used], pa.int64()) for t in TOKENS},
-                "_error": pa.array([error for _, error in answers], pa.string()),
-            }
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+            # The rows of a call at a time: a batch has thousands, whose prompts and replies need not be Python objects at once.
+            valid = batch.column(batch.schema.get_field_index(prompt_col)).is_valid()
+            calls = np.flatnonzero(valid.to_numpy(zero_copy_only=False))[batch_size::batch_size].tolist()
+            bounds = [0, *calls, batch.num_rows]
+            for start, end in zip(bounds, bounds[1:]):
+                yield answer(batch.slice(start, end - start))
 
     return run
 
