@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of 2048 tokens."""
-    return pack_pieces(token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack_pieces(token_pieces(docs, derived={"ids_crc32": F.crc32("ids")}).drop("ids"))
 
 
 STAGES = [

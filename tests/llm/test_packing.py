@@ -112,3 +112,21 @@ def test_query_as_encoding_one_by_one(spark, tmp_path):
     for own in places.values():
         own.sort()
         assert [a for a, _ in own] == np.cumsum([0, *[n for _, n in own[:-1]]]).tolist() and sum(n for _, n in own) <= 2048
+
+
+def test_tokenizer_file_is_loaded_for_special_tokens_only():
+    encode = packing.Encoder(packing.VOCABULARY, packing.special_tokens(packing.VOCABULARY))
+    assert encode("plain text") and "file" not in vars(encode)
+    assert encode("<|endoftext|> there") == packing.Encoder(packing.VOCABULARY).file.encode("<|endoftext|> there", add_special_tokens=False).ids
+    assert "file" in vars(encode)
+
+
+def test_ids_are_not_read_again_for_their_digest(spark, tmp_path):
+    from textrec.llm.query_text import op4_packing
+
+    spark.createDataFrame([(1, "some text"), (2, None), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op4_packing(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ids_crc32:bigint" in plan and "ids:binary" not in plan
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert [r.ids_crc32 for r in out.orderBy("doc_id").collect()][1:] == [zlib.crc32(bytes(4))] * 2

@@ -87,3 +87,24 @@ def test_query_as_every_window(spark, tmp_path):
     got = sorted(tuple(r) for r in op3_suffixes(spark, str(tmp_path)).collect())
     want = [(i, n, sum(ends) - sum(starts), len(starts), hashlib.sha256(kept).hexdigest()) for i, n, starts, ends, kept in slow(rows, 100)]
     assert got == sorted(want) and sum(r[2] for r in want) > 1000
+
+
+def test_no_stage_needs_two_python_workers_a_core(spark):
+    """Workers stay for the stages that follow, so two in one stage are two in all of them."""
+
+    def widths(node):
+        """Python functions on the way down from each node to the next shuffle, the node's own first."""
+        below = [widths(node.children().apply(i)) for i in range(node.children().size())]
+        under = max([w[0] for w in below], default=0)
+        own = 0 if "Exchange" in node.nodeName() else under + (node.nodeName() == "MapInArrow")
+        return [own, *[n for w in below for n in w]]
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        docs = spark.createDataFrame([(1, "a" * 300), (2, "a" * 300)], "doc_id long, text string")
+        assert max(widths(remove_repeats(docs)._jdf.queryExecution().executedPlan())) == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

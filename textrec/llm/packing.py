@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrec.llm.common import scratch
+from textrec.llm.common import giving_back, scratch
 
 CAPACITY = 2_048
 END_ID = 0
@@ -27,25 +28,42 @@ BATCH_BYTES = 4 << 20
 PIECES = "piece int, start long, length long, ids binary, slot int, place long"
 
 
+def special_tokens(vocabulary: str) -> list[str]:
+    """The special tokens of the vocabulary's tokenizer file."""
+    return [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()]
+
+
+def _tokenizer(vocabulary: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
 class Encoder:
     """Token ids of whole texts by a public vocabulary, which comes as a tokenizer file and as ranks.
 
     Both give the same ids, the ranks several times faster. A text that spells
     out one of the file's special tokens goes through the file, which knows them.
+    The file takes several times the memory of the ranks, so it is loaded for the
+    first such text, and to list its special tokens where they are not given.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special: list[str] | None = None):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.vocabulary = vocabulary
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.file = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.special = [t.content for t in self.file.get_added_tokens_decoder().values()]
+        self.special = special_tokens(vocabulary) if special is None else special
+
+    @cached_property
+    def file(self):
+        return _tokenizer(self.vocabulary)
 
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
@@ -66,17 +84,20 @@ def token_pieces(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     vocabulary: str = VOCABULARY,
+    derived: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """``(id_col, piece, start, length, ids, slot, place)``: every document's tokens and an end token, in pieces.
 
     ``ids`` are unsigned 32-bit numbers, little-endian. ``slot`` and ``place``
     number the pieces of each length within a task. Written to the shared folder,
     so documents are encoded once. A null text is an empty one and has the end token only.
+    ``derived`` are columns made of these and written beside them, so that those
+    who need no more of ``ids`` need not read them again.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, special = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), special_tokens(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, slot, seen = Encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, slot, seen = Encoder(vocabulary, special), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             size, names = 0, ["id", "piece", "start", "length", "ids", "slot", "place"]
@@ -101,7 +122,7 @@ def token_pieces(
 
     kind = rows.schema["id"].dataType.simpleString()
     path = scratch(docs.sparkSession, "pieces")
-    made = rows.mapInArrow(run, f"id {kind}, {PIECES}")
+    made = rows.mapInArrow(giving_back(run), f"id {kind}, {PIECES}").withColumns(dict(derived or {}))
     made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path).withColumnRenamed("id", id_col)
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textrec.llm.common import giving_back
+
 DIMENSIONS = 1 << 18
 
 # Rated documents that a model is fitted on, at most; all documents are scored.
@@ -190,11 +192,11 @@ def fit_graded(
         yield pa.RecordBatch.from_arrays(columns, ["weights", "thresholds"])
 
     joined = named.join(F.broadcast(chosen), "id").select("id", "grade", F.xxhash64("text").alias("digest"), "text")
-    rows = joined.mapInArrow(run, f"id {named.schema['id'].dataType.simpleString()}, grade long, digest long, at array<int>, value array<float>")
+    rows = joined.mapInArrow(giving_back(run), f"id {named.schema['id'].dataType.simpleString()}, grade long, digest long, at array<int>, value array<float>")
     # Of an id's rows one is left, found task by task before any row moves.
     single = rows.groupBy("id").agg(F.min(F.struct("digest", "at", "value", "grade")).alias("row")).select("row.grade", "row.at", "row.value")
     # The rated rows, of which there are few, meet in one task; the driver gets the weights.
-    row = single.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
+    row = single.repartition(1).mapInArrow(giving_back(learn), "weights binary, thresholds array<double>").first()
     if row is None:  # no partition at all
         return fit([], np.zeros(0, np.int64), n_grades)
     return Ordinal(np.frombuffer(row["weights"], "<f4").astype(np.float64), np.array(row["thresholds"]))
@@ -223,7 +225,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(columns, ["id", "score", "expected_grade", "tails"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"id {kind}, score double, expected_grade double, tails array<double>")
+    made = rows.mapInArrow(giving_back(run), f"id {kind}, score double, expected_grade double, tails array<double>")
     return made.withColumnRenamed("id", id_col)
 
 
@@ -247,7 +249,7 @@ def with_tail(docs: DataFrame, model: Ordinal, grade: int, name: str, text_col:
                 chance = pa.array(own.tails(score)[:, grade - 1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, chance], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def rated_grades(labels: DataFrame) -> DataFrame:

@@ -14,9 +14,8 @@ from textrec.llm.registry import query
 @query()
 def op4_packing(spark, folder):
     """The place of every document's pieces in sequences of 2048 tokens."""
-    pieces = token_pieces(read(spark, folder, "documents"))
-    checked = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack_pieces(checked)
+    pieces = token_pieces(read(spark, folder, "documents"), derived={"ids_crc32": F.crc32("ids")})
+    return pack_pieces(pieces.drop("ids"))
 
 
 @query()

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrec.llm.common import parts
+from textrec.llm.common import giving_back, parts
 from textrec.llm.suffixes import MEMORY_BYTES, Files, sorted_suffixes
 
 # Bytes of a repeated string, bytes of the anchors that strings are dealt out by, and text bytes of a chunk of documents.
@@ -115,47 +115,48 @@ def _by_value(values: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(values[a]), slice(int(a), int(b))
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """``(chunk, rows)``: consecutive rows of ``docs``, about ``chunk_bytes`` of text each, as compressed Arrow data.
+def _numbered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, pa.Table]]:
+    """Consecutive rows of a partition, about ``chunk_bytes`` of text each, numbered by partition and place.
 
-    The text column comes as bytes. Chunks are numbered by partition and place,
-    so reading the same table again makes the same chunks.
+    Reading the same table again makes the same chunks.
     """
-    other = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"), *other)
+    number, held, size = TaskContext.get().partitionId() << 33, [], 0
+    for batch in batches:
+        weight = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        done = 0
+        while done < batch.num_rows:
+            before = int(weight[done - 1]) if done else 0
+            end = min(batch.num_rows, int(np.searchsorted(weight, before + chunk_bytes - size)) + 1)
+            held.append(batch.slice(done, end - done))
+            size += int(weight[end - 1]) - before
+            done = end
+            if size >= chunk_bytes:
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
-        def made() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
+def _chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``(chunk, rows)``: chunks of ``rows`` as compressed Arrow data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in _numbered(batches, chunk_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                 out.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
-        for batch in batches:
-            weight = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
-            done = 0
-            while done < batch.num_rows:
-                before = int(weight[done - 1]) if done else 0
-                end = min(batch.num_rows, int(np.searchsorted(weight, before + chunk_bytes - size)) + 1)
-                held.append(batch.slice(done, end - done))
-                size += int(weight[end - 1]) - before
-                done = end
-                if size >= chunk_bytes:
-                    yield made()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield made()
-
-    return rows.mapInArrow(run, "chunk long, rows binary")
+    return rows.mapInArrow(giving_back(run), "chunk long, rows binary")
 
 
 def _opened(rows: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's rows, their ids (null: the least), their bytes put together and their lengths."""
     with pa.ipc.open_stream(rows) as source:
-        table = source.read_all().combine_chunks()
+        return _content(source.read_all().combine_chunks())
+
+
+def _content(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's rows, their ids (null: the least), their bytes put together and their lengths."""
     batch = table.to_batches()[0]
     texts = [x.as_py() or b"" for x in batch.column("_text")]
     lengths = np.array([len(x) for x in texts], np.int64)
@@ -168,20 +169,23 @@ def _frame(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
 
-def _anchors(window: int, anchor: int, buckets: int):
-    """Per chunk and bucket the distinct anchors, six bytes each, with a flag for those it has twice."""
+def _anchors(window: int, anchor: int, buckets: int, chunk_bytes: int):
+    """Per chunk and bucket the distinct anchors, six bytes each, with a flag for those it has twice.
+
+    Cuts the chunks itself: a function upon that of ``_chunks`` would run in a second Python worker a core,
+    and workers stay for the stages that follow.
+    """
     schema = [("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, rows in zip(batch.column("chunk"), batch.column("rows")):
-                _, _, text, lengths = _opened(rows.as_py())
-                bucket, keys, times, _ = _dealt(Pieces(text, lengths, window, anchor), buckets)
-                short = (keys >> np.uint64(17)) | np.where(times > 1, FLAG, np.uint64(0))
-                six = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                out = [(b, chunk.as_py(), six[at].tobytes()) for b, at in _by_value(bucket)]
-                if out:
-                    yield _frame(schema, out)
+        for chunk, table in _numbered(batches, chunk_bytes):
+            _, _, text, lengths = _content(table)
+            bucket, keys, times, _ = _dealt(Pieces(text, lengths, window, anchor), buckets)
+            short = (keys >> np.uint64(17)) | np.where(times > 1, FLAG, np.uint64(0))
+            six = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            out = [(b, chunk, six[at].tobytes()) for b, at in _by_value(bucket)]
+            if out:
+                yield _frame(schema, out)
 
     return run
 
@@ -479,24 +483,25 @@ def remove_repeats(
     others, columns = list(passed), docs.columns
     id_kind = docs.schema[id_col].dataType
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in passed.items()])
-    chunks = _chunks(docs, "id", "text", chunk_bytes)
+    rows = docs.select(F.col("id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), *others)
+    chunks = _chunks(rows, chunk_bytes)
 
-    found = chunks.mapInArrow(_anchors(window, anchor, buckets), "bucket int, chunk long, keys binary")
+    found = rows.mapInArrow(giving_back(_anchors(window, anchor, buckets, chunk_bytes)), "bucket int, chunk long, keys binary")
     dealt = found.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    again = dealt.mapInArrow(_repeated, "chunk long, bucket int, bits binary")
+    again = dealt.mapInArrow(giving_back(_repeated), "chunk long, bucket int, bits binary")
     hits = again.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
     asked = chunks.join(hits, "chunk").select("chunk", "rows", "hits")
-    strings = asked.mapInArrow(_strings(window, anchor, buckets), "bucket int, chunk long, strings binary")
+    strings = asked.mapInArrow(giving_back(_strings(window, anchor, buckets)), "bucket int, chunk long, strings binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(0)
     shards = strings.repartition(tasks, "bucket", spread).sortWithinPartitions("bucket")
-    marks = shards.mapInArrow(_sorted_shards(window, memory), "chunk long, marks binary")
+    marks = shards.mapInArrow(giving_back(_sorted_shards(window, memory)), "chunk long, marks binary")
     by_chunk = marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks"))
     whole = chunks.join(by_chunk, "chunk", "left").select("rows", "marks")
 
     kept = "string" if as_text else "binary"
     fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in others]
     schema = ", ".join(["_id long", "_bytes long", "_starts array<long>", "_ends array<long>", f"_kept {kept}", *fields])
-    out = whole.mapInArrow(_cut(kept, others, {}), schema)
+    out = whole.mapInArrow(giving_back(_cut(kept, others, {})), schema)
     named = {id_col: F.col("_id").cast(id_kind), text_col: F.col("_kept")} | {c: F.col(n) for n, c in passed.items()}
     if as_text:
         return out.select(*[named[c].alias(c) for c in columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textrec.llm.common import parts
+from textrec.llm.common import giving_back, parts
 from textrec.llm.components import stars
 from textrec.session import stored
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = rows.schema["id"].dataType.simpleString()
     fields = ", ".join(f"{n} long" for n in names)
-    return rows.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(giving_back(run), f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
 def print_names(n: int) -> list[str]:
@@ -191,7 +191,7 @@ def _anchor_links(copies: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
         yield from links(len(keys))
 
     dealt = copies.repartition(parts(copies.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in sides))
+    return dealt.mapInArrow(giving_back(run), ", ".join(f"{n} long" for n in sides))
 
 
 def _piece_keys(threshold: int, blocks: int) -> Column:
@@ -231,7 +231,7 @@ def fingerprint_links(prints: DataFrame, thresholds: tuple[int, ...] = (THRESHOL
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], ["key", *names])
 
     schema = ", ".join(f"{n} long" for n in ["key", *names])
-    copies = stored(prints.select(*names).mapInArrow(run, schema), "anchors")
+    copies = stored(prints.select(*names).mapInArrow(giving_back(run), schema), "anchors")
     crowded = stored(copies.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members), "crowded")
     if crowded.isEmpty():
         return _anchor_links(copies, thresholds)
