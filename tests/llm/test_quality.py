@@ -116,3 +116,22 @@ def test_given_labels(spark):
     scored = quality.grade_documents(docs.join(grades.where(held), "doc_id"), model).join(grades, "doc_id")
     kept = {r.grade: r.kept for r in scored.groupBy("grade").agg(F.avg((F.col("tails")[1] >= 0.5).cast("double")).alias("kept")).collect()}
     assert kept[0] < 0.1 and kept[1] < 0.3 and kept[2] > 0.97
+
+
+def test_fitting_holds_one_copy_of_the_features(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    features = [(rng.permutation(20_000)[:5_000].astype(np.int32), rng.random(5_000).astype(np.float32)) for _ in range(400)]
+    grades = rng.integers(0, 3, 400)
+    tracemalloc.start()
+    try:
+        model = quality.fit(features, grades, 3, steps=3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Twelve bytes a feature: its number, value and row.
+    assert peak < 12 * 2_000_000 + 24_000_000
+    monkeypatch.setattr(quality, "ENTRIES_AT_ONCE", 1 << 30)
+    whole = quality.fit(features, grades, 3, steps=3)
+    assert np.array_equal(model.weights, whole.weights) and np.array_equal(model.thresholds, whole.thresholds)

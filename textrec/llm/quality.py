@@ -40,6 +40,9 @@ LENGTH_POWER = 0.35
 # Rated documents that must have a feature for it to get a weight.
 LEAST_DOCUMENTS = 6
 
+# Features of rated documents that are multiplied at a time while a model is fitted; sums keep their order.
+ENTRIES_AT_ONCE = 1 << 18
+
 # Words whose features a task remembers: the first it meets, which the frequent ones are among.
 REMEMBERED = 150_000
 
@@ -108,12 +111,16 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
     used = np.flatnonzero(found >= min(LEAST_DOCUMENTS, len(grades)))
     number = np.full(DIMENSIONS, -1, np.int32)
     number[used] = np.arange(len(used))
-    kept = [(number[at], value) for at, value in features]
-    kept = [(at[at >= 0], value[at >= 0]) for at, value in kept]
-    index = np.concatenate([at for at, _ in kept])
-    value = np.concatenate([value for _, value in kept]).astype(np.float32)
-    row = np.repeat(np.arange(len(kept), dtype=np.int32), [len(at) for at, _ in kept])
-    del kept
+    # Filled in place, as a list of the kept parts would be a second copy.
+    most = sum(len(at) for at, _ in features)
+    index, value, sizes, end = np.empty(most, np.int32), np.empty(most, np.float32), [], 0
+    for at, own in features:
+        known = number[at] >= 0
+        sizes.append(int(known.sum()))
+        index[end : end + sizes[-1]], value[end : end + sizes[-1]] = number[at][known], own[known]
+        end += sizes[-1]
+    index, value = index[:end], value[:end]
+    row = np.repeat(np.arange(len(features), dtype=np.int32), sizes)
     share = np.array([(grades <= j).mean() for j in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     first, gaps = start[:1], np.log(np.maximum(np.diff(start), 0.1))
@@ -121,10 +128,13 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
     low, high = np.zeros_like(state), np.zeros_like(state)
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     every = np.arange(len(grades))
+    blocks = [slice(a, a + ENTRIES_AT_ONCE) for a in range(0, len(index), ENTRIES_AT_ONCE)]
     for step in range(1, steps + 1):
         weights, first, gaps = state[: len(used)], state[len(used)], state[len(used) + 1 :]
         thresholds = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(row, value * weights[index], len(grades))
+        score = np.zeros(len(grades))
+        for at in blocks:
+            np.add.at(score, row[at], value[at] * weights[index[at]])
         below = np.column_stack([np.zeros(len(grades)), logistic(thresholds - score[:, None]), np.ones(len(grades))])
         lower, upper = below[every, grades], below[every, grades + 1]
         chance = np.maximum(upper - lower, 1e-12)
@@ -135,8 +145,11 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_gra
         np.add.at(by_threshold, grades, slope[every, grades])
         by_threshold = by_threshold[1:-1]
         later = np.cumsum(by_threshold[::-1])[::-1]
+        by_weight = np.zeros(len(used))
+        for at in blocks:
+            np.add.at(by_weight, index[at], value[at] * by_score[row[at]])
         gradient = np.concatenate([
-            np.bincount(index, value * by_score[row], len(used)) + RIDGE * weights,
+            by_weight + RIDGE * weights,
             [by_threshold.sum()],
             later[1:] * np.exp(gaps),
         ])
